@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, strip_chars
+from ..sources.store import materialize as store_table
 from .lines import (FILE_KEY, file_lines, innermost_enclosing, line_features, next_close,
                     partition_files)
 
@@ -114,8 +115,8 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
     With ``materialize`` the line features are persisted for the duration of
     the job and the four entity tables are checkpointed to the session's
     checkpoint directory, so later joins read small tables instead of
-    re-running the per-line windows (and a lost executor recomputes only its
-    own partitions)."""
+    re-running the per-line windows, and a lost executor recomputes nothing
+    upstream of them."""
     fp = partition_files(files.select(*FILE_KEY, "language", "content"), num_partitions)
     lf = line_features(file_lines(fp))
     w_file = Window.partitionBy(*FILE_KEY)
@@ -141,7 +142,15 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
     masked = F.when(F.col("in_string") | F.col("in_comment") & ~F.col("code").rlike(r"\S"),
                     F.lit("")).otherwise(F.col("code"))
     lf = lf.withColumn("_code", masked)
-    fmatch = lf.select("*", F.posexplode(_rule_matches(FUNCTION_RULES, "_code")).alias("_sub", "_m"))
+    # every regular expression runs once per line, here; the result is
+    # persisted and all branches below read it
+    lf = (lf.withColumn("_fm", _rule_matches(FUNCTION_RULES, "_code"))
+          .withColumn("_cname", _class_match("_code"))
+          .withColumn("_cc", _call_code()))
+    if materialize:
+        lf = lf.persist(StorageLevel.MEMORY_AND_DISK)
+        lf.count()
+    fmatch = lf.where(F.size("_fm") > 0).select("*", F.posexplode("_fm").alias("_sub", "_m"))
     fdefs = fmatch.select(
         *FILE_KEY, "language", "line", "text", "depth_before", "depth_after", "depth_min",
         "has_open_brace", "paren_before", "paren_after", "rank", "next_logical", "last_content", "n_lines",
@@ -150,7 +159,7 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
     # one function per (line, name): several rules can see the same definition
     fdefs = fdefs.withColumn("_rn", F.row_number().over(
         Window.partitionBy(*FILE_KEY, "line", "name").orderBy("rule"))).where("_rn = 1").drop("_rn")
-    cdefs = (lf.withColumn("name", _class_match("_code")).where(F.col("name").isNotNull())
+    cdefs = (lf.withColumn("name", F.col("_cname")).where(F.col("name").isNotNull())
              .select(*FILE_KEY, "language", "line", "text", "depth_before", "depth_after", "depth_min",
                      "has_open_brace", "paren_before", "paren_after", "rank", "next_logical",
                      "last_content", "n_lines", "name", F.lit(-1).alias("rule"),
@@ -224,8 +233,7 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
     ent = ent.withColumn("ord", F.row_number().over(w_ord)).select(
         *FILE_KEY, "kind", "open_id", "ord", "name", "language", "parameters", "line", "end_line")
     if materialize:
-        lf = lf.persist(StorageLevel.MEMORY_AND_DISK)
-        ent = ent.checkpoint(eager=True)
+        ent = store_table(ent, "entities")
 
     functions = ent.where(F.col("kind") == "function").select(
         *FILE_KEY, "ord", "name", "language", "parameters", "line", "end_line", "open_id")
@@ -248,9 +256,9 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
     imports = _imports(lf)
     calls = _calls(lf, functions)
     if materialize:
-        classes = classes.checkpoint(eager=True)
-        imports = imports.checkpoint(eager=True)
-        calls = calls.checkpoint(eager=True)
+        classes = store_table(classes, "classes")
+        imports = store_table(imports, "imports")
+        calls = store_table(calls, "calls")
         lf.unpersist()
     return Entities(functions.drop("open_id"), classes, imports, calls,
                     lf.select(*FILE_KEY, "language", "line", "text"))
@@ -311,10 +319,9 @@ def _imports(lf: DataFrame) -> DataFrame:
         *FILE_KEY, "ord", "language", "module", "line")
 
 
-def _calls(lf: DataFrame, functions: DataFrame) -> DataFrame:
-    """Call sites with the callee cut after its last '.', and the
-    innermost enclosing named function as caller (NULL at top level)."""
-    # mask definition heads so 'def f(' / 'function f(' / 'class C(' are not calls
+def _call_code() -> F.Column:
+    """Code with definition heads masked, so 'def f(' / 'function f(' /
+    'class C(' are not taken for calls."""
     code = None
     for lang, pats in FUNCTION_RULES.items():
         masked = F.col("code")
@@ -323,9 +330,13 @@ def _calls(lf: DataFrame, functions: DataFrame) -> DataFrame:
         masked = F.regexp_replace(masked, CLASS_RULES[lang], " ")
         code = (F.when(F.col("language") == lang, masked) if code is None
                 else code.when(F.col("language") == lang, masked))
-    code = code.otherwise(F.col("code"))
+    return F.when(F.col("code").contains("("), code.otherwise(F.col("code")))
+
+
+def _calls(lf: DataFrame, functions: DataFrame) -> DataFrame:
+    """Call sites with the callee cut after its last '.', and the
+    innermost enclosing named function as caller (NULL at top level)."""
     live = lf.where(~F.col("in_string") & (F.col("code").contains("(")))
-    live = live.withColumn("_cc", code)
     news = F.regexp_extract_all(F.col("_cc"), F.lit(CALL_PATTERN), 1)
     names = F.regexp_extract_all(F.col("_cc"), F.lit(CALL_PATTERN), 2)
     pairs = F.arrays_zip(news.alias("new"), names.alias("name"))

@@ -68,10 +68,10 @@ def dependency_graph_nodes(files: DataFrame, roots: DataFrame | None = None) ->
     """One node per analyzed file, label relative to the project root.
     Import endpoints are analyzed files, so they add no node."""
     roots = roots if roots is not None else project_roots(files)
-    norm = P.normpath(F.col("file_path"))
     return (files.select("project_id", "file_path").join(roots, "project_id")
-            .select("project_id", norm.alias("id"), F.lit("file").alias("type"),
-                    P.strip_root(norm, F.col("root")).alias("label"), norm.alias("file_path"))
+            .withColumn("_norm", P.normpath("file_path"))
+            .select("project_id", F.col("_norm").alias("id"), F.lit("file").alias("type"),
+                    P.strip_root("_norm", "root").alias("label"), F.col("_norm").alias("file_path"))
             .dropDuplicates(["project_id", "id"]))
 
 

@@ -94,9 +94,9 @@ def project_roots(files: DataFrame) -> DataFrame:
     """Common root directory of each project's files (a single file ->
     its directory).  One partial aggregate per project (min/max of the path
     component arrays); a huge project is reduced map-side."""
-    parts = F.split(P.normpath(F.col("file_path")), "/")
-    agg = (files.groupBy("project_id")
-           .agg(F.min(parts).alias("lo"), F.max(parts).alias("hi")))
+    agg = (files.select("project_id", F.split(P.normpath("file_path"), "/").alias("_parts"))
+           .groupBy("project_id")
+           .agg(F.min("_parts").alias("lo"), F.max("_parts").alias("hi")))
     n = P.common_prefix_len(F.col("lo"), F.col("hi"))
     n = F.when(F.col("lo") == F.col("hi"), F.size("lo") - 1).otherwise(n)
     return agg.select("project_id", F.array_join(F.slice("lo", 1, n), "/").alias("root"))
@@ -109,13 +109,15 @@ def module_key_index(files: DataFrame, roots: DataFrame | None = None) -> DataFr
     wins.  Suffix keys and the package key of ``__init__``: the FIRST file
     wins, and only where no exact key exists."""
     roots = roots if roots is not None else project_roots(files)
-    f = files.select(*FILE_KEY).join(roots, "project_id")
-    norm = P.normpath(F.col("file_path"))
-    rel = P.strip_root(norm, F.col("root"))
-    rel_nosfx = P.drop_suffix(rel)
-    parts = F.split(rel_nosfx, "/")
-    exact = F.array(F.regexp_replace(P.drop_suffix(norm), "/", "."), F.array_join(parts, "."),
-                    rel_nosfx, rel)
+    # staged columns: each path expression is computed once, not inlined
+    f = (files.select(*FILE_KEY).join(roots, "project_id")
+         .withColumn("_norm", P.normpath("file_path"))
+         .withColumn("_rel", P.strip_root("_norm", "root"))
+         .withColumn("_rel_nosfx", P.drop_suffix("_rel"))
+         .withColumn("_parts", F.split("_rel_nosfx", "/")))
+    parts = F.col("_parts")
+    exact = F.array(F.regexp_replace(P.drop_suffix("_norm"), "/", "."), F.array_join(parts, "."),
+                    F.col("_rel_nosfx"), F.col("_rel"))
     pkg = F.when(F.element_at(parts, -1) == "__init__",
                  F.array(F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".")))\
         .otherwise(F.array().cast("array<string>"))
@@ -135,11 +137,12 @@ def known_file_keys(files: DataFrame) -> DataFrame:
     """D3: (project_id, key) -> file for the normalised path, the path
     without its suffix and, for package index files, the directory.  Last
     writer (in file order) wins."""
-    norm = P.normpath(F.col("file_path"))
+    norm = F.col("_norm")
     is_index = P.basename(F.col("file_path")).isin(*PACKAGE_INDEX_FILES)
     keys = F.concat(F.array(norm, P.drop_suffix(norm)),
                     F.when(is_index, F.array(P.dirname(norm))).otherwise(F.array().cast("array<string>")))
-    return (files.select("project_id", "file_path", F.explode(F.array_distinct(keys)).alias("key"))
+    return (files.select("project_id", "file_path").withColumn("_norm", P.normpath("file_path"))
+            .select("project_id", "file_path", F.explode(F.array_distinct(keys)).alias("key"))
             .groupBy("project_id", "key").agg(F.max("file_path").alias("target")))
 
 
@@ -152,18 +155,22 @@ def resolve_imports(imports: DataFrame, files: DataFrame, roots: DataFrame | Non
     keyed = known.unionByName(index)
 
     m = F.col("module")
-    src_dir = P.dirname(P.normpath(F.col("file_path")))
-    is_rel = m.startswith(".")
-    is_py_rel = is_rel & ~m.contains("/") & ~m.contains("\\")
+    imp = imports.where(m.isNotNull() & (m != ""))
     dots = F.length(F.regexp_extract(m, r"^\.*", 0))
-    remainder = F.regexp_replace(m, r"^\.*", "")
+    # staged path columns (each computed once)
+    imp = (imp.withColumn("_src_dir", P.dirname(P.normpath("file_path")))
+           .withColumn("_remainder", F.regexp_replace(m, r"^\.*", "")))
+    src_dir, remainder = F.col("_src_dir"), F.col("_remainder")
     dir_parts = F.when(src_dir == "", F.array().cast("array<string>")).otherwise(F.split(src_dir, "/"))
     up = F.slice(dir_parts, 1, F.greatest(F.size(dir_parts) - (dots - 1), F.lit(0)))
-    target_dir = F.array_join(up, "/")
-    py_combined = F.when(remainder != "", P.normpath(F.array_join(F.concat(up, F.split(remainder, r"\.")), "/"))
-                         ).otherwise(P.normpath(target_dir))
+    imp = (imp.withColumn("_py_raw", F.when(remainder != "", F.array_join(F.concat(up, F.split(remainder, r"\.")), "/"))
+                          .otherwise(F.array_join(up, "/")))
+           .withColumn("_py", P.normpath("_py_raw"))
+           .withColumn("_js", P.normpath(F.when(src_dir == "", m).otherwise(F.concat(src_dir, F.lit("/"), m)))))
+    is_rel = m.startswith(".")
+    is_py_rel = is_rel & ~m.contains("/") & ~m.contains("\\")
+    py_combined, js_combined = F.col("_py"), F.col("_js")
     init_path = F.when(py_combined == ".", F.lit("__init__.py")).otherwise(F.concat(py_combined, F.lit("/__init__.py")))
-    js_combined = P.normpath(F.when(src_dir == "", m).otherwise(F.concat(src_dir, F.lit("/"), m)))
 
     def cand(rank, table, key):
         return F.struct(F.lit(rank).alias("rank"), F.lit(table).alias("table"), key.alias("key"))
@@ -178,12 +185,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame, roots: DataFrame | Non
     cands = F.filter(F.concat(F.when(is_py_rel, py_c).when(is_rel, js_c)
                               .otherwise(F.array().cast("array<struct<rank:int,table:string,key:string>>")),
                               tail), lambda x: x.isNotNull())
-    imp = imports.where(m.isNotNull() & (m != ""))
     ex = imp.select(*FILE_KEY, "ord", "module", "line", F.explode(cands).alias("c")).select(
         *FILE_KEY, "ord", "module", "line", "c.rank", "c.table", "c.key")
     hit = ex.join(keyed, ["project_id", "table", "key"], "inner")
     best = (hit.groupBy(*FILE_KEY, "ord")
             .agg(F.min_by("target", "rank").alias("target")))
-    out = imp.join(best, FILE_KEY + ["ord"], "inner")
+    out = imports.join(best, FILE_KEY + ["ord"], "inner")
     out = out.where(P.normpath(F.col("target")) != P.normpath(F.col("file_path")))
     return out.select("project_id", F.col("file_path").alias("source"), "target", "module", "line", "ord")

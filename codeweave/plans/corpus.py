@@ -20,6 +20,7 @@ from ..operators import graphs as G
 from ..operators import resolve as R
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
+from ..sources.store import materialize
 
 _CACHE: dict[tuple, "Corpus"] = {}
 
@@ -41,13 +42,19 @@ class Corpus:
     # ------------------------------------------------------------ sources
     @cached_property
     def all_files(self) -> DataFrame:
-        """Every file of every project tree (sources + config files)."""
-        return FX.corpus_all_files(self.spark, self.sf_dir)
+        """Every file of every project tree (sources + config files), written
+        once like a stored corpus table."""
+        return materialize(FX.corpus_all_files(self.spark, self.sf_dir), "all_files")
+
+    @cached_property
+    def source_tree(self) -> DataFrame:
+        """The generated source files (no config files), stored once."""
+        return materialize(FX.corpus_files(self.spark, self.sf_dir), "source_tree")
 
     @cached_property
     def discovered(self) -> DataFrame:
         """A1/B1/B2: discovered source files."""
-        return FL.discover_source_files(FX.corpus_files(self.spark, self.sf_dir))
+        return FL.discover_source_files(self.source_tree)
 
     @cached_property
     def files(self) -> DataFrame:

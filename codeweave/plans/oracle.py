@@ -93,3 +93,83 @@ BASE = [FX_PATHS, FX_SRC, FX_DEFS, FX_FUNCS, FX_CLASSES, FX_CALLS, FX_IMPORTS, F
 
 def with_fixture(select_sql: str, extra: list[str] | None = None) -> str:
     return "WITH " + ",\n".join(BASE + (extra or [])) + "\n" + select_sql
+
+# dependency-graph CTEs --------------------------------------------------
+# Longest directory prefix shared by all analyzed files of a project
+FX_ROOTS = """fx_prefixes AS (
+  SELECT project_id, array_to_string(string_split(p, '/')[1:j], '/') AS prefix, j
+  FROM (SELECT project_id, min(rel_path) AS p FROM fx_src GROUP BY project_id),
+       unnest(range(0, len(string_split(p, '/')))) AS u(j)),
+fx_roots AS (
+  SELECT project_id, arg_max(prefix, j) AS root FROM (
+    SELECT x.project_id, x.prefix, x.j FROM fx_prefixes x JOIN fx_src s ON s.project_id = x.project_id
+    GROUP BY x.project_id, x.prefix, x.j
+    HAVING bool_and(x.j = 0 OR starts_with(s.rel_path, x.prefix || '/'))) GROUP BY project_id)"""
+
+# E2 keys: tier 0 exact (last file wins), tier 1 suffix / package (first wins)
+FX_MODKEYS = """fx_rel AS (
+  SELECT s.project_id, s.rel_path,
+         regexp_replace(s.rel_path, '\\.[^./]+$', '') AS nosfx,
+         CASE WHEN r.root = '' THEN s.rel_path ELSE substr(s.rel_path, length(r.root) + 2) END AS rel
+  FROM fx_src s JOIN fx_roots r USING (project_id)),
+fx_rel2 AS (
+  SELECT *, regexp_replace(rel, '\\.[^./]+$', '') AS rel_nosfx,
+         string_split(regexp_replace(rel, '\\.[^./]+$', ''), '/') AS parts FROM fx_rel),
+fx_keys AS (
+  SELECT project_id, rel_path, 0 AS tier, replace(nosfx, '/', '.') AS key FROM fx_rel2
+  UNION ALL SELECT project_id, rel_path, 0, array_to_string(parts, '.') FROM fx_rel2
+  UNION ALL SELECT project_id, rel_path, 0, rel_nosfx FROM fx_rel2
+  UNION ALL SELECT project_id, rel_path, 0, rel FROM fx_rel2
+  UNION ALL SELECT project_id, rel_path, 1, array_to_string(parts[i + 1:], '.')
+            FROM fx_rel2, unnest(range(1, len(parts))) AS u(i)
+  UNION ALL SELECT project_id, rel_path, 1, array_to_string(parts[i + 1:], '/')
+            FROM fx_rel2, unnest(range(1, len(parts))) AS u(i)
+  UNION ALL SELECT project_id, rel_path, 1, array_to_string(parts[1:len(parts) - 1], '.')
+            FROM fx_rel2 WHERE parts[len(parts)] = '__init__'),
+fx_modindex AS (
+  SELECT project_id, key, coalesce(max(rel_path) FILTER (WHERE tier = 0),
+                                   min(rel_path) FILTER (WHERE tier = 1)) AS target
+  FROM fx_keys GROUP BY project_id, key),
+fx_known AS (
+  SELECT project_id, key, max(rel_path) AS target FROM (
+    SELECT project_id, rel_path, rel_path AS key FROM fx_src
+    UNION ALL SELECT project_id, rel_path, regexp_replace(rel_path, '\\.[^./]+$', '') FROM fx_src
+    UNION ALL SELECT project_id, rel_path, regexp_extract(rel_path, '^(.*)/[^/]*$', 1) FROM fx_src
+              WHERE regexp_extract(rel_path, '[^/]+$') IN ('__init__.py', 'index.js', 'index.jsx', 'index.ts', 'index.tsx'))
+  GROUP BY project_id, key)"""
+
+# D4-D7 over the generated import forms: '.x' (one dot), './x', '../d/x.js', dotted
+FX_IMPRES = """fx_imp_c AS (
+  SELECT i.*, regexp_extract(i.rel_path, '^(.*)/[^/]*$', 1) AS src_dir FROM fx_imports i),
+fx_js AS (
+  SELECT project_id, rel_path, ord,
+         CASE WHEN module LIKE './%' THEN src_dir || '/' || substr(module, 3)
+              ELSE regexp_extract(src_dir, '^(.*)/[^/]*$', 1) || '/' || substr(module, 4) END AS jsp
+  FROM fx_imp_c WHERE module LIKE './%' OR module LIKE '../%'),
+fx_cands AS (
+  SELECT project_id, rel_path, ord, 1 AS rank, 'k' AS tbl, src_dir || '/' || replace(substr(module, 2), '.', '/') AS key
+    FROM fx_imp_c WHERE module LIKE '.%' AND module NOT LIKE '%/%' AND module NOT LIKE '..%'
+  UNION ALL SELECT project_id, rel_path, ord, 2, 'k', src_dir || '/' || replace(substr(module, 2), '.', '/') || '.py'
+    FROM fx_imp_c WHERE module LIKE '.%' AND module NOT LIKE '%/%' AND module NOT LIKE '..%'
+  UNION ALL SELECT project_id, rel_path, ord, 3, 'k', src_dir || '/' || replace(substr(module, 2), '.', '/') || '/__init__.py'
+    FROM fx_imp_c WHERE module LIKE '.%' AND module NOT LIKE '%/%' AND module NOT LIKE '..%'
+  UNION ALL SELECT project_id, rel_path, ord, 4, 'i', substr(module, 2)
+    FROM fx_imp_c WHERE module LIKE '.%' AND module NOT LIKE '%/%' AND module NOT LIKE '..%'
+  UNION ALL SELECT project_id, rel_path, ord, 1, 'k', jsp FROM fx_js
+  UNION ALL SELECT project_id, rel_path, ord, 2, 'k', regexp_replace(jsp, '([^/.])\\.[^./]+$', '\\1') FROM fx_js
+  UNION ALL SELECT project_id, rel_path, ord, 3, 'k', jsp || '/index' FROM fx_js
+  UNION ALL SELECT project_id, rel_path, ord, 5, 'i', module FROM fx_imp_c
+  UNION ALL SELECT project_id, rel_path, ord, 6, 'i', regexp_replace(module, '\\.[^.]*$', '')
+    FROM fx_imp_c WHERE module LIKE '%.%'),
+fx_keyed AS (
+  SELECT project_id, 'k' AS tbl, key, target FROM fx_known
+  UNION ALL SELECT project_id, 'i', key, target FROM fx_modindex),
+fx_imp_res AS (
+  SELECT i.project_id, i.rel_path AS source, b.target, i.module, i.line, i.ord FROM fx_imports i
+  JOIN (SELECT c.project_id, c.rel_path, c.ord, arg_min(k.target, c.rank) AS target
+        FROM fx_cands c JOIN fx_keyed k ON k.project_id = c.project_id AND k.tbl = c.tbl AND k.key = c.key
+        GROUP BY c.project_id, c.rel_path, c.ord) b
+    ON b.project_id = i.project_id AND b.rel_path = i.rel_path AND b.ord = i.ord
+  WHERE b.target <> i.rel_path)"""
+
+BASE.extend([FX_ROOTS, FX_MODKEYS, FX_IMPRES])

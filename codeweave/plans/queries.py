@@ -118,3 +118,42 @@ SELECT project_id, id, type, label, file_path, CAST(line AS BIGINT) AS line FROM
 WHERE rn = 1"""))
 def e14_call_nodes(spark, sf_dir):
     return corpus(spark, sf_dir).call_nodes
+
+
+@register("e3_project_roots", with_fixture("SELECT project_id, root FROM fx_roots"))
+def e3_project_roots(spark, sf_dir):
+    return corpus(spark, sf_dir).roots
+
+
+@register("e2_module_index", with_fixture("SELECT project_id, key, target FROM fx_modindex"))
+def e2_module_index(spark, sf_dir):
+    from ..operators.resolve import module_key_index
+    c = corpus(spark, sf_dir)
+    return module_key_index(c.files.select("project_id", "file_path"), c.roots)
+
+
+@register("d3_known_files", with_fixture("SELECT project_id, key, target FROM fx_known"))
+def d3_known_files(spark, sf_dir):
+    from ..operators.resolve import known_file_keys
+    return known_file_keys(corpus(spark, sf_dir).files.select("project_id", "file_path"))
+
+
+@register("d7_resolve_imports", with_fixture("""
+SELECT project_id, source, target, module, CAST(line AS BIGINT) AS line FROM fx_imp_res"""))
+def d7_resolve_imports(spark, sf_dir):
+    return corpus(spark, sf_dir).resolved_imports.drop("ord")
+
+
+@register("e17_dependency_edges", with_fixture("""
+SELECT project_id, source, target, 'imports' AS type, CAST(line AS BIGINT) AS line FROM fx_imp_res"""))
+def e17_dependency_edges(spark, sf_dir):
+    return corpus(spark, sf_dir).dep_edges
+
+
+@register("e16_dependency_nodes", with_fixture("""
+SELECT s.project_id, s.rel_path AS id, 'file' AS type,
+       CASE WHEN r.root = '' THEN s.rel_path ELSE substr(s.rel_path, length(r.root) + 2) END AS label,
+       s.rel_path AS file_path
+FROM fx_src s JOIN fx_roots r USING (project_id)"""))
+def e16_dependency_nodes(spark, sf_dir):
+    return corpus(spark, sf_dir).dep_nodes
