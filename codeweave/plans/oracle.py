@@ -173,3 +173,81 @@ fx_imp_res AS (
   WHERE b.target <> i.rel_path)"""
 
 BASE.extend([FX_ROOTS, FX_MODKEYS, FX_IMPRES])
+
+# project tree: generated sources + config files ----------------------------
+FX_TREE = """fx_tree AS (
+  SELECT project_id, rel_path, NULL AS content,
+         CASE ext WHEN 'py' THEN 'Python' WHEN 'js' THEN 'JavaScript' WHEN 'java' THEN 'Java'
+                  WHEN 'ts' THEN 'TypeScript' END AS language
+  FROM fx_paths
+  UNION ALL
+  SELECT project_id, rel_path, content, NULL FROM (
+    SELECT project_id, p, unnest([
+      struct_pack(ok := p % 2 = 0, rel_path := 'README.md', content := 'x'),
+      struct_pack(ok := p % 3 = 0, rel_path := '.gitignore', content := 'x'),
+      struct_pack(ok := p % 5 = 0, rel_path := 'Dockerfile', content := 'x'),
+      struct_pack(ok := p % 4 = 0, rel_path := 'requirements.txt', content := CASE p % 3 WHEN 0 THEN 'FastAPI==1' WHEN 1 THEN 'Django' ELSE 'flask' END),
+      struct_pack(ok := p % 4 = 1, rel_path := 'backend/requirements.txt', content := 'numpy' || chr(10) || 'Flask'),
+      struct_pack(ok := p % 3 = 1, rel_path := 'web/package.json', content := CASE WHEN p % 2 = 0 THEN '{"dependencies":{"react":"1"}}' ELSE '{"devDependencies":{"express":"4","typescript":"5"}}' END),
+      struct_pack(ok := p % 3 = 1 AND p % 4 <> 2, rel_path := 'web/yarn.lock', content := 'x'),
+      struct_pack(ok := p % 7 = 0, rel_path := 'tsconfig.json', content := '{}'),
+      struct_pack(ok := p % 6 = 5, rel_path := 'pom.xml', content := 'x'),
+      struct_pack(ok := p = 3, rel_path := 'go.mod', content := 'x'),
+      struct_pack(ok := p = 2, rel_path := 'a/b/c/package.json', content := '{"dependencies":{"vue":"1"}}')], recursive := true)
+    FROM (SELECT DISTINCT source AS project_id, CAST(substr(source, 4) AS INT) AS p FROM documents))
+  WHERE ok),
+fx_cfg AS (
+  SELECT project_id, rel_path, content, regexp_extract(rel_path, '[^/]+$') AS fname,
+         regexp_extract(rel_path, '^(.*)/[^/]*$', 1) AS dir, rel_path LIKE '%/%' AS nested
+  FROM fx_tree WHERE len(string_split(rel_path, '/')) <= 3
+    AND NOT regexp_matches(rel_path, '(^|/)(\\.|node_modules/|venv/|__pycache__/|dist/|build/)[^/]*/'
+                                      )),
+fx_langdist AS (
+  SELECT project_id, language, count(*) AS files FROM fx_tree
+  WHERE language IS NOT NULL AND rel_path NOT LIKE 'node_modules/%' GROUP BY ALL),
+fx_fw AS (
+  SELECT project_id, arg_max(fw, (kind, nested, rel_path)) AS framework FROM (
+    SELECT project_id, rel_path, nested, 0 AS kind,
+           CASE WHEN lower(content) LIKE '%fastapi%' THEN 'FastAPI' WHEN lower(content) LIKE '%django%' THEN 'Django'
+                WHEN lower(content) LIKE '%flask%' THEN 'Flask' END AS fw
+    FROM fx_cfg WHERE fname = 'requirements.txt'
+    UNION ALL
+    SELECT project_id, rel_path, nested, 1,
+           CASE WHEN content LIKE '%"react"%' THEN 'React' WHEN content LIKE '%"next"%' THEN 'Next.js'
+                WHEN content LIKE '%"express"%' THEN 'Express' WHEN content LIKE '%"vue"%' THEN 'Vue' END
+    FROM fx_cfg WHERE fname = 'package.json')
+  WHERE fw IS NOT NULL GROUP BY project_id),
+fx_pm AS (
+  SELECT project_id, arg_max(pm, (r, nested, rel_path)) AS package_manager FROM (
+    SELECT project_id, rel_path, nested, 0 AS r, 'pip' AS pm FROM fx_cfg WHERE fname = 'requirements.txt'
+    UNION ALL
+    SELECT c.project_id, c.rel_path, c.nested, 2, 'Yarn' FROM fx_cfg c
+      JOIN fx_tree t ON t.project_id = c.project_id AND t.rel_path = CASE WHEN c.dir = '' THEN 'yarn.lock' ELSE c.dir || '/yarn.lock' END
+      WHERE c.fname = 'package.json'
+    UNION ALL
+    SELECT project_id, rel_path, nested, 3, 'go modules' FROM fx_cfg WHERE fname = 'go.mod')
+  GROUP BY project_id),
+fx_info AS (
+  SELECT pr.project_id,
+         CASE WHEN (ts.has_ts OR coalesce(d_ts.files, 0) > 0) AND coalesce(d_ts.files, 0) >= coalesce(d_js.files, 0)
+              THEN 'TypeScript' ELSE dom.language END AS language,
+         coalesce(fw.framework, 'Unknown') AS framework,
+         coalesce(pm.package_manager, 'Unknown') AS package_manager,
+         CASE WHEN bt.has_pom THEN 'Maven' ELSE 'Unknown' END AS build_tool,
+         bt.has_readme, bt.has_docker, bt.has_gitignore
+  FROM (SELECT DISTINCT project_id FROM fx_tree) pr
+  LEFT JOIN (SELECT project_id, arg_max(language, (files, -ascii(language[1]), language)) AS language FROM (
+               SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY files DESC, language) AS rn FROM fx_langdist)
+             WHERE rn = 1 GROUP BY project_id) dom USING (project_id)
+  LEFT JOIN (SELECT project_id, files FROM fx_langdist WHERE language = 'TypeScript') d_ts USING (project_id)
+  LEFT JOIN (SELECT project_id, files FROM fx_langdist WHERE language = 'JavaScript') d_js USING (project_id)
+  LEFT JOIN (SELECT project_id, bool_or(fname = 'tsconfig.json' OR (fname = 'package.json' AND content LIKE '%"typescript"%')) AS has_ts
+             FROM fx_cfg GROUP BY project_id) ts USING (project_id)
+  LEFT JOIN fx_fw fw USING (project_id)
+  LEFT JOIN fx_pm pm USING (project_id)
+  LEFT JOIN (SELECT project_id, bool_or(rel_path = 'pom.xml') AS has_pom, bool_or(rel_path IN ('README.md', 'readme.md')) AS has_readme,
+                    bool_or(rel_path IN ('Dockerfile', 'docker-compose.yml')) AS has_docker,
+                    bool_or(rel_path = '.gitignore') AS has_gitignore
+             FROM fx_tree GROUP BY project_id) bt USING (project_id))"""
+
+BASE.append(FX_TREE)

@@ -157,3 +157,72 @@ SELECT s.project_id, s.rel_path AS id, 'file' AS type,
 FROM fx_src s JOIN fx_roots r USING (project_id)"""))
 def e16_dependency_nodes(spark, sf_dir):
     return corpus(spark, sf_dir).dep_nodes
+
+
+# ------------------------------------------------------------ project metadata
+@register("e5_language_distribution", with_fixture(
+    "SELECT project_id, language, files FROM fx_langdist"))
+def e5_language_distribution(spark, sf_dir):
+    from ..operators.project import language_distribution
+    return language_distribution(corpus(spark, sf_dir).all_files)
+
+
+@register("e10_project_info", with_fixture("""
+SELECT i.project_id, i.language, i.framework, i.package_manager, i.build_tool, i.has_readme, i.has_docker,
+       i.has_gitignore, d.language_distribution
+FROM fx_info i LEFT JOIN (
+  SELECT project_id, string_agg(language || ':' || files, ',' ORDER BY language) AS language_distribution
+  FROM fx_langdist GROUP BY project_id) d USING (project_id)"""))
+def e10_project_info(spark, sf_dir):
+    from ..operators.project import project_info
+    info = project_info(corpus(spark, sf_dir).all_files)
+    dist = F.array_join(F.transform(F.array_sort(F.map_entries("language_distribution")),
+                                    lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return info.withColumn("language_distribution", dist)
+
+
+@register("e11_config_files", with_fixture("""
+SELECT project_id, fname AS name, rel_path FROM fx_cfg
+WHERE fname IN ('requirements.txt', 'package.json', 'tsconfig.json', 'pom.xml', 'go.mod')"""))
+def e11_config_files(spark, sf_dir):
+    from ..operators.project import config_files
+    tree = corpus(spark, sf_dir).all_files
+    out = None
+    for name in ["requirements.txt", "package.json", "tsconfig.json", "pom.xml", "go.mod"]:
+        part = config_files(tree, name).select("project_id", F.lit(name).alias("name"), "rel_path")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("e12_project_totals", with_fixture("""
+SELECT t.project_id, t.total_source_files, coalesce(f.n, 0) AS total_functions, coalesce(c.n, 0) AS total_classes
+FROM (SELECT project_id, count(*) AS total_source_files FROM fx_paths WHERE r <> 9 GROUP BY ALL) t
+LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_funcs GROUP BY ALL) f USING (project_id)
+LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_classes GROUP BY ALL) c USING (project_id)"""))
+def e12_project_totals(spark, sf_dir):
+    from ..operators.project import project_totals
+    c = corpus(spark, sf_dir)
+    return project_totals(c.discovered, c.functions, c.classes)
+
+
+@register("e13_modules", with_fixture("""
+SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY name, first_file) AS pos,
+       name, path, files, file_count FROM (
+  SELECT project_id, regexp_extract(path, '[^/]+$') AS name, path,
+         string_agg(rel_path, ',' ORDER BY rel_path) AS files, min(rel_path) AS first_file, count(*) AS file_count
+  FROM (SELECT project_id, rel_path, regexp_extract(rel_path, '^(.*)/[^/]*$', 1) AS path FROM fx_src)
+  GROUP BY project_id, path)"""))
+def e13_modules(spark, sf_dir):
+    from ..operators.project import detect_modules
+    m = detect_modules(corpus(spark, sf_dir).files)
+    return m.withColumn("files", F.array_join("files", ","))
+
+
+@register("e4_files_by_language", with_fixture("""
+SELECT project_id, CASE ext WHEN 'py' THEN 'Python' WHEN 'js' THEN 'JavaScript' WHEN 'java' THEN 'Java'
+                            ELSE 'TypeScript' END AS language,
+       string_agg(rel_path, ',' ORDER BY rel_path) AS files
+FROM fx_paths WHERE r <> 9 GROUP BY ALL"""))
+def e4_files_by_language(spark, sf_dir):
+    from ..operators.files import files_by_language
+    return files_by_language(corpus(spark, sf_dir).discovered).withColumn("files", F.array_join("files", ","))
