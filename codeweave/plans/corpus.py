@@ -21,6 +21,7 @@ from ..operators import resolve as R
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
 from ..sources.store import materialize
+from ..sources.store import materialize as store_table
 
 _CACHE: dict[tuple, "Corpus"] = {}
 
@@ -107,6 +108,11 @@ class Corpus:
     def dep_edges(self) -> DataFrame:
         return G.dependency_graph_edges(self.resolved_imports)
 
+    @cached_property
+    def chunks(self) -> DataFrame:
+        from ..operators.chunks import code_chunks
+        return store_table(code_chunks(self.files, self.functions, self.classes), "chunks")
+
     @cached_property
     def dep_nodes(self) -> DataFrame:
         return G.dependency_graph_nodes(self.files.select("project_id", "file_path"), self.roots)

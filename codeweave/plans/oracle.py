@@ -251,3 +251,64 @@ fx_info AS (
              FROM fx_tree GROUP BY project_id) bt USING (project_id))"""
 
 BASE.append(FX_TREE)
+
+# generated file content and expected chunks ------------------------------
+FX_CONTENT = """fx_code AS (
+  SELECT project_id, rel_path, language, ext, d, k, n, has_class, array_to_string(
+    (CASE WHEN NOT has_imports THEN ['', '', '', '']
+          WHEN ext = 'py' THEN ['import os', 'from .doc_' || (d + 60) || ' import x',
+                                'from src.m' || ((d + 20) % 3) || '.doc_' || (d + 20) || ' import y', '']
+          WHEN ext = 'java' THEN ['import java.util.List;', 'import src.m' || ((d + 20) % 3) || '.doc_' || (d + 20) || ';',
+                                  'import m' || (d % 3) || '.doc_' || (d + 60) || '.x;', '']
+          ELSE ['import os from "os";', 'import { x } from "./doc_' || (d + 60) || '";',
+                'import { y } from "../m' || ((d + 20) % 3) || '/doc_' || (d + 20) || '.js";', ''] END)
+    || flatten(list_transform(range(1, n + 1), lambda i: CASE
+         WHEN ext = 'py' THEN ['def f_' || ((k + i) % 7) || '_' || i || '(a, b=1):',
+              '    v = f_' || ((3 * k + i) % 9) || '_' || i || '(a)', '    return print(v)', '']
+         WHEN ext = 'java' THEN ['int f_' || ((k + i) % 7) || '_' || i || '(int a, int b) {',
+              '  int v = f_' || ((3 * k + i) % 9) || '_' || i || '(a);', '  return print(v);', '}']
+         ELSE ['function f_' || ((k + i) % 7) || '_' || i || '(a, b) {',
+              '  const v = f_' || ((3 * k + i) % 9) || '_' || i || '(a);', '  return print(v);', '}'] END))
+    || (CASE WHEN NOT has_class THEN []::VARCHAR[]
+          WHEN ext = 'py' THEN ['class C_' || (k % 4) || ':', '    def run(self):', '        return self.f_' || (k % 7) || '_1(0)', '']
+          WHEN ext = 'java' THEN ['class C_' || (k % 4) || ' {', '  int run() {', '    return this.f_' || (k % 7) || '_1(0);', '  }', '}']
+          ELSE ['class C_' || (k % 4) || ' {', '  run() {', '    return this.f_' || (k % 7) || '_1(0);', '  }', '}'] END)
+    || ['f_' || ((k + 1) % 7) || '_1(0)'], chr(10)) AS content
+  FROM fx_src),
+fx_ranges AS (
+  SELECT project_id, rel_path, 'function' AS chunk_type, name, line, end_line FROM fx_funcs
+  UNION ALL SELECT project_id, rel_path, 'class', name, line, end_line FROM fx_classes),
+fx_lines AS (
+  SELECT project_id, rel_path, language, i AS line, string_split(content, chr(10))[i] AS text,
+         len(string_split(content, chr(10))) AS n_lines
+  FROM fx_code, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS u(i)),
+fx_chunks AS (
+  SELECT r.project_id, trim(regexp_replace(r.rel_path, '[^a-zA-Z0-9_\\-]', '_', 'g'), '_') || '_'
+           || CASE r.chunk_type WHEN 'function' THEN 'func' ELSE 'class' END || '_' || r.name || '_' || r.line AS chunk_id,
+         r.chunk_type, r.name, r.rel_path AS file_path, c.language, r.line, r.end_line,
+         array_to_string(string_split(c.content, chr(10))[r.line:r.end_line], chr(10)) AS code,
+         CASE r.chunk_type WHEN 'function' THEN 'Function: ' ELSE 'Class: ' END || r.name || chr(10) || 'File: '
+           || r.rel_path || chr(10) || 'Language: ' || c.language || chr(10) || chr(10) || 'Code:' || chr(10)
+           || array_to_string(string_split(c.content, chr(10))[r.line:r.end_line], chr(10)) AS content
+  FROM fx_ranges r JOIN fx_code c USING (project_id, rel_path)
+  UNION ALL
+  SELECT project_id, trim(regexp_replace(rel_path, '[^a-zA-Z0-9_\\-]', '_', 'g'), '_') || '_file', 'file',
+         regexp_extract(rel_path, '[^/]+$'), rel_path, language, 1, len(string_split(content, chr(10))),
+         trim(content, ' ' || chr(10)),
+         'File: ' || rel_path || chr(10) || 'Language: ' || language || chr(10) || chr(10) || 'Code:' || chr(10)
+           || trim(content, ' ' || chr(10))
+  FROM fx_code c WHERE NOT EXISTS (SELECT 1 FROM fx_ranges r WHERE r.project_id = c.project_id AND r.rel_path = c.rel_path)
+  UNION ALL
+  SELECT project_id, trim(regexp_replace(rel_path, '[^a-zA-Z0-9_\\-]', '_', 'g'), '_') || '_top_level', 'file',
+         regexp_extract(rel_path, '[^/]+$') || ' (top-level)', rel_path, language, 1, max(n_lines),
+         trim(string_agg(text, chr(10) ORDER BY line), ' ' || chr(10)),
+         'File Setup / Top-Level: ' || rel_path || chr(10) || 'Language: ' || language || chr(10) || chr(10)
+           || 'Code:' || chr(10) || trim(string_agg(text, chr(10) ORDER BY line), ' ' || chr(10))
+  FROM fx_lines l
+  WHERE EXISTS (SELECT 1 FROM fx_ranges r WHERE r.project_id = l.project_id AND r.rel_path = l.rel_path)
+    AND NOT EXISTS (SELECT 1 FROM fx_ranges r WHERE r.project_id = l.project_id AND r.rel_path = l.rel_path
+                    AND l.line BETWEEN r.line AND r.end_line)
+  GROUP BY project_id, rel_path, language
+  HAVING count(*) FILTER (WHERE trim(text) <> '') >= 3)"""
+
+BASE.append(FX_CONTENT)

@@ -226,3 +226,37 @@ FROM fx_paths WHERE r <> 9 GROUP BY ALL"""))
 def e4_files_by_language(spark, sf_dir):
     from ..operators.files import files_by_language
     return files_by_language(corpus(spark, sf_dir).discovered).withColumn("files", F.array_join("files", ","))
+
+
+# ------------------------------------------------------------------ chunks
+@register("h1_code_chunks", with_fixture("""
+SELECT project_id, chunk_id, chunk_type, name, file_path, language, CAST(line AS BIGINT) AS line,
+       CAST(end_line AS BIGINT) AS end_line, code, content FROM fx_chunks"""))
+def h1_code_chunks(spark, sf_dir):
+    return corpus(spark, sf_dir).chunks.drop("pos")
+
+
+@register("i9_enriched_documents", with_fixture("""
+SELECT project_id, chunk_id, 'Type: ' || upper(chunk_type[1]) || chunk_type[2:] || chr(10) || 'Name: ' || name
+       || chr(10) || 'File: ' || file_path || chr(10) || 'Language: ' || language || chr(10) || chr(10)
+       || 'Code:' || chr(10) || code AS content
+FROM fx_chunks"""))
+def i9_enriched_documents(spark, sf_dir):
+    from ..operators.chunks import enrich_chunks
+    return enrich_chunks(corpus(spark, sf_dir).chunks).select("project_id", "chunk_id", "content")
+
+
+@register("d8_top_level_lines", with_fixture("""
+SELECT project_id, rel_path AS file_path, CAST(count(*) AS BIGINT) AS top_level_lines,
+       CAST(count(*) FILTER (WHERE trim(text) <> '') AS BIGINT) AS non_blank
+FROM fx_lines l
+WHERE NOT EXISTS (SELECT 1 FROM fx_ranges r WHERE r.project_id = l.project_id AND r.rel_path = l.rel_path
+                  AND l.line BETWEEN r.line AND r.end_line)
+GROUP BY project_id, rel_path"""))
+def d8_top_level_lines(spark, sf_dir):
+    from ..operators.chunks import top_level_lines
+    c = corpus(spark, sf_dir)
+    t = top_level_lines(c.files, c.functions, c.classes)
+    return (t.groupBy("project_id", "file_path")
+            .agg(F.count(F.lit(1)).alias("top_level_lines"),
+                 F.count_if(F.col("text").rlike(r"\S")).alias("non_blank")))
