@@ -113,6 +113,24 @@ class Corpus:
         from ..operators.chunks import code_chunks
         return store_table(code_chunks(self.files, self.functions, self.classes), "chunks")
 
+    @cached_property
+    def enriched_chunks(self) -> DataFrame:
+        from ..operators.chunks import enrich_chunks
+        return enrich_chunks(self.chunks)
+
+    @cached_property
+    def chunk_vectors(self) -> DataFrame:
+        """K1 over the enriched chunk documents (768 dims), stored once."""
+        from ..operators.vectors import embed
+        c = self.enriched_chunks
+        return store_table(embed(c, "content"), "chunk_vectors")
+
+    @cached_property
+    def chunk_records(self) -> DataFrame:
+        """A5 input: flat vector records with store ids."""
+        from ..operators.vectors import vector_records
+        return vector_records(self.chunk_vectors)
+
     @cached_property
     def dep_nodes(self) -> DataFrame:
         return G.dependency_graph_nodes(self.files.select("project_id", "file_path"), self.roots)

@@ -312,3 +312,26 @@ fx_chunks AS (
   HAVING count(*) FILTER (WHERE trim(text) <> '') >= 3)"""
 
 BASE.append(FX_CONTENT)
+
+# vectors ------------------------------------------------------------------
+FX_VEC = """fx_questions AS (
+  SELECT conv_id * 100 + turn AS question_id, 'src' || (conv_id % 20) AS project_id, 1 + (conv_id % 25) AS top_k,
+    CASE (conv_id + turn) % 6 WHEN 0 THEN 'What does this project do?' WHEN 1 THEN 'Explain the architecture of this project.'
+      WHEN 2 THEN 'What does f_' || (conv_id % 7) || '_1() do?' WHEN 3 THEN 'Explain src/m' || (conv_id % 3) || '/doc_' || conv_id || '.py'
+      WHEN 4 THEN 'How are values printed and returned?' ELSE '   ' END AS question
+  FROM conversations WHERE role = 'user'),
+fx_q AS (
+  SELECT question_id, project_id, greatest(1, least(top_k, 20)) AS top_k, trim(question) AS query
+  FROM fx_questions WHERE trim(question) <> ''),
+fx_qtok AS (
+  SELECT question_id, ('0x' || substr(md5(t), 1, 8))::UBIGINT AS h
+  FROM fx_q, unnest(regexp_extract_all(lower(query), '[a-z0-9_]+')) AS u(t)),
+fx_ev AS (
+  SELECT 'src' || label AS project_id, 'c_' || vec_id AS id, embedding FROM embeddings)"""
+BASE.append(FX_VEC)
+
+
+def bucket_vec(dim: int, name: str) -> str:
+    return f"""{name} AS (
+  SELECT question_id, b, c / sqrt(sum(c * c) OVER (PARTITION BY question_id)) AS w FROM (
+    SELECT question_id, (h % {dim})::BIGINT AS b, count(*)::DOUBLE AS c FROM fx_qtok GROUP BY ALL))"""

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .corpus import as_bigint, corpus
-from .oracle import with_fixture
+from .oracle import bucket_vec, with_fixture
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -260,3 +260,155 @@ def d8_top_level_lines(spark, sf_dir):
     return (t.groupBy("project_id", "file_path")
             .agg(F.count(F.lit(1)).alias("top_level_lines"),
                  F.count_if(F.col("text").rlike(r"\S")).alias("non_blank")))
+
+
+# ------------------------------------------------------------------ vectors
+def _question_vectors(spark, sf_dir, dim):
+    from ..operators.vectors import embed, prepare_questions
+    from ..sources.fixtures import fx_questions
+    q = prepare_questions(fx_questions(spark, sf_dir))
+    return embed(q.select("question_id", "project_id", "top_k", "query"), "query", dim=dim,
+                 out_col="qvec")
+
+
+def _embedding_store_rows(spark, sf_dir):
+    from ..session import read_table
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("src"), F.col("label").cast("string")).alias("project_id"),
+                    F.concat(F.lit("c_"), F.col("vec_id").cast("string")).alias("id"), "embedding")
+
+
+@register("k3_dimension_check", """
+SELECT 'c_' || vec_id AS id, CAST(len(embedding) AS BIGINT) AS actual_dim, CAST(64 AS BIGINT) AS expected_dim
+FROM embeddings WHERE coalesce(len(embedding), -1) <> 64""")
+def k3_dimension_check(spark, sf_dir):
+    from ..operators.vectors import dimension_violations
+    return dimension_violations(_embedding_store_rows(spark, sf_dir), 64)
+
+
+@register("k7_search_embeddings", with_fixture("""
+SELECT question_id, CAST(rank AS BIGINT) AS rank, id, score FROM (
+  SELECT question_id, id, score, top_k,
+         row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM (
+    SELECT q.question_id, q.top_k, e.id,
+           round(greatest(0, sum(v.w * e.embedding[v.b + 1])), 4) AS score
+    FROM fx_q q JOIN fx_ev e ON e.project_id = q.project_id
+    JOIN fx_qv64 v ON v.question_id = q.question_id
+    GROUP BY q.question_id, q.top_k, e.id))
+WHERE rank <= top_k""", extra=[bucket_vec(64, "fx_qv64")]))
+def k7_search_embeddings(spark, sf_dir):
+    from ..operators.vectors import search
+    q = _question_vectors(spark, sf_dir, 64)
+    return search(q, _embedding_store_rows(spark, sf_dir), unit_vectors=False)
+
+
+@register("k1_embed_chunks", with_fixture("""
+SELECT project_id, chunk_id, CAST(768 AS BIGINT) AS dim, 1.0 AS norm FROM fx_chunks"""))
+def k1_embed_chunks(spark, sf_dir):
+    v = corpus(spark, sf_dir).chunk_vectors
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return v.select("project_id", F.col("chunk_id"), F.size("embedding").alias("dim"),
+                    F.round(norm, 6).alias("norm"))
+
+
+FX_CHUNK_VEC = """fx_ctok AS (
+  SELECT project_id, chunk_id, ('0x' || substr(md5(t), 1, 8))::UBIGINT % 768 AS b
+  FROM (SELECT project_id, chunk_id, 'Type: ' || upper(chunk_type[1]) || chunk_type[2:] || chr(10) || 'Name: ' || name
+          || chr(10) || 'File: ' || file_path || chr(10) || 'Language: ' || language || chr(10) || chr(10)
+          || 'Code:' || chr(10) || code AS content FROM fx_chunks),
+       unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS u(t)),
+fx_cv AS (
+  SELECT project_id, chunk_id, b, c / sqrt(sum(c * c) OVER (PARTITION BY project_id, chunk_id)) AS w FROM (
+    SELECT project_id, chunk_id, b, count(*)::DOUBLE AS c FROM fx_ctok GROUP BY ALL))"""
+
+
+@register("k7_search_chunks", with_fixture("""
+SELECT question_id, CAST(rank AS BIGINT) AS rank, chunk_id, file_path, chunk_type, name, score FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT q.question_id, q.top_k, c.project_id || '::' || c.chunk_id AS chunk_id, c.file_path, c.chunk_type, c.name,
+           round(greatest(0, coalesce(d.dot, 0)), 4) AS score
+    FROM fx_q q JOIN fx_chunks c ON c.project_id = q.project_id
+    LEFT JOIN (SELECT v.question_id, cv.project_id, cv.chunk_id, sum(v.w * cv.w) AS dot
+               FROM fx_qv768 v JOIN fx_q q2 ON q2.question_id = v.question_id
+               JOIN fx_cv cv ON cv.project_id = q2.project_id AND cv.b = v.b
+               GROUP BY v.question_id, cv.project_id, cv.chunk_id) d
+      ON d.question_id = q.question_id AND d.project_id = c.project_id AND d.chunk_id = c.chunk_id) s)
+WHERE rank <= top_k""", extra=[bucket_vec(768, "fx_qv768"), FX_CHUNK_VEC]))
+def k7_search_chunks(spark, sf_dir):
+    from ..operators.vectors import search, search_results
+    q = _question_vectors(spark, sf_dir, 768)
+    hits = search(q, corpus(spark, sf_dir).chunk_records,
+                  extra_cols=["file_path", "chunk_type", "name", "code", "summary", "line", "end_line"])
+    return search_results(hits).select("question_id", "rank", "chunk_id", "file_path", "chunk_type", "name",
+                                       "score")
+
+
+def _vector_checksum(df):
+    s = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return df.select("project_id", "id", F.round(s, 4).alias("vec_sum"),
+                     F.round(F.element_at("embedding", 1).cast("double"), 4).alias("first"))
+
+
+_STORE_SQL_SUM = "round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4)"
+
+
+def _fresh_store(spark, sf_dir):
+    from ..sources.store import VectorStore, scratch_path
+    rows = _embedding_store_rows(spark, sf_dir)
+    store = VectorStore(spark, scratch_path(rows, "vector-store"))
+    store.upsert(rows)
+    return store, rows
+
+
+@register("a5_upsert_vectors", f"""
+SELECT project_id, id, CASE WHEN embedding[1] > 0 THEN -{_STORE_SQL_SUM} ELSE {_STORE_SQL_SUM} END AS vec_sum,
+       round(CASE WHEN embedding[1] > 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 4) AS first
+FROM fx_ev""".replace("FROM fx_ev", "FROM (SELECT 'src' || label AS project_id, 'c_' || vec_id AS id, embedding FROM embeddings)"))
+def a5_upsert_vectors(spark, sf_dir):
+    store, rows = _fresh_store(spark, sf_dir)
+    batch = rows.where(F.element_at("embedding", 1) > 0).withColumn(
+        "embedding", F.transform("embedding", lambda x: -x))
+    store.upsert(batch)
+    return _vector_checksum(store.read())
+
+
+@register("a6_delete_project", f"""
+SELECT 'src' || label AS project_id, 'c_' || vec_id AS id, {_STORE_SQL_SUM} AS vec_sum,
+       round(embedding[1]::DOUBLE, 4) AS first
+FROM embeddings WHERE 'src' || label <> 'src3'""")
+def a6_delete_project(spark, sf_dir):
+    store, _ = _fresh_store(spark, sf_dir)
+    store.delete_project("src3")
+    return _vector_checksum(store.read())
+
+
+@register("a7_reindex_project", f"""
+SELECT 'src' || label AS project_id, 'c_' || vec_id AS id,
+       CASE WHEN label = 1 THEN -{_STORE_SQL_SUM} ELSE {_STORE_SQL_SUM} END AS vec_sum,
+       round(CASE WHEN label = 1 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 4) AS first
+FROM embeddings""")
+def a7_reindex_project(spark, sf_dir):
+    store, rows = _fresh_store(spark, sf_dir)
+    batch = rows.where(F.col("project_id") == "src1").withColumn(
+        "embedding", F.transform("embedding", lambda x: -x))
+    store.replace_projects(batch)
+    return _vector_checksum(store.read())
+
+
+@register("a8_scan_project", f"""
+SELECT 'src' || label AS project_id, 'c_' || vec_id AS id, {_STORE_SQL_SUM} AS vec_sum,
+       round(embedding[1]::DOUBLE, 4) AS first
+FROM embeddings WHERE label = 2""")
+def a8_scan_project(spark, sf_dir):
+    store, _ = _fresh_store(spark, sf_dir)
+    return _vector_checksum(store.scan(["src2"]))
+
+
+@register("k6_lsh_search", None)
+def k6_lsh_search(spark, sf_dir):
+    from ..operators.vectors import lsh_candidates
+    q = _question_vectors(spark, sf_dir, 64)
+    v = _embedding_store_rows(spark, sf_dir)
+    cand = lsh_candidates(q, v, max_distance=1.2)
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)

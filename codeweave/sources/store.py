@@ -28,3 +28,66 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+# ---------------------------------------------------------------- A5-A8
+class VectorStore:
+    """Chunk vectors as a parquet table partitioned by ``project_id``.
+
+    upsert (A5): old rows whose id is not in the batch, plus the batch;
+    replace_projects (A7): dynamic partition overwrite of the batch's
+    projects, staged and swapped at job commit, so a failed job leaves the
+    previous index; delete_project (A6): drop the project's partition;
+    scan (A8): partition-pruned read of one or more projects.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark = spark
+        self.path = path.rstrip("/")
+
+    def exists(self) -> bool:
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.exists(p)
+
+    def read(self):
+        return self.spark.read.parquet(self.path)
+
+    def scan(self, project_ids: list[str] | None = None):
+        df = self.read()
+        if project_ids is not None:
+            df = df.where(df.project_id.isin(*project_ids))
+        return df
+
+    def _write_dynamic(self, df):
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("project_id").parquet(self.path))
+
+    def replace_projects(self, batch):
+        """Every project present in ``batch`` is replaced by the batch."""
+        self._write_dynamic(batch)
+        return self.read()
+
+    def upsert(self, batch) -> int:
+        """A5: insert or update by id; returns the number of batch rows.
+        Only the partitions of the batch's projects are rewritten."""
+        n = batch.count()
+        if not self.exists():
+            batch.write.mode("overwrite").partitionBy("project_id").parquet(self.path)
+            return n
+        touched = [r[0] for r in batch.select("project_id").distinct().collect()]
+        old = self.scan(touched)
+        merged = old.join(batch.select("id"), "id", "left_anti").unionByName(batch)
+        # the rewrite of a partition reads it first: stage to a side path
+        staged = materialize(merged, "vector-upsert")
+        self._write_dynamic(staged)
+        return n
+
+    def delete_project(self, project_id: str) -> None:
+        """Remove the partition of one project."""
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/project_id={project_id}")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            fs.delete(p, True)
