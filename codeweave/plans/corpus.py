@@ -131,6 +131,69 @@ class Corpus:
         from ..operators.vectors import vector_records
         return vector_records(self.chunk_vectors)
 
+    # ------------------------------------------------------------ roll-up
+    model = "echo"
+
+    @cached_property
+    def function_run(self):
+        from ..operators.rollup import summarize_functions
+        return summarize_functions(self.files, self.functions, self.model)
+
+    @cached_property
+    def function_summaries(self) -> DataFrame:
+        return store_table(self.function_run.summaries, "function_summaries")
+
+    @cached_property
+    def file_context(self) -> DataFrame:
+        from ..operators.rollup import file_context
+        return file_context(self.files, self.function_summaries, self.classes, self.imports)
+
+    @cached_property
+    def file_run(self):
+        from ..operators.rollup import summarize_files
+        return summarize_files(self.file_context, self.model)
+
+    @cached_property
+    def file_summaries(self) -> DataFrame:
+        return store_table(self.file_run.summaries, "file_summaries")
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        from ..operators.project import detect_modules
+        return detect_modules(self.files)
+
+    @cached_property
+    def module_context(self) -> DataFrame:
+        from ..operators.rollup import module_context
+        return module_context(self.modules, self.file_summaries)
+
+    @cached_property
+    def module_run(self):
+        from ..operators.rollup import summarize_modules
+        return summarize_modules(self.module_context, self.model)
+
+    @cached_property
+    def module_summaries(self) -> DataFrame:
+        return store_table(self.module_run.summaries, "module_summaries")
+
+    @cached_property
+    def project_info(self) -> DataFrame:
+        from ..operators.project import project_info
+        return store_table(project_info(self.all_files), "project_info")
+
+    @cached_property
+    def graph_stats(self) -> DataFrame:
+        nodes, edges = G.graphs(self.call_nodes, self.call_edges, self.dep_nodes, self.dep_edges)
+        return store_table(G.graph_stats(nodes, edges), "graph_stats")
+
+    @cached_property
+    def project_summary(self) -> DataFrame:
+        from ..operators.rollup import summarize_projects
+        ms = self.module_summaries.select("project_id", "pos", "name", F.col("file_names").alias("files"),
+                                          "summary")
+        return store_table(summarize_projects(ms, self.project_info, self.graph_stats, self.model),
+                           "project_summary")
+
     @cached_property
     def dep_nodes(self) -> DataFrame:
         return G.dependency_graph_nodes(self.files.select("project_id", "file_path"), self.roots)

@@ -335,3 +335,44 @@ def bucket_vec(dim: int, name: str) -> str:
     return f"""{name} AS (
   SELECT question_id, b, c / sqrt(sum(c * c) OVER (PARTITION BY question_id)) AS w FROM (
     SELECT question_id, (h % {dim})::BIGINT AS b, count(*)::DOUBLE AS c FROM fx_qtok GROUP BY ALL))"""
+
+# roll-up with the echo model -------------------------------------------------
+FX_ROLLUP = """fx_fb AS (
+  SELECT *, (rn - 1) // 10 + 1 AS batch_no, (rn - 1) % 10 + 1 AS pos, CAST(ceil(total / 10) AS BIGINT) AS n_batches,
+         least(10, total - ((rn - 1) // 10) * 10) AS batch_count FROM (
+    SELECT f.*, row_number() OVER (PARTITION BY project_id ORDER BY rel_path, ord) AS rn,
+           count(*) OVER (PARTITION BY project_id) AS total FROM fx_funcs f)),
+fx_fsum AS (
+  SELECT project_id, rel_path, ord, name, line, batch_no, pos,
+         CASE WHEN batch_no % 7 = 0 AND pos = 1 THEN 'revised summary of ' ELSE 'summary of ' END || name AS summary
+  FROM fx_fb WHERE NOT (batch_no % 5 = 0 AND batch_count >= 2)),
+fx_fctx AS (
+  SELECT s.project_id, s.rel_path, s.language,
+         coalesce((SELECT string_agg(name, ',' ORDER BY ord) FROM fx_fsum f WHERE f.project_id = s.project_id AND f.rel_path = s.rel_path), '') AS function_names,
+         CASE WHEN s.has_class THEN 'C_' || (s.k % 4) ELSE '' END AS class_names,
+         CASE WHEN s.has_imports THEN 3 ELSE 0 END AS imports_count,
+         coalesce((SELECT 'Functions:' || chr(10) || string_agg('  - ' || name || ': ' || summary || chr(10), '' ORDER BY ord)
+                   FROM fx_fsum f WHERE f.project_id = s.project_id AND f.rel_path = s.rel_path),
+                  'No functions defined.' || chr(10)) AS function_context,
+         CASE WHEN s.has_class THEN 'Classes: C_' || (s.k % 4) || chr(10) ELSE '' END AS class_context
+  FROM fx_src s),
+fx_flb AS (
+  SELECT *, (rn - 1) // 10 + 1 AS batch_no, (rn - 1) % 10 + 1 AS pos,
+         least(10, total - ((rn - 1) // 10) * 10) AS batch_count FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY project_id ORDER BY rel_path) AS rn,
+           count(*) OVER (PARTITION BY project_id) AS total FROM fx_fctx c)),
+fx_flsum AS (
+  SELECT project_id, rel_path, function_names,
+         CASE WHEN batch_no % 7 = 0 AND pos = 1 THEN 'revised summary of ' ELSE 'summary of ' END || rel_path AS summary
+  FROM fx_flb WHERE NOT (batch_no % 5 = 0 AND batch_count >= 2)),
+fx_mods AS (
+  SELECT project_id, path, regexp_extract(path, '[^/]+$') AS name, count(*) AS file_count,
+         min(rel_path) AS first_file,
+         'Files:' || chr(10) || string_agg('  - ' || regexp_extract(rel_path, '[^/]+$') || ': '
+           || coalesce(summary, 'No summary available.') || chr(10)
+           || CASE WHEN summary IS NOT NULL AND function_names <> '' THEN '    Functions: ' || replace(function_names, ',', ', ') || chr(10) ELSE '' END,
+           '' ORDER BY rel_path) AS file_context
+  FROM (SELECT s.project_id, s.rel_path, regexp_extract(s.rel_path, '^(.*)/[^/]*$', 1) AS path, fs.summary, fs.function_names
+        FROM fx_src s LEFT JOIN fx_flsum fs USING (project_id, rel_path))
+  GROUP BY project_id, path)"""
+BASE.append(FX_ROLLUP)

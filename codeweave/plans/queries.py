@@ -412,3 +412,113 @@ def k6_lsh_search(spark, sf_dir):
     cand = lsh_candidates(q, v, max_distance=1.2)
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
+
+
+# ------------------------------------------------------------------ roll-up
+@register("f1_function_batches", with_fixture("""
+SELECT project_id, rel_path AS file_path, name, CAST(line AS BIGINT) AS line, CAST(batch_no AS BIGINT) AS batch_no,
+       CAST(pos AS BIGINT) AS pos, n_batches, CAST(batch_count AS BIGINT) AS batch_count,
+       CAST(greatest(500, batch_count * 100) AS BIGINT) AS max_tokens
+FROM fx_fb"""))
+def f1_function_batches(spark, sf_dir):
+    from ..operators.rollup import function_items, max_tokens, number_batches
+    c = corpus(spark, sf_dir)
+    nb = number_batches(function_items(c.files, c.functions))
+    return nb.select("project_id", "file_path", "name", "line", "batch_no", "pos", "n_batches", "batch_count",
+                     max_tokens(F.col("batch_count"), 100).alias("max_tokens"))
+
+
+@register("i11_function_summaries", with_fixture("""
+SELECT project_id, rel_path AS file_path, name, CAST(line AS BIGINT) AS line, summary FROM fx_fsum"""))
+def i11_function_summaries(spark, sf_dir):
+    s = corpus(spark, sf_dir).function_summaries
+    return s.select("project_id", "file_path", "name", "line", "summary")
+
+
+@register("i12_missing_positions", with_fixture("""
+SELECT DISTINCT project_id, 'function' AS level, CAST(batch_no AS BIGINT) AS batch_no, CAST(2 AS BIGINT) AS pos
+FROM fx_fb WHERE batch_no % 5 = 0 AND batch_count >= 2"""))
+def i12_missing_positions(spark, sf_dir):
+    return corpus(spark, sf_dir).function_run.errors
+
+
+@register("e20_file_context", with_fixture("""
+SELECT project_id, rel_path AS file_path, language, function_names, class_names, CAST(imports_count AS BIGINT) AS imports_count,
+       function_context, class_context FROM fx_fctx"""))
+def e20_file_context(spark, sf_dir):
+    fc = corpus(spark, sf_dir).file_context
+    return fc.withColumn("function_names", F.array_join("function_names", ",")).withColumn(
+        "class_names", F.array_join("class_names", ","))
+
+
+@register("d12_file_summaries", with_fixture("""
+SELECT project_id, rel_path AS file_path, summary FROM fx_flsum"""))
+def d12_file_summaries(spark, sf_dir):
+    return corpus(spark, sf_dir).file_summaries.select("project_id", "file_path", "summary")
+
+
+@register("e21_module_context", with_fixture("""
+SELECT project_id, name, path, CAST(file_count AS BIGINT) AS file_count, file_context FROM fx_mods"""))
+def e21_module_context(spark, sf_dir):
+    m = corpus(spark, sf_dir).module_context
+    return m.select("project_id", "name", "path", F.size("files").alias("file_count"), "file_context")
+
+
+@register("d13_module_summaries", with_fixture("""
+SELECT project_id, name, path, CASE WHEN batch_no % 7 = 0 AND pos = 1 THEN 'revised summary of ' ELSE 'summary of ' END || name AS summary
+FROM (SELECT *, (rn - 1) // 10 + 1 AS batch_no, (rn - 1) % 10 + 1 AS pos, least(10, total - ((rn - 1) // 10) * 10) AS batch_count FROM (
+        SELECT m.*, row_number() OVER (PARTITION BY project_id ORDER BY name, first_file) AS rn,
+               count(*) OVER (PARTITION BY project_id) AS total FROM fx_mods m))
+WHERE NOT (batch_no % 5 = 0 AND batch_count >= 2)"""))
+def d13_module_summaries(spark, sf_dir):
+    return corpus(spark, sf_dir).module_summaries.select("project_id", "name", "path", "summary")
+
+
+@register("i13_project_summary", with_fixture("""
+SELECT project_id, 'summary of project ' || project_id AS summary,
+       array_to_string(list_filter([language, framework], lambda x: x <> 'Unknown'), ',') AS main_technologies,
+       'graphs,search' AS main_features
+FROM fx_info"""))
+def i13_project_summary(spark, sf_dir):
+    p = corpus(spark, sf_dir).project_summary
+    return p.select("project_id", "summary", F.array_join("main_technologies", ",").alias("main_technologies"),
+                    F.array_join("main_features", ",").alias("main_features"))
+
+
+@register("g5_truncate_documents", """
+SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) > 90
+         THEN array_to_string(string_split(text, chr(10))[1:60], chr(10)) || chr(10) || chr(10)
+              || '... [CODE TRUNCATED] ...' || chr(10) || chr(10)
+              || array_to_string(string_split(text, chr(10))[-30:], chr(10))
+         ELSE text END AS code
+FROM documents""")
+def g5_truncate_documents(spark, sf_dir):
+    from ..functions.text import truncate_code
+    from ..session import read_table
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", truncate_code(F.col("text")).alias("code"))
+
+
+@register("a4_document_lines", """
+SELECT doc_id, CAST(i AS BIGINT) AS line, string_split(text, chr(10))[i] AS text
+FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)""")
+def a4_document_lines(spark, sf_dir):
+    from ..functions.text import split_lines
+    from ..session import read_table
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("p", "text")).select(
+        "doc_id", (F.col("p") + 1).alias("line"), "text")
+
+
+@register("a3_slice_documents", """
+SELECT doc_id, CASE WHEN s >= 1 AND e >= s AND s <= len(string_split(text, chr(10)))
+                    THEN array_to_string(string_split(text, chr(10))[s:e], chr(10)) END AS code
+FROM (SELECT doc_id, text, CAST(doc_id % 7 AS BIGINT) AS s, CAST(doc_id % 7 + doc_id % 11 - 2 AS BIGINT) AS e
+      FROM documents)""")
+def a3_slice_documents(spark, sf_dir):
+    from ..functions.text import slice_lines, split_lines
+    from ..session import read_table
+    d = read_table(spark, sf_dir, "documents")
+    s = (F.col("doc_id") % 7).cast("int")
+    e = (F.col("doc_id") % 7 + F.col("doc_id") % 11 - 2).cast("int")
+    return d.select("doc_id", slice_lines(split_lines(F.col("text")), s, e).alias("code"))
