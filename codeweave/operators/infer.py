@@ -28,6 +28,7 @@ _ITEM = re.compile(r"^### (\d+)\. (\S+)", re.MULTILINE)
 _BATCH = re.compile(r"^Batch (\d+)/(\d+)", re.MULTILINE)
 _META = re.compile(r"^- (Language|Framework): (.+)$", re.MULTILINE)
 _PROJECT = re.compile(r"^Project: (\S+)", re.MULTILINE)
+_QUESTION = re.compile(r"\nQuestion: (.*)\Z", re.DOTALL)
 
 
 class EchoModel:
@@ -38,6 +39,9 @@ class EchoModel:
     def answer(prompt: str) -> str:
         if prompt is None:
             return ""
+        q = _QUESTION.search(prompt)
+        if q:
+            return f"answer to: {q.group(1)}"
         proj = _PROJECT.search(prompt)
         if proj:
             meta = [v.strip() for _, v in _META.findall(prompt) if v.strip() != "Unknown"]

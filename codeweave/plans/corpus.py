@@ -194,6 +194,58 @@ class Corpus:
         return store_table(summarize_projects(ms, self.project_info, self.graph_stats, self.model),
                            "project_summary")
 
+    # ---------------------------------------------------------------- ask
+    @cached_property
+    def questions(self) -> DataFrame:
+        return FX.fx_questions(self.spark, self.sf_dir)
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        from ..operators.ask import classify_rules
+        return store_table(classify_rules(self.questions), "classified")
+
+    @cached_property
+    def search_hits(self) -> DataFrame:
+        """K7 for the SEMANTIC_SEARCH questions of the batch (B9 projection)."""
+        from ..operators.vectors import embed, prepare_questions, search, search_results
+        sem = self.classified.where(F.col("question_type") == "SEMANTIC_SEARCH")
+        q = prepare_questions(sem).select("question_id", "project_id", "top_k", "query")
+        qv = embed(q, "query", out_col="qvec")
+        hits = search(qv, self.chunk_records,
+                      extra_cols=["file_path", "chunk_type", "name", "code", "summary", "line", "end_line"])
+        return store_table(search_results(hits), "search_hits")
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        from ..operators.project import project_totals
+        return project_totals(self.discovered, self.functions, self.classes)
+
+    @cached_property
+    def ask_tables(self):
+        from ..functions import paths as P
+        from ..operators.ask import AskTables
+        dep = self.resolved_imports.select(
+            "project_id", F.col("source").alias("file_path"), "ord",
+            P.normpath("source").alias("source"), P.normpath("target").alias("target"))
+        return AskTables(files=self.files, functions=self.functions, classes=self.classes, imports=self.imports,
+                         modules=self.modules, project_info=self.project_info, totals=self.totals,
+                         dep_edges=dep, call_edges=self.call_edges, search_hits=self.search_hits)
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        from ..operators.ask import retrieve
+        return store_table(retrieve(self.classified, self.ask_tables), "contexts")
+
+    @cached_property
+    def answer_sources(self) -> DataFrame:
+        from ..operators.ask import answer_sources
+        return answer_sources(self.classified, self.ask_tables)
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        from ..operators.ask import answer
+        return store_table(answer(self.contexts, self.model), "answers")
+
     @cached_property
     def dep_nodes(self) -> DataFrame:
         return G.dependency_graph_nodes(self.files.select("project_id", "file_path"), self.roots)

@@ -376,3 +376,37 @@ fx_mods AS (
         FROM fx_src s LEFT JOIN fx_flsum fs USING (project_id, rel_path))
   GROUP BY project_id, path)"""
 BASE.append(FX_ROLLUP)
+
+# ask ------------------------------------------------------------------------
+FX_ASK = """fx_cls AS (
+  SELECT conv_id * 100 + turn AS question_id, 'src' || (conv_id % 20) AS project_id,
+         greatest(1, least(1 + (conv_id % 25), 20)) AS top_k, (conv_id + turn) % 6 AS kind,
+         CASE (conv_id + turn) % 6 WHEN 0 THEN 'PROJECT_OVERVIEW' WHEN 1 THEN 'ARCHITECTURE' WHEN 2 THEN 'FUNCTION'
+              WHEN 3 THEN 'FILE' WHEN 4 THEN 'SEMANTIC_SEARCH' END AS question_type,
+         CASE (conv_id + turn) % 6 WHEN 2 THEN 'f_' || (conv_id % 7) || '_1'
+              WHEN 3 THEN 'src/m' || (conv_id % 3) || '/doc_' || conv_id || '.py' END AS target_name,
+         CASE WHEN (conv_id + turn) % 6 = 5 THEN 'Question must not be empty.' END AS error,
+         CASE (conv_id + turn) % 6 WHEN 0 THEN 'What does this project do?' WHEN 1 THEN 'Explain the architecture of this project.'
+           WHEN 2 THEN 'What does f_' || (conv_id % 7) || '_1() do?' WHEN 3 THEN 'Explain src/m' || (conv_id % 3) || '/doc_' || conv_id || '.py'
+           WHEN 4 THEN 'How are values printed and returned?' ELSE '   ' END AS question
+  FROM conversations WHERE role = 'user'),
+fx_fnmatch AS (
+  SELECT c.question_id, f.rel_path, f.ord, f.name, f.line, f.end_line
+  FROM fx_cls c JOIN fx_funcs f ON f.project_id = c.project_id AND lower(f.name) = lower(c.target_name)
+  WHERE c.question_type = 'FUNCTION'),
+fx_filematch AS (
+  SELECT c.question_id, min(s.rel_path) AS rel_path
+  FROM fx_cls c JOIN fx_src s ON s.project_id = c.project_id
+   AND (lower(s.rel_path) = lower(c.target_name) OR lower(regexp_extract(s.rel_path, '[^/]+$')) = lower(regexp_extract(c.target_name, '[^/]+$')))
+  WHERE c.question_type = 'FILE' GROUP BY c.question_id),
+fx_keydeps AS (
+  SELECT * FROM (SELECT project_id, source, target, row_number() OVER (PARTITION BY project_id ORDER BY source, ord) AS rn
+                 FROM fx_imp_res) WHERE rn <= 15),
+fx_found AS (
+  SELECT c.question_id,
+         CASE c.question_type WHEN 'FUNCTION' THEN EXISTS (SELECT 1 FROM fx_fnmatch m WHERE m.question_id = c.question_id)
+              WHEN 'FILE' THEN EXISTS (SELECT 1 FROM fx_filematch m WHERE m.question_id = c.question_id)
+              WHEN 'SEMANTIC_SEARCH' THEN EXISTS (SELECT 1 FROM fx_chunks k WHERE k.project_id = c.project_id)
+              WHEN 'ARCHITECTURE' THEN true WHEN 'PROJECT_OVERVIEW' THEN true ELSE false END AS found
+  FROM fx_cls c)"""
+BASE.append(FX_ASK)

@@ -522,3 +522,110 @@ def a3_slice_documents(spark, sf_dir):
     s = (F.col("doc_id") % 7).cast("int")
     e = (F.col("doc_id") % 7 + F.col("doc_id") % 11 - 2).cast("int")
     return d.select("doc_id", slice_lines(split_lines(F.col("text")), s, e).alias("code"))
+
+
+# ---------------------------------------------------------------------- ask
+@register("l1_classify", with_fixture("""
+SELECT question_id, project_id, question_type, target_name, error FROM fx_cls"""))
+def l1_classify(spark, sf_dir):
+    return corpus(spark, sf_dir).classified.select("question_id", "project_id", "question_type", "target_name",
+                                                    "error")
+
+
+@register("l2_route", with_fixture("""
+SELECT c.question_id, CASE c.question_type WHEN 'FUNCTION' THEN 'function' WHEN 'FILE' THEN 'file'
+         WHEN 'ARCHITECTURE' THEN 'architecture' WHEN 'PROJECT_OVERVIEW' THEN 'project_overview'
+         WHEN 'SEMANTIC_SEARCH' THEN 'semantic_search' ELSE 'none' END AS strategy, f.found
+FROM fx_cls c JOIN fx_found f USING (question_id)"""))
+def l2_route(spark, sf_dir):
+    return corpus(spark, sf_dir).contexts.select("question_id", "strategy", "found")
+
+
+@register("b10_function_matches", with_fixture("""
+SELECT question_id, rel_path AS file_path, name, CAST(line AS BIGINT) AS line, CAST(end_line AS BIGINT) AS end_line
+FROM fx_fnmatch"""))
+def b10_function_matches(spark, sf_dir):
+    from ..operators.ask import function_matches
+    c = corpus(spark, sf_dir)
+    m = function_matches(c.classified, c.ask_tables)
+    return m.select("question_id", F.col("rel_path").alias("file_path"), "name", "line", "end_line")
+
+
+@register("b11_file_match", with_fixture("SELECT question_id, rel_path AS file_path FROM fx_filematch"))
+def b11_file_match(spark, sf_dir):
+    from ..operators.ask import file_match
+    c = corpus(spark, sf_dir)
+    return file_match(c.classified, c.ask_tables).select("question_id", F.col("rel_path").alias("file_path"))
+
+
+@register("g3_key_dependencies", with_fixture("""
+SELECT project_id, CAST(rn AS BIGINT) AS rn, source, target FROM fx_keydeps"""))
+def g3_key_dependencies(spark, sf_dir):
+    from ..operators.ask import key_dependencies
+    kd = key_dependencies(corpus(spark, sf_dir).ask_tables)
+    return kd.select("project_id", "rn", "source", "target")
+
+
+@register("l12_answer_sources", with_fixture("""
+SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY o1, o2) AS BIGINT) AS pos,
+       file_path, name, chunk_type, CAST(line AS BIGINT) AS line, CAST(end_line AS BIGINT) AS end_line FROM (
+  SELECT question_id, rel_path AS o1, ord AS o2, rel_path AS file_path, name, 'function' AS chunk_type, line, end_line
+  FROM fx_fnmatch
+  UNION ALL
+  SELECT question_id, rel_path, 0, rel_path, regexp_extract(rel_path, '[^/]+$'), 'file', 1, NULL FROM fx_filematch
+  UNION ALL
+  SELECT c.question_id, '', e.first, e.p, regexp_extract(e.p, '[^/]+$'), 'file', NULL, NULL
+  FROM fx_cls c JOIN (SELECT project_id, p, min(rn * 2 + side) AS first FROM (
+                        SELECT project_id, rn, 0 AS side, source AS p FROM fx_keydeps
+                        UNION ALL SELECT project_id, rn, 1, target FROM fx_keydeps) GROUP BY project_id, p) e
+    ON e.project_id = c.project_id
+  WHERE c.question_type = 'ARCHITECTURE'
+  UNION ALL
+  SELECT c.question_id, '', m.pos, m.path, m.name, 'module', NULL, NULL
+  FROM fx_cls c JOIN (SELECT project_id, path, name,
+                             row_number() OVER (PARTITION BY project_id ORDER BY name, first_file) AS pos FROM fx_mods) m
+    ON m.project_id = c.project_id
+  WHERE c.question_type = 'PROJECT_OVERVIEW'
+  UNION ALL
+  SELECT k.question_id, '', k.rank, c.file_path, c.name, c.chunk_type, nullif(c.line, 0), nullif(c.end_line, 0)
+  FROM fx_k7 k JOIN fx_chunks c ON c.project_id || '::' || c.chunk_id = k.chunk_id
+  JOIN fx_cls q ON q.question_id = k.question_id WHERE q.question_type = 'SEMANTIC_SEARCH')""",
+    extra=[bucket_vec(768, "fx_qv768"), FX_CHUNK_VEC, """fx_k7 AS (
+  SELECT * FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
+      SELECT q.question_id, q.top_k, c.project_id || '::' || c.chunk_id AS chunk_id,
+             round(greatest(0, coalesce(d.dot, 0)), 4) AS score
+      FROM fx_q q JOIN fx_chunks c ON c.project_id = q.project_id
+      LEFT JOIN (SELECT v.question_id, cv.project_id, cv.chunk_id, sum(v.w * cv.w) AS dot
+                 FROM fx_qv768 v JOIN fx_q q2 ON q2.question_id = v.question_id
+                 JOIN fx_cv cv ON cv.project_id = q2.project_id AND cv.b = v.b
+                 GROUP BY v.question_id, cv.project_id, cv.chunk_id) d
+        ON d.question_id = q.question_id AND d.project_id = c.project_id AND d.chunk_id = c.chunk_id) s)
+  WHERE rank <= top_k)"""]))
+def l12_answer_sources(spark, sf_dir):
+    return corpus(spark, sf_dir).answer_sources
+
+
+@register("l14_answers", with_fixture("""
+SELECT c.question_id, NOT (c.error IS NULL AND f.found) AS insufficient,
+       CASE WHEN c.error IS NOT NULL THEN 'Based on the available repository context, I cannot answer: ' || c.error
+            WHEN NOT f.found AND c.question_type = 'FUNCTION' THEN 'Based on the available repository context, there is not enough information: function ''' || c.target_name || ''' was not found.'
+            WHEN NOT f.found AND c.question_type = 'FILE' THEN 'Based on the available repository context, there is not enough information: file ''' || c.target_name || ''' was not found.'
+            WHEN NOT f.found THEN 'Based on the available repository context, there is not enough information: no matching code was found.'
+            ELSE 'answer to: ' || trim(c.question) END AS answer
+FROM fx_cls c JOIN fx_found f USING (question_id)"""))
+def l14_answers(spark, sf_dir):
+    return corpus(spark, sf_dir).answers.select("question_id", "insufficient", "answer")
+
+
+@register("l4_architecture_counts", with_fixture("""
+SELECT c.question_id, coalesce(d.n, 0) AS total_dependencies, coalesce(k.n, 0) AS total_function_calls
+FROM fx_cls c
+LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_imp_res GROUP BY ALL) d USING (project_id)
+LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_resolved GROUP BY ALL) k USING (project_id)
+WHERE c.question_type = 'ARCHITECTURE'"""))
+def l4_architecture_counts(spark, sf_dir):
+    ctx = corpus(spark, sf_dir).contexts.where(F.col("strategy") == "architecture")
+    dep = F.regexp_extract("context", r"Import relationships: (\d+)", 1).cast("bigint")
+    calls = F.regexp_extract("context", r"Function calls: (\d+)", 1).cast("bigint")
+    return ctx.select("question_id", dep.alias("total_dependencies"), calls.alias("total_function_calls"))
