@@ -68,7 +68,7 @@ GITHUB_URL_PATTERN = r"^https://github\.com/[\w.-]+/[\w.-]+/?$"
 
 def url_owner(url) -> Column:
     """I4: owner = second to last path part of the URL."""
-    return F.element_at(F.split(F.regexp_replace(_c(url), "/+$", ""), "/"), -2)
+    return F.try_element_at(F.split(F.regexp_replace(_c(url), "/+$", ""), "/"), F.lit(-2))
 
 
 def url_repo_name(url) -> Column:

@@ -300,7 +300,7 @@ def _imports(lf: DataFrame) -> DataFrame:
     py_names = F.split(F.regexp_extract(t, r"^\s*import\s+([^#;]*)", 1), ",")
     py_plain = F.filter(F.transform(py_names, lambda x: py_strip(x)),
                         lambda x: x.rlike(r"^[A-Za-z_][\w.]*$"))
-    py_mod = F.when(py_from != "", py_from).otherwise(F.element_at(py_plain, 1))
+    py_mod = F.when(py_from != "", py_from).otherwise(F.try_element_at(py_plain, F.lit(1)))
     is_py_imp = t.rlike(r"^\s*(?:from\s+\S+\s+import\b|import\s)")
     js_src = F.regexp_extract(t, r"^\s*import\b(?:.*?\bfrom\s*)?\s*([\"'])(.*?)\1", 2)
     is_js_imp = t.rlike(r"^\s*import[\s{*\"']")

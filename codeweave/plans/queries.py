@@ -346,7 +346,7 @@ def k7_search_chunks(spark, sf_dir):
 def _vector_checksum(df):
     s = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return df.select("project_id", "id", F.round(s, 4).alias("vec_sum"),
-                     F.round(F.element_at("embedding", 1).cast("double"), 4).alias("first"))
+                     F.round(F.try_element_at("embedding", F.lit(1)).cast("double"), 4).alias("first"))
 
 
 _STORE_SQL_SUM = "round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4)"
@@ -366,7 +366,7 @@ SELECT project_id, id, CASE WHEN embedding[1] > 0 THEN -{_STORE_SQL_SUM} ELSE {_
 FROM fx_ev""".replace("FROM fx_ev", "FROM (SELECT 'src' || label AS project_id, 'c_' || vec_id AS id, embedding FROM embeddings)"))
 def a5_upsert_vectors(spark, sf_dir):
     store, rows = _fresh_store(spark, sf_dir)
-    batch = rows.where(F.element_at("embedding", 1) > 0).withColumn(
+    batch = rows.where(F.try_element_at("embedding", F.lit(1)) > 0).withColumn(
         "embedding", F.transform("embedding", lambda x: -x))
     store.upsert(batch)
     return _vector_checksum(store.read())
