@@ -75,3 +75,20 @@ def url_repo_name(url) -> Column:
     """I4: repository name = last path part with '.git' removed anywhere."""
     last = F.element_at(F.split(F.regexp_replace(_c(url), "/+$", ""), "/"), -1)
     return F.replace(last, F.lit(".git"), F.lit(""))
+
+
+# FIXED VALUES: repository URL messages
+URL_EMPTY_MESSAGE = "Repository URL cannot be empty."
+URL_INVALID_MESSAGE = "Invalid GitHub repository URL."
+
+
+def validate_repo_url(url) -> tuple[Column, Column]:
+    """(valid, message) for a repository URL (stripped first)."""
+    u = _c(url)
+    s = py_strip(u)
+    ok = F.coalesce(s.rlike("(?U)" + GITHUB_URL_PATTERN), F.lit(False))
+    empty = u.isNull() | (u == "")
+    valid = ~empty & ok
+    msg = (F.when(empty, F.lit(URL_EMPTY_MESSAGE)).when(~ok, F.lit(URL_INVALID_MESSAGE))
+           .otherwise(F.lit("")))
+    return valid, msg

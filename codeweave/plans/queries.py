@@ -629,3 +629,92 @@ def l4_architecture_counts(spark, sf_dir):
     dep = F.regexp_extract("context", r"Import relationships: (\d+)", 1).cast("bigint")
     calls = F.regexp_extract("context", r"Function calls: (\d+)", 1).cast("bigint")
     return ctx.select("question_id", dep.alias("total_dependencies"), calls.alias("total_function_calls"))
+
+
+# ------------------------------------------------------------- more inventory
+@register("c7_analysis_records", with_fixture("""
+SELECT s.project_id, s.rel_path AS file_path, s.language,
+       coalesce(f.n, 0) AS n_functions, coalesce(c.n, 0) AS n_classes,
+       coalesce(i.n, 0) AS n_imports, coalesce(k.n, 0) AS n_calls,
+       coalesce(f.names, '') AS function_names
+FROM fx_src s
+LEFT JOIN (SELECT project_id, rel_path, count(*) AS n, string_agg(name, ',' ORDER BY ord) AS names
+           FROM fx_funcs GROUP BY ALL) f USING (project_id, rel_path)
+LEFT JOIN (SELECT project_id, rel_path, count(*) AS n FROM fx_classes GROUP BY ALL) c USING (project_id, rel_path)
+LEFT JOIN (SELECT project_id, rel_path, count(*) AS n FROM fx_imports GROUP BY ALL) i USING (project_id, rel_path)
+LEFT JOIN (SELECT project_id, rel_path, count(*) AS n FROM fx_calls GROUP BY ALL) k USING (project_id, rel_path)"""))
+def c7_analysis_records(spark, sf_dir):
+    from ..operators.entities import analysis_records
+    c = corpus(spark, sf_dir)
+    r = analysis_records(c.files, c.entities)
+    return r.select("project_id", "file_path", "language", F.size("functions").alias("n_functions"),
+                    F.size("classes").alias("n_classes"), F.size("imports").alias("n_imports"),
+                    F.size("calls").alias("n_calls"),
+                    F.array_join(F.transform("functions", lambda x: x["name"]), ",").alias("function_names"))
+
+
+@register("e19_graph_stats", with_fixture("""
+SELECT project_id, 'function_calls' AS graph, n.n AS node_count, e.n AS edge_count
+FROM (SELECT project_id, count(*) AS n FROM (
+        SELECT DISTINCT project_id, id FROM (
+          SELECT project_id, rel_path || '::' || name AS id FROM fx_funcs
+          UNION ALL SELECT project_id, caller_file || '::' || caller_name FROM fx_resolved
+          UNION ALL SELECT project_id, callee_file || '::' || callee_name FROM fx_resolved)) GROUP BY ALL) n
+JOIN (SELECT project_id, count(*) AS n FROM fx_resolved GROUP BY ALL) e USING (project_id)
+UNION ALL
+SELECT s.project_id, 'dependencies', s.n, coalesce(d.n, 0)
+FROM (SELECT project_id, count(*) AS n FROM fx_src GROUP BY ALL) s
+LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_imp_res GROUP BY ALL) d USING (project_id)"""))
+def e19_graph_stats(spark, sf_dir):
+    return corpus(spark, sf_dir).graph_stats
+
+
+@register("e18_graph_nodes", with_fixture("""
+SELECT project_id, 'dependencies' AS graph, rel_path AS id, 'file' AS type FROM fx_src
+UNION ALL
+SELECT project_id, 'function_calls', id, type FROM (
+  SELECT project_id, id, type, row_number() OVER (PARTITION BY project_id, id ORDER BY tier, f, o, side) AS rn FROM (
+    SELECT project_id, rel_path || '::' || name AS id, 'function' AS type, 0 AS tier, '' AS f, 0 AS o, 0 AS side FROM fx_funcs
+    UNION ALL SELECT project_id, caller_file || '::' || caller_name, 'function', 1, rel_path, ord, 0 FROM fx_resolved
+    UNION ALL SELECT project_id, callee_file || '::' || callee_name,
+                     CASE WHEN callee_file = 'external' THEN 'external' ELSE 'function' END, 1, rel_path, ord, 1
+              FROM fx_resolved)) WHERE rn = 1"""))
+def e18_graph_nodes(spark, sf_dir):
+    from ..operators.graphs import graphs
+    c = corpus(spark, sf_dir)
+    nodes, _ = graphs(c.call_nodes, c.call_edges, c.dep_nodes, c.dep_edges)
+    return nodes.select("project_id", "graph", "id", "type")
+
+
+@register("b12_validate_urls", """
+SELECT page_id, url,
+       url IS NOT NULL AND url <> '' AND regexp_matches(trim(url), '^https://github\\.com/[\\w.-]+/[\\w.-]+/?$') AS valid,
+       CASE WHEN url IS NULL OR url = '' THEN 'Repository URL cannot be empty.'
+            WHEN NOT regexp_matches(trim(url), '^https://github\\.com/[\\w.-]+/[\\w.-]+/?$') THEN 'Invalid GitHub repository URL.'
+            ELSE '' END AS message,
+       string_split(regexp_replace(url, '/+$', ''), '/')[-2] AS owner,
+       replace(string_split(regexp_replace(url, '/+$', ''), '/')[-1], '.git', '') AS repository
+FROM pages""")
+def b12_validate_urls(spark, sf_dir):
+    from ..functions.text import url_owner, url_repo_name, validate_repo_url
+    from ..session import read_table
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    valid, msg = validate_repo_url(F.col("url"))
+    return p.select("page_id", "url", valid.alias("valid"), msg.alias("message"),
+                    url_owner(F.col("url")).alias("owner"), url_repo_name(F.col("url")).alias("repository"))
+
+
+@register("b3_file_inventory", with_fixture("""
+SELECT project_id, rel_path, '.' || regexp_extract(rel_path, '\\.([^./]+)$', 1) AS ext,
+       CASE regexp_extract(rel_path, '\\.([^./]+)$', 1) WHEN 'py' THEN 'Python' WHEN 'js' THEN 'JavaScript'
+            WHEN 'java' THEN 'Java' WHEN 'ts' THEN 'TypeScript' END AS language,
+       rel_path NOT LIKE 'node_modules/%' AS discovered,
+       rel_path NOT LIKE 'node_modules/%' AND regexp_extract(rel_path, '\\.([^./]+)$', 1) IN ('py', 'js', 'java') AS analyzed
+FROM fx_paths"""))
+def b3_file_inventory(spark, sf_dir):
+    from ..functions.constants import ANALYZABLE_LANGUAGES, SUPPORTED_EXTENSIONS
+    from ..operators.files import has_ignored_part
+    t = corpus(spark, sf_dir).source_tree
+    disc = ~has_ignored_part(F.col("rel_path")) & F.col("ext").isin(*SUPPORTED_EXTENSIONS)
+    return t.select("project_id", "rel_path", "ext", "language", disc.alias("discovered"),
+                    (disc & F.col("language").isin(*ANALYZABLE_LANGUAGES)).alias("analyzed"))
