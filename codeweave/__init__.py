@@ -1,0 +1 @@
+"""codeweave: code-corpus analytics as Spark DataFrame operators."""

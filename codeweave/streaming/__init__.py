@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysed system has no stream, watermark, event-time window or state, so
+no streaming operator is built here.  Re-indexing a project is a dynamic
+partition overwrite (``sources.store.VectorStore.replace_projects``); a
+``foreachBatch`` sink may call it for incremental updates.
+"""
