@@ -39,8 +39,13 @@ def file_line_arrays(files: DataFrame) -> DataFrame:
     return files.select(*FILE_KEY, split_lines(F.col("content")).alias("lines"))
 
 
-def _count(col, chars_class: str):
-    return F.length(col) - F.length(F.regexp_replace(col, chars_class, ""))
+def _count(col, chars: str):
+    """Occurrences of the given characters in a string (plain replaces, no regex)."""
+    total = None
+    for ch in chars:
+        n = F.length(col) - F.length(F.replace(col, F.lit(ch), F.lit("")))
+        total = n if total is None else total + n
+    return total
 
 
 # FIXED VALUES (own patterns): string literals and comments per language family
@@ -70,9 +75,11 @@ def line_features(lines: DataFrame) -> DataFrame:
 
     # C block comments: running count of '/*' minus '*/' (strings removed first)
     nostr_c = F.regexp_replace(F.col("_t"), _STR_LIT, '""')
-    df = df.withColumn("_bc", F.when(is_py, F.lit(0)).otherwise(
-        _count(F.regexp_replace(nostr_c, r"/\*", "\u0002"), "\u0002")
-        - _count(F.regexp_replace(nostr_c, r"\*/", "\u0003"), "\u0003")))
+    df = df.withColumn("_nostr", nostr_c)
+    opens_c = (F.length("_nostr") - F.length(F.replace(F.col("_nostr"), F.lit("/*"), F.lit("")))) / 2
+    closes_c = (F.length("_nostr") - F.length(F.replace(F.col("_nostr"), F.lit("*/"), F.lit("")))) / 2
+    df = df.withColumn("_bc", F.when(is_py | ~F.col("_nostr").contains("*"), F.lit(0))
+                       .otherwise((opens_c - closes_c).cast("int")))
     df = df.withColumn("in_comment", F.coalesce(F.sum("_bc").over(w_prev), F.lit(0)) > 0)
 
     # code: cut the part of the line that is inside a string/comment, then
@@ -95,22 +102,22 @@ def line_features(lines: DataFrame) -> DataFrame:
     df = df.withColumn("is_content", ~raw_blank & ~comment_only)
 
     # brace depth (C family) and bracket depth (all)
-    opens = _count(F.col("code"), r"[{]")
-    closes = _count(F.col("code"), r"[}]")
-    lead = _count(F.regexp_extract(F.col("code"), r"^[^{]*", 0), r"[}]")
+    opens = _count(F.col("code"), "{")
+    closes = _count(F.col("code"), "}")
+    lead = _count(F.substring_index(F.col("code"), "{", 1), "}")
     df = (df.withColumn("_d", opens - closes).withColumn("_lead", lead)
           .withColumn("has_open_brace", opens > 0))
     df = df.withColumn("depth_before", F.coalesce(F.sum("_d").over(w_prev), F.lit(0)).cast("int"))
     df = df.withColumn("depth_after", (F.col("depth_before") + F.col("_d")).cast("int"))
     df = df.withColumn("depth_min", F.least(F.col("depth_after"),
                                             F.col("depth_before") - F.col("_lead")).cast("int"))
-    pd = _count(F.col("code"), r"[(\[{]") - _count(F.col("code"), r"[)\]}]")
-    pd = F.when(is_py, pd).otherwise(_count(F.col("code"), r"[(]") - _count(F.col("code"), r"[)]"))
+    pd = _count(F.col("code"), "([{") - _count(F.col("code"), ")]}")
+    pd = F.when(is_py, pd).otherwise(_count(F.col("code"), "(") - _count(F.col("code"), ")"))
     df = df.withColumn("_pd", pd)
     df = df.withColumn("paren_before", F.coalesce(F.sum("_pd").over(w_prev), F.lit(0)).cast("int"))
     df = df.withColumn("paren_after", (F.col("paren_before") + F.col("_pd")).cast("int"))
     df = df.withColumn("indent", F.length(F.regexp_extract("text", r"^[ \t]*", 0)))
-    return df.drop("_t", "_tq", "_tq_before", "_bc", "_d", "_lead", "_pd")
+    return df.drop("_t", "_tq", "_tq_before", "_bc", "_nostr", "_d", "_lead", "_pd")
 
 
 def next_close(opens: DataFrame, closes: DataFrame, level_col: str = "level",
