@@ -23,10 +23,15 @@ FILE_KEY = ["project_id", "file_path"]
 
 # --------------------------------------------------------------------- E1
 def function_index(functions: DataFrame) -> DataFrame:
-    """Name -> ordered definitions (nested view, for inspection)."""
+    """Name -> its definitions, reduced to bounded facts per key (count,
+    first and last definition in (file, pre-order) order).  The definitions
+    themselves stay rows of ``functions``: a hot name is never collected into
+    one array."""
+    o = F.struct("file_path", "ord")
+    d = F.struct("file_path", "line", "language")
     return (functions.groupBy("project_id", "name")
-            .agg(F.array_sort(F.collect_list(F.struct("file_path", "ord", "language", "line")))
-                 .alias("definitions")))
+            .agg(F.count(F.lit(1)).alias("n_definitions"),
+                 F.min_by(d, o).alias("first"), F.max_by(d, o).alias("last")))
 
 
 def first_definition_in_project(functions: DataFrame) -> DataFrame:

@@ -35,8 +35,9 @@ from ..functions.text import py_strip
 
 _TOKEN = re.compile(r"[a-z0-9_]+")
 
-# question batches up to this many rows are broadcast to the chunk scan
-BROADCAST_QUESTION_LIMIT = 200_000
+# question batches are broadcast to the chunk scan only up to this many bytes
+# of query vectors (rows x dimensions x 8); beyond it the shuffle join runs
+BROADCAST_QUESTION_BYTES = 128 * 1024 * 1024
 
 
 class HashedTokenEmbedder:
@@ -238,12 +239,12 @@ def search(questions: DataFrame, vectors: DataFrame, qvec_col: str = "qvec",
     id, embedding, ...).  Returns question_id, rank, id, score (+ extra).
 
     method 'blocks' (default while the question batch is within
-    BROADCAST_QUESTION_LIMIT): vectorised scoring per partition with local
+    BROADCAST_QUESTION_BYTES): vectorised scoring per partition with local
     top-k; 'join': broadcast/shuffle join with a built-in dot product."""
     extra_cols = extra_cols or []
     q = questions.select("question_id", "project_id", "top_k", qvec_col)
-    n_q = q.count()
-    small = n_q <= BROADCAST_QUESTION_LIMIT
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).collect()[0]
+    small = (size["n"] or 0) * max(size["dim"] or 0, 1) * 8 <= BROADCAST_QUESTION_BYTES
     if method == "blocks" or (method == "auto" and small):
         scored = _score_blocks(q, vectors, qvec_col, vec_col, id_col, extra_cols, unit_vectors)
     else:

@@ -92,14 +92,15 @@ def e15_call_edges(spark, sf_dir):
 
 @register("e1_function_index", with_fixture("""
 SELECT project_id, name, count(*) AS n_definitions,
-       string_agg(rel_path || ':' || line, ',' ORDER BY rel_path, ord) AS definitions
+       arg_min(rel_path, (rel_path, ord)) AS first_file, arg_min(line, (rel_path, ord)) AS first_line,
+       arg_max(rel_path, (rel_path, ord)) AS last_file, arg_max(line, (rel_path, ord)) AS last_line
 FROM fx_funcs GROUP BY project_id, name"""))
 def e1_function_index(spark, sf_dir):
     from ..operators.resolve import function_index
     idx = function_index(corpus(spark, sf_dir).functions)
-    return idx.select("project_id", "name", F.size("definitions").alias("n_definitions"),
-                      F.array_join(F.transform("definitions", lambda d: F.concat_ws(
-                          ":", d["file_path"], d["line"].cast("string"))), ",").alias("definitions"))
+    return idx.select("project_id", "name", "n_definitions",
+                      F.col("first.file_path").alias("first_file"), F.col("first.line").alias("first_line"),
+                      F.col("last.file_path").alias("last_file"), F.col("last.line").alias("last_line"))
 
 
 @register("e14_call_nodes", with_fixture("""

@@ -76,8 +76,10 @@ class VectorStore:
         if not self.exists():
             batch.write.mode("overwrite").partitionBy("project_id").parquet(self.path)
             return n
-        touched = [r[0] for r in batch.select("project_id").distinct().collect()]
-        old = self.scan(touched)
+        # only the batch's projects are read (semi join on the partition
+        # column -> dynamic partition pruning) and rewritten
+        touched = batch.select("project_id").distinct()
+        old = self.read().join(touched, "project_id", "left_semi")
         merged = old.join(batch.select("id"), "id", "left_anti").unionByName(batch)
         # the rewrite of a partition reads it first: stage to a side path
         staged = materialize(merged, "vector-upsert")
