@@ -54,10 +54,12 @@ def source_files(files: DataFrame) -> DataFrame:
 
 
 def files_by_language(files: DataFrame) -> DataFrame:
-    """(project_id, language, files sorted by path) for known languages."""
+    """Files grouped by known language, as bounded facts per group
+    (count, first and last path); the members stay rows of ``files``."""
     return (files.where(F.col("language").isNotNull())
             .groupBy("project_id", "language")
-            .agg(F.array_sort(F.collect_list("file_path")).alias("files")))
+            .agg(F.count(F.lit(1)).alias("file_count"), F.min("file_path").alias("first_file"),
+                 F.max("file_path").alias("last_file")))
 
 
 def decode_strict(binary_col) -> F.Column:

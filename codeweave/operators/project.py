@@ -191,15 +191,21 @@ def project_totals(discovered: DataFrame, functions: DataFrame, classes: DataFra
                     F.coalesce("total_classes", F.lit(0)).alias("total_classes")))
 
 
-def detect_modules(files: DataFrame) -> DataFrame:
-    """E13 + G1: analyzed files grouped by parent directory ('.' -> 'root');
-    name = last directory part; ordered by (name, first file)."""
+def module_files(files: DataFrame) -> DataFrame:
+    """E13 membership: one row per analyzed file with its module (parent
+    directory relative to the project root, '.' -> 'root')."""
     d = P.dirname(P.normpath(F.col("rel_path")))
-    m = (files.select("project_id", "file_path", F.when(d == "", F.lit("root")).otherwise(d).alias("path"))
-         .groupBy("project_id", "path")
-         .agg(F.array_sort(F.collect_list("file_path")).alias("files")))
-    m = m.withColumn("name", F.when(F.col("path") == "root", F.lit("root"))
-                     .otherwise(F.element_at(F.split("path", "/"), -1)))
-    w = Window.partitionBy("project_id").orderBy("name", F.element_at("files", 1))
+    return (files.select("project_id", "file_path", F.when(d == "", F.lit("root")).otherwise(d).alias("path"))
+            .withColumn("name", F.when(F.col("path") == "root", F.lit("root"))
+                        .otherwise(F.element_at(F.split("path", "/"), -1))))
+
+
+def detect_modules(files: DataFrame) -> DataFrame:
+    """E13 + G1: one row per module with bounded facts (file count, first
+    file); ordered by (name, first file).  Membership stays in rows
+    (:func:`module_files`), so a huge directory is never one array."""
+    m = (module_files(files).groupBy("project_id", "path", "name")
+         .agg(F.count(F.lit(1)).alias("file_count"), F.min("file_path").alias("first_file")))
+    w = Window.partitionBy("project_id").orderBy("name", "first_file")
     return m.withColumn("pos", F.row_number().over(w)).select(
-        "project_id", "pos", "name", "path", "files", F.size("files").alias("file_count"))
+        "project_id", "pos", "name", "path", "file_count", "first_file")

@@ -168,11 +168,12 @@ def summarize_files(context: DataFrame, fn) -> BatchRun:
 
 
 # --------------------------------------------------------------- modules
-def module_context(modules: DataFrame, file_summaries: DataFrame) -> DataFrame:
-    """E21 + D12: per module its file names and context text; files without
-    a summary read 'No summary available.'."""
-    m = modules.where((F.coalesce(F.length("name"), F.lit(0)) > 0) & (F.size("files") > 0))
-    ex = m.select("project_id", "pos", "name", "path", "files", F.posexplode("files").alias("i", "file_path"))
+def module_context(modules: DataFrame, members: DataFrame, file_summaries: DataFrame) -> DataFrame:
+    """E21 + D12: per module its file names and context text (the prompt
+    input of one module); files without a summary read 'No summary
+    available.'.  Membership rows come from ``project.module_files``."""
+    m = modules.where(F.coalesce(F.length("name"), F.lit(0)) > 0)
+    ex = members.select("project_id", "path", "file_path").join(m, ["project_id", "path"])
     fsum = file_summaries.select(*FILE_KEY, F.col("summary").alias("_s"), F.col("function_names").alias("_f"))
     ex = ex.join(fsum, FILE_KEY, "left")
     fname = P.basename(F.col("file_path"))
@@ -180,9 +181,9 @@ def module_context(modules: DataFrame, file_summaries: DataFrame) -> DataFrame:
                     F.when(F.col("_s").isNotNull() & (F.size(F.coalesce("_f", F.array())) > 0),
                            F.concat(F.lit("    Functions: "), F.array_join("_f", ", "), F.lit("\n")))
                     .otherwise(F.lit("")))
-    g = (ex.groupBy("project_id", "pos", "name", "path", "files")
-         .agg(F.array_sort(F.collect_list(F.struct("i", line.alias("l"), fname.alias("n")))).alias("_x")))
-    return g.select("project_id", "pos", "name", "path", "files",
+    g = (ex.groupBy("project_id", "pos", "name", "path", "file_count")
+         .agg(F.array_sort(F.collect_list(F.struct("file_path", line.alias("l"), fname.alias("n")))).alias("_x")))
+    return g.select("project_id", "pos", "name", "path", "file_count",
                     F.transform("_x", lambda x: x["n"]).alias("file_names"),
                     F.concat(F.lit("Files:\n"), F.array_join(F.transform("_x", lambda x: x["l"]), ""))
                     .alias("file_context"))
@@ -202,7 +203,7 @@ def project_prompts(module_summaries: DataFrame, info: DataFrame, stats: DataFra
     graph statistics."""
     ms = (module_summaries.groupBy("project_id")
           .agg(F.array_sort(F.collect_list(F.struct(
-              "pos", F.concat(F.lit("- "), F.col("name"), F.lit(" ("), F.size("files").cast("string"),
+              "pos", F.concat(F.lit("- "), F.col("name"), F.lit(" ("), F.col("file_count").cast("string"),
                               F.lit(" files): "), F.coalesce("summary", F.lit(NO_SUMMARY)),
                               F.lit("\n")).alias("l")))).alias("_m")))
     st = (stats.groupBy("project_id").pivot("graph", ["function_calls", "dependencies"])

@@ -162,10 +162,15 @@ class Corpus:
         from ..operators.project import detect_modules
         return detect_modules(self.files)
 
+    @cached_property
+    def module_files(self) -> DataFrame:
+        from ..operators.project import module_files
+        return module_files(self.files)
+
     @cached_property
     def module_context(self) -> DataFrame:
         from ..operators.rollup import module_context
-        return module_context(self.modules, self.file_summaries)
+        return module_context(self.modules, self.module_files, self.file_summaries)
 
     @cached_property
     def module_run(self):
@@ -189,8 +194,7 @@ class Corpus:
     @cached_property
     def project_summary(self) -> DataFrame:
         from ..operators.rollup import summarize_projects
-        ms = self.module_summaries.select("project_id", "pos", "name", F.col("file_names").alias("files"),
-                                          "summary")
+        ms = self.module_summaries.select("project_id", "pos", "name", "file_count", "summary")
         return store_table(summarize_projects(ms, self.project_info, self.graph_stats, self.model),
                            "project_summary")
 

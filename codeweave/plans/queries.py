@@ -208,25 +208,30 @@ def e12_project_totals(spark, sf_dir):
 
 @register("e13_modules", with_fixture("""
 SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY name, first_file) AS pos,
-       name, path, files, file_count FROM (
-  SELECT project_id, regexp_extract(path, '[^/]+$') AS name, path,
-         string_agg(rel_path, ',' ORDER BY rel_path) AS files, min(rel_path) AS first_file, count(*) AS file_count
+       name, path, file_count, first_file FROM (
+  SELECT project_id, regexp_extract(path, '[^/]+$') AS name, path, min(rel_path) AS first_file, count(*) AS file_count
   FROM (SELECT project_id, rel_path, regexp_extract(rel_path, '^(.*)/[^/]*$', 1) AS path FROM fx_src)
   GROUP BY project_id, path)"""))
 def e13_modules(spark, sf_dir):
-    from ..operators.project import detect_modules
-    m = detect_modules(corpus(spark, sf_dir).files)
-    return m.withColumn("files", F.array_join("files", ","))
+    return corpus(spark, sf_dir).modules
+
+
+@register("e13_module_files", with_fixture("""
+SELECT project_id, regexp_extract(rel_path, '^(.*)/[^/]*$', 1) AS path,
+       regexp_extract(regexp_extract(rel_path, '^(.*)/[^/]*$', 1), '[^/]+$') AS name, rel_path AS file_path
+FROM fx_src"""))
+def e13_module_files(spark, sf_dir):
+    return corpus(spark, sf_dir).module_files
 
 
 @register("e4_files_by_language", with_fixture("""
 SELECT project_id, CASE ext WHEN 'py' THEN 'Python' WHEN 'js' THEN 'JavaScript' WHEN 'java' THEN 'Java'
                             ELSE 'TypeScript' END AS language,
-       string_agg(rel_path, ',' ORDER BY rel_path) AS files
+       count(*) AS file_count, min(rel_path) AS first_file, max(rel_path) AS last_file
 FROM fx_paths WHERE r <> 9 GROUP BY ALL"""))
 def e4_files_by_language(spark, sf_dir):
     from ..operators.files import files_by_language
-    return files_by_language(corpus(spark, sf_dir).discovered).withColumn("files", F.array_join("files", ","))
+    return files_by_language(corpus(spark, sf_dir).discovered)
 
 
 # ------------------------------------------------------------------ chunks
@@ -462,7 +467,7 @@ def d12_file_summaries(spark, sf_dir):
 SELECT project_id, name, path, CAST(file_count AS BIGINT) AS file_count, file_context FROM fx_mods"""))
 def e21_module_context(spark, sf_dir):
     m = corpus(spark, sf_dir).module_context
-    return m.select("project_id", "name", "path", F.size("files").alias("file_count"), "file_context")
+    return m.select("project_id", "name", "path", "file_count", "file_context")
 
 
 @register("d13_module_summaries", with_fixture("""
