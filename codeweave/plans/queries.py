@@ -724,3 +724,24 @@ def b3_file_inventory(spark, sf_dir):
     disc = ~has_ignored_part(F.col("rel_path")) & F.col("ext").isin(*SUPPORTED_EXTENSIONS)
     return t.select("project_id", "rel_path", "ext", "language", disc.alias("discovered"),
                     (disc & F.col("language").isin(*ANALYZABLE_LANGUAGES)).alias("analyzed"))
+
+
+@register("d9_enriched_with_summaries", with_fixture("""
+SELECT c.project_id, c.chunk_id,
+       CASE WHEN c.chunk_type = 'function' THEN fs.summary WHEN c.chunk_type = 'file' THEN fl.summary END AS summary,
+       'Type: ' || upper(c.chunk_type[1]) || c.chunk_type[2:] || chr(10) || 'Name: ' || c.name || chr(10)
+       || 'File: ' || c.file_path || chr(10) || 'Language: ' || c.language
+       || coalesce(chr(10) || 'Summary: ' || CASE WHEN c.chunk_type = 'function' THEN fs.summary
+                                                  WHEN c.chunk_type = 'file' THEN fl.summary END, '')
+       || chr(10) || chr(10) || 'Code:' || chr(10) || c.code AS content
+FROM fx_chunks c
+LEFT JOIN (SELECT project_id, rel_path, name, arg_max(summary, ord) AS summary FROM fx_fsum GROUP BY ALL) fs
+  ON fs.project_id = c.project_id AND fs.rel_path = c.file_path AND fs.name = c.name
+LEFT JOIN fx_flsum fl ON fl.project_id = c.project_id AND fl.rel_path = c.file_path"""))
+def d9_enriched_with_summaries(spark, sf_dir):
+    from ..operators.chunks import enrich_chunks
+    c = corpus(spark, sf_dir)
+    fs = c.function_summaries.select("project_id", "file_path", "ord", "name", "summary")
+    fl = c.file_summaries.select("project_id", "file_path", "summary")
+    e = enrich_chunks(c.chunks, fs, fl)
+    return e.select("project_id", "chunk_id", "summary", "content")
