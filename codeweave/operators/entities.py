@@ -82,13 +82,16 @@ class Entities:
 
 def _rule_matches(rules: dict[str, list[str]], text_col: str) -> F.Column:
     """array<struct<rule:int, name:string>> of the rules of the row's language
-    that match the line."""
+    that match the line (no lambda: ``array_compact`` over CASE entries keeps
+    the projection inside generated code)."""
     typ = "array<struct<rule:int,name:string>>"
     expr = None
     for lang, pats in rules.items():
-        items = [F.struct(F.lit(i).alias("rule"), F.regexp_extract(F.col(text_col), pat, 1).alias("name"))
-                 for i, pat in enumerate(pats)]
-        arr = F.filter(F.array(*items), lambda x: x["name"] != "")
+        items = []
+        for i, pat in enumerate(pats):
+            name = F.regexp_extract(F.col(text_col), pat, 1)
+            items.append(F.when(name != "", F.struct(F.lit(i).alias("rule"), name.alias("name"))))
+        arr = F.array_compact(F.array(*items))
         expr = (F.when(F.col("language") == lang, arr) if expr is None
                 else expr.when(F.col("language") == lang, arr))
     return expr.otherwise(F.array().cast(typ))
@@ -148,8 +151,12 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
           .withColumn("_cname", _class_match("_code"))
           .withColumn("_cc", _call_code()))
     if materialize:
-        lf = lf.persist(StorageLevel.MEMORY_AND_DISK)
-        lf.count()
+        # computed once (persisted), then written as a reliable checkpoint:
+        # lineage is cut so every branch below plans against a small scan,
+        # and the (project_id, file_path) partitioning is kept
+        cached = lf.persist(StorageLevel.MEMORY_AND_DISK)
+        lf = cached.checkpoint(eager=True)
+        cached.unpersist()
     fmatch = lf.where(F.size("_fm") > 0).select("*", F.posexplode("_fm").alias("_sub", "_m"))
     fdefs = fmatch.select(
         *FILE_KEY, "language", "line", "text", "depth_before", "depth_after", "depth_min",
@@ -211,7 +218,10 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
     # signature text: lines [line, sig_end] (disjoint ranges -> one window)
     sig_rows = ent.where(F.col("kind") == "function").select(*FILE_KEY, "open_id", "line", "sig_end")
     sig_mark = sig_rows.select(*FILE_KEY, "line", F.struct("open_id", "line", "sig_end").alias("_sig"))
-    lt = (lf.select(*FILE_KEY, "line", "text")
+    # only definition lines and bracket continuations can be part of a
+    # signature: the rest of the lines never enter this join
+    sig_lines = lf.where((F.col("paren_before") > 0) | (F.size("_fm") > 0))
+    lt = (sig_lines.select(*FILE_KEY, "line", "text")
           .join(sig_mark, FILE_KEY + ["line"], "left"))
     w_sig = Window.partitionBy(*FILE_KEY).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     lt = lt.withColumn("_cur", F.last("_sig", True).over(w_sig)).where(
@@ -259,7 +269,6 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
         classes = store_table(classes, "classes")
         imports = store_table(imports, "imports")
         calls = store_table(calls, "calls")
-        lf.unpersist()
     return Entities(functions.drop("open_id"), classes, imports, calls,
                     lf.select(*FILE_KEY, "language", "line", "text"))
 

@@ -54,7 +54,7 @@ def ents(spark):
     java = "\n".join(["import java.util.List;", "class A {", "  public int f(int x) {", "    return g(x);",
                       "  }", "}"])
     files = make_files(spark, [("a.py", py), ("b.js", js), ("c.cpp", cpp), ("D.java", java)])
-    return extract_entities(files, materialize=False)
+    return extract_entities(files)
 
 
 def by_file(df, path):
