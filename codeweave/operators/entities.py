@@ -65,9 +65,11 @@ CALL_PATTERN = r"(?<![\w$])(new\s+)?(" + _ID + r"(?:\s*\.\s*" + _ID + r")*)\s*\(
 NOT_CALLEES = [
     "if", "elif", "for", "while", "switch", "catch", "return", "function", "with", "not", "and",
     "or", "in", "is", "assert", "yield", "await", "lambda", "del", "except", "typeof", "sizeof",
-    "super", "this", "synchronized", "throw", "case", "else", "do", "try", "class", "def",
+    "synchronized", "throw", "case", "else", "do", "try", "class", "def",
     "import", "from", "async", "delete", "void", "instanceof",
 ]
+# FIXED VALUES: Java constructor invocations are not method calls
+NOT_CALLEES_JAVA = ["super", "this"]
 
 
 @dataclass
@@ -352,7 +354,8 @@ def _calls(lf: DataFrame, functions: DataFrame) -> DataFrame:
     c = live.select(*FILE_KEY, "language", "line", F.posexplode(pairs).alias("pos", "m"))
     callee = F.element_at(F.split(F.regexp_replace(F.col("m.name"), r"\s+", ""), r"\."), -1)
     c = (c.where(F.col("m.new") == "").withColumn("callee", callee)
-         .where(~F.col("callee").isin(*NOT_CALLEES) & (F.col("callee") != ""))
+         .where(~F.col("callee").isin(*NOT_CALLEES) & (F.col("callee") != "")
+                & ~((F.col("language") == "Java") & F.col("callee").isin(*NOT_CALLEES_JAVA)))
          .withColumn("point_id", (F.col("line").cast("long") * 4096 + F.col("pos"))))
     ranges = functions.select(*FILE_KEY, F.col("open_id").alias("range_id"), "line", "end_line")
     enc = innermost_enclosing(ranges, c.select(*FILE_KEY, "point_id", "line"))
