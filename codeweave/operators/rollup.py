@@ -3,8 +3,9 @@ F1, F2, G5, I11-I13, L15) through a pluggable inference function (N1).
 
 Batches (F1) are numbered per project without gathering a project's items
 into one task: items are ranked inside their file, files get running
-offsets from a window over the small per-file count table, and item number
-= file offset + rank in file.  Prompts are built per (project, batch) from
+offsets from a range-partitioned sort of the per-file count table (a hot
+project spreads over many partitions), and item number = file offset +
+rank in file.  Prompts are built per (project, batch) from
 at most ``size`` items, model responses are stored once (a retried task
 must not call the model again), parsed with ``regexp_extract_all`` and
 zipped back to the items by (project, batch, position).
@@ -37,6 +38,27 @@ class BatchRun:
     responses: DataFrame   # (project_id, batch_no, n, prompt, response)
 
 
+def group_offsets(per: DataFrame, group_col: str) -> DataFrame:
+    """Running offsets of ordered groups inside each project without a
+    per-project window: rows (project_id, group_col, _n) are range-partitioned
+    by (project_id, group_col), so a project with millions of groups spreads
+    over many partitions in order; offsets = prefix of the per-(partition,
+    project) totals (a table of at most partitions x projects rows) + running
+    sum inside the partition.  Adds ``_off`` and ``_total``."""
+    ranged = (per.repartitionByRange("project_id", group_col)
+              .withColumn("_pid", F.spark_partition_id()))
+    ranged = materialize(ranged, "group-offsets")
+    w_in = (Window.partitionBy("_pid", "project_id").orderBy(group_col)
+            .rowsBetween(Window.unboundedPreceding, -1))
+    inner = ranged.withColumn("_in", F.coalesce(F.sum("_n").over(w_in), F.lit(0)))
+    tot = ranged.groupBy("_pid", "project_id").agg(F.sum("_n").alias("_part"))
+    w_p = Window.partitionBy("project_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    tot = (tot.withColumn("_before", F.coalesce(F.sum("_part").over(w_p), F.lit(0)))
+           .withColumn("_total", F.sum("_part").over(Window.partitionBy("project_id"))))
+    return (inner.join(tot, ["_pid", "project_id"])
+            .select("project_id", group_col, "_n", (F.col("_before") + F.col("_in")).alias("_off"), "_total"))
+
+
 def number_batches(items: DataFrame, size: int = SUMMARY_BATCH_SIZE,
                    group_col: str = "file_path", order_col: str = "ord") -> DataFrame:
     """F1 + F2: batch_no, pos, n_batches and the batch's item count for
@@ -44,11 +66,7 @@ def number_batches(items: DataFrame, size: int = SUMMARY_BATCH_SIZE,
     w_in = Window.partitionBy("project_id", group_col).orderBy(order_col)
     it = items.withColumn("_r", F.row_number().over(w_in))
     per = it.groupBy("project_id", group_col).agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy("project_id").orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy("project_id")
-    per = (per.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0)))
-           .withColumn("_total", F.sum("_n").over(w_all)))
-    it = it.join(per, ["project_id", group_col])
+    it = it.join(group_offsets(per, group_col), ["project_id", group_col])
     rn = F.col("_off") + F.col("_r")
     n_batches = F.ceil(F.col("_total") / F.lit(size)).cast("int")
     batch_no = (F.floor((rn - 1) / size) + 1).cast("int")
