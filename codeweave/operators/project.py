@@ -202,10 +202,15 @@ def module_files(files: DataFrame) -> DataFrame:
 
 def detect_modules(files: DataFrame) -> DataFrame:
     """E13 + G1: one row per module with bounded facts (file count, first
-    file); ordered by (name, first file).  Membership stays in rows
-    (:func:`module_files`), so a huge directory is never one array."""
+    file); ``pos`` orders modules by (name, first file) inside each project.
+    Membership stays in rows (:func:`module_files`), so a huge directory is
+    never one array, and positions come from range-partitioned offsets, so
+    a project with millions of directories is never sorted in one task."""
+    from .rollup import group_offsets
     m = (module_files(files).groupBy("project_id", "path", "name")
-         .agg(F.count(F.lit(1)).alias("file_count"), F.min("file_path").alias("first_file")))
-    w = Window.partitionBy("project_id").orderBy("name", "first_file")
-    return m.withColumn("pos", F.row_number().over(w)).select(
-        "project_id", "pos", "name", "path", "file_count", "first_file")
+         .agg(F.count(F.lit(1)).alias("file_count"), F.min("file_path").alias("first_file"))
+         .withColumn("_key", F.struct("name", "first_file")))
+    off = group_offsets(m.select("project_id", "_key", F.lit(1).alias("_n")), "_key")
+    return (m.join(off, ["project_id", "_key"])
+            .select("project_id", (F.col("_off") + 1).cast("int").alias("pos"), "name", "path", "file_count",
+                    "first_file"))

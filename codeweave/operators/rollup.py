@@ -208,7 +208,7 @@ def module_context(modules: DataFrame, members: DataFrame, file_summaries: DataF
 
 
 def summarize_modules(context: DataFrame, fn) -> BatchRun:
-    items = context.withColumn("_grp", F.lit(""))
+    items = context.withColumn("_grp", F.col("pos"))
     text = F.concat(F.lit("### "), F.col("pos").cast("string"), F.lit(". "), F.col("name"), F.lit(" ("),
                     F.col("path"), F.lit(")\n"), F.col("file_context"))
     return run_batches(items, "module", "Describe the role of each {kind} below in one to three sentences.",
