@@ -122,14 +122,23 @@ class AskTables:
     search_hits: DataFrame | None = None   # K7 results per question (question_id, rank, ...)
 
 
-def function_matches(classified: DataFrame, t: AskTables) -> DataFrame:
-    """B10 + L5: every function whose lower(name) equals lower(strip(target))."""
+def function_matches(classified: DataFrame, t: AskTables, with_code: bool = True) -> DataFrame:
+    """B10 + L5: every function whose lower(name) equals lower(strip(target)).
+    Only the matched files are read for the code slices."""
     q = (classified.where(F.col("question_type") == "FUNCTION")
          .select("question_id", "project_id", F.lower(py_strip(F.col("target_name"))).alias("_key")))
     f = t.functions.select("project_id", F.lower("name").alias("_key"), "file_path", "ord", "name", "language",
                            "line", "end_line", "parameters")
-    lines = t.files.select("project_id", "file_path", "rel_path", split_lines(F.col("content")).alias("_lines"))
-    m = q.join(f, ["project_id", "_key"]).join(lines, ["project_id", "file_path"])
+    m = q.join(f, ["project_id", "_key"])
+    paths = t.files.select("project_id", "file_path", "rel_path")
+    if not with_code:
+        return m.join(paths, ["project_id", "file_path"]).select(
+            "question_id", "project_id", "file_path", "ord", "name", "language", "line", "end_line",
+            "parameters", "rel_path")
+    hit = m.select("project_id", "file_path").distinct()
+    lines = (t.files.join(hit, ["project_id", "file_path"], "left_semi")
+             .select("project_id", "file_path", "rel_path", split_lines(F.col("content")).alias("_lines")))
+    m = m.join(lines, ["project_id", "file_path"])
     return m.select("question_id", "project_id", "file_path", "ord", "name", "language", "line", "end_line",
                     "parameters", F.col("rel_path"),
                     slice_lines(F.col("_lines"), F.col("line"), F.col("end_line")).alias("code"))
@@ -155,11 +164,14 @@ def file_match(classified: DataFrame, t: AskTables) -> DataFrame:
 
 def file_listing(match: DataFrame, t: AskTables, classified: DataFrame) -> DataFrame:
     """Functions, classes, imports and code of each matched file."""
+    fq = match.join(classified.select("question_id", "project_id"), "question_id")
+    hit = fq.select("project_id", "file_path").distinct()
+
     def names(df, col, alias):
-        return (df.groupBy("project_id", "file_path")
+        return (df.join(hit, ["project_id", "file_path"], "left_semi").groupBy("project_id", "file_path")
                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", col))), lambda x: x[col]).alias(alias)))
-    fq = match.join(classified.select("question_id", "project_id"), "question_id")
-    out = (fq.join(t.files.select("project_id", "file_path", "language", "content"), ["project_id", "file_path"])
+    files = t.files.join(hit, ["project_id", "file_path"], "left_semi")
+    out = (fq.join(files.select("project_id", "file_path", "language", "content"), ["project_id", "file_path"])
            .join(names(t.functions, "name", "functions"), ["project_id", "file_path"], "left")
            .join(names(t.classes, "name", "classes"), ["project_id", "file_path"], "left")
            .join(names(t.imports, "module", "imports"), ["project_id", "file_path"], "left"))
@@ -171,15 +183,17 @@ def file_listing(match: DataFrame, t: AskTables, classified: DataFrame) -> DataF
                       F.col("content").alias("code"))
 
 
-def key_dependencies(t: AskTables) -> DataFrame:
+def key_dependencies(t: AskTables, projects: DataFrame | None = None) -> DataFrame:
     """The first 15 dependency edges of each project, in order."""
     w = Window.partitionBy("project_id").orderBy("file_path", "ord")
-    return (t.dep_edges.withColumn("rn", F.row_number().over(w))
+    e = t.dep_edges if projects is None else t.dep_edges.join(projects, "project_id", "left_semi")
+    return (e.withColumn("rn", F.row_number().over(w))
             .where(F.col("rn") <= ARCHITECTURE_EDGE_LIMIT))
 
 
-def module_lists(t: AskTables) -> DataFrame:
-    return (t.modules.groupBy("project_id")
+def module_lists(t: AskTables, projects: DataFrame | None = None) -> DataFrame:
+    m = t.modules if projects is None else t.modules.join(projects, "project_id", "left_semi")
+    return (m.groupBy("project_id")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "name", "path", "file_count"))).alias("modules")))
 
 
@@ -187,7 +201,8 @@ def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
     """One row per question with strategy, found flag, the structured
     context and its text (L8-L10)."""
     c = classified.select("question_id", "project_id", "question", "question_type", "target_name", "error")
-    mods = module_lists(t)
+    asked = c.select("project_id").distinct()
+    mods = module_lists(t, asked)
     mod_text = F.array_join(F.transform(F.coalesce("modules", F.array()), lambda m: F.concat(
         F.lit("- "), m["name"], F.lit(" ("), m["path"], F.lit(", "), m["file_count"].cast("string"),
         F.lit(" files)"))), "\n")
@@ -206,11 +221,13 @@ def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
                                F.lit("Modules:"), mod_text).alias("context"))
 
     # L4 architecture
-    kd = key_dependencies(t)
+    kd = key_dependencies(t, asked)
     kd_list = (kd.groupBy("project_id")
                .agg(F.array_sort(F.collect_list(F.struct("rn", "source", "target"))).alias("kd")))
-    n_dep = t.dep_edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_dependencies"))
-    n_call = t.call_edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_function_calls"))
+    n_dep = (t.dep_edges.join(asked, "project_id", "left_semi")
+             .groupBy("project_id").agg(F.count(F.lit(1)).alias("total_dependencies")))
+    n_call = (t.call_edges.join(asked, "project_id", "left_semi")
+              .groupBy("project_id").agg(F.count(F.lit(1)).alias("total_function_calls")))
     ar = (c.where(F.col("question_type") == "ARCHITECTURE").join(mods, "project_id", "left")
           .join(kd_list, "project_id", "left").join(n_dep, "project_id", "left").join(n_call, "project_id", "left"))
     kd_text = F.array_join(F.transform(F.coalesce("kd", F.array()), lambda e: F.concat(
@@ -303,7 +320,7 @@ def answer_sources(classified: DataFrame, t: AskTables) -> DataFrame:
     """Citations per question (question_id, pos, file_path, name,
     chunk_type, line, end_line)."""
     ok = classified.where(F.col("error").isNull())
-    fn = (function_matches(ok, t)
+    fn = (function_matches(ok, t, with_code=False)
           .select("question_id", F.struct("file_path", "ord").alias("_o"), F.col("rel_path").alias("file_path"),
                   "name", F.lit("function").alias("chunk_type"), "line", "end_line"))
     fl = file_match(ok, t).select("question_id", F.struct("file_path", F.lit(0).alias("ord")).alias("_o"),
@@ -318,7 +335,8 @@ def answer_sources(classified: DataFrame, t: AskTables) -> DataFrame:
                        "file_path", "name", "chunk_type", "line", "end_line"))
         parts.append(sem)
     # H2: distinct endpoints of the key dependencies, first appearance order
-    kd = key_dependencies(t)
+    arch_projects = ok.where(F.col("question_type") == "ARCHITECTURE").select("project_id").distinct()
+    kd = key_dependencies(t, arch_projects)
     ends = kd.select("project_id", F.posexplode(F.array(F.struct("rn", F.lit(0).alias("side"), F.col("source").alias("p")),
                                                         F.struct("rn", F.lit(1).alias("side"), F.col("target").alias("p"))))
                      .alias("_i", "e"))

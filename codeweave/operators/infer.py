@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..sources.store import spread
+
 _ITEM = re.compile(r"^### (\d+)\. (\S+)", re.MULTILINE)
 _BATCH = re.compile(r"^Batch (\d+)/(\d+)", re.MULTILINE)
 _META = re.compile(r"^- (Language|Framework): (.+)$", re.MULTILINE)
@@ -98,4 +100,4 @@ def infer(df: DataFrame, fn: Callable[[list[str]], list[str]] | str | None, prom
             pdf[out_col] = out
             yield pdf
 
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.constants import IGNORE_DIRS_PROJECT
+from ..sources.store import materialize
 from .files import has_ignored_part
 
 # FIXED VALUES: framework markers (checked in this order; the first hit of a
@@ -23,6 +24,8 @@ JS_FRAMEWORKS = [(["react", "react-dom"], "React"), (["next"], "Next.js"), (["ex
                  (["vue"], "Vue"), (["@angular/core"], "Angular"), (["nest", "@nestjs/core"], "NestJS")]
 JS_LOCKS = [(["package-lock.json"], "npm"), (["yarn.lock"], "Yarn"), (["pnpm-lock.yaml"], "pnpm"),
             (["bun.lockb", "bun.lock"], "Bun")]
+CONFIG_NAMES = ["requirements.txt", "pyproject.toml", "package.json", "tsconfig.json", "pom.xml",
+                "build.gradle", "go.mod", "Cargo.toml"]
 README_FILES = ["README.md", "readme.md"]
 DOCKER_FILES = ["Dockerfile", "docker-compose.yml"]
 UNKNOWN = "Unknown"
@@ -69,14 +72,19 @@ def project_info(tree: DataFrame) -> DataFrame:
         F.bool_or(root == "Makefile").alias("has_make"),
         F.bool_or(P.suffix(root) == ".csproj").alias("has_csproj")))
 
-    req = config_files(tree, "requirements.txt")
-    pyproject = config_files(tree, "pyproject.toml")
-    pkg = config_files(tree, "package.json")
-    tsconfig = config_files(tree, "tsconfig.json")
-    pom = config_files(tree, "pom.xml")
-    gradle = config_files(tree, "build.gradle")
-    gomod = config_files(tree, "go.mod")
-    cargo = config_files(tree, "Cargo.toml")
+    # one pass over the tree picks the config-file candidates (the only rows
+    # whose content is read); every rule below works on that small table
+    cand_files = materialize(
+        tree.where(P.basename(F.col("rel_path")).isin(*CONFIG_NAMES) & (F.size(F.split("rel_path", "/")) <= 3))
+        .select("project_id", "rel_path", "content"), "config-candidates")
+    req = config_files(cand_files, "requirements.txt")
+    pyproject = config_files(cand_files, "pyproject.toml")
+    pkg = config_files(cand_files, "package.json")
+    tsconfig = config_files(cand_files, "tsconfig.json")
+    pom = config_files(cand_files, "pom.xml")
+    gradle = config_files(cand_files, "build.gradle")
+    gomod = config_files(cand_files, "go.mod")
+    cargo = config_files(cand_files, "Cargo.toml")
 
     # Sibling files of each config file's directory
     siblings = tree.select("project_id", P.dirname(F.col("rel_path")).alias("dir"),

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from ..functions.constants import (EMBEDDING_BATCH_SIZE, EMBEDDING_DIM, TOP_K_DEFAULT, TOP_K_MAX,
                                    TOP_K_MIN)
 from ..functions.text import py_strip
+from ..sources.store import spread
 
 _TOKEN = re.compile(r"[a-z0-9_]+")
 
@@ -84,7 +85,7 @@ def embed(df: DataFrame, text_col: str, fn: Callable[[list[str]], list] | None =
             pdf[out_col] = [np.asarray(v, dtype=np.float64) for v in vecs]
             yield pdf
 
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)
 
 
 def embed_hashing_tf(df: DataFrame, text_col: str, dim: int = EMBEDDING_DIM,
@@ -227,7 +228,7 @@ def _score_blocks(q: DataFrame, vectors: DataFrame, qvec_col: str, vec_col: str,
                 res["_sim"] = sims[ri, ci]
                 yield res[[f.name for f in out_fields]]
 
-    return v.mapInPandas(run, schema)
+    return spread(v).mapInPandas(run, schema)
 
 
 def search(questions: DataFrame, vectors: DataFrame, qvec_col: str = "qvec",

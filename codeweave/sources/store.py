@@ -93,3 +93,16 @@ class VectorStore:
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if fs.exists(p):
             fs.delete(p, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a Python (Arrow) stage at least one partition per core.
+
+    Small stored tables scan as one or two partitions; a ``mapInPandas``
+    stage on them would run on one or two cores.  Inputs that already have
+    as many partitions as the cluster has cores are left untouched (the
+    usual case at scale), so this never adds a shuffle to a large job."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
