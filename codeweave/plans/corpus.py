@@ -43,9 +43,11 @@ class Corpus:
     # ------------------------------------------------------------ sources
     @cached_property
     def all_files(self) -> DataFrame:
-        """Every file of every project tree (sources + config files), written
-        once like a stored corpus table."""
-        return materialize(FX.corpus_all_files(self.spark, self.sf_dir), "all_files")
+        """Every file of every project tree: the stored source files plus the
+        config files."""
+        from ..operators.files import files_from_paths
+        cfg = FX.fx_config(self.spark, self.sf_dir).withColumn("file_path", F.col("rel_path"))
+        return self.source_tree.unionByName(files_from_paths(cfg))
 
     @cached_property
     def source_tree(self) -> DataFrame:
