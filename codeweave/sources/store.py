@@ -99,10 +99,15 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a Python (Arrow) stage at least one partition per core.
 
     Small stored tables scan as one or two partitions; a ``mapInPandas``
-    stage on them would run on one or two cores.  Inputs that already have
-    as many partitions as the cluster has cores are left untouched (the
-    usual case at scale), so this never adds a shuffle to a large job."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    stage on them (model calls, embedding, scoring) would run on one or two
+    cores.  The decision uses the optimizer's size estimate (nothing is
+    executed): inputs smaller than one file split per core are spread
+    round-robin (cheap, they are small); larger inputs already scan as many
+    partitions and are left untouched, so a large job gets no extra shuffle."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < cores * split:
         return df.repartition(cores)
     return df
