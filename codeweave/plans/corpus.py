@@ -88,15 +88,18 @@ class Corpus:
     # --------------------------------------------------------- resolution
     @cached_property
     def roots(self) -> DataFrame:
-        return R.project_roots(self.files.select("project_id", "file_path"))
+        return store_table(R.project_roots(self.files.select("project_id", "file_path")), "roots")
 
     @cached_property
     def resolved_calls(self) -> DataFrame:
-        return R.resolve_calls(self.calls, self.functions)
+        """D1/D2 output, stored (the call graph and several strategies read it)."""
+        return store_table(R.resolve_calls(self.calls, self.functions), "resolved_calls")
 
     @cached_property
     def resolved_imports(self) -> DataFrame:
-        return R.resolve_imports(self.imports, self.files.select("project_id", "file_path"), self.roots)
+        """D7 output, stored."""
+        return store_table(R.resolve_imports(self.imports, self.files.select("project_id", "file_path"),
+                                             self.roots), "resolved_imports")
 
     @cached_property
     def call_edges(self) -> DataFrame:
@@ -104,7 +107,7 @@ class Corpus:
 
     @cached_property
     def call_nodes(self) -> DataFrame:
-        return G.call_graph_nodes(self.resolved_calls, self.functions)
+        return store_table(G.call_graph_nodes(self.resolved_calls, self.functions), "call_nodes")
 
     @cached_property
     def dep_edges(self) -> DataFrame:
@@ -254,7 +257,8 @@ class Corpus:
 
     @cached_property
     def dep_nodes(self) -> DataFrame:
-        return G.dependency_graph_nodes(self.files.select("project_id", "file_path"), self.roots)
+        return store_table(G.dependency_graph_nodes(self.files.select("project_id", "file_path"), self.roots),
+                           "dep_nodes")
 
 
 def as_bigint(df: DataFrame) -> DataFrame:
