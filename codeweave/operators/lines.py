@@ -34,11 +34,6 @@ def file_lines(files: DataFrame) -> DataFrame:
             .select(*FILE_KEY, "language", (F.col("pos") + 1).alias("line"), "text"))
 
 
-def file_line_arrays(files: DataFrame) -> DataFrame:
-    """(project_id, file_path, lines ARRAY<STRING>) for slicing (A3)."""
-    return files.select(*FILE_KEY, split_lines(F.col("content")).alias("lines"))
-
-
 def _count(col, chars: str):
     """Occurrences of the given characters in a string (plain replaces, no regex)."""
     total = None

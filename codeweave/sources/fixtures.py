@@ -112,11 +112,3 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     before the ignore/extension/language filters of B1-B4)."""
     cf = code_files(spark, sf_dir).select("project_id", "rel_path", "content")
     return files_from_paths(cf.withColumn("file_path", F.col("rel_path")))
-
-
-def corpus_all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files plus config files: the whole tree of every project."""
-    src = code_files(spark, sf_dir).select("project_id", "rel_path", "content")
-    cfg = fx_config(spark, sf_dir)
-    both = src.unionByName(cfg)
-    return files_from_paths(both.withColumn("file_path", F.col("rel_path")))

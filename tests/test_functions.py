@@ -80,3 +80,12 @@ def test_score_rounding(spark):
     from codeweave.operators.vectors import score
     df = spark.createDataFrame([(-0.2,), (0.123456,)], "s double")
     assert [r[0] for r in df.select(score(F.col("s"))).collect()] == [0.0, 0.1235]
+
+
+def test_hashing_tf_embedding(spark):
+    """K1 JVM variant (Spark ML): unit vectors of the requested dimension."""
+    from codeweave.operators.vectors import embed_hashing_tf
+    df = spark.createDataFrame([(1, "def load_user(uid): return db.get(uid)"), (2, "")], "id int, t string")
+    out = {r.id: r.embedding for r in embed_hashing_tf(df, "t", dim=64).collect()}
+    assert len(out[1]) == 64 and abs(sum(x * x for x in out[1]) - 1.0) < 1e-9
+    assert sum(out[2]) == 0.0
