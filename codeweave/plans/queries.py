@@ -745,3 +745,81 @@ def d9_enriched_with_summaries(spark, sf_dir):
     fl = c.file_summaries.select("project_id", "file_path", "summary")
     e = enrich_chunks(c.chunks, fs, fl)
     return e.select("project_id", "chunk_id", "summary", "content")
+
+
+_MOD_TEXT = """(SELECT project_id, string_agg('- ' || name || ' (' || path || ', ' || file_count || ' files)', chr(10)
+                ORDER BY name, first_file) AS txt FROM fx_mods GROUP BY ALL)"""
+
+
+@register("l8_overview_context", with_fixture(f"""
+SELECT c.question_id,
+       'Project overview' || chr(10) || 'Language: ' || coalesce(i.language, 'Unknown') || chr(10)
+       || 'Framework: ' || coalesce(i.framework, 'Unknown') || chr(10)
+       || 'Package manager: ' || coalesce(i.package_manager, 'Unknown') || chr(10)
+       || 'Source files: ' || coalesce(t.n, 0) || chr(10) || 'Modules:' || chr(10) || coalesce(m.txt, '') AS context
+FROM fx_cls c LEFT JOIN fx_info i USING (project_id)
+LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_paths WHERE r <> 9 GROUP BY ALL) t USING (project_id)
+LEFT JOIN {_MOD_TEXT} m USING (project_id)
+WHERE c.question_type = 'PROJECT_OVERVIEW'"""))
+def l8_overview_context(spark, sf_dir):
+    ctx = corpus(spark, sf_dir).contexts
+    return ctx.where(F.col("strategy") == "project_overview").select("question_id", "context")
+
+
+@register("l8_architecture_context", with_fixture(f"""
+SELECT c.question_id,
+       'Architecture' || chr(10) || 'Modules:' || chr(10) || coalesce(m.txt, '') || chr(10)
+       || 'Import relationships: ' || coalesce(d.n, 0) || chr(10)
+       || 'Function calls: ' || coalesce(k.n, 0) || chr(10) || 'Key dependencies:' || chr(10)
+       || coalesce(kd.txt, '') AS context
+FROM fx_cls c
+LEFT JOIN {_MOD_TEXT} m USING (project_id)
+LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_imp_res GROUP BY ALL) d USING (project_id)
+LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_resolved GROUP BY ALL) k USING (project_id)
+LEFT JOIN (SELECT project_id, string_agg('- ' || source || ' -> ' || target, chr(10) ORDER BY rn) AS txt
+           FROM fx_keydeps GROUP BY ALL) kd USING (project_id)
+WHERE c.question_type = 'ARCHITECTURE'"""))
+def l8_architecture_context(spark, sf_dir):
+    ctx = corpus(spark, sf_dir).contexts
+    return ctx.where(F.col("strategy") == "architecture").select("question_id", "context")
+
+
+@register("l9_function_context", with_fixture("""
+SELECT c.question_id,
+       'Target function: ' || c.target_name || chr(10) || 'Matches: ' || coalesce(x.n, 0) || chr(10) || chr(10)
+       || coalesce(x.txt, '') AS context
+FROM fx_cls c LEFT JOIN (
+  SELECT q.question_id, count(*) AS n,
+         string_agg('Function ' || f.name || ' in ' || f.rel_path || ' (lines ' || f.line || '-' || f.end_line || ', '
+                    || f.language || ')' || chr(10) || 'Parameters: ' || array_to_string(f.parameters, ', ') || chr(10)
+                    || array_to_string(string_split(cd.content, chr(10))[f.line:f.end_line], chr(10)),
+                    chr(10) || chr(10) ORDER BY f.rel_path, f.ord) AS txt
+  FROM fx_cls q JOIN fx_funcs f ON f.project_id = q.project_id AND lower(f.name) = lower(q.target_name)
+  JOIN fx_code cd ON cd.project_id = f.project_id AND cd.rel_path = f.rel_path
+  WHERE q.question_type = 'FUNCTION' GROUP BY q.question_id) x USING (question_id)
+WHERE c.question_type = 'FUNCTION'"""))
+def l9_function_context(spark, sf_dir):
+    ctx = corpus(spark, sf_dir).contexts
+    return ctx.where(F.col("strategy") == "function").select("question_id", "context")
+
+
+@register("l9_file_context", with_fixture("""
+SELECT c.question_id,
+       CASE WHEN m.rel_path IS NOT NULL THEN
+         'File: ' || m.rel_path || chr(10) || 'Language: ' || s.language || chr(10)
+         || 'Functions: ' || coalesce(fn.names, '') || chr(10) || 'Classes: ' || coalesce(cl.names, '') || chr(10)
+         || 'Imports: ' || coalesce(im.mods, '') || chr(10) || chr(10) || cd.content END AS context
+FROM fx_cls c
+LEFT JOIN fx_filematch m USING (question_id)
+LEFT JOIN fx_src s ON s.project_id = c.project_id AND s.rel_path = m.rel_path
+LEFT JOIN fx_code cd ON cd.project_id = c.project_id AND cd.rel_path = m.rel_path
+LEFT JOIN (SELECT project_id, rel_path, string_agg(name, ', ' ORDER BY ord) AS names FROM fx_funcs GROUP BY ALL) fn
+  ON fn.project_id = c.project_id AND fn.rel_path = m.rel_path
+LEFT JOIN (SELECT project_id, rel_path, string_agg(name, ', ' ORDER BY ord) AS names FROM fx_classes GROUP BY ALL) cl
+  ON cl.project_id = c.project_id AND cl.rel_path = m.rel_path
+LEFT JOIN (SELECT project_id, rel_path, string_agg(module, ', ' ORDER BY ord) AS mods FROM fx_imports GROUP BY ALL) im
+  ON im.project_id = c.project_id AND im.rel_path = m.rel_path
+WHERE c.question_type = 'FILE'"""))
+def l9_file_context(spark, sf_dir):
+    ctx = corpus(spark, sf_dir).contexts
+    return ctx.where(F.col("strategy") == "file").select("question_id", "context")
