@@ -11,8 +11,8 @@ Search (D15 + K4 + K5 + G2): the question batch is size-checked and
 broadcast; every partition of chunk vectors is scored against the question
 matrix of its projects with one numpy matrix product per Arrow batch and
 only the local top-k candidates leave the task (the scored pairs never
-become rows).  Beyond the broadcast limit the same plan runs as a shuffle
-join with a built-in dot product.  The global top-k is a ``row_number``
+become rows).  A batch beyond the broadcast bound is cut into slices that
+each fit and are scored in turn.  The global top-k is a ``row_number``
 filter with a literal bound, which Catalyst turns into a partial
 WindowGroupLimit before the shuffle.
 """
@@ -233,23 +233,32 @@ def _score_blocks(q: DataFrame, vectors: DataFrame, qvec_col: str, vec_col: str,
 
 def search(questions: DataFrame, vectors: DataFrame, qvec_col: str = "qvec",
            vec_col: str = "embedding", id_col: str = "id", unit_vectors: bool = True,
-           extra_cols: list[str] | None = None, method: str = "auto") -> DataFrame:
+           extra_cols: list[str] | None = None, method: str = "blocks") -> DataFrame:
     """K7 core: top-k vectors of the question's project for every question.
 
     questions: (question_id, project_id, top_k, qvec); vectors: (project_id,
     id, embedding, ...).  Returns question_id, rank, id, score (+ extra).
 
-    method 'blocks' (default while the question batch is within
-    BROADCAST_QUESTION_BYTES): vectorised scoring per partition with local
-    top-k; 'join': broadcast/shuffle join with a built-in dot product."""
+    method 'blocks': vectorised scoring per partition with local top-k
+    against a broadcast question matrix; a batch larger than
+    BROADCAST_QUESTION_BYTES is cut into slices that each fit, scored one
+    after another (every question is scored; the pairs never become rows).
+    method 'join': broadcast join with a built-in dot product (small batches,
+    kept for comparison)."""
     extra_cols = extra_cols or []
     q = questions.select("question_id", "project_id", "top_k", qvec_col)
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).collect()[0]
-    small = (size["n"] or 0) * max(size["dim"] or 0, 1) * 8 <= BROADCAST_QUESTION_BYTES
-    if method == "blocks" or (method == "auto" and small):
-        scored = _score_blocks(q, vectors, qvec_col, vec_col, id_col, extra_cols, unit_vectors)
+    if method == "join":
+        scored = _score_join(q, vectors, qvec_col, vec_col, id_col, extra_cols, unit_vectors, True)
     else:
-        scored = _score_join(q, vectors, qvec_col, vec_col, id_col, extra_cols, unit_vectors, small)
+        size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).collect()[0]
+        total = (size["n"] or 0) * max(size["dim"] or 0, 1) * 8
+        slices = max(1, -(-total // BROADCAST_QUESTION_BYTES))
+        parts = [_score_blocks(q if slices == 1 else q.where(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == i),
+                               vectors, qvec_col, vec_col, id_col, extra_cols, unit_vectors)
+                 for i in range(slices)]
+        scored = parts[0]
+        for p in parts[1:]:
+            scored = scored.unionByName(p)
     scored = scored.withColumn("score", score(F.col("_sim"))).drop("_sim")
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.col(id_col))
     ranked = scored.withColumn("rank", F.row_number().over(w))

@@ -89,3 +89,17 @@ def test_hashing_tf_embedding(spark):
     out = {r.id: r.embedding for r in embed_hashing_tf(df, "t", dim=64).collect()}
     assert len(out[1]) == 64 and abs(sum(x * x for x in out[1]) - 1.0) < 1e-9
     assert sum(out[2]) == 0.0
+
+
+def test_search_slices_large_batches(spark, monkeypatch):
+    """A question batch over the broadcast bound is scored in slices with the
+    same result as one broadcast."""
+    import codeweave.operators.vectors as V
+    vec = spark.createDataFrame([("p", f"c{i}", [float(i % 5), 1.0, float(i % 3)]) for i in range(40)],
+                                "project_id string, id string, embedding array<double>")
+    qs = spark.createDataFrame([(j, "p", 3, [1.0, float(j % 4), 0.5]) for j in range(30)],
+                               "question_id long, project_id string, top_k int, qvec array<double>")
+    one = sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect()))
+    monkeypatch.setattr(V, "BROADCAST_QUESTION_BYTES", 200)
+    sliced = sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect()))
+    assert one == sliced and len(one) == 90
