@@ -89,7 +89,7 @@ def parse_numbered(responses: DataFrame) -> DataFrame:
     txt = F.regexp_extract_all(F.col("response"), F.lit(ITEM_PATTERN), 2)
     ex = responses.select("project_id", "batch_no", F.posexplode(F.arrays_zip(idx.alias("i"), txt.alias("t")))
                           .alias("k", "m"))
-    ex = ex.select("project_id", "batch_no", "k", F.col("m.i").cast("int").alias("idx"),
+    ex = ex.select("project_id", "batch_no", "k", F.col("m.i").try_cast("int").alias("idx"),
                    F.replace(py_strip(F.col("m.t")), F.lit(FENCE), F.lit("")).alias("text"))
     return ex.groupBy("project_id", "batch_no", "idx").agg(F.max_by("text", "k").alias("text"))
 

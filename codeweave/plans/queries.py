@@ -632,8 +632,8 @@ LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_resolved GROUP BY ALL) k USI
 WHERE c.question_type = 'ARCHITECTURE'"""))
 def l4_architecture_counts(spark, sf_dir):
     ctx = corpus(spark, sf_dir).contexts.where(F.col("strategy") == "architecture")
-    dep = F.regexp_extract("context", r"Import relationships: (\d+)", 1).cast("bigint")
-    calls = F.regexp_extract("context", r"Function calls: (\d+)", 1).cast("bigint")
+    dep = F.regexp_extract("context", r"Import relationships: (\d+)", 1).try_cast("bigint")
+    calls = F.regexp_extract("context", r"Function calls: (\d+)", 1).try_cast("bigint")
     return ctx.select("question_id", dep.alias("total_dependencies"), calls.alias("total_function_calls"))
 
 
