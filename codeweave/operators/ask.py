@@ -283,7 +283,8 @@ def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
     n = F.size(F.coalesce("hits", F.array()))
     hit_text = F.array_join(F.transform(F.coalesce("hits", F.array()), lambda h: F.concat(
         F.lit("Chunk "), h["rank"].cast("string"), F.lit("/"), n.cast("string"), F.lit(": "), h["name"],
-        F.lit(" ("), h["chunk_type"], F.lit(", "), h["file_path"], F.lit(", score "), h["score"].cast("string"),
+        F.lit(" ("), h["chunk_type"], F.lit(", "), h["file_path"], F.lit(", score "),
+        F.format_string("%.4f", h["score"]),
         F.lit(")\n"), h["code"])), "\n\n")
     sq = sq.select("question_id", F.lit("semantic_search").alias("strategy"), (n > 0).alias("found"),
                    F.concat(F.lit("Search results: "), n.cast("string"), F.lit("\n\n"), hit_text).alias("context"))

@@ -349,6 +349,20 @@ def k7_search_chunks(spark, sf_dir):
                                        "score")
 
 
+FX_K7 = """fx_k7 AS (
+  SELECT * FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
+      SELECT q.question_id, q.top_k, c.project_id || '::' || c.chunk_id AS chunk_id,
+             round(greatest(0, coalesce(d.dot, 0)), 4) AS score
+      FROM fx_q q JOIN fx_chunks c ON c.project_id = q.project_id
+      LEFT JOIN (SELECT v.question_id, cv.project_id, cv.chunk_id, sum(v.w * cv.w) AS dot
+                 FROM fx_qv768 v JOIN fx_q q2 ON q2.question_id = v.question_id
+                 JOIN fx_cv cv ON cv.project_id = q2.project_id AND cv.b = v.b
+                 GROUP BY v.question_id, cv.project_id, cv.chunk_id) d
+        ON d.question_id = q.question_id AND d.project_id = c.project_id AND d.chunk_id = c.chunk_id) s)
+  WHERE rank <= top_k)"""
+
+
 def _vector_checksum(df):
     s = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return df.select("project_id", "id", F.round(s, 4).alias("vec_sum"),
@@ -596,18 +610,7 @@ SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY o1
   SELECT k.question_id, '', k.rank, c.file_path, c.name, c.chunk_type, nullif(c.line, 0), nullif(c.end_line, 0)
   FROM fx_k7 k JOIN fx_chunks c ON c.project_id || '::' || c.chunk_id = k.chunk_id
   JOIN fx_cls q ON q.question_id = k.question_id WHERE q.question_type = 'SEMANTIC_SEARCH')""",
-    extra=[bucket_vec(768, "fx_qv768"), FX_CHUNK_VEC, """fx_k7 AS (
-  SELECT * FROM (
-    SELECT s.*, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
-      SELECT q.question_id, q.top_k, c.project_id || '::' || c.chunk_id AS chunk_id,
-             round(greatest(0, coalesce(d.dot, 0)), 4) AS score
-      FROM fx_q q JOIN fx_chunks c ON c.project_id = q.project_id
-      LEFT JOIN (SELECT v.question_id, cv.project_id, cv.chunk_id, sum(v.w * cv.w) AS dot
-                 FROM fx_qv768 v JOIN fx_q q2 ON q2.question_id = v.question_id
-                 JOIN fx_cv cv ON cv.project_id = q2.project_id AND cv.b = v.b
-                 GROUP BY v.question_id, cv.project_id, cv.chunk_id) d
-        ON d.question_id = q.question_id AND d.project_id = c.project_id AND d.chunk_id = c.chunk_id) s)
-  WHERE rank <= top_k)"""]))
+    extra=[bucket_vec(768, "fx_qv768"), FX_CHUNK_VEC, FX_K7]))
 def l12_answer_sources(spark, sf_dir):
     return corpus(spark, sf_dir).answer_sources
 
@@ -823,3 +826,19 @@ WHERE c.question_type = 'FILE'"""))
 def l9_file_context(spark, sf_dir):
     ctx = corpus(spark, sf_dir).contexts
     return ctx.where(F.col("strategy") == "file").select("question_id", "context")
+
+
+@register("l10_semantic_context", with_fixture("""
+SELECT c.question_id, 'Search results: ' || coalesce(x.n, 0) || chr(10) || chr(10) || coalesce(x.txt, '') AS context
+FROM fx_cls c LEFT JOIN (
+  SELECT k.question_id, count(*) AS n,
+         string_agg('Chunk ' || k.rank || '/' || cnt.n || ': ' || ch.name || ' (' || ch.chunk_type || ', '
+                    || ch.file_path || ', score ' || printf('%.4f', k.score) || ')' || chr(10) || ch.code,
+                    chr(10) || chr(10) ORDER BY k.rank) AS txt
+  FROM fx_k7 k JOIN fx_chunks ch ON ch.project_id || '::' || ch.chunk_id = k.chunk_id
+  JOIN (SELECT question_id, count(*) AS n FROM fx_k7 GROUP BY ALL) cnt ON cnt.question_id = k.question_id
+  GROUP BY k.question_id) x USING (question_id)
+WHERE c.question_type = 'SEMANTIC_SEARCH'""", extra=[bucket_vec(768, "fx_qv768"), FX_CHUNK_VEC, FX_K7]))
+def l10_semantic_context(spark, sf_dir):
+    ctx = corpus(spark, sf_dir).contexts
+    return ctx.where(F.col("strategy") == "semantic_search").select("question_id", "context")
