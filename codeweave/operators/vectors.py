@@ -39,6 +39,8 @@ _TOKEN = re.compile(r"[a-z0-9_]+")
 # question batches are broadcast to the chunk scan only up to this many bytes
 # of query vectors (rows x dimensions x 8); beyond it the shuffle join runs
 BROADCAST_QUESTION_BYTES = 128 * 1024 * 1024
+# cells of one (vectors x questions) score block inside a task
+MATRIX_BUDGET = 4_000_000
 
 
 class HashedTokenEmbedder:
@@ -194,6 +196,7 @@ def _score_blocks(q: DataFrame, vectors: DataFrame, qvec_col: str, vec_col: str,
         by_project[pid] = (np.array([r["question_id"] for r in rs], dtype=np.int64),
                            np.array([r["top_k"] for r in rs], dtype=np.int64), m)
     bc = spark.sparkContext.broadcast(by_project)
+    budget = MATRIX_BUDGET
     v = vectors.select("project_id", id_col, vec_col, *extra_cols)
     out_fields = [T.StructField("question_id", T.LongType()), T.StructField("top_k", T.IntegerType()),
                   v.schema[id_col]] + [v.schema[c] for c in extra_cols] + [T.StructField("_sim", T.DoubleType())]
@@ -206,27 +209,27 @@ def _score_blocks(q: DataFrame, vectors: DataFrame, qvec_col: str, vec_col: str,
                 if pid not in qs:
                     continue
                 qids, ks, qm = qs[pid]
-                cm = np.stack([np.asarray(x, dtype=np.float64) for x in part[vec_col]])
+                cm_all = np.stack([np.asarray(x, dtype=np.float64) for x in part[vec_col]])
                 if not unit_vectors:
-                    n = np.linalg.norm(cm, axis=1, keepdims=True)
-                    cm = np.divide(cm, n, out=np.zeros_like(cm), where=n > 0)
-                sims = cm @ qm.T                       # (chunks, questions)
-                rounded = np.round(np.maximum(sims, 0.0), 4)
-                keep_rows, keep_cols = [], []
-                for j in range(sims.shape[1]):
-                    col = rounded[:, j]
-                    k = min(int(ks[j]), len(col))
-                    kth = np.partition(col, len(col) - k)[len(col) - k]
-                    idx = np.nonzero(col >= kth - 1e-4)[0]
-                    keep_rows.append(idx)
-                    keep_cols.append(np.full(len(idx), j))
-                ri = np.concatenate(keep_rows)
-                ci = np.concatenate(keep_cols)
-                res = part.iloc[ri][[id_col] + extra_cols].reset_index(drop=True)
-                res.insert(0, "top_k", ks[ci].astype(np.int32))
-                res.insert(0, "question_id", qids[ci])
-                res["_sim"] = sims[ri, ci]
-                yield res[[f.name for f in out_fields]]
+                    n = np.linalg.norm(cm_all, axis=1, keepdims=True)
+                    cm_all = np.divide(cm_all, n, out=np.zeros_like(cm_all), where=n > 0)
+                # row blocks keep the score matrix within MATRIX_BUDGET cells
+                step = max(1, budget // max(1, len(qids)))
+                for lo in range(0, len(cm_all), step):
+                    sims = cm_all[lo:lo + step] @ qm.T                  # (rows, questions)
+                    rounded = np.round(np.maximum(sims, 0.0), 4)
+                    rows = rounded.shape[0]
+                    k = np.minimum(ks, rows)
+                    kmax = int(k.max())
+                    top = -np.sort(-np.partition(-rounded, kmax - 1, axis=0)[:kmax], axis=0) \
+                        if kmax < rows else -np.sort(-rounded, axis=0)
+                    kth = top[k - 1, np.arange(len(k))]
+                    ri, ci = np.nonzero(rounded >= kth[None, :] - 1e-4)
+                    res = part.iloc[lo + ri][[id_col] + extra_cols].reset_index(drop=True)
+                    res.insert(0, "top_k", ks[ci].astype(np.int32))
+                    res.insert(0, "question_id", qids[ci])
+                    res["_sim"] = sims[ri, ci]
+                    yield res[[f.name for f in out_fields]]
 
     return spread(v).mapInPandas(run, schema)
 

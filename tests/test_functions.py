@@ -103,3 +103,16 @@ def test_search_slices_large_batches(spark, monkeypatch):
     monkeypatch.setattr(V, "BROADCAST_QUESTION_BYTES", 200)
     sliced = sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect()))
     assert one == sliced and len(one) == 90
+
+
+def test_search_blocks_match_join(spark, monkeypatch):
+    """Block scoring (small blocks forced) equals the join-based scoring."""
+    import codeweave.operators.vectors as V
+    vec = spark.createDataFrame([(f"p{i % 2}", f"c{i}", [float(i % 7), 1.0, float(i % 3)]) for i in range(60)],
+                                "project_id string, id string, embedding array<double>")
+    qs = spark.createDataFrame([(j, f"p{j % 2}", 1 + j % 6, [1.0, float(j % 4), 0.5]) for j in range(25)],
+                               "question_id long, project_id string, top_k int, qvec array<double>")
+    ref = sorted(map(tuple, V.search(qs, vec, unit_vectors=False, method="join").collect()))
+    monkeypatch.setattr(V, "MATRIX_BUDGET", 30)
+    got = sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect()))
+    assert got == ref
