@@ -18,7 +18,7 @@ from ..operators import entities as E
 from ..operators import files as FL
 from ..operators import graphs as G
 from ..operators import resolve as R
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_code
 from ..sources import fixtures as FX
 from ..sources.store import materialize
 from ..sources.store import materialize as store_table
@@ -39,6 +39,7 @@ class Corpus:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         ensure_checkpoint_dir(spark)
+        ship_code(spark)
 
     # ------------------------------------------------------------ sources
     @cached_property
