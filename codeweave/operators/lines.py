@@ -19,12 +19,26 @@ from ..functions.text import split_lines
 FILE_KEY = ["project_id", "file_path"]
 
 
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
 def partition_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Hash-partition file rows by (project_id, file_path): the one shuffle of
-    the extraction job."""
-    if num_partitions:
-        return files.repartition(num_partitions, *FILE_KEY)
-    return files.repartition(*FILE_KEY)
+    the extraction job.  Without an explicit count the partition number
+    follows the optimizer's size estimate (about 128 MB of file rows per
+    partition, never fewer than ``spark.sql.shuffle.partitions``), so the
+    same code keeps partitions small on a 100 TB corpus; AQE coalesces the
+    small ones on small inputs."""
+    if not num_partitions:
+        spark = files.sparkSession
+        size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        needed = -(-size // TARGET_PARTITION_BYTES)
+        if needed <= base:
+            # coalescable by AQE (no fixed count)
+            return files.repartition(*FILE_KEY)
+        num_partitions = needed
+    return files.repartition(num_partitions, *FILE_KEY)
 
 
 def file_lines(files: DataFrame) -> DataFrame:
