@@ -177,13 +177,10 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
     defs = fdefs.unionByName(cdefs)
 
     # --- extents ---------------------------------------------------------
-    # brace languages: the block opened at depth d0 closes on the first later
-    # line whose depth drops through d0
-    lead_depth = F.col("depth_min")
-    d_opens = defs.where(~is_py).select(
-        *FILE_KEY, "line", "open_id",
-        F.when(F.col("depth_min") < F.col("depth_before"), lead_depth)
-        .otherwise(F.col("depth_before")).alias("level"))
+    # brace languages: the block opened at depth d0 (the depth after any
+    # leading '}' of the line) closes on the first later line whose depth
+    # drops through d0; blocks opened and closed on one line are handled below
+    d_opens = defs.where(~is_py).select(*FILE_KEY, "line", "open_id", F.col("depth_min").alias("level"))
     d_closes = (lf.where((F.col("language") != "Python") & (F.col("depth_min") < F.col("depth_before")))
                 .select(*FILE_KEY, "line", F.explode(F.sequence(F.col("depth_min"), F.col("depth_before") - 1))
                         .alias("level"), F.col("line").cast("int").alias("close_at")))

@@ -34,10 +34,11 @@ def partition_files(files: DataFrame, num_partitions: int | None = None) -> Data
         size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         base = int(spark.conf.get("spark.sql.shuffle.partitions"))
         needed = -(-size // TARGET_PARTITION_BYTES)
-        if needed <= base:
+        # an unknown size is reported as Long.MaxValue: keep the default
+        if needed <= base or size >= (1 << 62):
             # coalescable by AQE (no fixed count)
             return files.repartition(*FILE_KEY)
-        num_partitions = needed
+        num_partitions = int(min(needed, 1 << 20))
     return files.repartition(num_partitions, *FILE_KEY)
 
 
