@@ -268,3 +268,28 @@ def summarize_projects(module_summaries: DataFrame, info: DataFrame, stats: Data
     prompts = project_prompts(module_summaries, info, stats)
     responses = materialize(infer(prompts, fn, "prompt"), "responses-project")
     return parse_project_answer(responses)
+
+
+@dataclass
+class Understanding:
+    """The summary hierarchy, one table per level, plus the batches
+    whose answers were incomplete."""
+    functions: DataFrame
+    files: DataFrame
+    modules: DataFrame
+    projects: DataFrame
+    errors: DataFrame
+
+
+def understand(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame,
+               modules: DataFrame, members: DataFrame, info: DataFrame, stats: DataFrame, fn) -> Understanding:
+    """Function -> file -> module -> project summaries in one call; each
+    level is stored before the next one reads it."""
+    fr = summarize_functions(files, functions, fn)
+    fsum = materialize(fr.summaries, "understand-functions")
+    flr = summarize_files(file_context(files, fsum, classes, imports), fn)
+    flsum = materialize(flr.summaries, "understand-files")
+    mr = summarize_modules(module_context(modules, members, flsum), fn)
+    msum = materialize(mr.summaries, "understand-modules")
+    proj = summarize_projects(msum.select("project_id", "pos", "name", "file_count", "summary"), info, stats, fn)
+    return Understanding(fsum, flsum, msum, proj, fr.errors.unionByName(flr.errors).unionByName(mr.errors))

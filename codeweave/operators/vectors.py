@@ -296,3 +296,15 @@ def lsh_candidates(questions: DataFrame, vectors: DataFrame, max_distance: float
     return (j.where(F.col("datasetA.q_project") == F.col("datasetB.project_id"))
             .select(F.col("datasetA.question_id").alias("question_id"), F.col("datasetB.id").alias("id"),
                     score(1 - F.col("dist") * F.col("dist") / 2).alias("score")))
+
+
+def embedding_mismatches(chunks: DataFrame, vectors: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """Chunks without a vector and vectors without a chunk (the original
+    zips the two lists and silently drops the tail); two anti joins on the
+    chunk key, reported as rows (side, project_id, id)."""
+    key = ["project_id", id_col]
+    c = chunks.select(*key)
+    v = vectors.select(*key)
+    return (c.join(v, key, "left_anti").withColumn("side", F.lit("chunk_without_vector"))
+            .unionByName(v.join(c, key, "left_anti").withColumn("side", F.lit("vector_without_chunk")))
+            .select("side", "project_id", F.col(id_col).alias("id")))

@@ -842,3 +842,50 @@ WHERE c.question_type = 'SEMANTIC_SEARCH'""", extra=[bucket_vec(768, "fx_qv768")
 def l10_semantic_context(spark, sf_dir):
     ctx = corpus(spark, sf_dir).contexts
     return ctx.where(F.col("strategy") == "semantic_search").select("question_id", "context")
+
+
+@register("d14_embedding_mismatches", with_fixture("""
+SELECT 'chunk_without_vector' AS side, project_id, chunk_id AS id FROM fx_chunks WHERE false"""))
+def d14_embedding_mismatches(spark, sf_dir):
+    from ..operators.vectors import embedding_mismatches
+    c = corpus(spark, sf_dir)
+    return embedding_mismatches(c.chunks, c.chunk_vectors)
+
+
+@register("e24_understanding_counts", with_fixture("""
+SELECT p.project_id, coalesce(f.n, 0) AS functions, coalesce(fl.n, 0) AS files, coalesce(m.n, 0) AS modules,
+       CAST(1 AS BIGINT) AS projects, coalesce(e.n, 0) AS incomplete_batches
+FROM (SELECT DISTINCT project_id FROM fx_src) p
+LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_fsum GROUP BY ALL) f USING (project_id)
+LEFT JOIN (SELECT project_id, count(*) AS n FROM fx_flsum GROUP BY ALL) fl USING (project_id)
+LEFT JOIN (SELECT project_id, count(*) AS n FROM (
+             SELECT *, (rn - 1) // 10 + 1 AS batch_no, least(10, total - ((rn - 1) // 10) * 10) AS batch_count FROM (
+               SELECT m.*, row_number() OVER (PARTITION BY project_id ORDER BY name, first_file) AS rn,
+                      count(*) OVER (PARTITION BY project_id) AS total FROM fx_mods m))
+           WHERE NOT (batch_no % 5 = 0 AND batch_count >= 2) GROUP BY ALL) m USING (project_id)
+LEFT JOIN (SELECT project_id, count(*) AS n FROM (
+             SELECT DISTINCT project_id, batch_no FROM fx_fb WHERE batch_no % 5 = 0 AND batch_count >= 2
+             UNION ALL
+             SELECT DISTINCT project_id, batch_no FROM (
+               SELECT project_id, (rn - 1) // 10 + 1 AS batch_no, least(10, total - ((rn - 1) // 10) * 10) AS batch_count
+               FROM (SELECT c.*, row_number() OVER (PARTITION BY project_id ORDER BY rel_path) AS rn,
+                            count(*) OVER (PARTITION BY project_id) AS total FROM fx_fctx c))
+             WHERE batch_no % 5 = 0 AND batch_count >= 2)
+           GROUP BY ALL) e USING (project_id)"""))
+def e24_understanding_counts(spark, sf_dir):
+    from ..operators.rollup import understand
+    c = corpus(spark, sf_dir)
+    u = understand(c.files, c.functions, c.classes, c.imports, c.modules, c.module_files, c.project_info,
+                   c.graph_stats, c.model)
+
+    def count(df, name):
+        return df.groupBy("project_id").agg(F.count(F.lit(1)).alias(name))
+    errs = u.errors.select("project_id", "level", "batch_no").distinct()
+    out = (c.files.select("project_id").distinct()
+           .join(count(u.functions, "functions"), "project_id", "left")
+           .join(count(u.files, "files"), "project_id", "left")
+           .join(count(u.modules, "modules"), "project_id", "left")
+           .join(count(u.projects, "projects"), "project_id", "left")
+           .join(count(errs, "incomplete_batches"), "project_id", "left"))
+    return out.select("project_id", *[F.coalesce(c_, F.lit(0)).alias(c_) for c_ in
+                                      ["functions", "files", "modules", "projects", "incomplete_batches"]])
