@@ -151,7 +151,9 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
     # persisted and all branches below read it
     lf = (lf.withColumn("_fm", _rule_matches(FUNCTION_RULES, "_code"))
           .withColumn("_cname", _class_match("_code"))
-          .withColumn("_cc", _call_code()))
+          .withColumn("_cc", _call_code())
+          # the stripped code copies are not needed below (calls read `_cc`)
+          .drop("code", "_code", "is_content", "indent"))
     if materialize:
         # computed once (persisted), then written as a reliable checkpoint:
         # lineage is cut so every branch below plans against a small scan,
@@ -344,7 +346,7 @@ def _call_code() -> F.Column:
 def _calls(lf: DataFrame, functions: DataFrame) -> DataFrame:
     """Call sites with the callee cut after its last '.', and the
     innermost enclosing named function as caller (NULL at top level)."""
-    live = lf.where(~F.col("in_string") & (F.col("code").contains("(")))
+    live = lf.where(~F.col("in_string") & F.col("_cc").isNotNull())
     news = F.regexp_extract_all(F.col("_cc"), F.lit(CALL_PATTERN), 1)
     names = F.regexp_extract_all(F.col("_cc"), F.lit(CALL_PATTERN), 2)
     pairs = F.arrays_zip(news.alias("new"), names.alias("name"))
