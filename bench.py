@@ -34,43 +34,42 @@ def main():
         fn()
         times[name] = round(time.time() - t0, 3)
 
-    # warm-up on the smallest data so JIT/codegen is not billed to the first pipeline
-    warm = Corpus(spark, "/root/testdata/sf0.001")
-    force(warm.call_edges)
-
-    c = Corpus(spark, sf_dir)
-    timed("load_corpus", lambda: force(c.source_tree))
-
-    def p1():
-        force(c.call_edges)
-        force(c.call_nodes)
-        force(c.dep_edges)
-        force(c.dep_nodes)
-    timed("p1_graphs", p1)
-
-    def p2():
-        # index = re-index of every project in the batch (A7: dynamic
-        # partition overwrite of the project partitions)
-        from codeweave.sources.store import VectorStore, scratch_path
-        recs = c.chunk_records
-        store = VectorStore(spark, scratch_path(recs, "bench-store"))
-        store.replace_projects(recs)
-    timed("p2_index", p2)
-
-    def p3():
-        force(c.contexts)
-        force(c.answer_sources)
-        force(c.answers)
-    timed("p3_ask", p3)
-
-    def p4():
-        force(c.project_summary)
-    timed("p4_rollup", p4)
-
-    def p5():
-        force(c.project_info)
-        force(c.modules)
-    timed("p5_project_info", p5)
+    def run_all(c, record):
+        record("load_corpus", lambda: force(c.source_tree))
+
+        def p1():
+            force(c.call_edges)
+            force(c.call_nodes)
+            force(c.dep_edges)
+            force(c.dep_nodes)
+        record("p1_graphs", p1)
+
+        def p2():
+            # index = re-index of every project in the batch (A7: dynamic
+            # partition overwrite of the project partitions)
+            from codeweave.sources.store import VectorStore, scratch_path
+            recs = c.chunk_records
+            store = VectorStore(spark, scratch_path(recs, "bench-store"))
+            store.replace_projects(recs)
+        record("p2_index", p2)
+
+        def p3():
+            force(c.contexts)
+            force(c.answer_sources)
+            force(c.answers)
+        record("p3_ask", p3)
+        record("p4_rollup", lambda: force(c.project_summary))
+
+        def p5():
+            force(c.project_info)
+            force(c.modules)
+        record("p5_project_info", p5)
+
+    # warm-up: every pipeline once on the smallest data, so JVM JIT and
+    # generated code are not billed to the measured run
+    run_all(Corpus(spark, "/root/testdata/sf0.001"), lambda name, fn: fn())
+
+    run_all(Corpus(spark, sf_dir), timed)
 
     total = round(sum(v for k, v in times.items()), 3)
     sf = os.path.basename(sf_dir).replace("sf", "")
