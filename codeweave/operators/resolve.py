@@ -12,7 +12,7 @@ nested loop) and no per-candidate join chain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -55,22 +55,49 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     Resolution order for a name: same file (first definition), else first
     definition in the project, else a fallback (caller: this file with a NULL
     line; callee: the 'external' file).  A top-level call's caller is the
-    file's base name."""
-    in_file = first_definition_in_file(functions)
-    in_proj = first_definition_in_project(functions)
+    file's base name.
+
+    Plan: the same-file lookups need no join -- definitions and the two
+    probes of every call (its caller name and its callee name) are unioned,
+    repartitioned ONCE by (project_id, file_path), and a window per
+    (file, name) hands every probe the file's first definition; the probes
+    are folded back per call inside the same partitioning.  Only the calls
+    that stay unresolved meet the one-row-per-name project index in a join."""
     c = calls.where(F.col("callee").isNotNull() & (F.col("callee") != ""))
+    cols = ["ord", "caller", "callee", "line"]
+    defs = functions.select(*FILE_KEY, F.col("name").alias("_key"), F.lit(0).alias("_kind"),
+                            F.col("ord").alias("_dord"), F.col("line").alias("_dline"),
+                            *[F.lit(None).cast(t).alias(n) for n, t in
+                              (("ord", "int"), ("caller", "string"), ("callee", "string"), ("line", "int"))])
+    probe = [c.select(*FILE_KEY, F.col(name).alias("_key"), F.lit(kind).alias("_kind"),
+                      F.lit(None).cast("int").alias("_dord"), F.lit(None).cast("int").alias("_dline"), *cols)
+             for name, kind in (("caller", 1), ("callee", 2))]
+    ev = (defs.unionByName(probe[0].where(F.col("_key").isNotNull())).unionByName(probe[1])
+          .repartition(*FILE_KEY))
+    w = Window.partitionBy(*FILE_KEY, "_key")
+    ev = (ev.withColumn("_first", F.min_by("_dline", "_dord").over(w))
+          .where(F.col("_kind") > 0))
+    per_call = (ev.groupBy(*FILE_KEY, "ord")
+                .agg(F.first("caller", ignorenulls=True).alias("caller"),
+                     F.first("callee", ignorenulls=True).alias("callee"),
+                     F.first("line", ignorenulls=True).alias("line"),
+                     F.max(F.when(F.col("_kind") == 1, F.col("_first"))).alias("cr_fline"),
+                     F.max(F.when(F.col("_kind") == 2, F.col("_first"))).alias("ce_fline")))
+
+    in_proj = first_definition_in_project(functions)
 
-    def lookup(df, name_col, prefix):
-        f = in_file.select(*FILE_KEY, F.col("name").alias(name_col),
-                           F.col("def_line").alias(prefix + "_fline"))
+    def project_fallback(df, name_col, prefix):
+        """Left join with the project index, only for rows without a
+        same-file definition (and a name to look up)."""
+        need = F.col(prefix + "_fline").isNull() & F.col(name_col).isNotNull()
         p = in_proj.select("project_id", F.col("name").alias(name_col),
                            F.col("def_file").alias(prefix + "_pfile"),
                            F.col("def_line").alias(prefix + "_pline"))
-        return (df.join(f, FILE_KEY + [name_col], "left")
-                .join(p, ["project_id", name_col], "left"))
+        done = (df.where(~need).withColumn(prefix + "_pfile", F.lit(None).cast("string"))
+                .withColumn(prefix + "_pline", F.lit(None).cast("int")))
+        return done.unionByName(df.where(need).join(p, ["project_id", name_col], "left"))
 
-    c = lookup(c, "caller", "cr")
-    c = lookup(c, "callee", "ce")
+    r = project_fallback(project_fallback(per_call, "caller", "cr"), "callee", "ce")
     caller = (F.when(F.col("caller").isNull(),
                      F.struct(P.basename(F.col("file_path")).alias("name"),
                               F.col("file_path").alias("file"), F.lit(None).cast("int").alias("line")))
@@ -90,7 +117,7 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
                              F.col("ce_pline").alias("line")))
               .otherwise(F.struct(F.col("callee").alias("name"), F.lit(EXTERNAL_FILE).alias("file"),
                                   F.lit(None).cast("int").alias("line"))))
-    return c.select(*FILE_KEY, "ord", caller.alias("caller_info"), callee.alias("callee_info"),
+    return r.select(*FILE_KEY, "ord", caller.alias("caller_info"), callee.alias("callee_info"),
                     F.col("line").alias("call_line"))
 
 
