@@ -61,8 +61,8 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     probes of every call (its caller name and its callee name) are unioned,
     repartitioned ONCE by (project_id, file_path), and a window per
     (file, name) hands every probe the file's first definition; the probes
-    are folded back per call inside the same partitioning.  Only the calls
-    that stay unresolved meet the one-row-per-name project index in a join."""
+    are folded back per call inside the same partitioning; then one left join
+    per side with the one-row-per-name project index supplies the fallback."""
     c = calls.where(F.col("callee").isNotNull() & (F.col("callee") != ""))
     cols = ["ord", "caller", "callee", "line"]
     defs = functions.select(*FILE_KEY, F.col("name").alias("_key"), F.lit(0).alias("_kind"),
@@ -87,15 +87,12 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     in_proj = first_definition_in_project(functions)
 
     def project_fallback(df, name_col, prefix):
-        """Left join with the project index, only for rows without a
-        same-file definition (and a name to look up)."""
-        need = F.col(prefix + "_fline").isNull() & F.col(name_col).isNotNull()
+        """Left join with the one-row-per-name project index; rows resolved
+        in their own file keep their same-file answer."""
         p = in_proj.select("project_id", F.col("name").alias(name_col),
                            F.col("def_file").alias(prefix + "_pfile"),
                            F.col("def_line").alias(prefix + "_pline"))
-        done = (df.where(~need).withColumn(prefix + "_pfile", F.lit(None).cast("string"))
-                .withColumn(prefix + "_pline", F.lit(None).cast("int")))
-        return done.unionByName(df.where(need).join(p, ["project_id", name_col], "left"))
+        return df.join(p, ["project_id", name_col], "left")
 
     r = project_fallback(project_fallback(per_call, "caller", "cr"), "callee", "ce")
     caller = (F.when(F.col("caller").isNull(),
