@@ -58,10 +58,16 @@ def language_distribution(tree: DataFrame) -> DataFrame:
             .groupBy("project_id", "language").agg(F.count(F.lit(1)).alias("files")))
 
 
-def project_info(tree: DataFrame) -> DataFrame:
+def project_info(tree: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """E6-E10 + D16: one row per project with language, framework,
     package_manager, build_tool, has_readme, has_docker, has_gitignore and
-    the language distribution map."""
+    the language distribution map.
+
+    ``tree`` supplies paths and languages only (its content is never read
+    when ``configs`` is given); ``configs`` holds (project_id, rel_path,
+    content) of the candidate config files, e.g. from a glob-filtered listing
+    (``sources.filesystem.read_config_files``).  Without it the candidates
+    are picked from ``tree`` in one pass."""
     projects = tree.select("project_id").distinct()
     root = F.col("rel_path")
     flags = (tree.groupBy("project_id").agg(
@@ -74,8 +80,9 @@ def project_info(tree: DataFrame) -> DataFrame:
 
     # one pass over the tree picks the config-file candidates (the only rows
     # whose content is read); every rule below works on that small table
+    src = configs if configs is not None else tree
     cand_files = materialize(
-        tree.where(P.basename(F.col("rel_path")).isin(*CONFIG_NAMES) & (F.size(F.split("rel_path", "/")) <= 3))
+        src.where(P.basename(F.col("rel_path")).isin(*CONFIG_NAMES) & (F.size(F.split("rel_path", "/")) <= 3))
         .select("project_id", "rel_path", "content"), "config-candidates")
     req = config_files(cand_files, "requirements.txt")
     pyproject = config_files(cand_files, "pyproject.toml")

@@ -187,10 +187,17 @@ class Corpus:
     def module_summaries(self) -> DataFrame:
         return store_table(self.module_run.summaries, "module_summaries")
 
+    @cached_property
+    def config_files(self) -> DataFrame:
+        """Candidate config files (the generated sources have code suffixes
+        only, so the config-file table holds all of them)."""
+        return FX.fx_config(self.spark, self.sf_dir)
+
     @cached_property
     def project_info(self) -> DataFrame:
         from ..operators.project import project_info
-        return store_table(project_info(self.all_files), "project_info")
+        tree = self.all_files.select("project_id", "rel_path", "ext", "language")
+        return store_table(project_info(tree, self.config_files), "project_info")
 
     @cached_property
     def graph_stats(self) -> DataFrame:

@@ -48,3 +48,20 @@ def read_corpus(spark: SparkSession, root: str, source_only: bool = True, strict
     df = df.select("project_id", F.col("_p").alias("file_path"),
                    P.normpath("rel_path").alias("rel_path"), decode(F.col("content")).alias("content"))
     return files_from_paths(df)
+
+
+def read_config_files(spark: SparkSession, root: str) -> DataFrame:
+    """Config files of every project under ``root`` (requirements.txt,
+    package.json, ...), picked by the listing's ``pathGlobFilter`` so that only
+    their contents are read; input of ``project.project_info(tree, configs)``."""
+    from ..operators.project import CONFIG_NAMES
+    root = root.rstrip("/")
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", "{" + ",".join(CONFIG_NAMES) + "}").load(root))
+    path = F.regexp_replace(F.col("path"), r"^file:", "")
+    rel_all = F.expr(f"substring(_p, {len(root) + 2})")
+    df = (raw.withColumn("_p", path).withColumn("_rel_all", rel_all)
+          .withColumn("project_id", F.element_at(F.split("_rel_all", "/"), 1))
+          .withColumn("rel_path", F.expr("substring(_rel_all, length(project_id) + 2)")))
+    return df.select("project_id", P.normpath("rel_path").alias("rel_path"),
+                     decode_lenient(F.col("content")).alias("content"))

@@ -4,7 +4,7 @@ import os
 import tempfile
 
 from codeweave.operators.files import discover_source_files, source_files
-from codeweave.sources.filesystem import read_corpus
+from codeweave.sources.filesystem import read_config_files, read_corpus
 
 
 def test_read_corpus(spark):
@@ -16,6 +16,7 @@ def test_read_corpus(spark):
         "projA/README.md": "hello\n",
         "projB/lib/u.js": "function u(q) {\n  return q;\n}\n",
         "projB/bad.py": None,
+        "projB/web/package.json": '{"dependencies": {"react": "1"}}',
     }
     for rel, text in files.items():
         path = os.path.join(root, rel)
@@ -33,3 +34,10 @@ def test_read_corpus(spark):
     assert {r.language for r in source_files(df).collect()} == {"Python", "JavaScript"}
     everything = read_corpus(spark, root, source_only=False, strict=False)
     assert ("projA", "README.md") in {(r.project_id, r.rel_path) for r in everything.collect()}
+
+    cfg = {(r.project_id, r.rel_path) for r in read_config_files(spark, root).collect()}
+    assert cfg == {("projB", "web/package.json")}
+    from codeweave.operators.project import project_info
+    info = {r.project_id: r for r in project_info(everything.select("project_id", "rel_path", "ext", "language"),
+                                                   read_config_files(spark, root)).collect()}
+    assert info["projB"].framework == "React" and info["projA"].has_readme
