@@ -43,8 +43,9 @@ FUNCTION_RULES = {
     ],
     "Java": [
         r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
-        r"(?:<[^>]+>\s+)?(?!(?:return|new|throw|else|case|if|for|while|switch|catch|do|try)\b)[\w$.<>\[\],?]+(?:\s*\[\])*\s+"
-        r"(?!(?:if|for|while|switch|catch)\b)(" + _ID + r")\s*\((?!.*;\s*$)",
+        r"(?:<[^>]+>\s+)?(?!(?:return|new|throw|else|case|if|for|while|switch|catch|do|try|assert|yield)\b)"
+        r"[\w$.<>\[\],?]+(?:\s*\[\])*\s+"
+        r"(?!(?:if|for|while|switch|catch)\b)(" + _ID + r")\s*\(",
         r"^\s*(?:(?:public|protected|private)\s+)?([A-Z][\w$]*)\s*\((?!.*;\s*$)(?=.*(?:\{|\)|,)\s*$)",
     ],
     "C++": [
@@ -206,12 +207,15 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
     sig_end = next_close(s_opens, s_closes).withColumnRenamed("close_at", "sig_close")
 
     arrow_expr = (F.col("language") == "JavaScript") & F.col("text").rlike(r"=>") & ~F.col("text").rlike(r"=>\s*\{")
+    # Java interface / abstract methods: a declaration without a body
+    bodiless = (F.col("language") == "Java") & F.col("text").rlike(r"\)\s*(?:throws\s+[\w$.,\s]+)?;\s*(?://.*)?$") \
+        & ~F.col("text").contains("{")
     one_line_brace = F.col("has_open_brace") & (F.col("depth_after") <= F.col("depth_before"))
     ent = (defs.join(ends, FILE_KEY + ["open_id"], "left").join(sig_end, FILE_KEY + ["open_id"], "left"))
     py_one = F.col("next_logical").isNotNull() & (F.col("next_logical.rank") <= F.col("rank"))
     end_line = (F.when(is_py, F.when(py_one, F.col("next_logical.prev_content"))
                        .otherwise(F.coalesce(F.col("close_at"), F.col("last_content"))))
-                .when(arrow_expr | one_line_brace, F.col("line"))
+                .when(arrow_expr | one_line_brace | bodiless, F.col("line"))
                 .otherwise(F.coalesce(F.col("close_at"), F.col("n_lines"))))
     ent = ent.withColumn("end_line", end_line.cast("int")).withColumn(
         "sig_end", F.coalesce(F.col("sig_close"), F.col("line")).cast("int"))

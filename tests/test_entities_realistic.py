@@ -85,6 +85,11 @@ public class Service<T> extends Base implements Api {
 
     static <K> void helper(K k) { System.out.println(k); }
 }
+
+interface Api {
+    List<String> names(int limit) throws IOException;
+    void close();
+}
 '''
 
 CPP = '''#include <vector>
@@ -172,7 +177,9 @@ def test_java(ents):
     f = rows(ents.functions, "S.java", "name", "line", "end_line")
     assert f == _s([("Service", ln(JAVA, "public Service(Repo"), ln(JAVA, "super(repo)") + 1),
                         ("find", ln(JAVA, "public List<T> find"), ln(JAVA, "repo.query") + 1),
-                        ("helper", ln(JAVA, "static <K>"), ln(JAVA, "static <K>"))])
+                        ("helper", ln(JAVA, "static <K>"), ln(JAVA, "static <K>")),
+                        ("names", ln(JAVA, "List<String> names"), ln(JAVA, "List<String> names")),
+                        ("close", ln(JAVA, "void close()"), ln(JAVA, "void close()"))])
     assert rows(ents.classes, "S.java", "name", "methods") == [("Service", ["Service", "find", "helper"])]
     assert rows(ents.imports, "S.java", "module") == [("java.util",), ("org.junit.Assert.assertEquals",)]
     calls = rows(ents.calls, "S.java", "caller", "callee")
