@@ -26,3 +26,27 @@ def test_package_key(spark):
     idx = {r.key: r.target for r in module_key_index(df).collect()}
     assert idx["pkg"] == "src/pkg/__init__.py"
     assert idx["pkg.mod"] == "src/pkg/mod.py" and idx["src.pkg.mod"] == "src/pkg/mod.py"
+
+
+def test_resolve_imports(spark):
+    from codeweave.operators.resolve import resolve_imports
+    files = spark.createDataFrame([("p", f) for f in [
+        "src/app/main.py", "src/app/util.py", "src/pkg/__init__.py", "src/lib/helpers.py",
+        "web/user.controller.js", "web/index.js", "web/db/index.js"]], "project_id string, file_path string")
+    imports = spark.createDataFrame([
+        ("p", "src/app/main.py", 1, ".util", 1), ("p", "src/app/main.py", 2, "..pkg", 2),
+        ("p", "src/app/main.py", 3, "..lib.helpers", 3), ("p", "src/app/main.py", 4, "os", 4),
+        ("p", "src/app/main.py", 5, "src.lib.helpers", 5), ("p", "src/app/main.py", 6, "lib.helpers.thing", 6),
+        ("p", "src/app/util.py", 1, ".util", 1),
+        ("p", "web/index.js", 1, "./user.controller", 1), ("p", "web/index.js", 2, "./db", 2)],
+        "project_id string, file_path string, ord int, module string, line int")
+    got = {(r.source, r.module): r.target for r in resolve_imports(imports, files).collect()}
+    assert got == {
+        ("src/app/main.py", ".util"): "src/app/util.py",
+        ("src/app/main.py", "..pkg"): "src/pkg/__init__.py",
+        ("src/app/main.py", "..lib.helpers"): "src/lib/helpers.py",
+        ("src/app/main.py", "src.lib.helpers"): "src/lib/helpers.py",
+        ("src/app/main.py", "lib.helpers.thing"): "src/lib/helpers.py",
+        ("web/index.js", "./user.controller"): "web/user.controller.js",
+        ("web/index.js", "./db"): "web/db/index.js",
+    }
