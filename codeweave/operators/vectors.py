@@ -308,3 +308,23 @@ def embedding_mismatches(chunks: DataFrame, vectors: DataFrame, id_col: str = "c
     return (c.join(v, key, "left_anti").withColumn("side", F.lit("chunk_without_vector"))
             .unionByName(v.join(c, key, "left_anti").withColumn("side", F.lit("vector_without_chunk")))
             .select("side", "project_id", F.col(id_col).alias("id")))
+
+
+def dedupe_records(records: DataFrame, order_cols: tuple[str, ...] = ("file_path", "line", "name")) -> tuple[DataFrame, DataFrame]:
+    """Store records keyed by ``id``: equal ids (same name and line in one
+    file, or two paths with the same slug) keep the first record in
+    (file, line, name) order; the others are returned as a violations
+    table instead of reaching the store.
+
+    Only ids move: a partial aggregate yields the duplicated ids with the
+    key of their first record, and a left join with that (normally tiny)
+    table marks the records -- AQE turns it into a broadcast from its
+    measured size, so the vectors themselves are not shuffled."""
+    key = F.struct(*order_cols)
+    dup = (records.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
+           .where(F.col("_n") > 1))
+    marked = records.join(dup, "id", "left").withColumn(
+        "_keep", F.col("_n").isNull() | (key == F.col("_first")))
+    kept = marked.where("_keep").drop("_n", "_first", "_keep")
+    dups = marked.where(~F.col("_keep")).select("project_id", "id", *order_cols)
+    return kept, dups

@@ -133,9 +133,16 @@ class Corpus:
 
     @cached_property
     def chunk_records(self) -> DataFrame:
-        """A5 input: flat vector records with store ids."""
-        from ..operators.vectors import vector_records
-        return vector_records(self.chunk_vectors)
+        """A5 input: flat vector records with store ids, one per id (see
+        ``duplicate_chunk_ids`` for the records left out)."""
+        from ..operators.vectors import dedupe_records, vector_records
+        kept, self._duplicates = dedupe_records(vector_records(self.chunk_vectors))
+        return kept
+
+    @property
+    def duplicate_chunk_ids(self) -> DataFrame:
+        self.chunk_records
+        return self._duplicates
 
     # ------------------------------------------------------------ roll-up
     model = "echo"

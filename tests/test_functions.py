@@ -116,3 +116,13 @@ def test_search_blocks_match_join(spark, monkeypatch):
     monkeypatch.setattr(V, "MATRIX_BUDGET", 30)
     got = sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect()))
     assert got == ref
+
+
+def test_dedupe_records(spark):
+    from codeweave.operators.vectors import dedupe_records
+    df = spark.createDataFrame([("p", "p::a_b_py_file", "a/b.py", 1, "x"), ("p", "p::a_b_py_file", "a_b.py", 1, "y"),
+                                ("p", "p::c", "c.py", 2, "z")],
+                               "project_id string, id string, file_path string, line int, name string")
+    kept, dups = dedupe_records(df)
+    assert sorted((r.id, r.file_path) for r in kept.collect()) == [("p::a_b_py_file", "a/b.py"), ("p::c", "c.py")]
+    assert [(r.id, r.file_path) for r in dups.collect()] == [("p::a_b_py_file", "a_b.py")]
