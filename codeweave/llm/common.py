@@ -44,6 +44,9 @@ class Scratch:
         df.write.mode("error").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def files(self, name: str) -> SharedFiles:
+        return SharedFiles(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
@@ -51,6 +54,47 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class SharedFiles:
+    """Plain files in a shared folder that tasks write and other tasks map into
+    memory.  A task writes under a name of its own attempt and reports it in its
+    rows, so a repeated task leaves an unread file at worst.  Folders that are
+    paths on every machine are mapped; files of another store are read through
+    ``pyarrow.fs``."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+        self._open: dict[str, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.uri
+
+    def __setstate__(self, uri):
+        self.__init__(uri)
+
+    def _fs(self):
+        from pyarrow import fs
+        if self.uri.startswith("file:"):
+            return fs.LocalFileSystem(), "/" + self.uri[5:].lstrip("/")
+        return fs.FileSystem.from_uri(self.uri)
+
+    def writer(self, name: str):
+        files, folder = self._fs()
+        files.create_dir(folder, recursive=True)
+        return files.open_output_stream(f"{folder}/{name}")
+
+    def array(self, name: str, dtype=U64) -> np.ndarray:
+        if name not in self._open:
+            files, folder = self._fs()
+            if files.type_name == "local":
+                size = files.get_file_info(f"{folder}/{name}").size
+                got = np.memmap(f"{folder}/{name}", dtype=np.uint8, mode="r") if size else np.zeros(0, np.uint8)
+            else:
+                with files.open_input_file(f"{folder}/{name}") as f:
+                    got = np.frombuffer(f.read(), dtype=np.uint8)
+            self._open[name] = got
+        return self._open[name].view(dtype)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 21
                  ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the incoming batches with about ``limit`` bytes of text (one
