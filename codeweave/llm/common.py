@@ -246,8 +246,10 @@ def unpack_positions(blob: bytes) -> np.ndarray:
 KEY_BYTES = 7
 
 
-def bucket_rows(keys: np.ndarray, pos: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, packed positions, packed keys) of the given positions.
+def bucket_rows(keys: np.ndarray, pos: np.ndarray, n_buckets: int, more: np.ndarray | None = None
+                ) -> Iterator[tuple[int, bytes, bytes, bytes | None]]:
+    """(bucket, packed positions, packed keys, packed further values) of the
+    given ascending positions.
 
     The bucket and the ``KEY_BYTES`` low bytes that travel come from
     different bits, so two different keys are taken for one only if all of
@@ -260,7 +262,8 @@ def bucket_rows(keys: np.ndarray, pos: np.ndarray, n_buckets: int) -> Iterator[t
     raw = keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
     for part in np.split(order, cuts):
         if len(part):
-            yield int(bucket[part[0]]), pack_positions(pos[part]), raw[part].tobytes()
+            yield (int(bucket[part[0]]), pack_positions(pos[part]), raw[part].tobytes(),
+                   None if more is None else more[part].tobytes())
 
 
 def unpack_keys(blobs: list[bytes]) -> np.ndarray:
@@ -270,14 +273,33 @@ def unpack_keys(blobs: list[bytes]) -> np.ndarray:
     return out.view(U64).ravel()
 
 
+ENTRY = "bucket int, batch long, pos binary, keys binary, extra binary"
+
+
+def entry_batch(rows: list[tuple], batch: int) -> pa.RecordBatch:
+    """Rows ``(bucket, pos, keys, extra)`` of one batch of texts."""
+    cols = list(zip(*rows))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cols[0], pa.int32()), pa.array([batch] * len(rows), pa.int64()),
+         *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "batch", "pos", "keys", "extra"])
+
+
+def directory_bucket(batch: int, n_buckets: int) -> int:
+    """Directory rows (keys null) pass through buckets of their own."""
+    return n_buckets + batch % n_buckets
+
+
 def repeated_entries(entries: DataFrame) -> DataFrame:
-    """Entries ``(bucket, batch, pos, keys)``, the last two packed, to
-    ``(batch, pos)``: the positions whose key occurs at least twice, in any
-    batches.  One group is one bucket: a bounded number of positions, because
-    the number of buckets follows the input, and a key that fills a third of
-    all positions is a packed array here, not rows."""
+    """Entries ``(bucket, batch, pos, keys, extra)``, positions and keys packed,
+    to ``(batch, pos, extra)``: the positions whose key occurs at least twice,
+    in any batches; rows without keys pass through.  One group is one bucket: a
+    bounded number of positions, because the number of buckets follows the
+    input, and a key that fills a third of all positions is a packed array
+    here, not rows."""
 
     def find(table: pa.Table) -> pa.Table:
+        if not table.column("keys")[0].is_valid:
+            return table.select(["batch", "pos", "extra"])
         batch = table.column("batch").to_pylist()
         pos = [unpack_positions(b) for b in table.column("pos").to_pylist()]
         keys = unpack_keys(table.column("keys").to_pylist())
@@ -293,9 +315,10 @@ def repeated_entries(entries: DataFrame) -> DataFrame:
             if len(mine):
                 out.append((b, pack_positions(mine)))
         return pa.table({"batch": pa.array([o[0] for o in out], pa.int64()),
-                         "pos": pa.array([o[1] for o in out], pa.binary())})
+                         "pos": pa.array([o[1] for o in out], pa.binary()),
+                         "extra": pa.nulls(len(out), pa.binary())})
 
-    return entries.groupBy("bucket").applyInArrow(find, "batch long, pos binary")
+    return entries.groupBy("bucket").applyInArrow(find, "batch long, pos binary, extra binary")
 
 
 def buckets_for(n: int, each: int = 2_000_000, least: int = 64) -> int:

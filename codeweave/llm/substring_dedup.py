@@ -20,18 +20,13 @@ come in the same order when a task is repeated.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (Scratch, Words, bucket_rows, buckets_for, pack_positions, repeated_entries, text_batches,
-                     text_bytes, unpack_positions, window_hashes)
-
-ENTRY = ("bucket int, batch long, pos binary, keys binary, rids binary, firsts binary")
-
+from .common import (ENTRY, Scratch, Words, bucket_rows, buckets_for, directory_bucket, entry_batch,
+                     repeated_entries, text_batches, text_bytes, unpack_positions, window_hashes)
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
@@ -40,8 +35,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def window_entries(rows: DataFrame, size: int, n_buckets: int) -> DataFrame:
     """Per batch of texts: one row per bucket with the packed window positions
-    and hashes, and one directory row (bucket null) with the texts' row
-    numbers and first words.  A batch is named by its first row."""
+    and hashes, and one directory row (no hashes) with the texts' row numbers
+    and first words.  A batch is named by its first row."""
     def run(batches):
         for batch, texts in text_batches(batches, 1, 1 << 22):
             words = Words(texts)
@@ -52,29 +47,26 @@ def window_entries(rows: DataFrame, size: int, n_buckets: int) -> DataFrame:
                 if len(hashes) else np.zeros(0, dtype=bool)
             keys, pos = hashes[inside], start[inside]
             rids = batch.column(0).to_numpy()
-            out = [(b, p, k, None, None) for b, p, k in bucket_rows(keys, pos, n_buckets)]
-            out.append((None, None, None, rids.tobytes(), words.first.astype(np.int64).tobytes()))
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array([int(rids[0])] * len(out), pa.int64()),
-                 *(pa.array(c, pa.binary()) for c in cols[1:])],
-                names=["bucket", "batch", "pos", "keys", "rids", "firsts"])
+            name = int(rids[0])
+            yield entry_batch([*bucket_rows(keys, pos, n_buckets),
+                               (directory_bucket(name, n_buckets), None, None,
+                                np.r_[rids, words.first].astype(np.int64).tobytes())], name)
 
     return rows.select("rid", "text").mapInArrow(run, ENTRY)
 
 
-def intervals(hits: DataFrame, directory: DataFrame, size: int) -> DataFrame:
+def intervals(hits: DataFrame, size: int) -> DataFrame:
     """``rid, spans``: maximal intervals [from, to) of removed words, as packed
     64-bit numbers, of every document that has one."""
     def merge(table: pa.Table) -> pa.Table:
         rids = firsts = None
         marked = []
-        for row in zip(*(table.column(c) for c in ("pos", "rids", "firsts"))):
-            if row[1].is_valid:
-                rids = np.frombuffer(row[1].as_py(), dtype=np.int64)
-                firsts = np.frombuffer(row[2].as_py(), dtype=np.int64)
+        for pos, extra in zip(table.column("pos"), table.column("extra")):
+            if extra.is_valid:
+                both = np.frombuffer(extra.as_py(), dtype=np.int64)
+                rids, firsts = both[:len(both) // 2], both[len(both) // 2:]
             else:
-                marked.append(unpack_positions(row[0].as_py()))
+                marked.append(unpack_positions(pos.as_py()))
         out_rid, out = [], []
         if marked:
             change = np.zeros(int(firsts[-1]) + 1, dtype=np.int32)
@@ -96,17 +88,13 @@ def intervals(hits: DataFrame, directory: DataFrame, size: int) -> DataFrame:
                 out.append((np.stack([begin[mine], end[mine]], axis=1) - firsts[d]).astype(np.int64).tobytes())
         return pa.table({"rid": pa.array(out_rid, pa.int64()), "spans": pa.array(out, pa.binary())})
 
-    both = hits.select("batch", "pos", F.lit(None).cast("binary").alias("rids"),
-                       F.lit(None).cast("binary").alias("firsts")).unionAll(
-        directory.select("batch", "pos", "rids", "firsts"))
-    return both.groupBy("batch").applyInArrow(merge, "rid long, spans binary")
+    return hits.groupBy("batch").applyInArrow(merge, "rid long, spans binary")
 
 
 def removal_spans(scratch: Scratch, rows: DataFrame, size: int) -> DataFrame:
     n_bytes = text_bytes(rows)
     entries = window_entries(rows, size, buckets_for(n_bytes // 6))
-    hits = repeated_entries(entries.where("bucket is not null").select("bucket", "batch", "pos", "keys"))
-    return scratch.store(intervals(hits, entries.where("bucket is null"), size), "spans")
+    return scratch.store(intervals(repeated_entries(entries), size), "spans")
 
 
 def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
