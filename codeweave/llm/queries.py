@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, ship_code
-from . import exact_dedup, near_dedup, packing, substring_dedup, suffix_dedup
+from . import exact_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.score(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), size=35).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -78,6 +83,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": (op1_quality, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op5_pack": (op5_pack, None),
