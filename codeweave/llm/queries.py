@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, ship_code
-from . import exact_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup
+from . import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,47 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"),
+        F.round("probability", 6).alias("probability"), "kept")
+
+
+def _mixing_sql(docs: str, share: float = 0.5, sweeps: int = 25) -> str:
+    """CTEs that end in ``mixed``: rows of the view ``docs`` with their rates."""
+    topics = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in mixing.TOPICS)
+    parts = [f"""feat AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  CASE {topics} ELSE 'prose' END AS topic, len(regexp_extract_all(t, '{mixing.WORD}')) AS n_tokens
+  FROM (SELECT *, coalesce(text, '') AS t FROM {docs})),
+cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM feat GROUP BY ALL)"""]
+    for dim, power in (("source", 0.5), ("lang", 0.5), ("topic", 0.7)):
+        parts.append(f"""t_{dim} AS (SELECT {dim}, pow(m, {power}) / sum(pow(m, {power})) OVER ()
+  * (SELECT sum(n) FROM cells) AS target FROM (SELECT {dim}, sum(n) AS m FROM cells GROUP BY 1) WHERE m > 0)""")
+    last = "(SELECT *, n AS w FROM cells)"
+    for k in range(sweeps):
+        for dim in mixing.DIMS:
+            parts.append(f"""s_{dim}_{k} AS MATERIALIZED (SELECT source, lang, topic, n,
+  CASE WHEN sum(w) OVER (PARTITION BY {dim}) > 0
+    THEN w * coalesce(target, 0) / sum(w) OVER (PARTITION BY {dim}) ELSE 0 END AS w
+  FROM {last} LEFT JOIN t_{dim} USING ({dim}))""")
+            last = f"s_{dim}_{k}"
+    parts.append(f"""r AS (SELECT *, CASE WHEN n > 0 THEN w / n ELSE 1 END AS weight FROM {last}),
+o AS (SELECT *, {share} * sum(n) OVER () AS budget, coalesce(sum(n) OVER before, 0) AS full_n,
+  sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS rest FROM r
+  WINDOW before AS (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT (budget - full_n) / rest AS c FROM o WHERE rest > 0 AND (budget - full_n) / rest * weight < 1
+  ORDER BY weight DESC, source, lang, topic LIMIT 1),
+mixed AS (SELECT doc_id, source, lang, topic, n_tokens, weight, least(1.0, weight * c) AS probability,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < weight * c AS kept
+  FROM feat JOIN r USING (source, lang, topic), c)""")
+    return ",\n".join(parts)
+
+
+OP7_SQL = f"""WITH {_mixing_sql('documents')}
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, kept
+FROM mixed"""
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -87,6 +128,7 @@ QUERIES = {
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op5_pack": (op5_pack, None),
+    "op7_mixing": (op7_mixing, OP7_SQL),
     "op8_near_dedup": (op8_near_dedup, OP8_SQL),
     "op9_suffix_dedup": (op9_suffix_dedup, None),
 }
