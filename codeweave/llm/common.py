@@ -54,6 +54,30 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_rid`` that names a row in every later scan: its
+    ``doc_id`` where all are different and not null; else row numbers, stored
+    with the rows (a second scan may be split differently, e.g. after executors
+    were lost, and would number them anew)."""
+    docs = docs.drop("_rid")
+    key = F.col("doc_id").cast("long")
+    odd = docs.groupBy(key.alias("k")).count().where("k IS NULL OR count > 1").limit(1).count()
+    if not odd:
+        return docs.withColumn("_rid", key)
+    return scratch.store(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+
+
+def texts_of(rows: DataFrame) -> DataFrame:
+    """``rid, doc_id, text`` (bytes) of numbered rows."""
+    return rows.select(F.col("_rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("binary").alias("text"))
+
+
+def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Numbered rows whose number is in ``kept (rid)``, without the number."""
+    return rows.join(kept.select(F.col("rid").alias("_rid")), "_rid", "left_semi").drop("_rid")
+
+
 class SharedFiles:
     """Plain files in a shared folder that tasks write and other tasks map into
     memory.  A task writes under a name of its own attempt and reports it in its

@@ -10,8 +10,7 @@ Cases: null and empty texts are one group (the empty text); a null doc_id is
 kept as a row and loses to any other doc_id; rows that repeat a doc_id are
 separate members of the group, and exactly one of the rows with the smallest
 doc_id has ``kept``; an empty table gives an empty result; further columns are
-not read, whatever their names.  The input must give its rows in the same order
-when a task is repeated (files and stored tables do): row numbers come from it.
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_TABLE, Scratch, text_batches
+from .common import WS_TABLE, Scratch, keep_rows, numbered, text_batches, texts_of
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK, KEY_SIZE = 1024, 12, 16384, 16
 _SPACES = re.compile(rb"  +")
@@ -62,7 +61,7 @@ def cut(text: bytes) -> list[bytes]:
     return out
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
+def chunk_rows(texts: DataFrame) -> DataFrame:
     """One row per chunk content and batch: ``(key, content, uses)``, ``uses``
     the places ``(rid, pos)``; and one row per document with a null key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,18 +87,13 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 pa.array([None] * n + [r[3] for r in rows], pa.int32()),
             ], names=["key", "content", "uses", "rid", "doc_id", "text_sha256", "n_chunks"])
 
-    src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-                      F.col("text").cast("binary").alias("text"))
-    return src.mapInArrow(run, "key binary, content binary, uses array<struct<rid:long,pos:int>>, "
+    return texts.mapInArrow(run, "key binary, content binary, uses array<struct<rid:long,pos:int>>, "
                                "rid long, doc_id long, text_sha256 string, n_chunks int")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256, n_chunks``, one row per
-    row of ``docs (doc_id, text)``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact")
-    rows = chunk_rows(docs)
+def _grouped(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """Result rows of numbered rows, with ``rid``."""
+    rows = chunk_rows(texts_of(rows))
     chunks = rows.where("key is not null")
     # an identifier is its key where all chunks of the key have one content, else the key and a digest
     unsure = (chunks.select("key", "content").distinct().groupBy("key").count().where("count > 1")
@@ -114,5 +108,19 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")
     groups = told.groupBy("recipe").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
     return (told.join(groups, "recipe")
-            .select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
+            .select("rid", "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
                     (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256", "n_chunks"))
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256, n_chunks``, one row per
+    row of ``docs (doc_id, text)``."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    return _grouped(scratch, numbered(scratch, docs.select("doc_id", "text"))).drop("rid")
+
+
+def drop_exact(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    rows = numbered(scratch, docs)
+    return keep_rows(rows, _grouped(scratch, rows).where("kept"))

@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (U64, WORD_POWERS, Scratch, SharedFiles, Words, components, mix64, prefix_sums, span_hashes,
-                     text_batches)
+from .common import (U64, WORD_POWERS, Scratch, SharedFiles, Words, components, keep_rows, mix64, numbered,
+                     prefix_sums, span_hashes, text_batches, texts_of)
 
 SAMPLES, ROWS, BITS = 200, 5, 512
 BANDS = SAMPLES // ROWS
@@ -112,8 +112,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 SIGNED = ("rid long, doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
-def signed(docs: DataFrame, size: int) -> DataFrame:
-    """Signature row of every document."""
+def signed(texts: DataFrame, size: int) -> DataFrame:
+    """Signature row of every ``rid, doc_id, text``."""
     def run(batches):
         for batch, texts in text_batches(batches, 2):
             sets = shingle_sets(texts, size)
@@ -126,12 +126,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 pa.array([None if x is None else odd_sketch(x).view(np.int64) for x in lows], longs),
             ], names=["rid", "doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return _rows(docs).mapInArrow(run, SIGNED)
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, SIGNED)
 
 
 def full_sets(texts: DataFrame, size: int, files: SharedFiles) -> DataFrame:
@@ -233,13 +228,10 @@ def _between_components(multi, reps, sets, files, comp, limit, percent):
     return tiles.groupBy("bucket", "lo", "hi").applyInArrow(find, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row per row of
-    ``docs (doc_id, text)``; documents are linked when their sets of ``shingle``
-    words have a Jaccard similarity of ``percent`` / 100 or more."""
-    scratch = Scratch(docs.sparkSession, "near")
+def _grouped(scratch: Scratch, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``rid, doc_id, n_shingles, root``: ``root`` is the same in a component."""
     limit = sketch_limit(percent / 100)
-    rows = scratch.store(signed(docs, shingle), "signed")
+    rows = scratch.store(signed(texts, shingle), "signed")
     reps = scratch.store(rows.where("n_shingles > 0").groupBy("set_key")
                          .agg(F.min(F.struct("rid", "bands", "sketch")).alias("x")).select("set_key", "x.*"), "reps")
     buckets = reps.select("rid", F.explode("bands").alias("bucket"))
@@ -251,7 +243,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
         .join(ends[0], "a").join(ends[1], "b")
         .where(_sketch_distance("sketch_a", "sketch_b") <= limit).select("a", "b"), "passed")
     files = scratch.files("sets")
-    sets = scratch.store(full_sets(_rows(docs).select("rid", "text").join(multi.select("rid").distinct(), "rid"),
+    sets = scratch.store(full_sets(texts.select("rid", "text").join(multi.select("rid").distinct(), "rid"),
                                    shingle, files), "places")
     links = scratch.store(confirm(passed, sets, files, percent), "hub-links")
     comp = scratch.store(components(scratch, links, "hub"), "hub-comp")
@@ -260,9 +252,28 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     comp = components(scratch, links.unionAll(more), "all")
     root = reps.select("set_key", "rid").join(comp, F.col("rid") == F.col("node"), "left").select(
         "set_key", F.coalesce("comp", "rid").alias("root"))
-    told = rows.select("rid", "doc_id", "n_shingles", "set_key").join(root, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "rid").alias("root"))
+    return rows.select("rid", "doc_id", "n_shingles", "set_key").join(root, "set_key", "left").select(
+        "rid", "doc_id", "n_shingles", F.coalesce("root", "rid").alias("root"))
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, one row per row of
+    ``docs (doc_id, text)``; documents are linked when their sets of ``shingle``
+    words have a Jaccard similarity of ``percent`` / 100 or more."""
+    scratch = Scratch(docs.sparkSession, "near")
+    told = _grouped(scratch, texts_of(numbered(scratch, docs.select("doc_id", "text"))), shingle, percent)
     names = told.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return told.join(names, "root").select(
         "doc_id", "n_shingles", "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def drop_near(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component (the smallest
+    doc_id), with all their columns."""
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = numbered(scratch, docs)
+    told = _grouped(scratch, texts_of(rows), shingle, percent)
+    first = told.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("x")).select("x.rid")
+    return keep_rows(rows, first)

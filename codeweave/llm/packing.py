@@ -14,7 +14,7 @@ one or two bins per many thousand documents stay open.
 Cases: null and empty texts are one end id; rows that repeat are packed one by
 one; a null doc_id is kept; ties break by the row number; an empty table gives
 an empty result; further columns are not read.  Very long texts become many
-pieces.  Rows must come in the same order when a task is repeated.
+pieces.
 """
 
 from __future__ import annotations

@@ -14,8 +14,7 @@ rows.  Bucket numbers follow the size of the input, so a group stays bounded.
 Cases: null and empty texts have no words and keep the empty string; texts
 shorter than a window lose nothing; a text that occurs twice loses all its
 words (of ``size`` or more) in both rows; a null doc_id is a row like another;
-an empty table gives an empty result; further columns are not read.  Rows must
-come in the same order when a task is repeated.
+an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (ENTRY, Scratch, Words, bucket_rows, buckets_for, directory_bucket, entry_batch,
-                     repeated_entries, text_batches, text_bytes, unpack_positions, window_hashes)
-
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("binary").alias("text"))
-
+                     numbered, repeated_entries, text_batches, text_bytes, texts_of, unpack_positions,
+                     window_hashes)
 
 def window_entries(rows: DataFrame, size: int, n_buckets: int) -> DataFrame:
     """Per batch of texts: one row per bucket with the packed window positions
@@ -101,7 +96,7 @@ def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     """``doc_id, n_words, n_removed, spans, kept_text``, one row per row of
     ``docs (doc_id, text)``; ``spans``: removed intervals [from, to) of words."""
     scratch = Scratch(docs.sparkSession, "substring")
-    rows = _rows(docs)
+    rows = texts_of(numbered(scratch, docs.select("doc_id", "text")))
     spans = removal_spans(scratch, rows, size)
 
     def keep(batches):

@@ -30,8 +30,7 @@ Cases: null and empty texts have no bytes; texts shorter than the threshold lose
 nothing; equal texts of that length lose everything in every row; overlapping
 occurrences in one text count; a null doc_id is a row like another; an empty
 table gives an empty result; further columns are not read.  Long texts are
-worked on in overlapping pieces.  Rows must come in the same order when a task
-is repeated.
+worked on in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -44,8 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (BYTE_POWERS, ENTRY, U64, Scratch, bucket_rows, buckets_for, directory_bucket,
-                     entry_batch, mix64, pack_positions, prefix_sums, repeated_entries, span_hashes, text_batches,
-                     text_bytes, unpack_keys, unpack_positions)
+                     entry_batch, mix64, numbered, pack_positions, prefix_sums, repeated_entries, span_hashes, text_batches,
+                     text_bytes, texts_of, unpack_keys, unpack_positions)
 
 GRAM, WINDOW, CORE, STEP = 16, 128, 256, 1 << 20
 _PAIR = U64(0xA24BAED4963EE407)
@@ -110,11 +109,6 @@ def pieces(texts: list[bytes], size: int) -> Iterator[Piece]:
         yield Piece(parts, size)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("binary").alias("text"))
-
-
 def pick_entries(rows: DataFrame, size: int, n_buckets: int) -> DataFrame:
     """Per batch: the picks, numbered through, by bucket of their name, with
     the names of their stretches; and the number of each text's first pick."""
@@ -271,7 +265,7 @@ def suffix_dedup(docs: DataFrame, size: int = 400) -> DataFrame:
     if size < WINDOW - 1 + CORE:
         raise ValueError(f"size must be at least {WINDOW - 1 + CORE}")
     scratch = Scratch(docs.sparkSession, "suffix")
-    rows = _rows(docs)
+    rows = texts_of(numbered(scratch, docs.select("doc_id", "text")))
     n_bytes = text_bytes(rows)
     picked = scratch.store(by_document(sort_picks(pick_entries(rows, size, buckets_for(n_bytes // 50)))), "picks")
     texts = rows.select("rid", "text").join(picked, "rid").sortWithinPartitions("rid")
