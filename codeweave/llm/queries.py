@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, ship_code
-from . import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup
+from . import embed_dedup, exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,23 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_dedup(_table(spark, sf_dir, "embeddings"), limit=0.93)
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"),
@@ -134,6 +151,7 @@ QUERIES = {
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op5_pack": (op5_pack, None),
+    "op6_embedding_dedup": (op6_embedding_dedup, OP6_SQL),
     "op7_mixing": (op7_mixing, OP7_SQL),
     "op8_near_dedup": (op8_near_dedup, OP8_SQL),
     "op9_suffix_dedup": (op9_suffix_dedup, None),
