@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, ship_code
-from . import embed_dedup, exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup
+from . import embed_dedup, exact_dedup, html_text, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,6 +140,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -155,4 +159,5 @@ QUERIES = {
     "op7_mixing": (op7_mixing, OP7_SQL),
     "op8_near_dedup": (op8_near_dedup, OP8_SQL),
     "op9_suffix_dedup": (op9_suffix_dedup, None),
+    "op10_main_text": (op10_main_text, None),
 }
