@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, ship_code
-from . import embed_dedup, exact_dedup, html_text, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup
+from . import embed_dedup, exact_dedup, html_text, mixing, near_dedup, ngram, packing, quality, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
 FROM n JOIN g USING (t)"""
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -154,6 +158,7 @@ QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op4_lm_score": (op4_lm_score, None),
     "op5_pack": (op5_pack, None),
     "op6_embedding_dedup": (op6_embedding_dedup, OP6_SQL),
     "op7_mixing": (op7_mixing, OP7_SQL),
