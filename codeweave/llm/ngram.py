@@ -237,23 +237,25 @@ def count_pairs(texts: DataFrame, model: Model) -> DataFrame:
             word, _ = model.numbers(hashes)
             pair, counts = np.unique(contexts_of(word, first, model.size) << 32 | word, return_counts=True)
             ctx, word = pair >> 32, pair & 0xFFFFFFFF
-            bucket = model.pair_bucket(ctx, word)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(model.n + 1))
-            parts = [(b, order[cut[b]:cut[b + 1]]) for b in np.flatnonzero(np.diff(cut)).tolist()]
+            hot = model.is_hot(ctx)
+            slot = model.pair_bucket(ctx, word) * 2 + hot
+            order = np.argsort(slot, kind="stable")
+            cut = np.searchsorted(slot[order], np.arange(2 * model.n + 1))
+            parts = [(k, order[cut[k]:cut[k + 1]]) for k in np.flatnonzero(np.diff(cut)).tolist()]
+            # contexts of a bucket are close together; hot ones are not, and few
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in parts], pa.int32()),
-                 pa.array([pack_positions(ctx[p] + np.arange(len(p))) if not len(model.hot) else ctx[p].tobytes()
-                           for _, p in parts], pa.binary()),
+                [pa.array([k // 2 for k, _ in parts], pa.int32()), pa.array([k % 2 == 1 for k, _ in parts]),
+                 pa.array([ctx[p].tobytes() if k % 2 else pack_positions(ctx[p] - edges[k // 2] + np.arange(len(p)))
+                           for k, p in parts], pa.binary()),
                  pa.array([word[p].astype(np.uint32).tobytes() for _, p in parts], pa.binary()),
                  pa.array([counts[p].astype(np.uint32).tobytes() for _, p in parts], pa.binary())],
-                names=["bucket", "ctx", "word", "counts"])
+                names=["bucket", "hot", "ctx", "word", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
         b, keys, counts = table.column("bucket")[0].as_py(), [], []
-        for c, w, n in zip(*(table.column(x).to_pylist() for x in ("ctx", "word", "counts"))):
+        for hot, c, w, n in zip(*(table.column(x).to_pylist() for x in ("hot", "ctx", "word", "counts"))):
             w = np.frombuffer(w, dtype=np.uint32).astype(np.int64)
-            c = np.frombuffer(c, dtype=np.int64) if len(model.hot) else unpack_positions(c) - np.arange(len(w))
+            c = np.frombuffer(c, dtype=np.int64) if hot else unpack_positions(c) - np.arange(len(w)) + edges[b]
             keys.append(c << 32 | w)
             counts.append(np.frombuffer(n, dtype=np.uint32))
         keys, counts = _merge(keys, counts)
@@ -278,7 +280,7 @@ def count_pairs(texts: DataFrame, model: Model) -> DataFrame:
         return pa.table({"kind": pa.array(cols[0], pa.int32()), "bucket": pa.array(cols[1], pa.int32()),
                          "ids": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
 
-    return (texts.mapInArrow(count, "bucket int, ctx binary, word binary, counts binary")
+    return (texts.mapInArrow(count, "bucket int, hot boolean, ctx binary, word binary, counts binary")
             .groupBy("bucket").applyInArrow(merge, "kind int, bucket int, ids binary, counts binary"))
 
 
@@ -319,7 +321,7 @@ def train(scratch: Scratch, texts: DataFrame, n_bytes: int, hot_limit: int = HOT
     for r in pairs.where("kind = 2").select("ids", "counts").collect():  # hot contexts: total / hot_limit at most
         for c, s in zip(np.frombuffer(r[0], dtype=np.int64).tolist(), np.frombuffer(r[1], dtype=np.int64).reshape(-1, 4)):
             sums[c] = sums.get(c, 0) + s
-    model.hot_stats = np.array([sums[c] for c in model.hot.tolist()], dtype=float).reshape(-1, 4)
+    model.hot_stats = np.array([sums.get(c, np.zeros(4)) for c in model.hot.tolist()], dtype=float).reshape(-1, 4)
     model.pairs, model.discount = int(t[4]), discounts(t[:4])
     u = scratch.store(count_contexts(pairs, model), "contexts").agg(*(F.sum(f"t{k}") for k in range(1, 6))).first()
     model.discount1 = discounts(u[:4])
