@@ -120,10 +120,14 @@ class SharedFiles:
         files, folder = self._fs()
         return files.get_file_info(f"{folder}/{name}").is_file
 
-    def array(self, name: str, dtype=U64) -> np.ndarray:
+    def array(self, name: str, dtype=U64, absent: bytes | None = None) -> np.ndarray:
+        """The content of a file, mapped where it can be; ``absent`` stands for
+        a file that was never written."""
         if name not in self._open:
             files, folder = self._fs()
-            if files.type_name == "local":
+            if absent is not None and not self.exists(name):
+                got = np.frombuffer(absent, dtype=np.uint8)
+            elif files.type_name == "local":
                 size = files.get_file_info(f"{folder}/{name}").size
                 got = np.memmap(f"{folder}/{name}", dtype=np.uint8, mode="r") if size else np.zeros(0, np.uint8)
             else:

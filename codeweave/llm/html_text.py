@@ -211,8 +211,7 @@ def extract(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)).alias("host"),
         F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), r"(?:/|\.html?)$", "").alias("path"))
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = rows.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
+    near = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
 
     def run(batches):
         def pages_in_order():

@@ -114,8 +114,8 @@ class Model:
     def pair_file(self, b: int):
         """Sorted contexts, place of their first follower (one more), followers,
         counts, and sums per context (n, and followers with count 1, 2, 3+)."""
-        raw = self.files.array(f"pairs-{b}", np.uint8)
-        n_ctx, n_pair, width = (int(x) for x in raw[:24].view(np.int64))
+        raw = self.files.array(f"pairs-{b}", np.uint8, bytes(24) + bytes(8))  # no file: no pairs
+        n_ctx, n_pair, width = (int(x) or d for x, d in zip(raw[:24].view(np.int64), (0, 0, 1)))
         at, out = 24, []
         for kind, n in ((np.int64, n_ctx), (np.int64, n_ctx + 1), (np.int64, 4 * n_ctx), (np.uint32, n_pair),
                         (np.dtype(f"u{width}"), n_pair)):
@@ -126,6 +126,8 @@ class Model:
 
     def probabilities(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """P(word | context); -1 is an unknown context or word."""
+        if not self.size:
+            return np.ones(len(word))
         cont = np.zeros(len(word), dtype=np.int64)
         known = np.flatnonzero(word >= 0)
         edges = self.edges()
@@ -133,7 +135,7 @@ class Model:
         cut = np.searchsorted(word[order], edges)
         for b in np.flatnonzero(np.diff(cut)):
             part = order[cut[b]:cut[b + 1]]
-            cont[part] = self.files.array(f"cont-{b}", np.uint32)[word[part] - edges[b]]
+            cont[part] = self.files.array(f"cont-{b}", np.uint32, bytes(4 * int(edges[b + 1] - edges[b])))[word[part] - edges[b]]
         low = np.maximum(cont - self.discount1[np.minimum(cont, 3)], 0) / max(self.pairs, 1) \
             + self.rest1 / (self.size + 1)
         number, stats = np.zeros(len(word), dtype=np.int64), np.zeros((len(word), 4))
