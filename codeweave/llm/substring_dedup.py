@@ -118,6 +118,6 @@ def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
                  pa.array(cols[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array(cols[3], pa.binary())], names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    return (rows.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    return (rows.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "spans")
             .mapInArrow(keep, "doc_id long, n_words long, n_removed long, "
                               "spans array<struct<start:long,end:long>>, kept_text binary"))

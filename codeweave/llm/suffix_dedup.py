@@ -268,7 +268,8 @@ def suffix_dedup(docs: DataFrame, size: int = 400) -> DataFrame:
     rows = texts_of(numbered(scratch, docs.select("doc_id", "text")))
     n_bytes = text_bytes(rows)
     picked = scratch.store(by_document(sort_picks(pick_entries(rows, size, buckets_for(n_bytes // 50)))), "picks")
-    texts = rows.select("rid", "text").join(picked, "rid").sortWithinPartitions("rid")
+    # merge joins at every size, so that cost and disk follow the input
+    texts = rows.select("rid", "text").join(picked.hint("merge"), "rid").sortWithinPartitions("rid")
     spans = scratch.store(merge_spans(repeated_entries(
         string_entries(texts, size, buckets_for(n_bytes // 10))), size), "spans")
 
@@ -290,6 +291,6 @@ def suffix_dedup(docs: DataFrame, size: int = 400) -> DataFrame:
                  pa.array(cols[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return (rows.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    return (rows.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "spans")
             .mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, "
                               "spans array<struct<start:long,end:long>>, kept binary"))
