@@ -16,37 +16,43 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexer import LITERAL, split_arguments
 from ..functions.text import py_strip, strip_chars
 from ..sources.store import materialize as store_table
 from .lines import (FILE_KEY, file_lines, innermost_enclosing, line_features, next_close,
                     partition_files)
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES (own patterns): definition and import rules per language.
+# Definition and import rules per language.
 # Each function rule captures the name in group 1 and must end at the '(' of
 # the parameter list, so that the parameter text starts right after it.
 # ---------------------------------------------------------------------------
 _ID = r"[A-Za-z_$][\w$]*"
+# a definition stands at the start of a line or after a brace or semicolon
+_START = r"(?:^|(?<=[{};]))\s*+"
+ARROW_OVER_LINES = 2  # number of the rule that needs an arrow after its parameters
 FUNCTION_RULES = {
     "Python": [
         r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(",
     ],
     "JavaScript": [
         r"\bfunction\b\s*\*?\s*(" + _ID + r")\s*\(",
-        r"^\s*(?:export\s+)?(?:const|let|var)\s+(" + _ID + r")\s*=.*=>",
-        r"^\s*(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?\*?\s*(?!(?:if|for|while|switch|catch|function|return|with)\b)("
-        + _ID + r")\s*\([^()]*\)\s*\{",
+        _START + r"(?:export\s+)?(?:const|let|var)\s+(" + _ID + r")\s*=\s*(?:async\s*)?"
+        r"(?:\((?=[^;{}]*\)\s*(?::[^=;]*)?=>)|(?=[\w$]+\s*=>))",
+        # the parameter list goes on: kept only if an arrow follows its end
+        _START + r"(?:export\s+)?(?:const|let|var)\s+(" + _ID + r")\s*=\s*(?:async\s*)?\((?=(?:[^()]|\([^()]*\))*$)",
+        _START + r"(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?\*?\s*(?!(?:if|for|while|switch|catch|function|return|with)\b)("
+        + _ID + r")\s*\((?=(?:[^()]|\([^()]*\))*\)\s*\{)",
     ],
     "Java": [
-        r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
+        _START + r"(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
         r"(?:<[^>]+>\s+)?(?!(?:return|new|throw|else|case|if|for|while|switch|catch|do|try|assert|yield)\b)"
-        r"[\w$.<>\[\],?]+(?:\s*\[\])*\s+"
+        r"[\w$.]+(?:<[^;(){}=]*>)?(?:\s*\[\])*\s+"
         r"(?!(?:if|for|while|switch|catch)\b)(" + _ID + r")\s*\(",
-        r"^\s*(?:(?:public|protected|private)\s+)?([A-Z][\w$]*)\s*\((?!.*;\s*$)(?=.*(?:\{|\)|,)\s*$)",
+        _START + r"(?:(?:public|protected|private)\s+)?([A-Z][\w$]*)\s*\((?=[^();]*(?:\)\s*(?:throws\s[\w$.,\s]+)?\{|\)\s*$|,\s*$))",
     ],
     "C++": [
         r"^\s*(?:template\s*<[^>]*>\s*)?(?:(?:inline|static|virtual|constexpr|extern|explicit|friend)\s+)*"
@@ -56,23 +62,27 @@ FUNCTION_RULES = {
 }
 CLASS_RULES = {
     "Python": r"^\s*class\s+([A-Za-z_]\w*)",
-    "JavaScript": r"^\s*(?:export\s+)?(?:default\s+)?class\s+(" + _ID + r")",
-    "Java": r"^\s*(?:@\w+\s+)*(?:(?:public|protected|private|static|final|abstract|sealed)\s+)*class\s+(" + _ID + r")",
-    "C++": r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+([A-Za-z_]\w*)(?!\s*;)",
+    "JavaScript": _START + r"(?:export\s+)?(?:default\s+)?class\s+(" + _ID + r")",
+    "Java": _START + r"(?:@\w+\s+)*(?:(?:public|protected|private|static|final|abstract|sealed)\s+)*class\s+(" + _ID + r")",
+    "C++": _START + r"(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+([A-Za-z_]\w*)(?!\s*;)",
 }
 # call sites: optional 'new', then a dotted name, then '('
-CALL_PATTERN = r"(?<![\w$])(new\s+)?(" + _ID + r"(?:\s*\.\s*" + _ID + r")*)\s*\("
-# FIXED VALUES: words that are never callees
+CALL_PATTERN = r"(?<![\w$])(new\s+)?((?:\.\s*)?" + _ID + r"(?:\s*\.\s*" + _ID + r")*)\s*\("
+# words that are never callees unless something is called on (x.catch())
 NOT_CALLEES = [
     "if", "elif", "for", "while", "switch", "catch", "return", "function", "with", "not", "and",
     "or", "in", "is", "assert", "yield", "await", "lambda", "del", "except", "typeof", "sizeof",
     "synchronized", "throw", "case", "else", "do", "try", "class", "def",
     "import", "from", "async", "delete", "void", "instanceof",
 ]
-# FIXED VALUES: Java constructor invocations are not method calls
+# Java constructor invocations are not method calls
 NOT_CALLEES_JAVA = ["super", "this"]
 
 
+# ids of places in a line: line * LINE_IDS + place
+LINE_IDS = 1 << 32
+
+
 @dataclass
 class Entities:
     """The four entity relations plus the per-file line table they came from."""
@@ -83,46 +93,54 @@ class Entities:
     lines: DataFrame
 
 
+_MATCH = "array<struct<rule:int,name:string,args:string,closed:boolean>>"
+# the parameter list up to its end if that is on the line (six levels deep; else the signature is read whole)
+_NEST = r"[^()]*+"
+for _ in range(6):
+    _NEST = r"(?:[^()]++|\(" + _NEST + r"\))*+"
+_ARGS = r"(?=(" + _NEST + r")(\)?))"
+
+
+def _named(rule: int):
+    return lambda x: F.struct(F.lit(rule).alias("rule"), x["n"].alias("name"), x["a"].alias("args"),
+                              (x["c"] != "").alias("closed"))
+
+
 def _rule_matches(rules: dict[str, list[str]], text_col: str) -> F.Column:
-    """array<struct<rule:int, name:string>> of the rules of the row's language
-    that match the line (no lambda: ``array_compact`` over CASE entries keeps
-    the projection inside generated code)."""
-    typ = "array<struct<rule:int,name:string>>"
+    """All matches of the rules of the row's language: rule number, name, the
+    masked parameter list and whether it ends on the line."""
     expr = None
     for lang, pats in rules.items():
-        items = []
+        found = []
         for i, pat in enumerate(pats):
-            name = F.regexp_extract(F.col(text_col), pat, 1)
-            items.append(F.when(name != "", F.struct(F.lit(i).alias("rule"), name.alias("name"))))
-        arr = F.array_compact(F.array(*items))
+            groups = [F.regexp_extract_all(F.col(text_col), F.lit(pat + _ARGS), F.lit(g)) for g in (1, 2, 3)]
+            found.append(F.transform(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("n", "a", "c")))), _named(i)))
+        arr = F.when(F.col(text_col).rlike(r"[({=]"), F.concat(*found)).otherwise(F.array().cast(_MATCH))
         expr = (F.when(F.col("language") == lang, arr) if expr is None
                 else expr.when(F.col("language") == lang, arr))
-    return expr.otherwise(F.array().cast(typ))
+    return expr.otherwise(F.array().cast(_MATCH))
 
 
-def _class_match(text_col: str) -> F.Column:
-    expr = F.when(F.lit(False), F.lit(None).cast("string"))
+def _class_matches(text_col: str) -> F.Column:
+    """Names of all classes that begin on the line."""
+    expr = None
     for lang, pat in CLASS_RULES.items():
-        expr = expr.when(F.col("language") == lang, F.regexp_extract(F.col(text_col), pat, 1))
-    return F.nullif(expr, F.lit(""))
-
-
-def _split_params(inner: F.Column) -> F.Column:
-    """Raw text of each parameter: top-level comma split (one nesting level of
-    brackets), each stripped, empties dropped."""
-    parts = F.split(inner, r",(?=(?:[^()\[\]{}<>]|[(\[{<][^()\[\]{}<>]*[)\]}>])*$)")
-    return F.filter(F.transform(parts, lambda p: py_strip(p)), lambda p: p != "")
+        names = F.when(F.col(text_col).contains("class") | F.col(text_col).contains("struct"),
+                       F.regexp_extract_all(F.col(text_col), F.lit(pat), F.lit(1))).otherwise(
+            F.array().cast("array<string>"))
+        expr = (F.when(F.col("language") == lang, names) if expr is None
+                else expr.when(F.col("language") == lang, names))
+    return expr.otherwise(F.array().cast("array<string>"))
 
 
 def extract_entities(files: DataFrame, num_partitions: int | None = None,
                      materialize: bool = True) -> Entities:
     """C1-C6 over analyzable ``files`` (see operators.files.source_files).
 
-    With ``materialize`` the line features are persisted for the duration of
-    the job and the four entity tables are checkpointed to the session's
-    checkpoint directory, so later joins read small tables instead of
-    re-running the per-line windows, and a lost executor recomputes nothing
-    upstream of them."""
+    With ``materialize`` the line features and the four entity tables are
+    stored as parquet in the session's checkpoint directory: every regular
+    expression runs once per line, each later branch reads the columns it needs
+    from narrow tables, and a lost executor recomputes nothing upstream."""
     fp = partition_files(files.select(*FILE_KEY, "language", "content"), num_partitions)
     lf = line_features(file_lines(fp))
     w_file = Window.partitionBy(*FILE_KEY)
@@ -143,47 +161,59 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
         F.col("rank").alias("rank"), F.col("prev_content").alias("prev_content"))), True).over(w_next))
 
     # --- definitions -------------------------------------------------------
-    # code with literals removed keeps positions only approximately, so rules
-    # run on `code` (no strings or comments) and parameters on the raw text
-    masked = F.when(F.col("in_string") | F.col("in_comment") & ~F.col("code").rlike(r"\S"),
-                    F.lit("")).otherwise(F.col("code"))
-    lf = lf.withColumn("_code", masked)
-    # every regular expression runs once per line, here; the result is
-    # persisted and all branches below read it
-    lf = (lf.withColumn("_fm", _rule_matches(FUNCTION_RULES, "_code"))
-          .withColumn("_cname", _class_match("_code"))
+    lf = lf.withColumn("next_from", F.last(F.when(
+        (F.col("language") == "JavaScript") & F.col("code").rlike(r"(?:^|[\s}])from\s*\"" + LITERAL),
+        F.regexp_extract("text", r"\bfrom\s*([\"'])(.*?)\1", 2)), True).over(w_next))
+    lf = (lf.withColumn("_fm", _rule_matches(FUNCTION_RULES, "code"))
+          .withColumn("_cn", _class_matches("code"))
           .withColumn("_cc", _call_code())
-          # the stripped code copies are not needed below (calls read `_cc`)
-          .drop("code", "_code", "is_content", "indent"))
+          # an arrow function whose body is an expression; a Java declaration without a body
+          .withColumn("arrow", (F.col("language") == "JavaScript") & F.col("code").rlike(r"=>")
+                      & ~F.col("code").rlike(r"=>\s*\{"))
+          .withColumn("no_body", (F.col("language") == "Java") & ~F.col("code").contains("{")
+                      & F.col("code").rlike(r"\)\s*(?:throws\s+[\w$.,\s]+)?;\s*$"))
+          .withColumn("head", F.when(F.col("code").rlike(r"^\s*(?:from\s|import\b|#)"), F.col("code")))
+          .drop("is_content", "indent", "code"))
     if materialize:
-        # computed once (persisted), then written as a reliable checkpoint:
-        # lineage is cut so every branch below plans against a small scan,
-        # and the (project_id, file_path) partitioning is kept
-        cached = lf.persist(StorageLevel.MEMORY_AND_DISK)
-        lf = cached.checkpoint(eager=True)
-        cached.unpersist()
+        lf = store_table(lf, "lines")
     fmatch = lf.where(F.size("_fm") > 0).select("*", F.posexplode("_fm").alias("_sub", "_m"))
+    whole = ~F.col("_m.closed") | F.col("_m.args").contains(LITERAL)
     fdefs = fmatch.select(
-        *FILE_KEY, "language", "line", "text", "depth_before", "depth_after", "depth_min",
+        *FILE_KEY, "language", "line", "depth_before", "depth_after", "depth_min",
         "has_open_brace", "paren_before", "paren_after", "rank", "next_logical", "last_content", "n_lines",
-        F.col("_m.name").alias("name"), F.col("_m.rule").alias("rule"),
-        F.lit("function").alias("kind"), (F.col("line") * 16 + F.col("_sub")).cast("long").alias("open_id"))
+        F.col("_m.name").alias("name"), F.col("_m.rule").alias("rule"), F.col("_m.closed").alias("closed"),
+        F.when(~whole, F.concat("_m.args", F.lit(")"))).alias("args"), F.lit("function").alias("kind"),
+        (F.col("line").cast("long") * LINE_IDS + F.col("_sub")).alias("open_id"), "arrow", "no_body")
     # one function per (line, name): several rules can see the same definition
     fdefs = fdefs.withColumn("_rn", F.row_number().over(
         Window.partitionBy(*FILE_KEY, "line", "name").orderBy("rule"))).where("_rn = 1").drop("_rn")
-    cdefs = (lf.withColumn("name", F.col("_cname")).where(F.col("name").isNotNull())
-             .select(*FILE_KEY, "language", "line", "text", "depth_before", "depth_after", "depth_min",
+    cdefs = (lf.where(F.size("_cn") > 0).select("*", F.posexplode("_cn").alias("_sub", "name"))
+             .select(*FILE_KEY, "language", "line", "depth_before", "depth_after", "depth_min",
                      "has_open_brace", "paren_before", "paren_after", "rank", "next_logical",
-                     "last_content", "n_lines", "name", F.lit(-1).alias("rule"),
-                     F.lit("class").alias("kind"),
-                     (F.col("line") * 16 + 15).cast("long").alias("open_id")))
+                     "last_content", "n_lines", "name", F.lit(-1).alias("rule"), F.lit(True).alias("closed"),
+                     F.lit(None).cast("string").alias("args"), F.lit("class").alias("kind"),
+                     (F.col("line").cast("long") * LINE_IDS + LINE_IDS // 2 + F.col("_sub")).alias("open_id"),
+                     F.lit(False).alias("arrow"), F.lit(False).alias("no_body")))
     defs = fdefs.unionByName(cdefs)
 
+    # bracket extent of signatures that go on over lines
+    s_opens = defs.where(F.col("paren_after") > F.col("paren_before")).select(
+        *FILE_KEY, "line", "open_id", F.col("paren_before").alias("level"))
+    pmin = F.least(F.col("paren_after"), F.col("paren_before"))
+    s_closes = (lf.where(F.col("paren_after") < F.col("paren_before"))
+                .select(*FILE_KEY, "line", F.explode(F.sequence(pmin, F.col("paren_before") - 1)).alias("level"),
+                        F.col("line").cast("int").alias("close_at")))
+    sig_end = next_close(s_opens, s_closes).withColumnRenamed("close_at", "sig_close")
+    defs = defs.join(sig_end, FILE_KEY + ["open_id"], "left").withColumn(
+        "sig_end", F.coalesce("sig_close", "line").cast("int")).drop("sig_close")
+
     # --- extents ---------------------------------------------------------
     # brace languages: the block opened at depth d0 (the depth after any
     # leading '}' of the line) closes on the first later line whose depth
     # drops through d0; blocks opened and closed on one line are handled below
-    d_opens = defs.where(~is_py).select(*FILE_KEY, "line", "open_id", F.col("depth_min").alias("level"))
+    # (the search starts after the signature: its own braces are not the body)
+    d_opens = defs.where(~is_py).select(*FILE_KEY, F.col("sig_end").alias("line"), "open_id",
+                                        F.col("depth_min").alias("level"))
     d_closes = (lf.where((F.col("language") != "Python") & (F.col("depth_min") < F.col("depth_before")))
                 .select(*FILE_KEY, "line", F.explode(F.sequence(F.col("depth_min"), F.col("depth_before") - 1))
                         .alias("level"), F.col("line").cast("int").alias("close_at")))
@@ -197,51 +227,34 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
     py_end = next_close(p_opens, p_closes)
     ends = brace_end.unionByName(py_end)
 
-    # bracket extent of the signature (parameters over several lines)
-    s_opens = defs.where(F.col("paren_after") > F.col("paren_before")).select(
-        *FILE_KEY, "line", "open_id", F.col("paren_before").alias("level"))
-    pmin = F.least(F.col("paren_after"), F.col("paren_before"))
-    s_closes = (lf.where(F.col("paren_after") < F.col("paren_before"))
-                .select(*FILE_KEY, "line", F.explode(F.sequence(pmin, F.col("paren_before") - 1)).alias("level"),
-                        F.col("line").cast("int").alias("close_at")))
-    sig_end = next_close(s_opens, s_closes).withColumnRenamed("close_at", "sig_close")
-
-    arrow_expr = (F.col("language") == "JavaScript") & F.col("text").rlike(r"=>") & ~F.col("text").rlike(r"=>\s*\{")
-    # Java interface / abstract methods: a declaration without a body
-    bodiless = (F.col("language") == "Java") & F.col("text").rlike(r"\)\s*(?:throws\s+[\w$.,\s]+)?;\s*(?://.*)?$") \
-        & ~F.col("text").contains("{")
     one_line_brace = F.col("has_open_brace") & (F.col("depth_after") <= F.col("depth_before"))
-    ent = (defs.join(ends, FILE_KEY + ["open_id"], "left").join(sig_end, FILE_KEY + ["open_id"], "left"))
+    ent = defs.join(ends, FILE_KEY + ["open_id"], "left")
     py_one = F.col("next_logical").isNotNull() & (F.col("next_logical.rank") <= F.col("rank"))
     end_line = (F.when(is_py, F.when(py_one, F.col("next_logical.prev_content"))
                        .otherwise(F.coalesce(F.col("close_at"), F.col("last_content"))))
-                .when(arrow_expr | one_line_brace | bodiless, F.col("line"))
+                .when(F.col("arrow") & F.col("closed") | one_line_brace & (F.col("sig_end") == F.col("line"))
+                      | F.col("no_body"), F.col("line"))
                 .otherwise(F.coalesce(F.col("close_at"), F.col("n_lines"))))
-    ent = ent.withColumn("end_line", end_line.cast("int")).withColumn(
-        "sig_end", F.coalesce(F.col("sig_close"), F.col("line")).cast("int"))
-
-    # signature text: lines [line, sig_end] (disjoint ranges -> one window)
-    sig_rows = ent.where(F.col("kind") == "function").select(*FILE_KEY, "open_id", "line", "sig_end")
-    sig_mark = sig_rows.select(*FILE_KEY, "line", F.struct("open_id", "line", "sig_end").alias("_sig"))
-    # only definition lines and bracket continuations can be part of a
-    # signature: the rest of the lines never enter this join
-    sig_lines = lf.where((F.col("paren_before") > 0) | (F.size("_fm") > 0))
-    lt = (sig_lines.select(*FILE_KEY, "line", "text")
-          .join(sig_mark, FILE_KEY + ["line"], "left"))
-    w_sig = Window.partitionBy(*FILE_KEY).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    lt = lt.withColumn("_cur", F.last("_sig", True).over(w_sig)).where(
-        F.col("_cur").isNotNull() & (F.col("line") <= F.col("_cur.sig_end")))
-    # several definitions on one line share the line text; the parameter text
-    # starts after the '(' that follows the definition's own name
-    sig_txt = (lt.groupBy(*FILE_KEY, F.col("_cur.line").alias("def_line"))
-               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))),
-                                             lambda x: x["text"]), "\n").alias("sig")))
-    ent = ent.join(sig_txt.withColumnRenamed("def_line", "line"), FILE_KEY + ["line"], "left")
-    name_re = F.regexp_replace(F.col("name"), r"\$", r"\\\$")
-    ent = ent.withColumn("_pat", F.concat(
-        F.lit(r"(?<![\w$])"), name_re, F.lit(r"\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)")))
-    inner = F.expr("regexp_extract(sig, _pat, 1)")
-    ent = ent.withColumn("parameters", F.when(F.col("kind") == "function", _split_params(inner)))
+    ent = ent.withColumn("end_line", end_line.cast("int"))
+
+    # signatures that are read whole: their lines, joined (one per line: only
+    # the last definition of a line can go on over its end)
+    wanted = (ent.where((F.col("kind") == "function") & F.col("args").isNull())
+              .groupBy(*FILE_KEY, "line").agg(F.max("sig_end").alias("sig_end")))
+    spans = wanted.select(*FILE_KEY, F.col("line").alias("def_line"),
+                          F.explode(F.sequence(F.col("line"), F.col("sig_end"))).alias("line"))
+    sig = (lf.select(*FILE_KEY, "line", "text").join(spans, FILE_KEY + ["line"])
+           .groupBy(*FILE_KEY, F.col("def_line").alias("line"))
+           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))),
+                                         lambda x: x["text"]), "\n").alias("sig")))
+    ent = ent.join(sig, FILE_KEY + ["line"], "left")
+    ent = ent.where((F.col("language") != "JavaScript") | (F.col("rule") != ARROW_OVER_LINES)
+                    | F.col("sig").rlike(r"(?s)\)\s*(?::[^=;]*)?=>[^()]*\z"))
+    head = F.concat(F.lit(r"(?s)^.*?(?<![\w$])"), F.regexp_replace("name", r"([$~])", r"\\$1"),
+                    F.lit(r"\s*(?:=\s*(?:async\s*)?)?\("))
+    text = F.coalesce("args", F.when(F.regexp_like(F.col("sig"), head), F.regexp_replace(F.col("sig"), head, F.lit(""))))
+    ent = ent.withColumn("parameters", F.when(F.col("kind") == "function", F.coalesce(
+        split_arguments(text, F.col("language").isin("Java", "C++")), F.array().cast("array<string>"))))
 
     # pre-order: (line asc, end_line desc, name)
     w_ord = Window.partitionBy(*FILE_KEY, "kind").orderBy("line", F.desc("end_line"), "name")
@@ -308,7 +321,7 @@ def _imports(lf: DataFrame) -> DataFrame:
     raw statement text as the fallback."""
     t = F.col("text")
     raw = py_strip(t)
-    live = ~F.col("in_string") & ~F.col("in_comment")
+    live = ~F.col("in_string") & F.col("head").isNotNull()
     lang = F.col("language")
     py_from = F.regexp_extract(t, r"^\s*from\s+(\.*[\w.]*)\s+import\b", 1)
     py_names = F.split(F.regexp_extract(t, r"^\s*import\s+([^#;]*)", 1), ",")
@@ -317,6 +330,8 @@ def _imports(lf: DataFrame) -> DataFrame:
     py_mod = F.when(py_from != "", py_from).otherwise(F.try_element_at(py_plain, F.lit(1)))
     is_py_imp = t.rlike(r"^\s*(?:from\s+\S+\s+import\b|import\s)")
     js_src = F.regexp_extract(t, r"^\s*import\b(?:.*?\bfrom\s*)?\s*([\"'])(.*?)\1", 2)
+    # the source of an import over several lines stands on a later one
+    js_src = F.when(js_src != "", js_src).when(~F.col("head").contains(LITERAL), F.col("next_from"))
     is_js_imp = t.rlike(r"^\s*import[\s{*\"']")
     java_mod = F.regexp_extract(t, r"^\s*import\s+(?:static\s+)?([\w$]+(?:\.[\w$]+)+)", 1)
     is_java_imp = t.rlike(r"^\s*import\s")
@@ -350,16 +365,17 @@ def _call_code() -> F.Column:
 def _calls(lf: DataFrame, functions: DataFrame) -> DataFrame:
     """Call sites with the callee cut after its last '.', and the
     innermost enclosing named function as caller (NULL at top level)."""
-    live = lf.where(~F.col("in_string") & F.col("_cc").isNotNull())
+    live = lf.where(F.col("_cc").isNotNull())
     news = F.regexp_extract_all(F.col("_cc"), F.lit(CALL_PATTERN), 1)
     names = F.regexp_extract_all(F.col("_cc"), F.lit(CALL_PATTERN), 2)
     pairs = F.arrays_zip(news.alias("new"), names.alias("name"))
     c = live.select(*FILE_KEY, "language", "line", F.posexplode(pairs).alias("pos", "m"))
     callee = F.element_at(F.split(F.regexp_replace(F.col("m.name"), r"\s+", ""), r"\."), -1)
     c = (c.where(F.col("m.new") == "").withColumn("callee", callee)
-         .where(~F.col("callee").isin(*NOT_CALLEES) & (F.col("callee") != "")
-                & ~((F.col("language") == "Java") & F.col("callee").isin(*NOT_CALLEES_JAVA)))
-         .withColumn("point_id", (F.col("line").cast("long") * 4096 + F.col("pos"))))
+         .where((F.col("callee") != "") & (F.col("m.name").contains(".") | ~(
+             F.col("callee").isin(*NOT_CALLEES)
+             | (F.col("language") == "Java") & F.col("callee").isin(*NOT_CALLEES_JAVA))))
+         .withColumn("point_id", F.col("line").cast("long") * LINE_IDS + F.col("pos")))
     ranges = functions.select(*FILE_KEY, F.col("open_id").alias("range_id"), "line", "end_line")
     enc = innermost_enclosing(ranges, c.select(*FILE_KEY, "point_id", "line"))
     names_by_id = functions.select(*FILE_KEY, F.col("open_id").alias("range_id"), F.col("name").alias("caller"))

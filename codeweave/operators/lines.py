@@ -14,39 +14,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexer import IN_LITERAL, mask_code
 from ..functions.text import split_lines
 
 FILE_KEY = ["project_id", "file_path"]
 
 
-TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-
-
 def partition_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Hash-partition file rows by (project_id, file_path): the one shuffle of
-    the extraction job.  Without an explicit count the partition number
-    follows the optimizer's size estimate (about 128 MB of file rows per
-    partition, never fewer than ``spark.sql.shuffle.partitions``), so the
-    same code keeps partitions small on a 100 TB corpus; AQE coalesces the
-    small ones on small inputs."""
-    if not num_partitions:
-        spark = files.sparkSession
-        size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        needed = -(-size // TARGET_PARTITION_BYTES)
-        # an unknown size is reported as Long.MaxValue: keep the default
-        if needed <= base or size >= (1 << 62):
-            # coalescable by AQE (no fixed count)
-            return files.repartition(*FILE_KEY)
-        num_partitions = int(min(needed, 1 << 20))
-    return files.repartition(num_partitions, *FILE_KEY)
+    the extraction job.  The number of partitions is the caller's, else that of
+    the session (AQE coalesces small ones)."""
+    if num_partitions:
+        return files.repartition(num_partitions, *FILE_KEY)
+    return files.repartition(*FILE_KEY)
 
 
 def file_lines(files: DataFrame) -> DataFrame:
-    """A4: (project_id, file_path, language, line, text), line 1-based."""
-    return (files.select(*FILE_KEY, "language",
-                         F.posexplode(split_lines(F.col("content"))).alias("pos", "text"))
-            .select(*FILE_KEY, "language", (F.col("pos") + 1).alias("line"), "text"))
+    """A4: (project_id, file_path, language, line, text, code), line 1-based;
+    ``code`` is the line with literals and comments masked (functions/lexer)."""
+    masked = split_lines(mask_code(F.col("content"), F.col("language")))
+    both = F.arrays_zip(split_lines(F.col("content")).alias("text"), masked.alias("code"))
+    return (files.select(*FILE_KEY, "language", F.posexplode(both).alias("pos", "both"))
+            .select(*FILE_KEY, "language", (F.col("pos") + 1).alias("line"), "both.text",
+                    F.coalesce("both.code", F.lit("")).alias("code")))
 
 
 def _count(col, chars: str):
@@ -58,57 +48,22 @@ def _count(col, chars: str):
     return total
 
 
-# FIXED VALUES (own patterns): string literals and comments per language family
-_STR_LIT = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`"
-_TQ = "\u0001"
-
-
 def line_features(lines: DataFrame) -> DataFrame:
     """Add lexical features used by the extent rules.
 
-    code         : text with string literals and comments removed
+    code         : masked line without the literal mark at its start
     is_content   : not blank and not a comment-only line
-    in_string    : line starts inside a Python triple-quoted string
-    in_comment   : line starts inside a C-style block comment
+    in_string    : line starts inside a literal that began on an earlier line
     depth_before / depth_after / depth_min : running '{' '}' depth (C family)
     paren_before / paren_after : running bracket depth
     """
     w_prev = Window.partitionBy(*FILE_KEY).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     is_py = F.col("language") == "Python"
-
-    # triple quotes -> one marker character, counted for a running parity
-    t = F.when(is_py, F.regexp_replace("text", "\"\"\"|'''", _TQ)).otherwise(F.col("text"))
-    df = lines.withColumn("_t", t)
-    df = df.withColumn("_tq", F.when(is_py, _count(F.col("_t"), _TQ)).otherwise(F.lit(0)))
-    df = df.withColumn("_tq_before", F.coalesce(F.sum("_tq").over(w_prev), F.lit(0)))
-    df = df.withColumn("in_string", (F.col("_tq_before") % 2) == 1)
-
-    # C block comments: running count of '/*' minus '*/' (strings removed first)
-    nostr_c = F.regexp_replace(F.col("_t"), _STR_LIT, '""')
-    df = df.withColumn("_nostr", nostr_c)
-    opens_c = (F.length("_nostr") - F.length(F.replace(F.col("_nostr"), F.lit("/*"), F.lit("")))) / 2
-    closes_c = (F.length("_nostr") - F.length(F.replace(F.col("_nostr"), F.lit("*/"), F.lit("")))) / 2
-    df = df.withColumn("_bc", F.when(is_py | ~F.col("_nostr").contains("*"), F.lit(0))
-                       .otherwise((opens_c - closes_c).cast("int")))
-    df = df.withColumn("in_comment", F.coalesce(F.sum("_bc").over(w_prev), F.lit(0)) > 0)
-
-    # code: cut the part of the line that is inside a string/comment, then
-    # remove literals and line comments
-    c = F.col("_t")
-    c = F.when(is_py & F.col("in_string"),
-               F.when(c.contains(_TQ), F.regexp_replace(c, "^[^\u0001]*\u0001", _TQ + _TQ)).otherwise(F.lit(""))
-               ).otherwise(c)
-    c = F.when(~is_py & F.col("in_comment"),
-               F.when(c.contains("*/"), F.regexp_replace(c, r"^.*?\*/", "")).otherwise(F.lit(""))
-               ).otherwise(c)
-    c = F.regexp_replace(c, _STR_LIT, '""')
-    c = F.when(is_py, F.regexp_replace(F.regexp_replace(c, "\u0001[^\u0001]*(\u0001|$)", '""'), "#.*$", ""))\
-         .otherwise(F.regexp_replace(F.regexp_replace(c, r"/\*.*?(\*/|$)", " "), "//.*$", ""))
-    df = df.withColumn("code", c)
+    df = lines.withColumn("in_string", F.col("code").startswith(IN_LITERAL))
+    df = df.withColumn("code", F.regexp_replace("code", "^" + IN_LITERAL, ""))
 
     raw_blank = F.col("text").rlike(r"^\s*$")
-    code_blank = F.col("code").rlike(r"^\s*$")
-    comment_only = code_blank & ~raw_blank & ~F.col("in_string") & ~F.col("in_comment")
+    comment_only = F.col("code").rlike(r"^\s*$") & ~raw_blank & ~F.col("in_string")
     df = df.withColumn("is_content", ~raw_blank & ~comment_only)
 
     # brace depth (C family) and bracket depth (all)
@@ -127,7 +82,7 @@ def line_features(lines: DataFrame) -> DataFrame:
     df = df.withColumn("paren_before", F.coalesce(F.sum("_pd").over(w_prev), F.lit(0)).cast("int"))
     df = df.withColumn("paren_after", (F.col("paren_before") + F.col("_pd")).cast("int"))
     df = df.withColumn("indent", F.length(F.regexp_extract("text", r"^[ \t]*", 0)))
-    return df.drop("_t", "_tq", "_tq_before", "_bc", "_nostr", "_d", "_lead", "_pd")
+    return df.drop("_d", "_lead", "_pd")
 
 
 def next_close(opens: DataFrame, closes: DataFrame, level_col: str = "level",
