@@ -15,7 +15,7 @@ FX_PATHS = """fx_paths AS (
                CASE WHEN (doc_id // 20) % 7 <= 2 THEN 'py' WHEN (doc_id // 20) % 7 <= 4 THEN 'js'
                     WHEN (doc_id // 20) % 7 = 5 THEN 'java' ELSE 'ts' END AS ext,
                (doc_id // 20) % 10 AS r, (doc_id // 20) % 3 = 0 AS has_class,
-               (doc_id // 20) % 6 <> 0 AS has_imports
+               (doc_id // 20) % 6 <> 0 AS has_imports, coalesce(text, '') AS body
         FROM documents))"""
 
 # analyzed files: not under node_modules, language with an extractor
@@ -273,7 +273,11 @@ FX_CONTENT = """fx_code AS (
           WHEN ext = 'py' THEN ['class C_' || (k % 4) || ':', '    def run(self):', '        return self.f_' || (k % 7) || '_1(0)', '']
           WHEN ext = 'java' THEN ['class C_' || (k % 4) || ' {', '  int run() {', '    return this.f_' || (k % 7) || '_1(0);', '  }', '}']
           ELSE ['class C_' || (k % 4) || ' {', '  run() {', '    return this.f_' || (k % 7) || '_1(0);', '  }', '}'] END)
-    || ['f_' || ((k + 1) % 7) || '_1(0)'], chr(10)) AS content
+    || ['f_' || ((k + 1) % 7) || '_1(0)']
+    || (CASE WHEN d % 3 = 1 THEN [CASE WHEN ext = 'py' THEN '\"\"\"' ELSE '/*' END] || string_split(body, chr(10))
+                                 || [CASE WHEN ext = 'py' THEN '\"\"\"' ELSE '*/' END]
+             ELSE list_transform(string_split(body, chr(10)), lambda x: CASE WHEN ext = 'py' THEN '# ' ELSE '// ' END
+                                 || CASE WHEN d % 3 = 2 THEN '\"' ELSE '' END || x) END), chr(10)) AS content
   FROM fx_src),
 fx_ranges AS (
   SELECT project_id, rel_path, 'function' AS chunk_type, name, line, end_line FROM fx_funcs

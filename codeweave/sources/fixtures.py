@@ -4,7 +4,8 @@ Every table here is a pure Spark projection of ``documents``,
 ``conversations`` or ``embeddings``: the work grows with the input and no
 row is produced from literals alone.  The formulas are the ones written down
 in FIXTURES.md §3; the DuckDB oracle states the *expected entities* from the
-same formulas, never by parsing.
+same formulas, never by parsing.  The whole text of the document closes its
+file, as a block comment, a docstring, or line comments (some with a stray quote).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ _FX_PATHS_SELECT = [
     "(doc_id DIV 20) % 10 AS r",
     "(doc_id DIV 20) % 3 = 0 AS has_class",
     "(doc_id DIV 20) % 6 <> 0 AS has_imports",
+    "coalesce(text, '') AS body",
 ]
 
 _REL_PATH = """CASE WHEN r = 9 THEN concat('node_modules/m', d % 3, '/doc_', d, '.', ext)
@@ -55,11 +57,15 @@ _CONTENT = """array_join(concat(
                                     concat('    return this.f_', k % 7, '_1(0);'), '  }', '}')
        ELSE array(concat('class C_', k % 4, ' {'), '  run() {',
                   concat('    return this.f_', k % 7, '_1(0);'), '  }', '}') END,
-  array(concat('f_', (k + 1) % 7, '_1(0)'))), '\n')"""
+  array(concat('f_', (k + 1) % 7, '_1(0)')),
+  CASE WHEN d % 3 = 1 THEN concat(array(IF(ext = 'py', '\"\"\"', '/*')), split(body, '\n'),
+                                  array(IF(ext = 'py', '\"\"\"', '*/')))
+       ELSE transform(split(body, '\n'), x -> concat(IF(ext = 'py', '# ', '// '), IF(d % 3 = 2, '\"', ''), x)) END),
+  '\n')"""
 
 
 def fx_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return docs.selectExpr(*_FX_PATHS_SELECT).withColumn("rel_path", F.expr(_REL_PATH))
 
 
