@@ -62,11 +62,21 @@ def files_by_language(files: DataFrame) -> DataFrame:
                  F.max("file_path").alias("last_file")))
 
 
+def files_of_languages(files: DataFrame) -> DataFrame:
+    """E4 in full: every file of a known language under its language."""
+    return files.where(F.col("language").isNotNull()).select("project_id", "language", "file_path")
+
+
 def decode_strict(binary_col) -> F.Column:
     """A2 strict: text, or NULL when the bytes are not valid UTF-8."""
     return F.try_validate_utf8(binary_col.cast("string"))
 
 
 def decode_lenient(binary_col) -> F.Column:
-    """A2 lenient (errors='ignore'): invalid sequences dropped."""
-    return F.regexp_replace(F.make_valid_utf8(binary_col.cast("string")), "�", "")
+    """A2 lenient (errors='ignore'): invalid sequences dropped.  A genuine
+    U+FFFD is told apart by standing in for it while the text is repaired."""
+    stand_in = "\ue000\uf8ff\ue000"
+    text = binary_col.cast("string")
+    kept = F.replace(text, F.lit("\ufffd"), F.lit(stand_in))
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(
+        F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")), F.lit(stand_in), F.lit("\ufffd")))

@@ -16,6 +16,7 @@ text and a prose line).  For project prompts it echoes metadata.
 
 from __future__ import annotations
 
+import inspect
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -82,11 +83,26 @@ def resolve_provider(provider: str | None = None) -> Callable[[list[str]], list[
     return PROVIDERS[name]()
 
 
-def infer(df: DataFrame, fn: Callable[[list[str]], list[str]] | str | None, prompt_col: str,
-          out_col: str = "response", batch_size: int = 16) -> DataFrame:
+def resolve_model(provider: str | None = None, model: str | None = None) -> str | None:
+    """Model name = argument, else $CODEWEAVE_MODEL, the latter only when no
+    provider was given (a name in the environment belongs to its provider)."""
+    return model or (None if provider else os.environ.get("CODEWEAVE_MODEL")) or None
+
+
+def infer(df: DataFrame, fn: Callable[..., list[str]] | str | None, prompt_col: str,
+          out_col: str = "response", batch_size: int = 16, max_tokens_col: str | None = None,
+          model: str | None = None, api_key: str | None = None) -> DataFrame:
     """Add ``out_col`` = fn(prompt) for every row, in batches of
-    ``batch_size`` prompts per call."""
-    model = fn if callable(fn) else resolve_provider(fn)
+    ``batch_size`` prompts per call.
+
+    A function that names them gets ``max_tokens`` (F2: the response budget of
+    each prompt, from ``max_tokens_col``), ``model`` and ``api_key``."""
+    call = fn if callable(fn) else resolve_provider(fn)
+    given = {"model": resolve_model(None if callable(fn) else fn, model), "api_key": api_key}
+    known = inspect.signature(call).parameters
+    every = any(p.kind is p.VAR_KEYWORD for p in known.values())
+    given = {k: v for k, v in given.items() if v is not None and (every or k in known)}
+    budget = max_tokens_col if max_tokens_col and (every or "max_tokens" in known) else None
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
     names = df.columns
 
@@ -95,7 +111,8 @@ def infer(df: DataFrame, fn: Callable[[list[str]], list[str]] | str | None, prom
             prompts = pdf[prompt_col].tolist()
             out = []
             for i in range(0, len(prompts), batch_size):
-                out.extend(model(prompts[i:i + batch_size]))
+                more = {"max_tokens": pdf[budget].tolist()[i:i + batch_size]} if budget else {}
+                out.extend(call(prompts[i:i + batch_size], **more, **given))
             pdf = pdf[names].copy()
             pdf[out_col] = out
             yield pdf

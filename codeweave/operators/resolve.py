@@ -34,6 +34,13 @@ def function_index(functions: DataFrame) -> DataFrame:
                  F.min_by(d, o).alias("first"), F.max_by(d, o).alias("last")))
 
 
+def function_entries(functions: DataFrame) -> DataFrame:
+    """E1 in full: every definition under its name; definitions of a name are
+    ordered by (file_path, ord)."""
+    return functions.where(F.col("name").isNotNull()).select(
+        "project_id", "name", "file_path", "ord", "line", "end_line", "language")
+
+
 def first_definition_in_project(functions: DataFrame) -> DataFrame:
     """(project_id, name) -> first definition by (file order, pre-order)."""
     return (functions.groupBy("project_id", "name")

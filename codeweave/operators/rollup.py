@@ -118,7 +118,7 @@ def run_batches(items: DataFrame, level: str, header: str, item_text: F.Column,
                    F.col("n_batches").cast("string"), F.lit("\n\n"),
                    F.array_join(F.transform("_items", lambda x: x["_item"]), "\n")))
                .select("project_id", "batch_no", "n", "max_tokens", "prompt"))
-    responses = materialize(infer(prompts, fn, "prompt"), f"responses-{level}")
+    responses = materialize(infer(prompts, fn, "prompt", max_tokens_col="max_tokens"), f"responses-{level}")
     parsed = parse_numbered(responses)
     errors = missing_positions(responses, parsed, level)
     bad = errors.select("project_id", "batch_no").distinct()

@@ -7,14 +7,9 @@ lower-cased word tokens into ``dim`` buckets (md5 prefix modulo dim) and L2
 normalises the counts; a JVM-only Spark ML variant (HashingTF) is provided
 for LSH.
 
-Search (D15 + K4 + K5 + G2): the question batch is size-checked and
-broadcast; every partition of chunk vectors is scored against the question
-matrix of its projects with one numpy matrix product per Arrow batch and
-only the local top-k candidates leave the task (the scored pairs never
-become rows).  A batch beyond the broadcast bound is cut into slices that
-each fit and are scored in turn.  The global top-k is a ``row_number``
-filter with a literal bound, which Catalyst turns into a partial
-WindowGroupLimit before the shuffle.
+Search (D15 + K4 + K5 + G2): vectors and questions of a project meet block by
+block, one numpy product each; only a question's top-k of a block leaves it,
+and the final top-k is a ``row_number`` filter over these few rows.
 """
 
 from __future__ import annotations
@@ -36,11 +31,8 @@ from ..sources.store import spread
 
 _TOKEN = re.compile(r"[a-z0-9_]+")
 
-# question batches are broadcast to the chunk scan only up to this many bytes
-# of query vectors (rows x dimensions x 8); beyond it the shuffle join runs
-BROADCAST_QUESTION_BYTES = 128 * 1024 * 1024
-# cells of one (vectors x questions) score block inside a task
-MATRIX_BUDGET = 4_000_000
+# rows of one block of vectors and of questions in the search
+VECTOR_BLOCK, QUESTION_BLOCK = 4096, 512
 
 
 class HashedTokenEmbedder:
@@ -159,114 +151,68 @@ def vector_records(chunks: DataFrame) -> DataFrame:
         F.coalesce(s("summary"), F.lit("")).alias("summary"))
 
 
-def _score_join(q: DataFrame, vectors: DataFrame, qvec_col: str, vec_col: str, id_col: str,
-                extra_cols: list[str], unit_vectors: bool, broadcast: bool) -> DataFrame:
-    """Pairs of the same project scored with a built-in dot product."""
-    qj = F.broadcast(q) if broadcast else q
-    v = vectors.select("project_id", id_col, vec_col, *extra_cols)
-    pairs = v.join(qj, "project_id")
-    if unit_vectors:
-        sim = F.aggregate(F.zip_with(F.col(vec_col), F.col(qvec_col),
-                                     lambda x, y: x.cast("double") * y.cast("double")),
-                          F.lit(0.0), lambda acc, x: acc + x)
-    else:
-        sim = cosine(F.col(vec_col), F.col(qvec_col))
-    return pairs.select("question_id", "top_k", id_col, *extra_cols, sim.alias("_sim"))
-
-
 def _score_blocks(q: DataFrame, vectors: DataFrame, qvec_col: str, vec_col: str, id_col: str,
-                  extra_cols: list[str], unit_vectors: bool) -> DataFrame:
-    """Same result as ``_score_join`` restricted to each question's local
-    top-k candidates: every partition of vectors is scored against the
-    (broadcast, size-checked) question matrix of its projects with one numpy
-    matrix product per project and Arrow batch, and only candidates that can
-    still reach the question's top-k (ties kept, with a rounding margin) are
-    emitted.  The pairs never exist as rows."""
-    spark = vectors.sparkSession
-    rows = q.select("question_id", "project_id", "top_k", qvec_col).collect()
-    by_project: dict[str, tuple] = {}
-    tmp: dict[str, list] = {}
-    for r in rows:
-        tmp.setdefault(r["project_id"], []).append(r)
-    for pid, rs in tmp.items():
-        m = np.array([np.asarray(r[qvec_col], dtype=np.float64) for r in rs])
+                  unit_vectors: bool) -> DataFrame:
+    """(question_id, project_id, top_k, id, score): each question's best
+    ``top_k`` of every block of its project's vectors.
+
+    Vectors and questions of a project are dealt into blocks of bounded size;
+    each pair of blocks meets in one group, is scored by one matrix product,
+    and exactly min(top_k, rows) rows per question leave it, ties broken by id.
+    A project with a third of all vectors is many groups."""
+    blocks = (vectors.groupBy("project_id").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("_vs"))
+              .join(q.groupBy("project_id").agg(F.ceil(F.count("*") / QUESTION_BLOCK).cast("int").alias("_qs")),
+                    "project_id"))
+    def deal(df, key, own, other):
+        return (df.join(blocks, "project_id")
+                .withColumn("_own", F.pmod(F.xxhash64(key), own).cast("int"))
+                .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1))))
+    v = deal(vectors.select("project_id", F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")), "_id", "_vs", "_qs")
+    v = v.select("project_id", F.col("_own").alias("_vb"), F.col("_other").alias("_qb"), "_id", "_v")
+    p = deal(q.select("project_id", "question_id", "top_k", F.col(qvec_col).alias("_q")), "question_id", "_qs", "_vs")
+    p = p.select("project_id", F.col("_other").alias("_vb"), F.col("_own").alias("_qb"), "question_id", "top_k", "_q")
+    schema = T.StructType([p.schema["question_id"], v.schema["project_id"], p.schema["top_k"],
+                           T.StructField(id_col, v.schema["_id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = [f.name for f in schema.fields]
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in names})
+        left = left.sort_values("_id", kind="stable")
+        a, b = (np.stack([np.asarray(x, dtype=np.float64) for x in col]) for col in (left["_v"], right["_q"]))
         if not unit_vectors:
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        by_project[pid] = (np.array([r["question_id"] for r in rs], dtype=np.int64),
-                           np.array([r["top_k"] for r in rs], dtype=np.int64), m)
-    bc = spark.sparkContext.broadcast(by_project)
-    budget = MATRIX_BUDGET
-    v = vectors.select("project_id", id_col, vec_col, *extra_cols)
-    out_fields = [T.StructField("question_id", T.LongType()), T.StructField("top_k", T.IntegerType()),
-                  v.schema[id_col]] + [v.schema[c] for c in extra_cols] + [T.StructField("_sim", T.DoubleType())]
-    schema = T.StructType(out_fields)
+            a, b = (np.divide(x, n, out=np.zeros_like(x), where=n > 0) for x, n in
+                    ((x, np.linalg.norm(x, axis=1, keepdims=True)) for x in (a, b)))
+        score = np.floor(np.maximum(a @ b.T, 0.0) * 10_000 + 0.5) / 10_000
+        take = np.minimum(right["top_k"].to_numpy(), len(left))
+        order = np.argsort(-score, axis=0, kind="stable")[:int(take.max())]
+        row, col = np.nonzero(np.arange(len(order))[:, None] < take[None, :])
+        at = order[row, col]
+        return pd.DataFrame({"question_id": right["question_id"].to_numpy()[col],
+                             "project_id": left["project_id"].to_numpy()[at], "top_k": take[col].astype(np.int32),
+                             id_col: left["_id"].to_numpy()[at], "score": score[at, col]})[names]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qs = bc.value
-        for pdf in batches:
-            for pid, part in pdf.groupby("project_id", sort=False):
-                if pid not in qs:
-                    continue
-                qids, ks, qm = qs[pid]
-                cm_all = np.stack([np.asarray(x, dtype=np.float64) for x in part[vec_col]])
-                if not unit_vectors:
-                    n = np.linalg.norm(cm_all, axis=1, keepdims=True)
-                    cm_all = np.divide(cm_all, n, out=np.zeros_like(cm_all), where=n > 0)
-                # row blocks keep the score matrix within MATRIX_BUDGET cells
-                step = max(1, budget // max(1, len(qids)))
-                for lo in range(0, len(cm_all), step):
-                    sims = cm_all[lo:lo + step] @ qm.T                  # (rows, questions)
-                    rounded = np.round(np.maximum(sims, 0.0), 4)
-                    rows = rounded.shape[0]
-                    k = np.minimum(ks, rows)
-                    kmax = int(k.max())
-                    top = -np.sort(-np.partition(-rounded, kmax - 1, axis=0)[:kmax], axis=0) \
-                        if kmax < rows else -np.sort(-rounded, axis=0)
-                    kth = top[k - 1, np.arange(len(k))]
-                    ri, ci = np.nonzero(rounded >= kth[None, :] - 1e-4)
-                    res = part.iloc[lo + ri][[id_col] + extra_cols].reset_index(drop=True)
-                    res.insert(0, "top_k", ks[ci].astype(np.int32))
-                    res.insert(0, "question_id", qids[ci])
-                    res["_sim"] = sims[ri, ci]
-                    yield res[[f.name for f in out_fields]]
-
-    return spread(v).mapInPandas(run, schema)
+    key = ["project_id", "_vb", "_qb"]
+    return v.groupBy(*key).cogroup(p.groupBy(*key)).applyInPandas(best, schema)
 
 
 def search(questions: DataFrame, vectors: DataFrame, qvec_col: str = "qvec",
            vec_col: str = "embedding", id_col: str = "id", unit_vectors: bool = True,
-           extra_cols: list[str] | None = None, method: str = "blocks") -> DataFrame:
+           extra_cols: list[str] | None = None) -> DataFrame:
     """K7 core: top-k vectors of the question's project for every question.
 
     questions: (question_id, project_id, top_k, qvec); vectors: (project_id,
-    id, embedding, ...).  Returns question_id, rank, id, score (+ extra).
-
-    method 'blocks': vectorised scoring per partition with local top-k
-    against a broadcast question matrix; a batch larger than
-    BROADCAST_QUESTION_BYTES is cut into slices that each fit, scored one
-    after another (every question is scored; the pairs never become rows).
-    method 'join': broadcast join with a built-in dot product (small batches,
-    kept for comparison)."""
-    extra_cols = extra_cols or []
-    q = questions.select("question_id", "project_id", "top_k", qvec_col)
-    if method == "join":
-        scored = _score_join(q, vectors, qvec_col, vec_col, id_col, extra_cols, unit_vectors, True)
-    else:
-        size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).collect()[0]
-        total = (size["n"] or 0) * max(size["dim"] or 0, 1) * 8
-        slices = max(1, -(-total // BROADCAST_QUESTION_BYTES))
-        parts = [_score_blocks(q if slices == 1 else q.where(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == i),
-                               vectors, qvec_col, vec_col, id_col, extra_cols, unit_vectors)
-                 for i in range(slices)]
-        scored = parts[0]
-        for p in parts[1:]:
-            scored = scored.unionByName(p)
-    scored = scored.withColumn("score", score(F.col("_sim"))).drop("_sim")
+    id, embedding, ...).  Returns question_id, rank, id, score (+ extra, fetched
+    for the winners only).  The questions are read twice: store them first if
+    a model makes their vectors."""
+    scored = _score_blocks(questions, vectors, qvec_col, vec_col, id_col, unit_vectors)
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.col(id_col))
-    ranked = scored.withColumn("rank", F.row_number().over(w))
-    return (ranked.where(F.col("rank") <= TOP_K_MAX).where(F.col("rank") <= F.col("top_k"))
-            .drop("top_k"))
+    ranked = (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP_K_MAX)
+              .join(questions.select("question_id", F.col("top_k").alias("_k")), "question_id")
+              .where(F.col("rank") <= F.col("_k")).drop("top_k", "_k"))
+    if extra_cols:
+        ranked = ranked.join(vectors.select("project_id", id_col, *extra_cols), ["project_id", id_col])
+    return ranked.select("question_id", id_col, *(extra_cols or []), "score", "rank")
 
 
 def search_results(hits: DataFrame) -> DataFrame:
@@ -311,20 +257,17 @@ def embedding_mismatches(chunks: DataFrame, vectors: DataFrame, id_col: str = "c
 
 
 def dedupe_records(records: DataFrame, order_cols: tuple[str, ...] = ("file_path", "line", "name")) -> tuple[DataFrame, DataFrame]:
-    """Store records keyed by ``id``: equal ids (same name and line in one
-    file, or two paths with the same slug) keep the first record in
-    (file, line, name) order; the others are returned as a violations
+    """Store records keyed by (project, id): equal ids (same name and line in
+    one file, or two paths with the same slug) keep exactly one record, the
+    first in (file, line, name) order; the others are returned as a violations
     table instead of reaching the store.
 
-    Only ids move: a partial aggregate yields the duplicated ids with the
-    key of their first record, and a left join with that (normally tiny)
-    table marks the records -- AQE turns it into a broadcast from its
-    measured size, so the vectors themselves are not shuffled."""
-    key = F.struct(*order_cols)
-    dup = (records.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
-           .where(F.col("_n") > 1))
-    marked = records.join(dup, "id", "left").withColumn(
-        "_keep", F.col("_n").isNull() | (key == F.col("_first")))
-    kept = marked.where("_keep").drop("_n", "_first", "_keep")
-    dups = marked.where(~F.col("_keep")).select("project_id", "id", *order_cols)
+    A partial aggregate yields the duplicated ids (normally few); only their
+    records are ranked."""
+    key = ["project_id", "id"]
+    dup = records.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*key)
+    first = Window.partitionBy(*key).orderBy(*order_cols, F.xxhash64(*records.columns))
+    marked = records.join(dup, key, "left_semi").withColumn("_rn", F.row_number().over(first))
+    kept = records.join(dup, key, "left_anti").unionByName(marked.where("_rn = 1").drop("_rn").select(records.columns))
+    dups = marked.where("_rn > 1").select("project_id", "id", *order_cols)
     return kept, dups

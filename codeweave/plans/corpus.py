@@ -27,9 +27,9 @@ _CACHE: dict[tuple, "Corpus"] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> "Corpus":
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     c = _CACHE.get(key)
-    if c is None:
+    if c is None or c.spark is not spark:  # stored tables belong to the session that made them
         c = _CACHE[key] = Corpus(spark, sf_dir)
     return c
 
@@ -234,7 +234,7 @@ class Corpus:
         from ..operators.vectors import embed, prepare_questions, search, search_results
         sem = self.classified.where(F.col("question_type") == "SEMANTIC_SEARCH")
         q = prepare_questions(sem).select("question_id", "project_id", "top_k", "query")
-        qv = embed(q, "query", out_col="qvec")
+        qv = store_table(embed(q, "query", out_col="qvec"), "question_vectors")  # one model call per question
         hits = search(qv, self.chunk_records,
                       extra_cols=["file_path", "chunk_type", "name", "code", "summary", "line", "end_line"])
         return store_table(search_results(hits), "search_hits")

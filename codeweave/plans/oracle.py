@@ -322,7 +322,7 @@ FX_VEC = """fx_questions AS (
   SELECT conv_id * 100 + turn AS question_id, 'src' || (conv_id % 20) AS project_id, 1 + (conv_id % 25) AS top_k,
     CASE (conv_id + turn) % 6 WHEN 0 THEN 'What does this project do?' WHEN 1 THEN 'Explain the architecture of this project.'
       WHEN 2 THEN 'What does f_' || (conv_id % 7) || '_1() do?' WHEN 3 THEN 'Explain src/m' || (conv_id % 3) || '/doc_' || conv_id || '.py'
-      WHEN 4 THEN 'How are values printed and returned?' ELSE '   ' END AS question
+      WHEN 4 THEN 'How are values printed and returned? ' || coalesce(text, '') ELSE '   ' END AS question
   FROM conversations WHERE role = 'user'),
 fx_q AS (
   SELECT question_id, project_id, greatest(1, least(top_k, 20)) AS top_k, trim(question) AS query
@@ -392,7 +392,7 @@ FX_ASK = """fx_cls AS (
          CASE WHEN (conv_id + turn) % 6 = 5 THEN 'Question must not be empty.' END AS error,
          CASE (conv_id + turn) % 6 WHEN 0 THEN 'What does this project do?' WHEN 1 THEN 'Explain the architecture of this project.'
            WHEN 2 THEN 'What does f_' || (conv_id % 7) || '_1() do?' WHEN 3 THEN 'Explain src/m' || (conv_id % 3) || '/doc_' || conv_id || '.py'
-           WHEN 4 THEN 'How are values printed and returned?' ELSE '   ' END AS question
+           WHEN 4 THEN 'How are values printed and returned? ' || coalesce(text, '') ELSE '   ' END AS question
   FROM conversations WHERE role = 'user'),
 fx_fnmatch AS (
   SELECT c.question_id, f.rel_path, f.ord, f.name, f.line, f.end_line

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize
 from .corpus import as_bigint, corpus
 from .oracle import bucket_vec, with_fixture
 
@@ -103,6 +104,14 @@ def e1_function_index(spark, sf_dir):
                       F.col("last.file_path").alias("last_file"), F.col("last.line").alias("last_line"))
 
 
+@register("e1_function_entries", with_fixture("""
+SELECT project_id, name, rel_path AS file_path, CAST(ord AS BIGINT) AS ord, CAST(line AS BIGINT) AS line,
+       CAST(end_line AS BIGINT) AS end_line, language FROM fx_funcs"""))
+def e1_function_entries(spark, sf_dir):
+    from ..operators.resolve import function_entries
+    return function_entries(corpus(spark, sf_dir).functions)
+
+
 @register("e14_call_nodes", with_fixture("""
 SELECT project_id, id, type, label, file_path, CAST(line AS BIGINT) AS line FROM (
   SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY tier, f, o, side) AS rn FROM (
@@ -234,6 +243,15 @@ def e4_files_by_language(spark, sf_dir):
     return files_by_language(corpus(spark, sf_dir).discovered)
 
 
+@register("e4_language_files", with_fixture("""
+SELECT project_id, CASE ext WHEN 'py' THEN 'Python' WHEN 'js' THEN 'JavaScript' WHEN 'java' THEN 'Java'
+                            ELSE 'TypeScript' END AS language, rel_path AS file_path
+FROM fx_paths WHERE r <> 9"""))
+def e4_language_files(spark, sf_dir):
+    from ..operators.files import files_of_languages
+    return files_of_languages(corpus(spark, sf_dir).discovered)
+
+
 # ------------------------------------------------------------------ chunks
 @register("h1_code_chunks", with_fixture("""
 SELECT project_id, chunk_id, chunk_type, name, file_path, language, CAST(line AS BIGINT) AS line,
@@ -273,8 +291,8 @@ def _question_vectors(spark, sf_dir, dim):
     from ..operators.vectors import embed, prepare_questions
     from ..sources.fixtures import fx_questions
     q = prepare_questions(fx_questions(spark, sf_dir))
-    return embed(q.select("question_id", "project_id", "top_k", "query"), "query", dim=dim,
-                 out_col="qvec")
+    return materialize(embed(q.select("question_id", "project_id", "top_k", "query"), "query", dim=dim,
+                             out_col="qvec"), "question_vectors")
 
 
 def _embedding_store_rows(spark, sf_dir):
@@ -286,10 +304,13 @@ def _embedding_store_rows(spark, sf_dir):
 
 @register("k3_dimension_check", """
 SELECT 'c_' || vec_id AS id, CAST(len(embedding) AS BIGINT) AS actual_dim, CAST(64 AS BIGINT) AS expected_dim
-FROM embeddings WHERE coalesce(len(embedding), -1) <> 64""")
+FROM (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN embedding[1:63] ELSE embedding END AS embedding FROM embeddings)
+WHERE coalesce(len(embedding), -1) <> 64""")
 def k3_dimension_check(spark, sf_dir):
     from ..operators.vectors import dimension_violations
-    return dimension_violations(_embedding_store_rows(spark, sf_dir), 64)
+    rows = _embedding_store_rows(spark, sf_dir).withColumn("embedding", F.when(
+        F.substring("id", 3, 20).cast("long") % 7 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+    return dimension_violations(rows, 64)
 
 
 @register("k7_search_embeddings", with_fixture("""
@@ -424,6 +445,28 @@ def a8_scan_project(spark, sf_dir):
     return _vector_checksum(store.scan(["src2"]))
 
 
+@register("a5_store_keys", """
+WITH r AS (SELECT CASE label % 5 WHEN 0 THEN '001' WHEN 1 THEN '002' WHEN 2 THEN 'a:b' WHEN 3 THEN 'x=y/z' ELSE 'gone' END
+             AS project_id, 'c_' || (vec_id // 2) AS id FROM embeddings)
+SELECT DISTINCT project_id, id FROM r WHERE project_id NOT IN ('a:b', 'gone')""")
+def a5_store_keys(spark, sf_dir):
+    """A5-A7 with ids that look like numbers, ids that directory names escape,
+    repeated ids, a deleted project and one that is re-indexed to nothing."""
+    from ..sources.store import VectorStore, scratch_path
+    label = F.substring("project_id", 4, 9).cast("int") % 5
+    rows = _embedding_store_rows(spark, sf_dir).select(
+        F.when(label == 0, "001").when(label == 1, "002").when(label == 2, "a:b").when(label == 3, "x=y/z")
+        .otherwise("gone").alias("project_id"),
+        F.concat(F.lit("c_"), F.expr("CAST(substring(id, 3) AS BIGINT) DIV 2")).alias("id"), "embedding")
+    store = VectorStore(spark, scratch_path(rows, "store-keys"))
+    store.upsert(rows)
+    store.upsert(rows.where("project_id = '002'"))
+    store.delete_project("a:b")
+    store.replace_projects(rows.where("project_id = '001'"), ["001", "gone"]).count()
+    # 001 was replaced by its rows, repeated ones included
+    return store.read().select("project_id", "id").distinct()
+
+
 @register("k6_lsh_search", None)
 def k6_lsh_search(spark, sf_dir):
     from ..operators.vectors import lsh_candidates

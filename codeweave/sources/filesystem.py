@@ -1,67 +1,103 @@
 """A1 + A2 + B7: source trees on a (distributed) file system as a ``files``
 table.
 
-``read_corpus(spark, root)`` treats every first-level directory under
-``root`` as one project (``project_id`` = directory name) and reads all files
-below it with the ``binaryFile`` source: listing and reading run on the
-executors, the suffix filter is a ``pathGlobFilter`` pushed into the
-listing, and the text is decoded with the strict (NULL on invalid UTF-8) or
-lenient rule.  Column pruning keeps ``content`` unread when only paths are
-selected.
+Every first-level directory under ``root`` is one project (``project_id`` =
+directory name).  Spark's file sources leave out names that begin with ``_`` or
+``.``, among them every ``__init__.py`` and ``.gitignore``, so the trees are
+listed here: one row per project on the driver, its files on the executors, and
+the files, dealt anew so that a large project is many tasks, are read there.
+Contents are decoded with the strict (NULL on invalid UTF-8) or lenient rule.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.constants import SUPPORTED_EXTENSIONS
 from ..operators.files import decode_lenient, decode_strict, files_from_paths
+from ..session import ship_code
+from .store import spread
 
+READ_ROWS = 64  # files of one Arrow batch
 
-def _glob_for(exts: list[str]) -> str:
-    return "*.{" + ",".join(e.lstrip(".") for e in exts) + "}"
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` with the scheme and authority of its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _open(uri: str):
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(uri)
+
+
+def list_corpus(spark: SparkSession, root: str, names: list[str] | None = None,
+                suffixes: list[str] | None = None) -> DataFrame:
+    """(project_id, file_path, rel_path) of every file of every project
+    directory, hidden names included; ``names`` / ``suffixes`` keep files with
+    one of these names / (case-sensitive) suffixes."""
+    ship_code(spark)
+    uri = qualified(spark, root)
+    from pyarrow import fs
+    files, top = _open(uri)
+    projects = sorted(i.base_name for i in files.get_file_info(fs.FileSelector(top))
+                      if i.type == fs.FileType.Directory)
+
+    def walk(batches):
+        files, top = _open(uri)
+        for batch in batches:
+            for project in batch.column(0).to_pylist():
+                found = [i for i in files.get_file_info(fs.FileSelector(f"{top}/{project}", recursive=True))
+                         if i.type == fs.FileType.File
+                         and (names is None or i.base_name in names)
+                         and (suffixes is None or any(i.base_name.endswith(x) for x in suffixes))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([project] * len(found), pa.string()), pa.array([i.path for i in found], pa.string()),
+                     pa.array([i.path[len(top) + len(project) + 2:] for i in found], pa.string())],
+                    names=["project_id", "file_path", "rel_path"])
+
+    rows = spark.createDataFrame([(p,) for p in projects], "project_id string")
+    return spread(rows).mapInArrow(walk, "project_id string, file_path string, rel_path string")
+
+
+def _read(listed: DataFrame, uri: str) -> DataFrame:
+    """The listed files with their bytes."""
+    def read(batches):
+        files, _ = _open(uri)
+        for batch in batches:
+            for at in range(0, batch.num_rows, READ_ROWS):
+                part, data = batch.slice(at, READ_ROWS), []
+                for path in part.column(1).to_pylist():
+                    with files.open_input_stream(path) as f:
+                        data.append(f.read())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())],
+                                                 names=["project_id", "file_path", "rel_path", "content"])
+
+    return spread(listed).mapInArrow(read, "project_id string, file_path string, rel_path string, content binary")
 
 
 def read_corpus(spark: SparkSession, root: str, source_only: bool = True, strict: bool = True) -> DataFrame:
     """(project_id, file_path, rel_path, ext, language, content) for every
     file of every project directory under ``root``.
 
-    ``source_only`` restricts the listing to the supported suffixes (A1, the
-    glob is case-sensitive like the suffix test it replaces); without it
-    every file is read (config files for project metadata, E5-E11)."""
-    root = root.rstrip("/")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if source_only:
-        reader = reader.option("pathGlobFilter", _glob_for(SUPPORTED_EXTENSIONS))
-    raw = reader.load(root)
-    path = F.regexp_replace(F.col("path"), r"^file:", "")
-    root_path = F.lit(root)
-    rel_all = F.expr("substring(_p, length(_root) + 2)")
-    df = (raw.withColumn("_p", path).withColumn("_root", root_path)
-          .withColumn("_rel_all", rel_all)
-          .withColumn("project_id", F.element_at(F.split("_rel_all", "/"), 1))
-          .withColumn("rel_path", F.expr("substring(_rel_all, length(project_id) + 2)"))
-          .where(F.col("rel_path") != ""))
+    ``source_only`` restricts the listing to the supported suffixes (A1,
+    case-sensitive); without it every file is read (config files for project
+    metadata, E5-E11)."""
     decode = decode_strict if strict else decode_lenient
-    df = df.select("project_id", F.col("_p").alias("file_path"),
-                   P.normpath("rel_path").alias("rel_path"), decode(F.col("content")).alias("content"))
-    return files_from_paths(df)
+    listed = list_corpus(spark, root, suffixes=list(SUPPORTED_EXTENSIONS) if source_only else None)
+    return files_from_paths(_read(listed, qualified(spark, root)).select(
+        "project_id", "file_path", P.normpath("rel_path").alias("rel_path"), decode(F.col("content")).alias("content")))
 
 
 def read_config_files(spark: SparkSession, root: str) -> DataFrame:
     """Config files of every project under ``root`` (requirements.txt,
-    package.json, ...), picked by the listing's ``pathGlobFilter`` so that only
-    their contents are read; input of ``project.project_info(tree, configs)``."""
+    package.json, ...), picked by name so that only their contents are read;
+    input of ``project.project_info(tree, configs)``."""
     from ..operators.project import CONFIG_NAMES
-    root = root.rstrip("/")
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "{" + ",".join(CONFIG_NAMES) + "}").load(root))
-    path = F.regexp_replace(F.col("path"), r"^file:", "")
-    rel_all = F.expr(f"substring(_p, {len(root) + 2})")
-    df = (raw.withColumn("_p", path).withColumn("_rel_all", rel_all)
-          .withColumn("project_id", F.element_at(F.split("_rel_all", "/"), 1))
-          .withColumn("rel_path", F.expr("substring(_rel_all, length(project_id) + 2)")))
-    return df.select("project_id", P.normpath("rel_path").alias("rel_path"),
-                     decode_lenient(F.col("content")).alias("content"))
+    return _read(list_corpus(spark, root, names=list(CONFIG_NAMES)), qualified(spark, root)).select(
+        "project_id", P.normpath("rel_path").alias("rel_path"), decode_lenient(F.col("content")).alias("content"))

@@ -110,7 +110,7 @@ def fx_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
              WHEN 1 THEN 'Explain the architecture of this project.'
              WHEN 2 THEN concat('What does f_', conv_id % 7, '_1() do?')
              WHEN 3 THEN concat('Explain src/m', conv_id % 3, '/doc_', conv_id, '.py')
-             WHEN 4 THEN 'How are values printed and returned?' ELSE '   ' END AS question""")
+             WHEN 4 THEN concat('How are values printed and returned? ', coalesce(text, '')) ELSE '   ' END AS question""")
 
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -34,25 +36,34 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 class VectorStore:
     """Chunk vectors as a parquet table partitioned by ``project_id``.
 
-    upsert (A5): old rows whose id is not in the batch, plus the batch;
-    replace_projects (A7): dynamic partition overwrite of the batch's
-    projects, staged and swapped at job commit, so a failed job leaves the
-    previous index; delete_project (A6): drop the project's partition;
-    scan (A8): partition-pruned read of one or more projects.
+    upsert (A5): old rows whose (project, id) is not in the batch, plus the
+    batch; replace_projects (A7): the batch becomes all there is of its
+    projects, and of those named besides; delete_project (A6): drop a project's
+    partition; scan (A8): partition-pruned read of one or more projects.
+
+    Project ids stay strings whatever they look like.  A rewrite is staged and
+    swapped at the commit of the job: a job that fails before leaves the old
+    rows (a crash during the commit can leave a part of the partitions new).
     """
 
     def __init__(self, spark, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
+    def _fs_path(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def exists(self) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, p = self._fs_path(self.path)
         return fs.exists(p)
 
     def read(self):
-        return self.spark.read.parquet(self.path)
+        """All rows; the type of the partition column is given, not guessed
+        from directory names (``001`` is no number)."""
+        guessed = self.spark.read.parquet(self.path).schema
+        fields = [T.StructField(f.name, T.StringType()) if f.name == "project_id" else f for f in guessed.fields]
+        return self.spark.read.schema(T.StructType(fields)).parquet(self.path)
 
     def scan(self, project_ids: list[str] | None = None):
         df = self.read()
@@ -64,14 +75,25 @@ class VectorStore:
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("project_id").parquet(self.path))
 
-    def replace_projects(self, batch):
-        """Every project present in ``batch`` is replaced by the batch."""
+    def replace_projects(self, batch, project_ids: list[str] | None = None):
+        """Every project present in ``batch`` is replaced by the batch;
+        projects of ``project_ids`` without rows in it end up empty."""
+        batch = materialize(batch, "vector-batch")
+        if project_ids:
+            there = {r[0] for r in batch.select("project_id").where(
+                batch.project_id.isin(*project_ids)).distinct().collect()}  # named projects at most
+            for p in project_ids:
+                if p not in there:
+                    self.delete_project(p)
         self._write_dynamic(batch)
         return self.read()
 
     def upsert(self, batch) -> int:
-        """A5: insert or update by id; returns the number of batch rows.
-        Only the partitions of the batch's projects are rewritten."""
+        """A5: insert or update by (project_id, id); returns the number of rows
+        written.  The batch is evaluated once; of rows that repeat an id one
+        stays.  Only the partitions of the batch's projects are rewritten."""
+        one = Window.partitionBy("project_id", "id").orderBy(F.xxhash64(*[c for c in batch.columns]))
+        batch = materialize(batch.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"), "vector-batch")
         n = batch.count()
         if not self.exists():
             batch.write.mode("overwrite").partitionBy("project_id").parquet(self.path)
@@ -80,34 +102,23 @@ class VectorStore:
         # column -> dynamic partition pruning) and rewritten
         touched = batch.select("project_id").distinct()
         old = self.read().join(touched, "project_id", "left_semi")
-        merged = old.join(batch.select("id"), "id", "left_anti").unionByName(batch)
+        merged = old.join(batch.select("project_id", "id"), ["project_id", "id"], "left_anti").unionByName(batch)
         # the rewrite of a partition reads it first: stage to a side path
-        staged = materialize(merged, "vector-upsert")
-        self._write_dynamic(staged)
+        self._write_dynamic(materialize(merged, "vector-upsert"))
         return n
 
     def delete_project(self, project_id: str) -> None:
-        """Remove the partition of one project."""
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/project_id={project_id}")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        """Remove the partition of one project (named as Spark names it)."""
+        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(
+            "project_id", project_id)
+        fs, p = self._fs_path(f"{self.path}/{name}")
         if fs.exists(p):
             fs.delete(p, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a Python (Arrow) stage at least one partition per core.
-
-    Small stored tables scan as one or two partitions; a ``mapInPandas``
-    stage on them (model calls, embedding, scoring) would run on one or two
-    cores.  The decision uses the optimizer's size estimate (nothing is
-    executed): inputs smaller than one file split per core are spread
-    round-robin (cheap, they are small); larger inputs already scan as many
-    partitions and are left untouched, so a large job gets no extra shuffle."""
+    """Deal the rows of a Python (Arrow) stage evenly over the tasks: small
+    stored tables scan as one or two partitions, and a model call on them would
+    run on one or two cores.  The same at every size."""
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < cores * split:
-        return df.repartition(cores)
-    return df
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

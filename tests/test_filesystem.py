@@ -17,6 +17,8 @@ def test_read_corpus(spark):
         "projB/lib/u.js": "function u(q) {\n  return q;\n}\n",
         "projB/bad.py": None,
         "projB/web/package.json": '{"dependencies": {"react": "1"}}',
+        "projB/pkg/__init__.py": "", "projB/pkg/_util.py": "y = 2\n", "projB/__tests__/t.js": "t()\n",
+        "projB/_internal/z.py": "z = 3\n", "projB/.gitignore": "*.pyc\n",
     }
     for rel, text in files.items():
         path = os.path.join(root, rel)
@@ -27,7 +29,9 @@ def test_read_corpus(spark):
     got = {(r.project_id, r.rel_path): r.content for r in df.collect()}
     # case-sensitive suffix: b.PY is not listed; README.md is not a source file
     assert set(got) == {("projA", "src/app.py"), ("projA", "node_modules/m/x.js"),
-                        ("projB", "lib/u.js"), ("projB", "bad.py")}
+                        ("projB", "lib/u.js"), ("projB", "bad.py"), ("projB", "pkg/__init__.py"),
+                        ("projB", "pkg/_util.py"), ("projB", "__tests__/t.js"), ("projB", "_internal/z.py")}
+    assert {(r.project_id, r.rel_path) for r in read_corpus(spark, "file:" + root + "/").collect()} == set(got)
     assert got[("projB", "bad.py")] is None                      # strict decoding
     disc = {(r.project_id, r.rel_path) for r in discover_source_files(df).collect()}
     assert ("projA", "node_modules/m/x.js") not in disc
@@ -40,4 +44,12 @@ def test_read_corpus(spark):
     from codeweave.operators.project import project_info
     info = {r.project_id: r for r in project_info(everything.select("project_id", "rel_path", "ext", "language"),
                                                    read_config_files(spark, root)).collect()}
-    assert info["projB"].framework == "React" and info["projA"].has_readme
+    assert info["projB"].framework == "React" and info["projA"].has_readme and info["projB"].has_gitignore
+
+
+def test_decode_lenient_keeps_a_genuine_replacement_character(spark):
+    from codeweave.operators.files import decode_lenient
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(bytearray(b"a\xffb"),), (bytearray("a\ufffdb".encode()),),
+                                (bytearray("\ufffd".encode() + b"\xfe"),)], "b binary")
+    assert [r[0] for r in df.select(decode_lenient(F.col("b"))).collect()] == ["ab", "a\ufffdb", "\ufffd"]

@@ -1,3 +1,4 @@
+import numpy as np
 """Goldens for the column-expression helpers (FIXTURES.md §4)."""
 
 from pyspark.sql import functions as F
@@ -91,31 +92,30 @@ def test_hashing_tf_embedding(spark):
     assert sum(out[2]) == 0.0
 
 
-def test_search_slices_large_batches(spark, monkeypatch):
-    """A question batch over the broadcast bound is scored in slices with the
-    same result as one broadcast."""
+def test_search_blocks(spark, monkeypatch):
+    """Small blocks give what one block gives; ties go by id and exactly top_k
+    rows per question and block leave the scoring."""
     import codeweave.operators.vectors as V
-    vec = spark.createDataFrame([("p", f"c{i}", [float(i % 5), 1.0, float(i % 3)]) for i in range(40)],
-                                "project_id string, id string, embedding array<double>")
-    qs = spark.createDataFrame([(j, "p", 3, [1.0, float(j % 4), 0.5]) for j in range(30)],
-                               "question_id long, project_id string, top_k int, qvec array<double>")
-    one = sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect()))
-    monkeypatch.setattr(V, "BROADCAST_QUESTION_BYTES", 200)
-    sliced = sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect()))
-    assert one == sliced and len(one) == 90
-
-
-def test_search_blocks_match_join(spark, monkeypatch):
-    """Block scoring (small blocks forced) equals the join-based scoring."""
-    import codeweave.operators.vectors as V
-    vec = spark.createDataFrame([(f"p{i % 2}", f"c{i}", [float(i % 7), 1.0, float(i % 3)]) for i in range(60)],
+    vec = spark.createDataFrame([(f"p{i % 2}", f"c{i:02}", [float(i % 7), 1.0, float(i % 3)]) for i in range(60)],
                                 "project_id string, id string, embedding array<double>")
     qs = spark.createDataFrame([(j, f"p{j % 2}", 1 + j % 6, [1.0, float(j % 4), 0.5]) for j in range(25)],
                                "question_id long, project_id string, top_k int, qvec array<double>")
-    ref = sorted(map(tuple, V.search(qs, vec, unit_vectors=False, method="join").collect()))
-    monkeypatch.setattr(V, "MATRIX_BUDGET", 30)
-    got = sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect()))
-    assert got == ref
+    one = sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect()))
+    want = []
+    for j in range(25):
+        q = np.array([1.0, float(j % 4), 0.5])
+        scored = []
+        for i in range(j % 2, 60, 2):
+            v = np.array([float(i % 7), 1.0, float(i % 3)])
+            scored.append((-round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 4), f"c{i:02}"))
+        want += [(j, c, -s, r + 1) for r, (s, c) in enumerate(sorted(scored)[:1 + j % 6])]
+    assert one == sorted(want)
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(V, "QUESTION_BLOCK", 4)
+    assert sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect())) == one
+    zero = vec.withColumn("embedding", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    assert V._score_blocks(qs, zero, "qvec", "embedding", "id", False).groupBy("question_id").count().where(
+        "count > 6 * 6").count() == 0
 
 
 def test_dedupe_records(spark):
@@ -126,3 +126,23 @@ def test_dedupe_records(spark):
     kept, dups = dedupe_records(df)
     assert sorted((r.id, r.file_path) for r in kept.collect()) == [("p::a_b_py_file", "a/b.py"), ("p::c", "c.py")]
     assert [(r.id, r.file_path) for r in dups.collect()] == [("p::a_b_py_file", "a_b.py")]
+    same = df.unionAll(df.where("id = 'p::c'")).unionAll(df.withColumn("project_id", F.lit("other")))
+    kept, dups = dedupe_records(same)
+    assert kept.count() == 4 and dups.count() == 3  # equal rows are repeats, equal ids of two projects are not
+
+
+def test_infer_passes_budget_model_and_key(spark):
+    from codeweave.operators.infer import infer, resolve_model
+    df = spark.createDataFrame([("a", 500), ("b", 700)], "prompt string, max_tokens int")
+
+    def model(prompts, max_tokens, model, api_key=None):
+        return [f"{p}/{n}/{model}/{api_key}" for p, n in zip(prompts, max_tokens)]
+    got = sorted(r.response for r in infer(df, model, "prompt", max_tokens_col="max_tokens", model="m", api_key="k").collect())
+    assert got == ["a/500/m/k", "b/700/m/k"]
+    assert sorted(r.response for r in infer(df, lambda p: p, "prompt", max_tokens_col="max_tokens", model="m").collect()) == ["a", "b"]
+    import os
+    os.environ["CODEWEAVE_MODEL"] = "env"
+    try:
+        assert resolve_model() == "env" and resolve_model("echo") is None and resolve_model("echo", "x") == "x"
+    finally:
+        del os.environ["CODEWEAVE_MODEL"]
