@@ -4,8 +4,8 @@ Vectors are compared only within a label.  Equal vectors are one class; the
 classes of a label are dealt over shards of bounded size, each shard gets a
 graph, stored once as a file in the shared folder, and every class queries every
 shard of its label, in blocks.  A beam that holds only links is widened until it
-ends below the threshold, so the number of partners has no cap; a beam as wide
-as a quarter of the shard reads the whole shard.  Before a block is searched, a
+ends below the threshold, so the number of partners has no cap; a beam that would
+look at as many neighbours as the shard has places reads the whole shard.  Before a block is searched, a
 sample of it is compared with brute force on the shard, and beams are widened
 until the sample's recall passes.  Links are verified by cosine in double
 precision.  A block hands out the number of links of each vector and edges that
@@ -129,7 +129,7 @@ def audited_width(graph: Graph, unit: np.ndarray, queries: np.ndarray, limit: fl
         got[a, ids[a, b]] = True
         x, y = links_of(graph, unit, some, width, limit)
         if (len(x) >= recall * (sim >= limit).sum()
-                and np.take_along_axis(got, near, 1).mean() >= min(recall, 0.95)) or width * 4 >= len(unit):
+                and np.take_along_axis(got, near, 1).mean() >= min(recall, 0.95)) or graph.reads_all(width):
             return width
         width *= 2
 
