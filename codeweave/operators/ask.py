@@ -20,7 +20,7 @@ from ..functions.constants import ARCHITECTURE_EDGE_LIMIT, QUESTION_TYPES
 from ..functions.text import py_strip, slice_lines, split_lines, strip_chars
 from .infer import infer
 
-# FIXED VALUES (own rules standing in for a model's judgement), first match wins
+# Rules (standing in for a model's judgement), first match wins
 FILE_RULE = r"(?U)([\w./\\-]+\.(?:py|jsx?|tsx?|java|cpp|hpp|c|h|cs))\b"
 FUNCTION_RULES = [
     r"(?U)(\w+)\(\s*\)",
@@ -299,20 +299,19 @@ def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
 # ------------------------------------------------------------- L11
 def insufficiency(ctx: DataFrame) -> DataFrame:
     """Error > not found > no chunks -> insufficient with a message."""
-    pre = "Based on the available repository context, "
-    msg = (F.when(F.col("error").isNotNull(), F.concat(F.lit(pre + "I cannot answer: "), F.col("error")))
+    msg = (F.when(F.col("error").isNotNull(), F.concat(F.lit("This cannot be answered: "), F.col("error")))
            .when((F.col("question_type") == "FUNCTION") & F.col("target_name").isNull(),
-                 F.lit(pre + "I cannot answer: no function name was given."))
+                 F.lit("This cannot be answered: no function name was given."))
            .when((F.col("question_type") == "FILE") & F.col("target_name").isNull(),
-                 F.lit(pre + "I cannot answer: no file was given."))
+                 F.lit("This cannot be answered: no file was given."))
            .when((F.col("question_type") == "FUNCTION") & ~F.col("found"),
-                 F.concat(F.lit(pre + "there is not enough information: function '"), F.col("target_name"),
+                 F.concat(F.lit("Not enough is indexed to answer: function '"), F.col("target_name"),
                           F.lit("' was not found.")))
            .when((F.col("question_type") == "FILE") & ~F.col("found"),
-                 F.concat(F.lit(pre + "there is not enough information: file '"), F.col("target_name"),
+                 F.concat(F.lit("Not enough is indexed to answer: file '"), F.col("target_name"),
                           F.lit("' was not found.")))
            .when((F.col("question_type") == "SEMANTIC_SEARCH") & ~F.col("found"),
-                 F.lit(pre + "there is not enough information: no matching code was found.")))
+                 F.lit("Not enough is indexed to answer: no matching code was found.")))
     return ctx.withColumn("insufficient", msg.isNotNull()).withColumn("message", msg)
 
 
@@ -364,7 +363,7 @@ def answer_sources(classified: DataFrame, t: AskTables) -> DataFrame:
 
 
 # ------------------------------------------------------------ L13, L14
-# FIXED VALUES (own wording): per-type answer instructions
+# Per-type answer instructions
 TYPE_INSTRUCTIONS = {
     "FUNCTION": "Explain what the function does, its parameters and its result, citing its file and lines.",
     "FILE": "Explain the purpose of the file and its main functions, classes and imports.",
@@ -400,3 +399,17 @@ def answer(ctx: DataFrame, fn) -> DataFrame:
                      F.when(py_strip(F.coalesce(F.col("raw"), F.lit(""))) == "",
                             F.lit("The model returned an empty answer.")).alias("error"))
     return short.unionByName(got)
+
+
+def answer_records(ctx: DataFrame, answers: DataFrame, sources: DataFrame, provider: str | None = None,
+                   model: str | None = None) -> DataFrame:
+    """L14 in full: one row per question with its type, strategy, answer, the
+    ordered sources (empty list where there are none), provider and model."""
+    s = sources.groupBy("question_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "file_path", "name", "chunk_type", "line", "end_line"))),
+        lambda x: x.dropFields("pos")).alias("sources"))
+    none = F.array().cast("array<struct<file_path:string,name:string,chunk_type:string,line:int,end_line:int>>")
+    return (ctx.select("question_id", "question", "question_type", "strategy").join(answers, "question_id")
+            .join(s, "question_id", "left")
+            .withColumn("sources", F.when(F.col("insufficient"), none).otherwise(F.coalesce("sources", none)))
+            .withColumn("provider", F.lit(provider)).withColumn("model", F.lit(model)))

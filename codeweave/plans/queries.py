@@ -660,16 +660,31 @@ def l12_answer_sources(spark, sf_dir):
 
 @register("l14_answers", with_fixture("""
 SELECT c.question_id, NOT (c.error IS NULL AND f.found) AS insufficient,
-       CASE WHEN c.error IS NOT NULL THEN 'Based on the available repository context, I cannot answer: ' || c.error
-            WHEN NOT f.found AND c.question_type = 'FUNCTION' THEN 'Based on the available repository context, there is not enough information: function ''' || c.target_name || ''' was not found.'
-            WHEN NOT f.found AND c.question_type = 'FILE' THEN 'Based on the available repository context, there is not enough information: file ''' || c.target_name || ''' was not found.'
-            WHEN NOT f.found THEN 'Based on the available repository context, there is not enough information: no matching code was found.'
+       CASE WHEN c.error IS NOT NULL THEN 'This cannot be answered: ' || c.error
+            WHEN NOT f.found AND c.question_type = 'FUNCTION' THEN 'Not enough is indexed to answer: function ''' || c.target_name || ''' was not found.'
+            WHEN NOT f.found AND c.question_type = 'FILE' THEN 'Not enough is indexed to answer: file ''' || c.target_name || ''' was not found.'
+            WHEN NOT f.found THEN 'Not enough is indexed to answer: no matching code was found.'
             ELSE 'answer to: ' || trim(c.question) END AS answer
 FROM fx_cls c JOIN fx_found f USING (question_id)"""))
 def l14_answers(spark, sf_dir):
     return corpus(spark, sf_dir).answers.select("question_id", "insufficient", "answer")
 
 
+@register("l14_answer_records", f"""
+WITH rt AS ({QUERIES["l2_route"][1]}), an AS ({QUERIES["l14_answers"][1]}), src AS ({QUERIES["l12_answer_sources"][1]})
+SELECT rt.question_id, rt.strategy, an.insufficient, an.answer, 'echo' AS provider,
+       count(src.pos) AS n_sources, arg_min(src.file_path, src.pos) AS first_source
+FROM rt JOIN an USING (question_id) LEFT JOIN src ON src.question_id = rt.question_id AND NOT an.insufficient
+GROUP BY ALL""")
+def l14_answer_records(spark, sf_dir):
+    from ..operators.ask import answer_records
+    c = corpus(spark, sf_dir)
+    r = answer_records(c.contexts, c.answers, c.answer_sources, provider=c.model)
+    return r.select("question_id", "strategy", "insufficient", "answer", "provider",
+                    F.size("sources").cast("long").alias("n_sources"),
+                    F.try_element_at("sources", F.lit(1))["file_path"].alias("first_source"))
+
+
 @register("l4_architecture_counts", with_fixture("""
 SELECT c.question_id, coalesce(d.n, 0) AS total_dependencies, coalesce(k.n, 0) AS total_function_calls
 FROM fx_cls c
