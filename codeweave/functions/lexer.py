@@ -66,18 +66,18 @@ def _mask(content: Column, language: str) -> Column:
     tokens = F.regexp_extract_all(content, F.lit("(?s)" + TOKENS[language]), F.lit(0))
     comment = r"^#" if language == "Python" else r"^/[/*]"
 
-    def one(t: Column, i: Column) -> Column:
+    def one(t: Column, before: Column) -> Column:
         plain = ~t.rlike("^[\"'`]") & ~t.rlike(r"^/.")
         out = F.when(t.rlike(comment), F.concat(F.lit(" "), F.regexp_replace(t, r"[^\n\r]++", "")))
         if language == "Python":
-            before = F.when(i > 0, F.element_at(tokens, i)).otherwise(F.lit(""))
             out = out.when(t.rlike("^[\"']") & before.rlike(r"(?i)(?:^|\W)(?:f|rf|fr)$"), _with_holes(t, language))
             plain = ~t.rlike("^[\"']")
         if language == "JavaScript":
             out = out.when(t.startswith("`"), _with_holes(t, language))
         return out.when(plain, t).otherwise(_breaks(t))
 
-    return F.array_join(F.transform(tokens, one), "")
+    # (inside the function the token list would be made anew for every token)
+    return F.array_join(F.zip_with(tokens, F.concat(F.array(F.lit("")), tokens), one), "")
 
 
 def mask_code(content: Column, language: Column) -> Column:
