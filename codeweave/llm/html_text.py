@@ -51,6 +51,12 @@ FURNITURE = re.compile(
     r"signup|login|comments?|commentlist|repl(?:y|ies)|respond|disqus|social|shar(?:e|ing)|related|recommend\w*|popup|"
     r"modal|overlay|search|widget\w*|pagination|pager|skip|contentinfo|complementary|form|dialog|hidden)(?=$|[\s_-])",
     re.I)
+#: A page's header, unless it is that of its article.
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|hdr)(?=$|[\s_-])", re.I)
+#: Names that say what an element has, not what it is (``has-comments``).
+_HAS = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|is|allow)[-_][\w-]+", re.I)
+#: Marks of the article other than its element.
+ARTICLE = re.compile(r"(?:^|\s)(?:role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b)", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noembed|noframes|xmp)\b[^>]*>.*?(?:</\1\s*[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<(?=[a-zA-Z/])[^>]*(?:>|\Z)",
@@ -62,13 +68,14 @@ _SPACE = re.compile(r"\s+")
 def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in HIDDEN or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "article", "main") or ARTICLE.search(attributes):
         return False
     for name, value in _NAMES.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        name, value = name.lower(), _HAS.sub("", value.strip("\"'"))
         if (name == "hidden" or (name == "aria-hidden" and value.lower() == "true")
                 or (name == "style" and re.search(r"display\s*:\s*none", value, re.I))
-                or (name in ("class", "id", "role") and FURNITURE.search(value))):
+                or (name in ("class", "id", "role") and (
+                    FURNITURE.search(value) or not in_article and HEADER.search(value)))):
             return True
     return False
 
@@ -125,7 +132,7 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
         if tag in VOID or m.group(4).endswith("/") and tag not in BLOCK:
             continue
         outer = stack[-1] if stack else ("", False, False)
-        article = outer[2] or (tag in ("article", "main") and not outer[1])
+        article = outer[2] or not outer[1] and (tag in ("article", "main") or bool(ARTICLE.search(m.group(4))))
         stack.append((tag, outer[1] or _furniture(tag, m.group(4), outer[2]), article))
     tail = html[at:]
     text(tail)

@@ -25,6 +25,9 @@ def alone(html):
     ("<p>x</p><div hidden>h</div><p style='display: none'>n</p><div aria-hidden=true>g</div>", "x"),
     ("<p>x &am", "x &am"), ("<p>cut <a href='", "cut"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
     ("<p class=\"ad\">buy</p><p class=\"lead address\">x</p>", "x"), ("<ARTICLE><P>Ü</P></ARTICLE>", "Ü"),
+    ("<div class='site-header'>top</div><article><div class=header><h1>T</h1></div><p>x</article>", "T\nx"),
+    ("<div class='post has-comments no-sidebar'><p>x</p><div class='post-comments'>c</div></div>", "x"),
+    ("<div>site</div><div role='main'><p>x</p></div><div itemprop=author>a</div>", "x"),
     ("</div></p><p>x</span></p>", "x"), ("<p>1</p>\n<![CDATA[z]]><p>2", "1\n2"),
 ])
 def test_markup(html, text):
