@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +28,10 @@ WS_TABLE = bytes(32 if 9 <= i <= 13 else i for i in range(256))
 LOWER_TABLE = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
+#: Largest batches between the JVM and Python workers (a longer text is a batch of its own).
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 24}
+
+
 class Scratch:
     """Tables stored under ``<spark.checkpoint.dir>/codeweave-llm/<id>/``.
 
@@ -36,6 +41,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship_code(spark)
         self.spark = spark
+        for key, most in ARROW.items():  # whole texts travel: bound a batch by bytes, too
+            now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+            if not now or int(now[1]) > most:
+                spark.conf.set(key, str(most))
         root = ensure_checkpoint_dir(spark).rstrip("/")
         self.root = f"{root}/codeweave-llm/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -137,6 +146,19 @@ class SharedFiles:
         return self._open[name].view(dtype)
 
 
+def trim() -> None:
+    """Give memory that is no longer used back to the system.  Python workers
+    are reused by later stages, and would keep the peak of each."""
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 21
                  ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the incoming batches with about ``limit`` bytes of text (one
@@ -155,6 +177,8 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1
                 start, total = i, 0
             total += int(sizes[i])
         yield _cut(batch, texts, start, n)
+    BYTE_POWERS.shrink()
+    trim()
 
 
 def _views(texts: pa.Array):
@@ -184,6 +208,9 @@ class Powers:
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.shrink()
+
+    def shrink(self) -> None:
         self.up = self.down = np.ones(1, dtype=U64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:

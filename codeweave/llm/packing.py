@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trim
 from .tokens import ids_for
 
 END = b"\0\0\0\0"
@@ -65,6 +65,7 @@ def tokenised(docs: DataFrame, path: str, size: int) -> DataFrame:
                 [rid, doc_id, pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()),
                                                                 ("crc", pa.int64())])))],
                 names=["rid", "doc_id", "pieces"])
+        trim()
 
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text")).mapInArrow(

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import BYTE_POWERS, U64, Scratch, Words, mix64, prefix_sums, span_hashes, text_batches
+from .common import BYTE_POWERS, U64, Scratch, Words, mix64, prefix_sums, span_hashes, text_batches, trim
 
 DIM = 32
 BATCH = 1 << 19
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, min_count:
         return shared, network
     rows = rows.sort_by("id")
     ids, y = rows.column("id").to_numpy(), rows.column("quality").to_numpy().astype(np.float64)
-    x = np.array(rows.column("x").to_pylist())
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
     if y.min() == y.max():
         network.constant = float(y[0])
         return shared, network
@@ -218,6 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, min_count:
     network.fit(x[~check], y[~check])
     network.calibrate(x[check], y[check])
     scratch.drop("sample")
+    del rows, words, x
+    trim()
     return shared, network
 
 
