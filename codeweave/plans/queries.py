@@ -272,7 +272,8 @@ def i9_enriched_documents(spark, sf_dir):
 
 @register("d8_top_level_lines", with_fixture("""
 SELECT project_id, rel_path AS file_path, CAST(count(*) AS BIGINT) AS top_level_lines,
-       CAST(count(*) FILTER (WHERE trim(text) <> '') AS BIGINT) AS non_blank
+       CAST(count(*) FILTER (WHERE trim(text) <> '') AS BIGINT) AS non_blank,
+       string_agg(line::VARCHAR, ',' ORDER BY line) AS line_numbers, md5(string_agg(text, chr(10) ORDER BY line)) AS text_md5
 FROM fx_lines l
 WHERE NOT EXISTS (SELECT 1 FROM fx_ranges r WHERE r.project_id = l.project_id AND r.rel_path = l.rel_path
                   AND l.line BETWEEN r.line AND r.end_line)
@@ -283,7 +284,11 @@ def d8_top_level_lines(spark, sf_dir):
     t = top_level_lines(c.files, c.functions, c.classes)
     return (t.groupBy("project_id", "file_path")
             .agg(F.count(F.lit(1)).alias("top_level_lines"),
-                 F.count_if(F.col("text").rlike(r"\S")).alias("non_blank")))
+                 F.count_if(F.col("text").rlike(r"\S")).alias("non_blank"),
+                 F.array_sort(F.collect_list(F.struct("line", "text"))).alias("t"))
+            .select("project_id", "file_path", "top_level_lines", "non_blank",
+                    F.array_join(F.transform("t", lambda x: x["line"].cast("string")), ",").alias("line_numbers"),
+                    F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "\n").cast("binary")).alias("text_md5")))
 
 
 # ------------------------------------------------------------------ vectors
@@ -329,15 +334,6 @@ def k7_search_embeddings(spark, sf_dir):
     return search(q, _embedding_store_rows(spark, sf_dir), unit_vectors=False)
 
 
-@register("k1_embed_chunks", with_fixture("""
-SELECT project_id, chunk_id, CAST(768 AS BIGINT) AS dim, 1.0 AS norm FROM fx_chunks"""))
-def k1_embed_chunks(spark, sf_dir):
-    v = corpus(spark, sf_dir).chunk_vectors
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return v.select("project_id", F.col("chunk_id"), F.size("embedding").alias("dim"),
-                    F.round(norm, 6).alias("norm"))
-
-
 FX_CHUNK_VEC = """fx_ctok AS (
   SELECT project_id, chunk_id, ('0x' || substr(md5(t), 1, 8))::UBIGINT % 768 AS b
   FROM (SELECT project_id, chunk_id, 'Type: ' || upper(chunk_type[1]) || chunk_type[2:] || chr(10) || 'Name: ' || name
@@ -349,6 +345,19 @@ fx_cv AS (
     SELECT project_id, chunk_id, b, count(*)::DOUBLE AS c FROM fx_ctok GROUP BY ALL))"""
 
 
+@register("k1_embed_chunks", with_fixture("""
+SELECT project_id, chunk_id, CAST(768 AS BIGINT) AS dim, round(sqrt(sum(w * w)), 6) AS norm,
+       round(sum((b + 1) * w), 3) AS weighted
+FROM fx_cv GROUP BY project_id, chunk_id""", extra=[FX_CHUNK_VEC]))
+def k1_embed_chunks(spark, sf_dir):
+    v = corpus(spark, sf_dir).chunk_vectors
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return v.select("project_id", F.col("chunk_id"), F.size("embedding").alias("dim"),
+                    F.round(norm, 6).alias("norm"), F.round(F.aggregate(
+                        F.zip_with("embedding", F.sequence(F.lit(1), F.size("embedding")), lambda x, i: x * i),
+                        F.lit(0.0), lambda a, x: a + x), 3).alias("weighted"))
+
+
 @register("k7_search_chunks", with_fixture("""
 SELECT question_id, CAST(rank AS BIGINT) AS rank, chunk_id, file_path, chunk_type, name, score FROM (
   SELECT s.*, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
@@ -703,21 +712,38 @@ def l4_architecture_counts(spark, sf_dir):
 SELECT s.project_id, s.rel_path AS file_path, s.language,
        coalesce(f.n, 0) AS n_functions, coalesce(c.n, 0) AS n_classes,
        coalesce(i.n, 0) AS n_imports, coalesce(k.n, 0) AS n_calls,
-       coalesce(f.names, '') AS function_names
+       coalesce(f.t, '') AS function_list, coalesce(c.t, '') AS class_list, coalesce(i.t, '') AS import_list,
+       coalesce(k.t, '') AS call_list
 FROM fx_src s
-LEFT JOIN (SELECT project_id, rel_path, count(*) AS n, string_agg(name, ',' ORDER BY ord) AS names
+LEFT JOIN (SELECT project_id, rel_path, count(*) AS n, string_agg(name || '(' || array_to_string(parameters, ';') || ')'
+             || line || '-' || end_line, ',' ORDER BY ord) AS t
            FROM fx_funcs GROUP BY ALL) f USING (project_id, rel_path)
-LEFT JOIN (SELECT project_id, rel_path, count(*) AS n FROM fx_classes GROUP BY ALL) c USING (project_id, rel_path)
-LEFT JOIN (SELECT project_id, rel_path, count(*) AS n FROM fx_imports GROUP BY ALL) i USING (project_id, rel_path)
-LEFT JOIN (SELECT project_id, rel_path, count(*) AS n FROM fx_calls GROUP BY ALL) k USING (project_id, rel_path)"""))
+LEFT JOIN (SELECT project_id, rel_path, count(*) AS n, string_agg(name || '(' || array_to_string(methods, ';') || ')'
+             || line || '-' || end_line, ',' ORDER BY ord) AS t
+           FROM fx_classes GROUP BY ALL) c USING (project_id, rel_path)
+LEFT JOIN (SELECT project_id, rel_path, count(*) AS n, string_agg(module || ':' || line, ',' ORDER BY ord) AS t
+           FROM fx_imports GROUP BY ALL) i USING (project_id, rel_path)
+LEFT JOIN (SELECT project_id, rel_path, count(*) AS n, string_agg(coalesce(caller, '') || '>' || callee || ':' || line, ','
+             ORDER BY ord) AS t
+           FROM fx_calls GROUP BY ALL) k USING (project_id, rel_path)"""))
 def c7_analysis_records(spark, sf_dir):
     from ..operators.entities import analysis_records
     c = corpus(spark, sf_dir)
     r = analysis_records(c.files, c.entities)
+
+    def entity(x, inner):
+        return F.concat(x["name"], F.lit("("), F.array_join(x[inner], ";"), F.lit(")"), x["line"].cast("string"),
+                        F.lit("-"), x["end_line"].cast("string"))
     return r.select("project_id", "file_path", "language", F.size("functions").alias("n_functions"),
                     F.size("classes").alias("n_classes"), F.size("imports").alias("n_imports"),
                     F.size("calls").alias("n_calls"),
-                    F.array_join(F.transform("functions", lambda x: x["name"]), ",").alias("function_names"))
+                    F.array_join(F.transform("functions", lambda x: entity(x, "parameters")), ",").alias("function_list"),
+                    F.array_join(F.transform("classes", lambda x: entity(x, "methods")), ",").alias("class_list"),
+                    F.array_join(F.transform("imports", lambda x: F.concat(x["module"], F.lit(":"), x["line"].cast("string"))),
+                                 ",").alias("import_list"),
+                    F.array_join(F.transform("calls", lambda x: F.concat(
+                        F.coalesce(x["caller"], F.lit("")), F.lit(">"), x["callee"], F.lit(":"), x["line"].cast("string"))),
+                        ",").alias("call_list"))
 
 
 @register("e19_graph_stats", with_fixture("""
@@ -753,6 +779,17 @@ def e18_graph_nodes(spark, sf_dir):
     return nodes.select("project_id", "graph", "id", "type")
 
 
+@register("e18_graph_edges", f"""
+SELECT project_id, 'function_calls' AS graph, source, target, type FROM ({QUERIES["e15_call_edges"][1]})
+UNION ALL
+SELECT project_id, 'dependencies', source, target, type FROM ({QUERIES["e17_dependency_edges"][1]})""")
+def e18_graph_edges(spark, sf_dir):
+    from ..operators.graphs import graphs
+    c = corpus(spark, sf_dir)
+    _, edges = graphs(c.call_nodes, c.call_edges, c.dep_nodes, c.dep_edges)
+    return edges.select("project_id", "graph", "source", "target", "type")
+
+
 @register("b12_validate_urls", """
 SELECT page_id, url,
        url IS NOT NULL AND url <> '' AND regexp_matches(trim(url), '^https://github\\.com/[\\w.-]+/[\\w.-]+/?$') AS valid,
@@ -903,11 +940,16 @@ def l10_semantic_context(spark, sf_dir):
 
 
 @register("d14_embedding_mismatches", with_fixture("""
-SELECT 'chunk_without_vector' AS side, project_id, chunk_id AS id FROM fx_chunks WHERE false"""))
+SELECT 'chunk_without_vector' AS side, project_id, chunk_id AS id FROM fx_chunks WHERE line % 3 = 0
+UNION ALL
+SELECT 'vector_without_chunk', project_id, chunk_id || '_old' FROM fx_chunks WHERE line % 3 <> 0 AND line % 5 = 1"""))
 def d14_embedding_mismatches(spark, sf_dir):
     from ..operators.vectors import embedding_mismatches
     c = corpus(spark, sf_dir)
-    return embedding_mismatches(c.chunks, c.chunk_vectors)
+    # vectors of two thirds of the chunks, and some of chunks that are gone
+    v = c.chunk_vectors.select("project_id", "chunk_id", "line").where("line % 3 <> 0")
+    old = v.where("line % 5 = 1").withColumn("chunk_id", F.concat("chunk_id", F.lit("_old")))
+    return embedding_mismatches(c.chunks, v.unionByName(old))
 
 
 @register("e24_understanding_counts", with_fixture("""
