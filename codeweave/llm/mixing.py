@@ -81,15 +81,16 @@ def rake(scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], tole
         unit = there.agg(F.sum("target")).first()[0] or 1.0
         scaled[dim] = there.select(dim, (F.col("target") * total / unit).alias("target"))
     state, before = cells.withColumn("w", F.col("n").cast("double")), None
+    for dim, target in scaled.items():
+        state = state.join(target.withColumnRenamed("target", f"_{dim}"), dim, "left")
     for sweep in range(max_sweeps):
         off = F.lit(0.0)
-        for dim, target in scaled.items():
+        for dim in scaled:
             sums = state.groupBy(dim).agg(F.sum("w").alias("s"))
-            ratio = sums.join(target, dim, "left").select(
-                dim, F.when(F.col("s") > 0, F.coalesce("target", F.lit(0.0)) / F.col("s")).otherwise(0.0).alias("r"))
-            state = state.join(ratio, dim).withColumn("w", F.col("w") * F.col("r")).withColumn(
+            ratio = F.when(F.col("s") > 0, F.coalesce(f"_{dim}", F.lit(0.0)) / F.col("s")).otherwise(0.0)
+            state = state.join(sums, dim).withColumn("r", ratio).withColumn("w", F.col("w") * F.col("r")).withColumn(
                 "off", F.greatest(off if dim == next(iter(scaled)) else F.col("off"),
-                                  F.when(F.col("w") > 0, F.abs(F.col("r") - 1)).otherwise(0.0))).drop("r")
+                                  F.when(F.col("w") > 0, F.abs(F.col("r") - 1)).otherwise(0.0))).drop("r", "s")
         state = scratch.store(state, f"sweep-{sweep}")
         far = state.agg(F.max("off")).first()[0]
         if before:
@@ -97,7 +98,7 @@ def rake(scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], tole
         before, state = f"sweep-{sweep}", state.drop("off")
         if far is None or far < tolerance:
             break
-    return state
+    return state.drop(*(f"_{dim}" for dim in scaled))
 
 
 def calibrate(fitted: DataFrame, share: float) -> DataFrame:
