@@ -12,8 +12,9 @@ Two things are known without a neighbour.  Scripts, styles, menus, page headers,
 footers, sidebars, notices, adverts, forms and reader comments are marked by
 their elements or class names and never text.  And what the page itself marks as
 its article (``article``, ``main``) is kept even where the neighbour's article
-says the same, so differencing decides on lines outside of it; a page with an
-article is that article, one without is all lines that remain.
+says the same; differencing decides on the lines outside of it: those that the
+sibling does not have are text, too.  Where there is no sibling, a page with an
+article is that article, one without is all lines outside furniture.
 
 Cases: null and empty html give the empty text; broken markup (unclosed or cut
 off tags, comments and references) is read as browsers do, as far as it goes; a
@@ -189,14 +190,15 @@ def copies(a: list[str], b: list[str], most: float = 0.8) -> bool:
 def main_text(page: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> str:
     """Text of a page given the lines of its neighbours, the nearer first."""
     lines = [t for t, _ in page]
-    gone = [False] * len(lines)
+    # without a sibling to align with, a marked article is the text
+    marked = any(inside for _, inside in page)
+    keep = [inside or not marked for _, inside in page]
     for other in neighbours:
         theirs = [t for t, _ in other]
         if theirs and not copies(lines, theirs):
-            gone = [g and not inside for g, (_, inside) in zip(common_lines(lines, theirs), page, strict=True)]
+            keep = [inside or not g for g, (_, inside) in zip(common_lines(lines, theirs), page, strict=True)]
             break
-    marked = any(inside for _, inside in page)
-    return "\n".join(t for (t, inside), g in zip(page, gone, strict=True) if not g and (inside or not marked))
+    return "\n".join(t for t, k in zip(lines, keep, strict=True) if k)
 
 
 def nearness(a: str, b: str) -> int:

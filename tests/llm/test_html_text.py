@@ -93,3 +93,16 @@ def test_long_and_repetitive_pages():
     assert len(common_lines([t for t, _ in lines_of(many)], [t for t, _ in lines_of(many[:-11 * 700])])) == 5000
     assert alone("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert html_text.lines_of("<p " + "a" * 200_000) == []
+
+
+def test_differencing_decides_outside_the_article(spark):
+    def post(own, extra=""):
+        return (f"<div>Site of things</div><div class=post><p>{own}</p></div>"
+                f"<article><p>a guest wrote this</p></article>{extra}<div>All rights reserved</div>")
+    rows = [(1, "http://p.org/1", post("the long body of the first post in words of its own")),
+            (2, "http://p.org/2", post("another body that the second post alone has", "<div class=sidebar>Menu</div>")),
+            (3, "http://q.org/1", post("no sibling tells this from template"))]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")
+                                              .repartition(1)).collect()}
+    assert got == {1: "the long body of the first post in words of its own\na guest wrote this",
+                   2: "another body that the second post alone has\na guest wrote this", 3: "a guest wrote this"}
