@@ -1,12 +1,17 @@
 """Operator 10: main text of web pages by nearest-URL page differencing.
 
-Pages are range-partitioned by host and URL path, so that neighbours in a
-partition are the pages with the nearest paths of their host and a host with a
-third of all pages is many partitions.  A page is cut into text lines (blocks).
-Its lines are aligned with those of the nearer neighbour by longest common
-subsequence, and lines that both have are template, not text: they are deleted.
-The neighbour must be a sibling, not a copy: one that shares most of the words
-of this page is passed over for the other side.
+A page is cut into text lines (blocks).  Hashes of its lines, without the text,
+are range-partitioned by host and URL path, so that the pages with the nearest
+paths of a host stand next to each other and a host with a third of all pages is
+many partitions.  The lines are aligned by longest common subsequence with those
+of the nearest sibling, and lines that both have are template, not text: they are
+deleted.  A sibling is no copy: pages that share most of the text of this page
+are passed over, however many, and the nearest page behind them is taken, on
+the side with the nearer path.  Lines that nine tenths of the distinct line lists
+of a host have (three at least) are its template and do not count when copies
+are judged.  The sorted partitions are files that every task can read
+on from its own into the next, so the result does not depend on where they are
+cut.  The text is joined to the lines to keep by a hash of the row.
 
 Two things are known without a neighbour.  Scripts, styles, menus, page headers,
 footers, sidebars, notices, adverts, forms and reader comments are marked by
@@ -27,13 +32,21 @@ columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch, SharedFiles
+
 #: Elements whose content is not text.
 RAW = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")
 HIDDEN = frozenset("head nav footer aside form button select option datalist template noscript svg math canvas "
@@ -176,29 +189,30 @@ def common_lines(a: list, b: list) -> list[bool]:
     return keep
 
 
-def copies(a: list[str], b: list[str], most: float = 0.8) -> bool:
-    """Whether most characters of ``a`` stand in lines that ``b`` has, too."""
+def copies(a: list, b: list, sizes: list[int], template: frozenset = frozenset(), most: float = 0.8) -> bool:
+    """Whether most characters of ``a`` (``sizes``: of its lines) stand in lines
+    that ``b`` has, too.  Template lines do not count; a page of nothing else is
+    no copy."""
     have, same, total = Counter(b), 0, 0
-    for line in a:
-        total += len(line)
-        if have[line]:
-            have[line] -= 1
-            same += len(line)
-    return same >= most * total
-
-
-def main_text(page: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> str:
-    """Text of a page given the lines of its neighbours, the nearer first."""
-    lines = [t for t, _ in page]
-    # without a sibling to align with, a marked article is the text
-    marked = any(inside for _, inside in page)
-    keep = [inside or not marked for _, inside in page]
-    for other in neighbours:
-        theirs = [t for t, _ in other]
-        if theirs and not copies(lines, theirs):
-            keep = [inside or not g for g, (_, inside) in zip(common_lines(lines, theirs), page, strict=True)]
-            break
-    return "\n".join(t for t, k in zip(lines, keep, strict=True) if k)
+    for line, size in zip(a, sizes, strict=True):
+        if line not in template:
+            total += size
+            if have[line]:
+                have[line] -= 1
+                same += size
+    return total > 0 and same >= most * total
+
+
+def plain_keep(inside: list[bool]) -> list[bool]:
+    """Which lines are text where no sibling is there to align with: those of
+    the article of the page, if it marks one."""
+    marked = any(inside)
+    return [i or not marked for i in inside]
+
+
+def main_text(page: list[tuple[str, bool]], keep) -> str:
+    """Text of a page; ``keep`` tells its lines, or is empty: no sibling."""
+    return "\n".join(t for (t, _), k in zip(page, keep or plain_keep([i for _, i in page]), strict=True) if k)
 
 
 def nearness(a: str, b: str) -> int:
@@ -210,9 +224,160 @@ def nearness(a: str, b: str) -> int:
     return n
 
 
+# ------------------------------------------------------------- line lists in URL order
+def line_lists(rows: DataFrame) -> DataFrame:
+    """Hashes and sizes of the lines of every page that has any, without their text."""
+    def run(batches):
+        for batch in batches:
+            at, hashes, sizes, inside = [], [], [], []
+            for i, html in enumerate(batch.column(0)):
+                page = lines_of(html.as_py())
+                if page:
+                    at.append(i)
+                    hashes.append([int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(),
+                                                  "little", signed=True) for t, _ in page])
+                    sizes.append([len(t) for t, _ in page])
+                    inside.append(bytes(i for _, i in page))
+            rest = batch.take(pa.array(at, pa.int64())).columns[1:]
+            yield pa.RecordBatch.from_arrays(
+                [*rest, pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())),
+                 pa.array(inside, pa.binary())], names=[*batch.schema.names[1:], "hashes", "sizes", "inside"])
+
+    return rows.select("html", "host", "path", "page_id", "url", "k1", "k2").mapInArrow(
+        run, "host string, path string, page_id long, url string, k1 long, k2 long, hashes array<long>, "
+             "sizes array<int>, inside binary")
+
+
+def templates(lists: DataFrame) -> DataFrame:
+    """``host, lines``: hashes of the lines that nine tenths of the distinct
+    line lists of a host have, three at least.  A lower share would take the
+    text of a page with many near copies for template."""
+    distinct = lists.select("host", "hashes").distinct()
+    n = distinct.groupBy("host").agg(F.count("*").alias("n"))
+    often = (distinct.select("host", F.explode(F.array_distinct("hashes")).alias("line"))
+             .groupBy("host", "line").agg(F.count("*").alias("c")).where("c >= 3"))
+    return often.join(n, "host").where("10 * c >= 9 * n").groupBy("host").agg(F.collect_list("line").alias("lines"))
+
+
+def in_files(df: DataFrame, files: SharedFiles, name: str) -> list[tuple]:
+    """(file, rows, first host, last host) of the sorted partitions of ``df``,
+    each stored as one file; a row with the keys of the row before is left out."""
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        if "k1" in table.column_names:
+            k1, k2 = (table.column(c).to_numpy() for c in ("k1", "k2"))
+            table = table.filter(pa.array(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+        part = TaskContext.get().partitionId()
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_file(out, table.schema) as writer:
+            writer.write_table(table.combine_chunks())
+        files.put(f"{name}-{part}", [out.getvalue()])
+        hosts = table.column("host")
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([part], pa.int32()), "n": pa.array([table.num_rows], pa.int64()),
+            "first": pa.array([hosts[0].as_py()], pa.string()), "last": pa.array([hosts[-1].as_py()], pa.string())})
+
+    found = df.mapInArrow(run, "part int, n long, first string, last string").collect()
+    return [(f"{name}-{r.part}", r.n, r.first, r.last) for r in sorted(found, key=lambda r: r.part)]
+
+
+class Pages:
+    """Line lists of all pages in URL order, read from the files of any
+    partition as they are asked for, and the siblings of a page."""
+
+    def __init__(self, files: SharedFiles, parts: list[tuple], marks: list[tuple]):
+        self.files, self.parts, self.marks = files, parts, marks
+        self.starts = [0, *accumulate(p[1] for p in parts)]
+        self.memo: dict[int, dict[int, int | None]] = {-1: {}, 1: {}}
+        self.open = lru_cache(4)(self._open)
+        self.page = lru_cache(256)(self._page)
+        self.template = lru_cache(16)(self._template)
+        self.marked = lru_cache(2)(self._marked)
+
+    def _open(self, name: str) -> dict:
+        table = pa.ipc.open_file(pa.py_buffer(self.files.array(name, np.uint8))).read_all().combine_chunks()
+        return {c: table.column(c).chunk(0) for c in table.column_names}
+
+    def _page(self, i: int) -> dict:
+        part = bisect_right(self.starts, i) - 1
+        table = self.open(self.parts[part][0])
+        return {c: v[i - self.starts[part]].as_py() for c, v in table.items()}
+
+    def _marked(self, name: str) -> dict[str, int]:
+        return {h: i for i, h in enumerate(self.open(name)["host"].to_pylist())}
+
+    def _template(self, host: str) -> frozenset:
+        for name, _, first, last in self.marks:
+            if first <= host <= last and (i := self.marked(name).get(host)) is not None:
+                return frozenset(self.open(name)["lines"][i].as_py())
+        return frozenset()
+
+    def copy(self, i: int, j: int) -> bool:
+        a, b = self.page(i), self.page(j)
+        return copies(a["hashes"], b["hashes"], a["sizes"], self.template(a["host"]))
+
+    def sibling(self, i: int, step: int) -> int | None:
+        """Nearest page on one side (``step`` -1 or 1) of the host that is no
+        copy of page ``i``.  What a copy passes over is passed over with it."""
+        memo, at, stack = self.memo[step], {}, [i]
+        while stack:
+            j = stack[-1]
+            q = at.get(j, j + step)
+            if j in memo:
+                stack.pop()
+            elif q is None or not 0 <= q < self.starts[-1] or self.page(q)["host"] != self.page(j)["host"]:
+                memo[j] = None
+            elif not self.copy(j, q):
+                memo[j] = q
+            elif q in memo:
+                at[j] = memo[q]
+            else:
+                stack.append(q)
+        return memo[i]
+
+    def keep(self, i: int) -> bytes | None:
+        """Which lines of page ``i`` are text, if differencing changes that."""
+        page = self.page(i)
+        inside = [bool(x) for x in page["inside"]]
+        if all(inside):
+            return None
+        sides = [self.page(q) for q in (self.sibling(i, -1), self.sibling(i, 1)) if q is not None]
+        if not sides:
+            return None
+        other = max(sides, key=lambda s: nearness(s["path"], page["path"]))
+        keep = [x or not g for x, g in zip(inside, common_lines(page["hashes"], other["hashes"]), strict=True)]
+        return bytes(keep) if keep != plain_keep(inside) else None
+
+
+def differenced(spark: SparkSession, files: SharedFiles, parts: list[tuple], marks: list[tuple]) -> DataFrame:
+    """``k1, k2, keep`` of the pages whose text differencing changes."""
+    def run(batches):
+        pages = Pages(files, parts, marks)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                out = []
+                for i in range(pages.starts[part], pages.starts[part + 1]):
+                    if (keep := pages.keep(i)) is not None:
+                        out.append((pages.page(i)["k1"], pages.page(i)["k2"], keep))
+                    if len(out) == 2000 or out and i + 1 == pages.starts[part + 1]:
+                        k1, k2, keeps = zip(*out)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keeps, pa.binary())],
+                            names=["k1", "k2", "keep"])
+                        out = []
+
+    tasks = spark.range(0, len(parts), 1, max(1, len(parts)))
+    return tasks.mapInArrow(run, "k1 long, k2 long, keep binary")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars``, one row per row of
     ``pages (page_id, url, html)``."""
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "main-text")
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://|^//", "")
     rows = pages.select(
@@ -220,39 +385,26 @@ def extract(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)).alias("host"),
         F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), r"(?:/|\.html?)$", "").alias("path"))
-    near = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
+    # equal rows have one key and one text
+    for k in (1, 2):
+        rows = rows.withColumn(f"k{k}", F.xxhash64(F.lit(k), F.col("page_id").isNull(), "page_id", F.col("url").isNull(),
+                                                   "url", "html"))
+    lists = scratch.store(line_lists(rows), "lists")
+    files = scratch.files("sorted")
+    order = ["host", "path", "page_id", "url", "k1", "k2"]
+    parts = in_files(lists.repartitionByRange(*order).sortWithinPartitions(*order), files, "pages")
+    marks = in_files(templates(lists).repartitionByRange("host").sortWithinPartitions("host"), files, "hosts")
+    kept = scratch.store(differenced(spark, files, parts, marks), "kept")
+    scratch.drop("lists", "sorted")
 
     def run(batches):
-        def pages_in_order():
-            for batch in batches:
-                columns = [batch.column(i) for i in range(5)]
-                for i in range(batch.num_rows):
-                    page_id, link, html, host, path = (c[i].as_py() for c in columns)
-                    yield page_id, link, host, path, lines_of(html)
-
-        def told(before, page, after):
-            sides = [s for s in (before, after) if s is not None and s[2] == page[2]]
-            sides.sort(key=lambda s: -nearness(s[3], page[3]))
-            return page[0], page[1], main_text(page[4], [s[4] for s in sides])
-
-        def pack(out):
-            ids, urls, texts = zip(*out)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-        before = page = None
-        out = []
-        for after in pages_in_order():
-            if page is not None:
-                out.append(told(before, page, after))
-            before, page = page, after
-            if len(out) == 256:
-                yield pack(out)
-                out = []
-        if page is not None:
-            out.append(told(before, page, None))
-        if out:
-            yield pack(out)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = [main_text(lines_of(h.as_py()), k.as_py()) for h, k in zip(part.column(2), part.column(3))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(texts, pa.string()),
+                     pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return near.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(kept, ["k1", "k2"], "left").select("page_id", "url", "html", "keep").mapInArrow(
+        run, "page_id long, url string, text string, n_chars long")

@@ -106,3 +106,39 @@ def test_differencing_decides_outside_the_article(spark):
                                               .repartition(1)).collect()}
     assert got == {1: "the long body of the first post in words of its own\na guest wrote this",
                    2: "another body that the second post alone has\na guest wrote this", 3: "a guest wrote this"}
+
+
+def texts(spark, rows, parts):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, (str(parts), "false"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        return {r.page_id: r.text for r in extract(
+            spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
+def test_siblings_behind_copies_and_in_other_partitions(spark):
+    def lines(*own):
+        return "".join(f"<div>{x}</div>" for x in ("Site of things", *own, "All rights reserved"))
+    body = "one long text that stands at many adjacent paths of the host, word for word"
+    rows = [(0, "http://c.org/a/00", lines("the sibling in front of the copies, its own words"))]
+    rows += [(i, f"http://c.org/a/{i:02}", lines(body)) for i in range(1, 20)]
+    rows += [(i, f"http://c.org/a/{i:02}", lines(body, f"edit {i}")) for i in range(20, 30)]
+    rows += [(30, "http://c.org/b/1", lines("the sibling behind the copies, its own words, too"))]
+    rows += [(100 + i, f"http://two{i // 2}.org/{i % 2}", lines(f"text {i} " + "own words " * i)) for i in range(2, 14)]
+    got = texts(spark, rows, 1)
+    assert all(got[i] == body for i in range(1, 20))
+    assert all(got[i] == f"{body}\nedit {i}" for i in range(20, 30))
+    assert not any("Site of things" in t or "All rights" in t for t in got.values())
+    for parts in (2, 7, 40):
+        assert texts(spark, rows, parts) == got
+
+
+def test_short_pages_under_a_large_template(spark):
+    frame = "".join(f"<div>template line {i} which every page of the host has</div>" for i in range(12))
+    rows = [(i, f"http://s.org/{i}", f"{frame}<p>short {i}</p>") for i in range(8)]
+    assert texts(spark, rows, 3) == {i: f"short {i}" for i in range(8)}
