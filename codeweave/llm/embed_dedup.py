@@ -5,9 +5,10 @@ classes of a label are dealt over shards of bounded size, each shard gets a
 graph, stored once as a file in the shared folder, and every class queries every
 shard of its label, in blocks.  A beam that holds only links is widened until it
 ends below the threshold, so the number of partners has no cap; a beam that would
-look at as many neighbours as the shard has places reads the whole shard.  Before a block is searched, a
-sample of it is compared with brute force on the shard, and beams are widened
-until the sample's recall passes.  Links are verified by cosine in double
+look at as many neighbours as the shard has places (1,152 at the first beam) reads
+the whole shard.  Before a block is searched, a sample of it and queries that have
+links are compared with brute force on the shard, and beams are widened until
+their recall passes.  Links are verified by cosine in double
 precision.  A block hands out the number of links of each vector and edges that
 connect what it linked, not the pairs; components come from these edges.
 
@@ -32,7 +33,8 @@ from .common import Scratch, SharedFiles, components
 from .hnsw import Graph
 
 SHARD, BLOCK, BEAM, AUDIT = 4096, 512, 48, 48
-NEAREST = 0.9  # share of the ten nearest that an audited beam finds
+NEAREST = 0.95  # share of the ten nearest that an audited beam finds
+SAME = 1 - 1e-9  # from here on it is the queried vector itself, which every beam finds
 
 
 def checked(vectors: DataFrame) -> DataFrame:
@@ -98,11 +100,12 @@ def open_shard(files: SharedFiles, name: str) -> tuple[np.ndarray, np.ndarray, n
     return rid, count, unit, Graph.load(unit, raw[at:at + size].tobytes())
 
 
-def links_of(graph: Graph, unit: np.ndarray, queries: np.ndarray, width: int, limit: float):
-    """(query, place) of all links found, beams widened until they end below the limit."""
+def links_of(graph: Graph, unit: np.ndarray, queries: np.ndarray, width: int, limit: float, first=None):
+    """(query, place) of all links found, beams widened until they end below the
+    limit; ``first`` is the result of the first search where it is known."""
     rows, found, todo, q32 = [], [], np.arange(len(queries)), queries.astype(np.float32)
     while len(todo):
-        ids, sim = graph.search(q32[todo], width)
+        (ids, sim), first = first or graph.search(q32[todo], width), None
         hit = (ids >= 0) & (sim >= limit - 1e-4)
         wide = hit.all(axis=1) & (ids.shape[1] < len(unit))
         a, b = np.nonzero(hit & ~wide[:, None])
@@ -115,24 +118,43 @@ def links_of(graph: Graph, unit: np.ndarray, queries: np.ndarray, width: int, li
     return a[exact >= limit], b[exact >= limit]
 
 
+def linked_queries(unit: np.ndarray, queries: np.ndarray, limit: float) -> np.ndarray:
+    """Places of queries that brute force links with another vector: all of the
+    block, or the first ``AUDIT`` of a fixed shuffle of it."""
+    order = np.random.default_rng(0).permutation(len(queries))
+    found: list[int] = []
+    for at in range(0, len(order), 256):
+        part = order[at:at + 256]
+        sim = queries[part] @ unit.T
+        found += part[((sim >= limit) & (sim < SAME)).any(axis=1)].tolist()
+        if len(found) >= AUDIT:
+            break
+    return np.array(sorted(found[:AUDIT]), dtype=np.int64)
+
+
 def audited_width(graph: Graph, unit: np.ndarray, queries: np.ndarray, limit: float, recall: float) -> int:
-    """The beam at which a sample finds at least ``recall`` of the links, and of
-    the ten nearest, that brute force finds."""
-    some = queries[np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)]
-    sim = some @ unit.T
-    k = min(10, len(unit))
-    near = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+    """The beam at which audited queries find at least ``recall`` of the links
+    to other vectors, and of the ten nearest, that brute force finds: a spread
+    sample of the block, and queries that have links."""
     width = BEAM
-    while True:
-        ids, _ = graph.search(some.astype(np.float32), width)
+    if graph.reads_all(width):
+        return width
+    spread = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
+    some = queries[np.union1d(spread, linked_queries(unit, queries, limit))]
+    sim = some @ unit.T
+    near = np.argsort(-sim, axis=1, kind="stable")[:, :min(10, len(unit))]
+    links = int(((sim >= limit) & (sim < SAME)).sum())
+    while not graph.reads_all(width):
+        ids, best = graph.search(some.astype(np.float32), width)
         got = np.zeros(sim.shape, dtype=bool)
         a, b = np.nonzero(ids >= 0)
         got[a, ids[a, b]] = True
-        x, y = links_of(graph, unit, some, width, limit)
-        if (len(x) >= recall * (sim >= limit).sum()
-                and np.take_along_axis(got, near, 1).mean() >= NEAREST) or graph.reads_all(width):
-            return width
+        x, y = links_of(graph, unit, some, width, limit, (ids, best))
+        if ((sim[x, y] < SAME).sum() >= recall * links
+                and np.take_along_axis(got, near, 1).mean() >= min(recall, NEAREST)):
+            break
         width *= 2
+    return width
 
 
 def search_blocks(reps: DataFrame, files: SharedFiles, limit: float, recall: float) -> DataFrame:

@@ -242,3 +242,46 @@ def test_mix(spark, make, corpus):
     assert mixing.mix(docs.where("false")).count() == 0
     null = docs.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "CAST(NULL AS string) AS source")
     assert mixing.mix(null).count() == len(corpus)
+
+
+def shard_with_links(n=3000, d=32):
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(n, d))
+    unit[1::30] = unit[::30] + 0.25 * rng.normal(size=unit[::30].shape)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def test_walked_graph_finds_the_links_of_a_large_shard():
+    unit = shard_with_links()
+    graph, queries = Graph.build(unit), unit[::3]
+    width = embed_dedup.audited_width(graph, unit, queries, 0.93, 0.99)
+    assert not graph.reads_all(embed_dedup.BEAM) and embed_dedup.linked_queries(unit, queries, 0.93).size >= 48
+    x, y = embed_dedup.links_of(graph, unit, queries, width, 0.93)
+    want = {(i, j) for i, j in zip(*np.nonzero(queries @ unit.T >= 0.93)) if i * 3 != j}
+    got = {(i, j) for i, j in zip(x, y) if i * 3 != j}
+    assert len(want) > 60 and got <= want and len(got) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("missed", ["links off the spread sample", "one of fourteen nearest"])
+def test_audit_widens_a_beam_that_misses(missed):
+    unit = shard_with_links()
+
+    class Narrow(Graph):
+        def search(self, queries, width):
+            sim = queries @ self.vectors.T
+            if width < 96 and missed.startswith("links"):
+                sim[(sim >= 0.92) & (sim < 0.9999)] = -1
+            order = np.argsort(-sim, axis=1, kind="stable")[:, :width]
+            if width < 96 and missed.startswith("one"):
+                order[:, 1:10].flat[::13] = order[0, -1]
+            return order, np.take_along_axis(sim, order, 1)
+
+    sim = unit @ unit.T
+    linked = ((sim >= 0.92) & (sim < 0.9999)).any(axis=1)
+    queries = unit[~linked]
+    if missed.startswith("links"):  # none of them where the spread sample looks
+        spread = np.linspace(0, len(unit) - 1, embed_dedup.AUDIT).astype(int)
+        queries, plain = np.empty_like(unit), unit[~linked]
+        queries[spread] = plain[:len(spread)]
+        queries[np.delete(np.arange(len(unit)), spread)] = np.concatenate([plain[len(spread):], unit[linked]])
+    assert embed_dedup.audited_width(Narrow(unit.astype(np.float32)), unit, queries, 0.93, 0.99) >= 96
