@@ -69,23 +69,32 @@ FURNITURE = re.compile(
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|hdr)(?=$|[\s_-])", re.I)
 #: Names that say what an element has, not what it is (``has-comments``).
 _HAS = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|is|allow)[-_][\w-]+", re.I)
-#: Marks of the article other than its element.
-ARTICLE = re.compile(r"(?:^|\s)(?:role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b)", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noembed|noframes|xmp)\b[^>]*>.*?(?:</\1\s*[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<(?=[a-zA-Z/])[^>]*(?:>|\Z)",
     re.S | re.I)
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute: its whole name, and its value, which is never searched for names.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def _attributes(source: str) -> list[tuple[str, str]]:
+    return [(name.lower(), value.strip("\"'")) for name, value in _ATTRIBUTE.findall(source)]
+
+
+def _article(attributes: list[tuple[str, str]]) -> bool:
+    """Marks of the article other than its element."""
+    return any(name == "role" and re.match(r"main\b", value, re.I)
+               or name == "itemprop" and re.match(r"articleBody\b", value, re.I) for name, value in attributes)
+
+
+def _furniture(tag: str, attributes: list[tuple[str, str]], in_article: bool) -> bool:
     if tag in HIDDEN or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main") or ARTICLE.search(attributes):
+    if not attributes or tag in ("html", "body", "article", "main") or _article(attributes):
         return False
-    for name, value in _NAMES.findall(attributes):
-        name, value = name.lower(), _HAS.sub("", value.strip("\"'"))
+    for name, value in attributes:
+        value = _HAS.sub("", value)
         if (name == "hidden" or (name == "aria-hidden" and value.lower() == "true")
                 or (name == "style" and re.search(r"display\s*:\s*none", value, re.I))
                 or (name in ("class", "id", "role") and (
@@ -146,8 +155,9 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
         if tag in VOID or m.group(4).endswith("/") and tag not in BLOCK:
             continue
         outer = stack[-1] if stack else ("", False, False)
-        article = outer[2] or not outer[1] and (tag in ("article", "main") or bool(ARTICLE.search(m.group(4))))
-        stack.append((tag, outer[1] or _furniture(tag, m.group(4), outer[2]), article))
+        attributes = _attributes(m.group(4)) if m.group(4) and not outer[1] else []
+        article = outer[2] or not outer[1] and (tag in ("article", "main") or _article(attributes))
+        stack.append((tag, outer[1] or _furniture(tag, attributes, outer[2]), article))
     tail = html[at:]
     text(tail)
     flush()

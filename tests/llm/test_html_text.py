@@ -142,3 +142,13 @@ def test_short_pages_under_a_large_template(spark):
     frame = "".join(f"<div>template line {i} which every page of the host has</div>" for i in range(12))
     rows = [(i, f"http://s.org/{i}", f"{frame}<p>short {i}</p>") for i in range(8)]
     assert texts(spark, rows, 3) == {i: f"short {i}" for i in range(8)}
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<article><p>see <a title=\"the hidden city\">it</a></p></article>", "see it"),
+    ("<p title='a hidden class=menu'>x</p>", "x"), ("<p data-t=\"a id=nav b\">x<p hiddenness=1>y", "x\ny"),
+    ("<div title='a role=main b'>y</div><p>x</p>", "y\nx"), ("<p data-class=ad>x<p alt=\"1\" HIDDEN>n", "x"),
+    ("<p title = 'the hidden' class = \"ad\">n</p><p id=a hidden=''>n</p>x", "x"),
+])
+def test_names_are_not_read_from_values(html, text):
+    assert alone(html) == text
