@@ -1,13 +1,12 @@
-"""Operator 9: repeated byte strings by distributed prefix doubling.
-
-Names take the place of ranks: two positions have the same name exactly when the
-strings of that length at them are equal (64-bit hash names; the name of 2h
-bytes is made of the pair of names at offsets 0 and h).  The offsets double from
-16 to 128 bytes, and a length that is no power is covered by two overlapping
-names, as usual.  Because a pair is named where the text lies, no rank has to be
-sent back between offsets; Spark only brings positions with equal names
-together, drops those whose name is unique and goes on with the others, until
-they are unique or the threshold is reached.
+"""Operator 9: repeated byte strings by window-minimum fingerprints.
+
+This is not prefix doubling with ranks that Spark sorts anew at growing offsets.
+Two positions have the same name exactly when the strings of that length at them
+are equal (64-bit hash names).  Names are folded to longer ones where the text
+lies, from 16 up to 256 bytes, the name of 2h bytes made of the pair of names at
+offsets 0 and h; a length that is no power is covered by two overlapping names.
+Spark groups twice, by the name of 256 bytes of a window minimum and by the name
+of ``size`` bytes, and drops positions whose name is unique.
 
 Positions are thinned before the first exchange: each position p looks at the
 names of 16 bytes in [p, p + 128) and picks the smallest, the last of equals.
