@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, ship_code
-from . import embed_dedup, exact_dedup, html_text, mixing, near_dedup, ngram, packing, quality, substring_dedup, suffix_dedup
+from . import (embed_dedup, exact_dedup, html_text, mixing, near_dedup, ngram, packing, pieces, quality, substring_dedup,
+               suffix_dedup)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,6 +149,13 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -165,4 +173,5 @@ QUERIES = {
     "op8_near_dedup": (op8_near_dedup, OP8_SQL),
     "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_main_text": (op10_main_text, None),
+    "op13_pieces": (op13_pieces, None),
 }
