@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, ship_code
-from . import (embed_dedup, exact_dedup, html_text, mixing, near_dedup, ngram, packing, pieces, quality, substring_dedup,
-               suffix_dedup)
+from . import (embed_dedup, exact_dedup, html_text, lexical_search, mixing, near_dedup, ngram, packing, pieces, quality,
+               substring_dedup, suffix_dedup)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,6 +149,27 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def _terms_sql(text: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            "'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, ts, len(ts)::BIGINT AS n FROM (SELECT doc_id, {_terms_sql('text')} AS ts FROM documents) WHERE len(ts) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS len FROM d),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term),
+q AS (SELECT item_id, term, count(*)::BIGINT AS r FROM (SELECT item_id, unnest({_terms_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // len))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10"""
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents")).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -173,5 +194,6 @@ QUERIES = {
     "op8_near_dedup": (op8_near_dedup, OP8_SQL),
     "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_main_text": (op10_main_text, None),
+    "op11_lexical_search": (op11_lexical_search, OP11_SQL),
     "op13_pieces": (op13_pieces, None),
 }
