@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, ship_code
-from . import (embed_dedup, exact_dedup, html_text, lexical_search, mixing, near_dedup, ngram, packing, pieces, quality,
-               substring_dedup, suffix_dedup)
+from . import (embed_dedup, exact_dedup, html_text, lexical_search, mixing, near_dedup, ngram, packing, periodic_runs, pieces,
+               quality, substring_dedup, suffix_dedup)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,6 +170,15 @@ o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10"""
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in (
+        "start", "length", "period"))), F.lit("\n")))
+    return runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                       F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents")).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -195,5 +204,6 @@ QUERIES = {
     "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_main_text": (op10_main_text, None),
     "op11_lexical_search": (op11_lexical_search, OP11_SQL),
+    "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_pieces": (op13_pieces, None),
 }
