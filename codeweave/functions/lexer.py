@@ -90,6 +90,47 @@ def mask_code(content: Column, language: Column) -> Column:
     return out.otherwise(content)
 
 
+def _same_length(t: Column) -> Column:
+    """A literal, every character but line breaks replaced."""
+    return F.regexp_replace(t, r"[^\n\r]", LITERAL)
+
+
+def _template(t: Column) -> Column:
+    """A template literal at its own length, expressions kept."""
+    parts = F.regexp_extract_all(t, F.lit(r"(?s)\$\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}|[^$]++|\$"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("${"), F.concat(
+        F.lit(LITERAL + "("), F.regexp_replace(F.regexp_replace(p, r"^\$\{|\}$", ""), _quoted('"') + "|" + _quoted("'"),
+                                               LITERAL), F.lit(")"))).otherwise(_same_length(p))), "")
+
+
+def _in_place(language: str):
+    def one(t: Column) -> Column:
+        last = F.substring_index(F.translate(t, "\r", "\n"), "\n", -1)
+        masked = F.when(t.startswith("//"), F.lit("")).when(t.startswith("/*"), F.concat(
+            F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - F.length(last)), r"[^\n\r]++", ""),
+            F.repeat(F.lit(" "), F.length(last))))
+        if language == "JavaScript":
+            masked = masked.when(t.startswith("`"), _template(t))
+        return masked.when(t.rlike("^[\"'`]") | t.rlike(r"^/."), _same_length(t)).otherwise(t)
+    return one
+
+
+def mask_in_place(content: Column, language: Column) -> Column:
+    """Masked text of a brace language in which every character keeps its line and
+    column: literals are runs of ``\\u0002``, comments blanks or, where nothing
+    follows on their line, cut off, preprocessor lines emptied (expressions of templates stay, in
+    parentheses; a literal inside one is one character)."""
+    out = None
+    for name in ("JavaScript", "Java", "C++"):
+        tokens = F.regexp_extract_all(content, F.lit("(?s)" + TOKENS[name]), F.lit(0))
+
+        masked = F.array_join(F.transform(tokens, _in_place(name)), "")
+        if name == "C++":
+            masked = F.regexp_replace(masked, r"(?m)^[ \t]*+#(?:[^\n\r\\]++|\\(?![\n\r]))*+", "")
+        out = F.when(language == name, masked) if out is None else out.when(language == name, masked)
+    return out.otherwise(content)
+
+
 def split_arguments(text: Column, angles: Column) -> Column:
     """Top-level comma parts of a parameter list, at any nesting depth.  ``text``
     starts after the opening parenthesis; what follows the closing one does not

@@ -1,13 +1,13 @@
-"""Entity extraction C1-C7 as a line-oriented Spark job.
+"""Entity extraction C1-C7.
 
-Definitions are found by per-language line rules (regular expressions over
-the line text with strings/comments removed); block extents come from
-indentation (Python) or brace depth (C family) through the
-:func:`lines.next_close` window; callers and class members come from
-:func:`lines.innermost_enclosing`.  No tree is built and nothing leaves the
-JVM.  Exactness holds for code in conventional layout (one definition per
-line start); the known differences to a full grammar are listed in the
-README.
+Python files are read by lines: definitions begin a logical line, a block ends
+before the first later logical line of the same or a lower indentation
+(:func:`lines.next_close`).  Files of brace languages are read by their brackets
+(:mod:`brackets`).  Both give entities that reach from one place of the file to
+another, ``line * 2**32 + column``; callers, class members and order are decided on
+these places (:func:`lines.innermost_enclosing`), lines are derived from them.  No
+tree is built and nothing leaves the JVM; the known differences to a full grammar
+are listed in the README.
 
 All tables carry (project_id, file_path) and stay partitioned by it.
 """
@@ -20,54 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexer import LITERAL, split_arguments
-from ..functions.text import py_strip, strip_chars
-from ..sources.store import materialize as store_table
-from .lines import (FILE_KEY, file_lines, innermost_enclosing, line_features, next_close,
-                    partition_files)
-
-# ---------------------------------------------------------------------------
-# Definition and import rules per language.
-# Each function rule captures the name in group 1 and must end at the '(' of
-# the parameter list, so that the parameter text starts right after it.
-# ---------------------------------------------------------------------------
-_ID = r"[A-Za-z_$][\w$]*"
-# a definition stands at the start of a line or after a brace or semicolon
-_START = r"(?:^|(?<=[{};]))\s*+"
-ARROW_OVER_LINES = 2  # number of the rule that needs an arrow after its parameters
-FUNCTION_RULES = {
-    "Python": [
-        r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(",
-    ],
-    "JavaScript": [
-        r"\bfunction\b\s*\*?\s*(" + _ID + r")\s*\(",
-        _START + r"(?:export\s+)?(?:const|let|var)\s+(" + _ID + r")\s*=\s*(?:async\s*)?"
-        r"(?:\((?=[^;{}]*\)\s*(?::[^=;]*)?=>)|(?=[\w$]+\s*=>))",
-        # the parameter list goes on: kept only if an arrow follows its end
-        _START + r"(?:export\s+)?(?:const|let|var)\s+(" + _ID + r")\s*=\s*(?:async\s*)?\((?=(?:[^()]|\([^()]*\))*$)",
-        _START + r"(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?\*?\s*(?!(?:if|for|while|switch|catch|function|return|with)\b)("
-        + _ID + r")\s*\((?=(?:[^()]|\([^()]*\))*\)\s*\{)",
-    ],
-    "Java": [
-        _START + r"(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
-        r"(?:<[^>]+>\s+)?(?!(?:return|new|throw|else|case|if|for|while|switch|catch|do|try|assert|yield)\b)"
-        r"[\w$.]+(?:<[^;(){}=]*>)?(?:\s*\[\])*\s+"
-        r"(?!(?:if|for|while|switch|catch)\b)(" + _ID + r")\s*\(",
-        _START + r"(?:(?:public|protected|private)\s+)?([A-Z][\w$]*)\s*\((?=[^();]*(?:\)\s*(?:throws\s[\w$.,\s]+)?\{|\)\s*$|,\s*$))",
-    ],
-    "C++": [
-        r"^\s*(?:template\s*<[^>]*>\s*)?(?:(?:inline|static|virtual|constexpr|extern|explicit|friend)\s+)*"
-        r"(?!(?:return|else|if|for|while|switch|case|new|delete|throw)\b)[\w:<>,]+[\s*&]+[*&]?\s*"
-        r"(?:[A-Za-z_]\w*::)*(~?[A-Za-z_]\w*)\s*\((?!.*;\s*$)",
-    ],
-}
-CLASS_RULES = {
-    "Python": r"^\s*class\s+([A-Za-z_]\w*)",
-    "JavaScript": _START + r"(?:export\s+)?(?:default\s+)?class\s+(" + _ID + r")",
-    "Java": _START + r"(?:@\w+\s+)*(?:(?:public|protected|private|static|final|abstract|sealed)\s+)*class\s+(" + _ID + r")",
-    "C++": _START + r"(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+([A-Za-z_]\w*)(?!\s*;)",
-}
-# call sites: optional 'new', then a dotted name, then '('
-CALL_PATTERN = r"(?<![\w$])(new\s+)?((?:\.\s*)?" + _ID + r"(?:\s*\.\s*" + _ID + r")*)\s*\("
+from ..functions.text import py_strip, split_lines, strip_chars
+from ..sources.store import materialize_all
+from .brackets import LINE, bracket_entities, named_entities, source_modules
+from .lines import FILE_KEY, file_lines, innermost_enclosing, line_features, next_close, partition_files
+
+_FUNCTION = r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\("
+_CLASS = r"^\s*class\s+([A-Za-z_]\w*)"
+# call sites: a dotted name, then '('
+CALL_PATTERN = r"(?<![\w$])((?:\.\s*)?[A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*\("
 # words that are never callees unless something is called on (x.catch())
 NOT_CALLEES = [
     "if", "elif", "for", "while", "switch", "catch", "return", "function", "with", "not", "and",
@@ -77,10 +38,8 @@ NOT_CALLEES = [
 ]
 # Java constructor invocations are not method calls
 NOT_CALLEES_JAVA = ["super", "this"]
-
-
-# ids of places in a line: line * LINE_IDS + place
-LINE_IDS = 1 << 32
+# an import statement, alone, behind a semicolon or in a block of one line
+_IMPORT = r"^\s*(?:(?:if|elif|else|try|except|finally|with|for|while|class|def|async)\b.*?:)?\s*((?:from\s+\S+\s+import\b|import\s).*)$"
 
 
 @dataclass
@@ -93,110 +52,43 @@ class Entities:
     lines: DataFrame
 
 
-_MATCH = "array<struct<rule:int,name:string,args:string,closed:boolean>>"
 # the parameter list up to its end if that is on the line (six levels deep; else the signature is read whole)
 _NEST = r"[^()]*+"
 for _ in range(6):
     _NEST = r"(?:[^()]++|\(" + _NEST + r"\))*+"
-_ARGS = r"(?=(" + _NEST + r")(\)?))"
-
-
-def _named(rule: int):
-    return lambda x: F.struct(F.lit(rule).alias("rule"), x["n"].alias("name"), x["a"].alias("args"),
-                              (x["c"] != "").alias("closed"))
-
-
-def _rule_matches(rules: dict[str, list[str]], text_col: str) -> F.Column:
-    """All matches of the rules of the row's language: rule number, name, the
-    masked parameter list and whether it ends on the line."""
-    expr = None
-    for lang, pats in rules.items():
-        found = []
-        for i, pat in enumerate(pats):
-            groups = [F.regexp_extract_all(F.col(text_col), F.lit(pat + _ARGS), F.lit(g)) for g in (1, 2, 3)]
-            found.append(F.transform(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("n", "a", "c")))), _named(i)))
-        arr = F.when(F.col(text_col).rlike(r"[({=]"), F.concat(*found)).otherwise(F.array().cast(_MATCH))
-        expr = (F.when(F.col("language") == lang, arr) if expr is None
-                else expr.when(F.col("language") == lang, arr))
-    return expr.otherwise(F.array().cast(_MATCH))
+_ARGS = r"(" + _NEST + r")(\)?)"
 
 
-def _class_matches(text_col: str) -> F.Column:
-    """Names of all classes that begin on the line."""
-    expr = None
-    for lang, pat in CLASS_RULES.items():
-        names = F.when(F.col(text_col).contains("class") | F.col(text_col).contains("struct"),
-                       F.regexp_extract_all(F.col(text_col), F.lit(pat), F.lit(1))).otherwise(
-            F.array().cast("array<string>"))
-        expr = (F.when(F.col("language") == lang, names) if expr is None
-                else expr.when(F.col("language") == lang, names))
-    return expr.otherwise(F.array().cast("array<string>"))
-
-
-def extract_entities(files: DataFrame, num_partitions: int | None = None,
-                     materialize: bool = True) -> Entities:
-    """C1-C6 over analyzable ``files`` (see operators.files.source_files).
-
-    With ``materialize`` the line features and the four entity tables are
-    stored as parquet in the session's checkpoint directory: every regular
-    expression runs once per line, each later branch reads the columns it needs
-    from narrow tables, and a lost executor recomputes nothing upstream."""
-    fp = partition_files(files.select(*FILE_KEY, "language", "content"), num_partitions)
-    lf = line_features(file_lines(fp))
+def python_lines(files: DataFrame) -> DataFrame:
+    """Line features of Python files, with the ranks of indentation."""
+    lf = line_features(file_lines(files))
     w_file = Window.partitionBy(*FILE_KEY)
     w_prev = Window.partitionBy(*FILE_KEY).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     w_next = Window.partitionBy(*FILE_KEY).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
-    is_py = F.col("language") == "Python"
-
-    # Python logical lines: content, not a bracket continuation, not in a string
-    lf = lf.withColumn("logical", is_py & F.col("is_content") & (F.col("paren_before") == 0)
-                       & ~F.col("in_string"))
+    # logical lines: content, not a bracket continuation, not in a string
+    lf = lf.withColumn("logical", F.col("is_content") & (F.col("paren_before") == 0) & ~F.col("in_string"))
     lf = lf.withColumn("prev_content", F.last(F.when(F.col("is_content"), F.col("line")), True).over(w_prev))
     lf = lf.withColumn("last_content", F.max(F.when(F.col("is_content"), F.col("line"))).over(w_file))
-    lf = lf.withColumn("n_lines", F.max("line").over(w_file))
     lf = lf.withColumn("rank", F.when(F.col("logical"), F.dense_rank().over(
         Window.partitionBy(*FILE_KEY).orderBy(F.when(F.col("logical"), F.col("indent"))))))
     lf = lf.withColumn("prev_rank", F.last("rank", True).over(w_prev))
     lf = lf.withColumn("next_logical", F.last(F.when(F.col("logical"), F.struct(
         F.col("rank").alias("rank"), F.col("prev_content").alias("prev_content"))), True).over(w_next))
-
-    # --- definitions -------------------------------------------------------
-    lf = lf.withColumn("next_from", F.last(F.when(
-        (F.col("language") == "JavaScript") & F.col("code").rlike(r"(?:^|[\s}])from\s*\"" + LITERAL),
-        F.regexp_extract("text", r"\bfrom\s*([\"'])(.*?)\1", 2)), True).over(w_next))
-    lf = (lf.withColumn("_fm", _rule_matches(FUNCTION_RULES, "code"))
-          .withColumn("_cn", _class_matches("code"))
-          .withColumn("_cc", _call_code())
-          # an arrow function whose body is an expression; a Java declaration without a body
-          .withColumn("arrow", (F.col("language") == "JavaScript") & F.col("code").rlike(r"=>")
-                      & ~F.col("code").rlike(r"=>\s*\{"))
-          .withColumn("no_body", (F.col("language") == "Java") & ~F.col("code").contains("{")
-                      & F.col("code").rlike(r"\)\s*(?:throws\s+[\w$.,\s]+)?;\s*$"))
-          .withColumn("head", F.when(F.col("code").rlike(r"^\s*(?:from\s|import\b|#)"), F.col("code")))
-          .drop("is_content", "indent", "code"))
-    if materialize:
-        lf = store_table(lf, "lines")
-    fmatch = lf.where(F.size("_fm") > 0).select("*", F.posexplode("_fm").alias("_sub", "_m"))
-    whole = ~F.col("_m.closed") | F.col("_m.args").contains(LITERAL)
-    fdefs = fmatch.select(
-        *FILE_KEY, "language", "line", "depth_before", "depth_after", "depth_min",
-        "has_open_brace", "paren_before", "paren_after", "rank", "next_logical", "last_content", "n_lines",
-        F.col("_m.name").alias("name"), F.col("_m.rule").alias("rule"), F.col("_m.closed").alias("closed"),
-        F.when(~whole, F.concat("_m.args", F.lit(")"))).alias("args"), F.lit("function").alias("kind"),
-        (F.col("line").cast("long") * LINE_IDS + F.col("_sub")).alias("open_id"), "arrow", "no_body")
-    # one function per (line, name): several rules can see the same definition
-    fdefs = fdefs.withColumn("_rn", F.row_number().over(
-        Window.partitionBy(*FILE_KEY, "line", "name").orderBy("rule"))).where("_rn = 1").drop("_rn")
-    cdefs = (lf.where(F.size("_cn") > 0).select("*", F.posexplode("_cn").alias("_sub", "name"))
-             .select(*FILE_KEY, "language", "line", "depth_before", "depth_after", "depth_min",
-                     "has_open_brace", "paren_before", "paren_after", "rank", "next_logical",
-                     "last_content", "n_lines", "name", F.lit(-1).alias("rule"), F.lit(True).alias("closed"),
-                     F.lit(None).cast("string").alias("args"), F.lit("class").alias("kind"),
-                     (F.col("line").cast("long") * LINE_IDS + LINE_IDS // 2 + F.col("_sub")).alias("open_id"),
-                     F.lit(False).alias("arrow"), F.lit(False).alias("no_body")))
-    defs = fdefs.unionByName(cdefs)
-
-    # bracket extent of signatures that go on over lines
+    return lf.select(*FILE_KEY, "language", "line", "text", "code", "logical", "rank", "prev_rank", "prev_content",
+                     "last_content", "next_logical", "paren_before", "paren_after")
+
+
+def python_entities(lf: DataFrame) -> DataFrame:
+    """Functions and classes of Python files, as ``brackets.named_entities``."""
+    code = F.col("code")
+    fname, cname = F.regexp_extract(code, _FUNCTION, 1), F.regexp_extract(code, _CLASS, 1)
+    args, closed = (F.regexp_extract(code, _FUNCTION + _ARGS, g) for g in (2, 3))
+    defs = (lf.where(code.rlike(r"^\s*(?:async\s+)?(?:def|class)\s") & F.col("logical"))
+            .withColumn("kind", F.when(fname != "", F.lit("function")).when(cname != "", F.lit("class")))
+            .where(F.col("kind").isNotNull()).withColumn("name", F.when(fname != "", fname).otherwise(cname))
+            .withColumn("args", F.when((closed != "") & ~args.contains(LITERAL), F.concat(args, F.lit(")"))))
+            .withColumn("open_id", F.col("line").cast("long")))
+    # signatures that go on over lines, by their brackets
     s_opens = defs.where(F.col("paren_after") > F.col("paren_before")).select(
         *FILE_KEY, "line", "open_id", F.col("paren_before").alias("level"))
     pmin = F.least(F.col("paren_after"), F.col("paren_before"))
@@ -204,186 +96,143 @@ def extract_entities(files: DataFrame, num_partitions: int | None = None,
                 .select(*FILE_KEY, "line", F.explode(F.sequence(pmin, F.col("paren_before") - 1)).alias("level"),
                         F.col("line").cast("int").alias("close_at")))
     sig_end = next_close(s_opens, s_closes).withColumnRenamed("close_at", "sig_close")
-    defs = defs.join(sig_end, FILE_KEY + ["open_id"], "left").withColumn(
-        "sig_end", F.coalesce("sig_close", "line").cast("int")).drop("sig_close")
-
-    # --- extents ---------------------------------------------------------
-    # brace languages: the block opened at depth d0 (the depth after any
-    # leading '}' of the line) closes on the first later line whose depth
-    # drops through d0; blocks opened and closed on one line are handled below
-    # (the search starts after the signature: its own braces are not the body)
-    d_opens = defs.where(~is_py).select(*FILE_KEY, F.col("sig_end").alias("line"), "open_id",
-                                        F.col("depth_min").alias("level"))
-    d_closes = (lf.where((F.col("language") != "Python") & (F.col("depth_min") < F.col("depth_before")))
-                .select(*FILE_KEY, "line", F.explode(F.sequence(F.col("depth_min"), F.col("depth_before") - 1))
-                        .alias("level"), F.col("line").cast("int").alias("close_at")))
-    brace_end = next_close(d_opens, d_closes)
-    # Python: a block ends before the first later logical line at the same or
-    # a lower indentation rank
-    p_opens = defs.where(is_py).select(*FILE_KEY, "line", "open_id", F.col("rank").alias("level"))
+    # a block ends before the first later logical line at the same or a lower indentation rank
+    p_opens = defs.select(*FILE_KEY, "line", "open_id", F.col("rank").alias("level"))
     p_closes = (lf.where(F.col("logical") & (F.col("prev_rank") > F.col("rank")))
                 .select(*FILE_KEY, "line", F.explode(F.sequence(F.col("rank"), F.col("prev_rank") - 1))
                         .alias("level"), F.col("prev_content").cast("int").alias("close_at")))
-    py_end = next_close(p_opens, p_closes)
-    ends = brace_end.unionByName(py_end)
-
-    one_line_brace = F.col("has_open_brace") & (F.col("depth_after") <= F.col("depth_before"))
-    ent = defs.join(ends, FILE_KEY + ["open_id"], "left")
-    py_one = F.col("next_logical").isNotNull() & (F.col("next_logical.rank") <= F.col("rank"))
-    end_line = (F.when(is_py, F.when(py_one, F.col("next_logical.prev_content"))
-                       .otherwise(F.coalesce(F.col("close_at"), F.col("last_content"))))
-                .when(F.col("arrow") & F.col("closed") | one_line_brace & (F.col("sig_end") == F.col("line"))
-                      | F.col("no_body"), F.col("line"))
-                .otherwise(F.coalesce(F.col("close_at"), F.col("n_lines"))))
-    ent = ent.withColumn("end_line", end_line.cast("int"))
-
-    # signatures that are read whole: their lines, joined (one per line: only
-    # the last definition of a line can go on over its end)
-    wanted = (ent.where((F.col("kind") == "function") & F.col("args").isNull())
-              .groupBy(*FILE_KEY, "line").agg(F.max("sig_end").alias("sig_end")))
+    ent = (defs.join(sig_end, FILE_KEY + ["open_id"], "left")
+           .join(next_close(p_opens, p_closes), FILE_KEY + ["open_id"], "left"))
+    one_line = F.col("next_logical").isNotNull() & (F.col("next_logical.rank") <= F.col("rank"))
+    ent = ent.withColumn("end_line", F.when(one_line, F.col("next_logical.prev_content")).otherwise(
+        F.coalesce(F.col("close_at"), F.col("last_content"))).cast("int"))
+    # signatures that are read whole: their lines, joined
+    wanted = ent.where((F.col("kind") == "function") & F.col("args").isNull())
     spans = wanted.select(*FILE_KEY, F.col("line").alias("def_line"),
-                          F.explode(F.sequence(F.col("line"), F.col("sig_end"))).alias("line"))
+                          F.explode(F.sequence(F.col("line"), F.coalesce("sig_close", "line").cast("int"))).alias("line"))
     sig = (lf.select(*FILE_KEY, "line", "text").join(spans, FILE_KEY + ["line"])
            .groupBy(*FILE_KEY, F.col("def_line").alias("line"))
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))),
                                          lambda x: x["text"]), "\n").alias("sig")))
     ent = ent.join(sig, FILE_KEY + ["line"], "left")
-    ent = ent.where((F.col("language") != "JavaScript") | (F.col("rule") != ARROW_OVER_LINES)
-                    | F.col("sig").rlike(r"(?s)\)\s*(?::[^=;]*)?=>[^()]*\z"))
-    head = F.concat(F.lit(r"(?s)^.*?(?<![\w$])"), F.regexp_replace("name", r"([$~])", r"\\$1"),
-                    F.lit(r"\s*(?:=\s*(?:async\s*)?)?\("))
-    text = F.coalesce("args", F.when(F.regexp_like(F.col("sig"), head), F.regexp_replace(F.col("sig"), head, F.lit(""))))
-    ent = ent.withColumn("parameters", F.when(F.col("kind") == "function", F.coalesce(
-        split_arguments(text, F.col("language").isin("Java", "C++")), F.array().cast("array<string>"))))
-
-    # pre-order: (line asc, end_line desc, name)
-    w_ord = Window.partitionBy(*FILE_KEY, "kind").orderBy("line", F.desc("end_line"), "name")
-    ent = ent.withColumn("ord", F.row_number().over(w_ord)).select(
-        *FILE_KEY, "kind", "open_id", "ord", "name", "language", "parameters", "line", "end_line")
-    if materialize:
-        ent = store_table(ent, "entities")
-
-    functions = ent.where(F.col("kind") == "function").select(
-        *FILE_KEY, "ord", "name", "language", "parameters", "line", "end_line", "open_id")
-    classes0 = ent.where(F.col("kind") == "class").select(
-        *FILE_KEY, "ord", "name", "language", "line", "end_line", "open_id")
+    head = r"(?s)^\s*(?:async\s+)?def\s+\w+\s*\("
+    text = F.coalesce("args", F.regexp_replace("sig", head, ""))
+    return ent.select(
+        *FILE_KEY, "language", "kind", "name",
+        F.when(F.col("kind") == "function", F.coalesce(split_arguments(text, F.lit(False)),
+                                                       F.array().cast("array<string>"))).alias("parameters"),
+        (F.col("line").cast("long") * LINE).alias("pos"), ((F.col("end_line").cast("long") + 1) * LINE).alias("end_pos"),
+        F.col("line").cast("int").alias("line"), "end_line")
+
+
+def python_calls(lf: DataFrame) -> DataFrame:
+    """C5 of Python files: ``FILE_KEY, language, callee, pos`` (heads of definitions are masked)."""
+    code = F.regexp_replace(F.regexp_replace("code", _FUNCTION, " ("), _CLASS, " ")
+    c = lf.where(F.col("code").contains("(")).select(
+        *FILE_KEY, "language", "line", F.posexplode(F.regexp_extract_all(code, F.lit(CALL_PATTERN), F.lit(1))).alias("k", "name"))
+    callee = F.element_at(F.split(F.regexp_replace("name", r"\s+", ""), r"\."), -1)
+    return (c.withColumn("callee", callee)
+            .where(~F.col("callee").isin("", "import") & (F.col("name").contains(".") | ~F.col("callee").isin(*NOT_CALLEES)))
+            .select(*FILE_KEY, "language", "callee", (F.col("line").cast("long") * LINE + F.col("k")).alias("pos")))
+
+
+def python_imports(lf: DataFrame) -> DataFrame:
+    """C4 of Python files: every import statement, module by rule, else its text."""
+    parts = lf.where(F.col("logical") & F.col("code").rlike(r"\bimport\b")).select(
+        *FILE_KEY, "language", "line", F.posexplode(F.split("code", ";")).alias("k", "part"))
+    statement = py_strip(F.regexp_extract("part", _IMPORT, 1))
+    origin = F.regexp_extract(statement, r"^from\s+(\.*[\w.]*)\s+import\b", 1)
+    names = F.split(F.regexp_extract(statement, r"^import\s+(.*)$", 1), ",")
+    plain = F.filter(F.transform(names, lambda x: py_strip(x)), lambda x: x.rlike(r"^[A-Za-z_][\w.]*$"))
+    module = F.when(origin != "", origin).otherwise(F.coalesce(F.try_element_at(plain, F.lit(1)), statement))
+    return parts.where(statement != "").select(
+        *FILE_KEY, "language", module.alias("module"), (F.col("line").cast("long") * LINE + F.col("k")).alias("pos"))
+
+
+def cpp_includes(files: DataFrame) -> DataFrame:
+    """C4 of C++ files: their include lines."""
+    rule = r"^\s*#\s*include\b"
+    lines = file_lines(files).where(F.col("code").rlike(rule) & F.col("text").rlike(rule))
+    module = strip_chars(F.regexp_extract("text", r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]", 1), "\"'<>")
+    return lines.select(*FILE_KEY, "language", F.when(module != "", module).otherwise(py_strip("text")).alias("module"),
+                        (F.col("line").cast("long") * LINE).alias("pos"))
+
+
+def extract_entities(files: DataFrame, num_partitions: int | None = None,
+                     materialize: bool = True) -> Entities:
+    """C1-C6 over analyzable ``files`` (see operators.files.source_files).
+
+    With ``materialize`` the lines, the marks that hold something and the four entity
+    tables are stored as parquet in the session's checkpoint directory: every regular
+    expression runs once, later branches read the columns they need from narrow
+    tables, and a lost executor recomputes nothing upstream."""
+    def stored(**tables):
+        return materialize_all(tables) if materialize else list(tables.values())
+
+    fp = partition_files(files.select(*FILE_KEY, "language", "content"), num_partitions)
+    lines = (fp.select(*FILE_KEY, "language", F.posexplode(split_lines(F.col("content"))).alias("k", "text"))
+             .select(*FILE_KEY, "language", (F.col("k") + 1).alias("line"), "text"))
+    lf = python_lines(fp.where("language = 'Python'"))
+    marks = bracket_entities(fp.where("language IN ('JavaScript', 'Java', 'C++')"), NOT_CALLEES, NOT_CALLEES_JAVA)
+    lines, lf, marks = stored(lines=lines, python=lf, marks=marks)
+
+    ent = python_entities(lf).unionByName(named_entities(marks, lines))
+    # pre-order: an entity comes before what it holds
+    w_ord = Window.partitionBy(*FILE_KEY, "kind").orderBy("pos", F.desc("end_pos"), "name")
+    in_file = Window.partitionBy(*FILE_KEY).orderBy("pos")
+    line = F.shiftright("pos", 32).cast("int").alias("line")
+    imports = (python_imports(lf).unionByName(source_modules(marks, lines))
+               .unionByName(cpp_includes(fp.where("language = 'C++'")))
+               .withColumn("ord", F.row_number().over(in_file)).select(*FILE_KEY, "ord", "language", "module", line))
+    ent, imports = stored(entities=ent.withColumn("ord", F.row_number().over(w_ord)), imports=imports)
+    functions, classes = (ent.where(F.col("kind") == k) for k in ("function", "class"))
 
     # methods = functions whose innermost enclosing entity is the class
-    parent = _parent_entity(ent)
-    members = (parent.join(classes0.select(*FILE_KEY, F.col("open_id").alias("parent_id")),
-                           FILE_KEY + ["parent_id"], "inner")
-               .join(functions.select(*FILE_KEY, "open_id", F.col("ord").alias("_ford"),
-                                      F.col("name").alias("_fname")), FILE_KEY + ["open_id"])
-               .groupBy(*FILE_KEY, "parent_id")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("_ford", "_fname"))),
-                                lambda x: x["_fname"]).alias("methods")))
-    classes = (classes0.join(members.withColumnRenamed("parent_id", "open_id"), FILE_KEY + ["open_id"], "left")
+    members = (_parent_entity(ent).join(classes.select(*FILE_KEY, F.col("pos").alias("parent")), FILE_KEY + ["parent"])
+               .where(F.col("kind") == "function").groupBy(*FILE_KEY, "parent")
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("methods")))
+    classes = (classes.join(members.withColumnRenamed("parent", "pos"), FILE_KEY + ["pos"], "left")
                .withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
                .select(*FILE_KEY, "ord", "name", "language", "line", "end_line", "methods"))
-
-    imports = _imports(lf)
-    calls = _calls(lf, functions)
-    if materialize:
-        classes = store_table(classes, "classes")
-        imports = store_table(imports, "imports")
-        calls = store_table(calls, "calls")
-    return Entities(functions.drop("open_id"), classes, imports, calls,
-                    lf.select(*FILE_KEY, "language", "line", "text"))
+    called = python_calls(lf).unionByName(marks.where("callee IS NOT NULL").select(
+        *FILE_KEY, "language", "callee", F.col("at").alias("pos")))
+    calls = _callers(called, functions).withColumn("ord", F.row_number().over(in_file)).select(
+        *FILE_KEY, "ord", "language", "caller", "callee", line)
+    classes, calls = stored(classes=classes, calls=calls)
+    return Entities(functions.select(*FILE_KEY, "ord", "name", "language", "parameters", "line", "end_line"),
+                    classes, imports, calls, lines)
 
 
 def _parent_entity(ent: DataFrame) -> DataFrame:
-    """(FILE_KEY, open_id, parent_id): innermost other entity containing each
-    entity.  Entities are laminar, so with the start events ordered outer
-    first, the parent of an entity at depth d is the latest entity of depth
-    d-1 that started before it."""
-    order = [F.col("line"), F.desc("end_line"), F.col("open_id")]
-    starts = ent.select(*FILE_KEY, "open_id", "line", "end_line", F.lit(1).alias("_delta"), F.lit(1).alias("_k"))
-    ends = ent.select(*FILE_KEY, F.lit(None).cast("long").alias("open_id"), (F.col("end_line") + 1).alias("line"),
-                      F.lit(None).cast("int").alias("end_line"), F.lit(-1).alias("_delta"), F.lit(0).alias("_k"))
-    ev = starts.unionByName(ends)
-    w_run = (Window.partitionBy(*FILE_KEY).orderBy(F.col("line"), F.col("_k"), F.desc("end_line"), F.col("open_id"))
+    """``ent`` with ``parent``, the place where the innermost other entity around each
+    begins.  Entities are laminar, so with the starts ordered outer first, the parent
+    of an entity at depth d is the latest entity of depth d-1 that began before it."""
+    starts = ent.select(*FILE_KEY, "kind", "name", "ord", "pos", "end_pos", F.lit(1).alias("_delta"), F.lit(1).alias("_k"))
+    none = F.lit(None)
+    ends = ent.select(*FILE_KEY, none.cast("string").alias("kind"), none.cast("string").alias("name"),
+                      none.cast("int").alias("ord"), F.col("end_pos").alias("pos"), none.cast("long").alias("end_pos"),
+                      F.lit(-1).alias("_delta"), F.lit(0).alias("_k"))
+    w_run = (Window.partitionBy(*FILE_KEY).orderBy("pos", "_k", F.desc("end_pos"))
              .rowsBetween(Window.unboundedPreceding, 0))
-    ev = ev.withColumn("depth", F.sum("_delta").over(w_run)).where(F.col("_k") == 1)
+    ev = starts.unionByName(ends).withColumn("depth", F.sum("_delta").over(w_run)).where(F.col("_k") == 1)
     # parent = last start of depth-1 before this one: shift the depth of
     # candidates by one and look in the same (file, depth) window
-    cand = ev.select(*FILE_KEY, (F.col("depth") + 1).alias("depth"), "line", "end_line", "open_id",
-                     F.col("open_id").alias("_pid"), F.lit(0).alias("_side"))
-    me = ev.select(*FILE_KEY, "depth", "line", "end_line", "open_id",
-                   F.lit(None).cast("long").alias("_pid"), F.lit(1).alias("_side"))
-    w_lvl = (Window.partitionBy(*FILE_KEY, "depth").orderBy(*order, F.col("_side"))
+    cand = ev.withColumn("depth", F.col("depth") + 1).withColumn("begin", F.col("pos")).withColumn("_side", F.lit(0))
+    me = ev.withColumn("begin", none.cast("long")).withColumn("_side", F.lit(1))
+    w_lvl = (Window.partitionBy(*FILE_KEY, "depth").orderBy("pos", F.desc("end_pos"), "_side")
              .rowsBetween(Window.unboundedPreceding, -1))
-    both = cand.unionByName(me).withColumn("parent_id", F.last("_pid", True).over(w_lvl))
-    return both.where(F.col("_side") == 1).select(*FILE_KEY, "open_id", "parent_id")
-
-
-def _imports(lf: DataFrame) -> DataFrame:
-    """C4: one import per import statement line, module by language rule,
-    raw statement text as the fallback."""
-    t = F.col("text")
-    raw = py_strip(t)
-    live = ~F.col("in_string") & F.col("head").isNotNull()
-    lang = F.col("language")
-    py_from = F.regexp_extract(t, r"^\s*from\s+(\.*[\w.]*)\s+import\b", 1)
-    py_names = F.split(F.regexp_extract(t, r"^\s*import\s+([^#;]*)", 1), ",")
-    py_plain = F.filter(F.transform(py_names, lambda x: py_strip(x)),
-                        lambda x: x.rlike(r"^[A-Za-z_][\w.]*$"))
-    py_mod = F.when(py_from != "", py_from).otherwise(F.try_element_at(py_plain, F.lit(1)))
-    is_py_imp = t.rlike(r"^\s*(?:from\s+\S+\s+import\b|import\s)")
-    js_src = F.regexp_extract(t, r"^\s*import\b(?:.*?\bfrom\s*)?\s*([\"'])(.*?)\1", 2)
-    # the source of an import over several lines stands on a later one
-    js_src = F.when(js_src != "", js_src).when(~F.col("head").contains(LITERAL), F.col("next_from"))
-    is_js_imp = t.rlike(r"^\s*import[\s{*\"']")
-    java_mod = F.regexp_extract(t, r"^\s*import\s+(?:static\s+)?([\w$]+(?:\.[\w$]+)+)", 1)
-    is_java_imp = t.rlike(r"^\s*import\s")
-    cpp_mod = F.regexp_extract(t, r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]", 1)
-    is_cpp_imp = t.rlike(r"^\s*#\s*include\b")
-    is_imp = (F.when(lang == "Python", is_py_imp).when(lang == "JavaScript", is_js_imp)
-              .when(lang == "Java", is_java_imp).when(lang == "C++", is_cpp_imp).otherwise(F.lit(False)))
-    mod = (F.when(lang == "Python", py_mod).when(lang == "JavaScript", strip_chars(js_src, "\"'"))
-           .when(lang == "Java", java_mod).when(lang == "C++", strip_chars(cpp_mod, "\"'<>")))
-    mod = F.when(F.coalesce(mod, F.lit("")) == "", raw).otherwise(mod)
-    imp = lf.where(live & is_imp).select(*FILE_KEY, "language", mod.alias("module"), "line")
-    w = Window.partitionBy(*FILE_KEY).orderBy("line")
-    return imp.withColumn("ord", F.row_number().over(w)).select(
-        *FILE_KEY, "ord", "language", "module", "line")
-
-
-def _call_code() -> F.Column:
-    """Code with definition heads masked, so 'def f(' / 'function f(' /
-    'class C(' are not taken for calls."""
-    code = None
-    for lang, pats in FUNCTION_RULES.items():
-        masked = F.col("code")
-        for pat in pats:
-            masked = F.regexp_replace(masked, pat, " (")
-        masked = F.regexp_replace(masked, CLASS_RULES[lang], " ")
-        code = (F.when(F.col("language") == lang, masked) if code is None
-                else code.when(F.col("language") == lang, masked))
-    return F.when(F.col("code").contains("("), code.otherwise(F.col("code")))
-
-
-def _calls(lf: DataFrame, functions: DataFrame) -> DataFrame:
-    """Call sites with the callee cut after its last '.', and the
-    innermost enclosing named function as caller (NULL at top level)."""
-    live = lf.where(F.col("_cc").isNotNull())
-    news = F.regexp_extract_all(F.col("_cc"), F.lit(CALL_PATTERN), 1)
-    names = F.regexp_extract_all(F.col("_cc"), F.lit(CALL_PATTERN), 2)
-    pairs = F.arrays_zip(news.alias("new"), names.alias("name"))
-    c = live.select(*FILE_KEY, "language", "line", F.posexplode(pairs).alias("pos", "m"))
-    callee = F.element_at(F.split(F.regexp_replace(F.col("m.name"), r"\s+", ""), r"\."), -1)
-    c = (c.where(F.col("m.new") == "").withColumn("callee", callee)
-         .where((F.col("callee") != "") & (F.col("m.name").contains(".") | ~(
-             F.col("callee").isin(*NOT_CALLEES)
-             | (F.col("language") == "Java") & F.col("callee").isin(*NOT_CALLEES_JAVA))))
-         .withColumn("point_id", F.col("line").cast("long") * LINE_IDS + F.col("pos")))
-    ranges = functions.select(*FILE_KEY, F.col("open_id").alias("range_id"), "line", "end_line")
-    enc = innermost_enclosing(ranges, c.select(*FILE_KEY, "point_id", "line"))
-    names_by_id = functions.select(*FILE_KEY, F.col("open_id").alias("range_id"), F.col("name").alias("caller"))
-    c = (c.join(enc, FILE_KEY + ["point_id"], "left")
-         .join(names_by_id, FILE_KEY + ["range_id"], "left"))
-    w = Window.partitionBy(*FILE_KEY).orderBy("line", "pos")
-    return c.withColumn("ord", F.row_number().over(w)).select(
-        *FILE_KEY, "ord", "language", "caller", "callee", "line")
+    return (cand.unionByName(me).withColumn("parent", F.last("begin", True).over(w_lvl)).where(F.col("_side") == 1)
+            .select(*FILE_KEY, "kind", "name", "ord", "pos", "parent"))
+
+
+def _callers(called: DataFrame, functions: DataFrame) -> DataFrame:
+    """``called`` with the innermost named function around each call (NULL at top level)."""
+    ranges = functions.select(*FILE_KEY, F.col("pos").alias("range_id"), F.col("pos").alias("line"),
+                              (F.col("end_pos") - 1).alias("end_line"))
+    around = innermost_enclosing(ranges, called.select(*FILE_KEY, F.col("pos").alias("point_id"), F.col("pos").alias("line")))
+    names = functions.select(*FILE_KEY, F.col("pos").alias("range_id"), F.col("name").alias("caller"))
+    return (called.join(around.select(*FILE_KEY, F.col("point_id").alias("pos"), "range_id"), FILE_KEY + ["pos"], "left")
+            .join(names, FILE_KEY + ["range_id"], "left"))
 
 
 def analysis_records(files: DataFrame, ent: Entities) -> DataFrame:

@@ -9,6 +9,7 @@ later readers get column pruning and filter pushdown.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,12 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.parquet(path)
 
 
+def materialize_all(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """``materialize`` of tables that do not need one another, as jobs that run side by side."""
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        return list(pool.map(lambda t: materialize(t[1], t[0]), tables.items()))
+
+
 # ---------------------------------------------------------------- A5-A8
 class VectorStore:
     """Chunk vectors as a parquet table partitioned by ``project_id``.
