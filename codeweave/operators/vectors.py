@@ -7,19 +7,24 @@ lower-cased word tokens into ``dim`` buckets (md5 prefix modulo dim) and L2
 normalises the counts; a JVM-only Spark ML variant (HashingTF) is provided
 for LSH.
 
-Search (D15 + K4 + K5 + G2): vectors and questions of a project meet block by
-block, one numpy product each; only a question's top-k of a block leaves it,
-and the final top-k is a ``row_number`` filter over these few rows.
+Search (D15 + K4 + K5 + G2): vectors stay in their stored partitions; tasks map the
+matrix of a project's questions into memory, one numpy product per batch, and only a
+question's top-k of a task leaves it; the final top-k is a ``row_number`` filter over
+these few rows.  ``LshIndex`` (K6) is the approximate form, with exact search for
+questions that it is not sure of.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +32,12 @@ from pyspark.sql import types as T
 from ..functions.constants import (EMBEDDING_BATCH_SIZE, EMBEDDING_DIM, TOP_K_DEFAULT, TOP_K_MAX,
                                    TOP_K_MIN)
 from ..functions.text import py_strip
-from ..sources.store import spread
+from ..sources.store import SharedTables, materialize, scratch_path, spread
 
 _TOKEN = re.compile(r"[a-z0-9_]+")
 
-# rows of one block of vectors and of questions in the search
-VECTOR_BLOCK, QUESTION_BLOCK = 4096, 512
+# questions in one pass over the vectors
+QUESTIONS = 16_384
 
 
 class HashedTokenEmbedder:
@@ -151,65 +156,127 @@ def vector_records(chunks: DataFrame) -> DataFrame:
         F.coalesce(s("summary"), F.lit("")).alias("summary"))
 
 
-def _score_blocks(q: DataFrame, vectors: DataFrame, qvec_col: str, vec_col: str, id_col: str,
-                  unit_vectors: bool) -> DataFrame:
-    """(question_id, project_id, top_k, id, score): each question's best
-    ``top_k`` of every block of its project's vectors.
-
-    Vectors and questions of a project are dealt into blocks of bounded size;
-    each pair of blocks meets in one group, is scored by one matrix product,
-    and exactly min(top_k, rows) rows per question leave it, ties broken by id.
-    A project with a third of all vectors is many groups."""
-    blocks = (vectors.groupBy("project_id").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("_vs"))
-              .join(q.groupBy("project_id").agg(F.ceil(F.count("*") / QUESTION_BLOCK).cast("int").alias("_qs")),
-                    "project_id"))
-    def deal(df, key, own, other):
-        return (df.join(blocks, "project_id")
-                .withColumn("_own", F.pmod(F.xxhash64(key), own).cast("int"))
-                .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1))))
-    v = deal(vectors.select("project_id", F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")), "_id", "_vs", "_qs")
-    v = v.select("project_id", F.col("_own").alias("_vb"), F.col("_other").alias("_qb"), "_id", "_v")
-    p = deal(q.select("project_id", "question_id", "top_k", F.col(qvec_col).alias("_q")), "question_id", "_qs", "_vs")
-    p = p.select("project_id", F.col("_other").alias("_vb"), F.col("_own").alias("_qb"), "question_id", "top_k", "_q")
-    schema = T.StructType([p.schema["question_id"], v.schema["project_id"], p.schema["top_k"],
-                           T.StructField(id_col, v.schema["_id"].dataType), T.StructField("score", T.DoubleType())])
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [f.name for f in schema.fields]
-        if not len(left) or not len(right):
-            return pd.DataFrame({n: [] for n in names})
-        left = left.sort_values("_id", kind="stable")
-        a, b = (np.stack([np.asarray(x, dtype=np.float64) for x in col]) for col in (left["_v"], right["_q"]))
-        if not unit_vectors:
-            a, b = (np.divide(x, n, out=np.zeros_like(x), where=n > 0) for x, n in
-                    ((x, np.linalg.norm(x, axis=1, keepdims=True)) for x in (a, b)))
-        score = np.floor(np.maximum(a @ b.T, 0.0) * 10_000 + 0.5) / 10_000
-        take = np.minimum(right["top_k"].to_numpy(), len(left))
-        order = np.argsort(-score, axis=0, kind="stable")[:int(take.max())]
-        row, col = np.nonzero(np.arange(len(order))[:, None] < take[None, :])
-        at = order[row, col]
-        return pd.DataFrame({"question_id": right["question_id"].to_numpy()[col],
-                             "project_id": left["project_id"].to_numpy()[at], "top_k": take[col].astype(np.int32),
-                             id_col: left["_id"].to_numpy()[at], "score": score[at, col]})[names]
-
-    key = ["project_id", "_vb", "_qb"]
-    return v.groupBy(*key).cogroup(p.groupBy(*key)).applyInPandas(best, schema)
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column that have ``dim`` values: their places and a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False), nan=-1).astype(np.int64)
+    good = np.flatnonzero(size == dim)
+    values = column.take(pa.array(good)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return good, values.reshape(len(good), dim)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+class _Best:
+    """The best vectors of a project's questions so far, ``top_k`` of each."""
+
+    def __init__(self, table: pa.Table, unit: bool):
+        self.question = table.column("question_id")
+        self.top_k = table.column("top_k").to_numpy()
+        self.dim = len(table.column("qvec")[0])
+        good, q = _matrix(table.column("qvec"), self.dim)
+        self.at = good  # questions of another length match nothing
+        self.q = q if unit else _unit(q)
+        self.found = pd.DataFrame({"q": np.zeros(0, np.int64), "score": np.zeros(0), "id": np.zeros(0, object)})
+        self.least = np.full(len(good), -1.0)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Rows in the order of their ids."""
+        step = max(64, (1 << 22) // max(1, len(self.q)))
+        for a in range(0, len(x), step):
+            part = x[a:a + step]
+            n, k = len(part), min(int(self.top_k.max()), len(part))
+            # one number orders by score, then by id: equal scores keep the smaller ids
+            score = np.floor(np.maximum(part @ self.q.T, 0.0) * 10_000 + 0.5).astype(np.int64)
+            key = score * n + (n - 1 - np.arange(n))[:, None]
+            key = np.partition(key, n - k, axis=0)[n - k:]
+            row, score = n - 1 - key % n, key // n / 10_000
+            good, col = np.nonzero(score >= self.least[None, :])
+            new = pd.DataFrame({"q": col, "score": score[good, col], "id": ids[a + row[good, col]]})
+            both = pd.concat([self.found, new]).sort_values(["q", "score", "id"], ascending=[True, False, True])
+            place = both.groupby("q").cumcount()
+            take = self.top_k[self.at[both["q"].to_numpy()]]
+            self.found = both[place.to_numpy() < take]
+            last = self.found[(place[place.to_numpy() < take] + 1).to_numpy() == take[place.to_numpy() < take]]
+            self.least[last["q"].to_numpy()] = last["score"].to_numpy()
+
+    def rows(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        at = self.at[self.found["q"].to_numpy()]
+        return self.question.take(pa.array(at)), self.found["id"].to_numpy(), self.found["score"].to_numpy()
+
+
+def _score_in_place(questions: DataFrame, vectors: DataFrame, qvec_col: str, vec_col: str, id_col: str,
+                    unit_vectors: bool, most: int) -> DataFrame:
+    """(question_id, id, score): each question's best ``top_k`` of every task's vectors.
+
+    The vectors stay where they are stored.  Questions are one Arrow file per project in the
+    shared folder, ``most`` questions in a pass over the vectors; a task maps the files of
+    the projects it meets and keeps top_k vectors per question, which is all that leaves it."""
+    q = questions.select("question_id", "project_id", "top_k", F.col(qvec_col).cast("array<double>").alias("qvec"))
+    passes = max(1, -(-q.count() // most))
+    folder = SharedTables(scratch_path(q, "questions"))
+
+    def name(project, turn) -> str:
+        return f"{turn}-{hashlib.md5(repr(project).encode()).hexdigest()}.arrow"
+
+    def put(table: pa.Table) -> pa.Table:
+        folder.put(name(table.column("project_id")[0].as_py(), table.column("turn")[0].as_py()),
+                   table.select(["question_id", "top_k", "qvec"]))
+        return pa.table({"n": pa.array([len(table)], pa.int64())})
+
+    materialize(q.withColumn("turn", F.pmod(F.xxhash64("question_id"), F.lit(passes)))
+                .groupBy("turn", "project_id").applyInArrow(put, "n long"), "questions-stored")
+    schema = T.StructType([q.schema["question_id"], T.StructField(id_col, vectors.schema[id_col].dataType),
+                           T.StructField("score", T.DoubleType())])
+    found = None
+    for turn in range(passes):
+        def best(batches, turn=turn):
+            asked: dict = {}
+            kinds = None
+            for batch in batches:
+                kinds = batch.schema.field(1).type
+                projects = batch.column(0).to_pandas().to_numpy()
+                ids = batch.column(1).to_pandas().to_numpy()
+                for project in pd.unique(projects):
+                    if project not in asked:
+                        table = folder.get(name(project, turn))
+                        asked[project] = None if table is None else _Best(table, unit_vectors)
+                    if asked[project] is None:
+                        continue
+                    mine = np.flatnonzero(projects == project)
+                    good, x = _matrix(batch.column(2).take(pa.array(mine)), asked[project].dim)
+                    order = np.argsort(ids[mine[good]], kind="stable")
+                    asked[project].add(ids[mine[good]][order], (x if unit_vectors else _unit(x))[order])
+            for b in asked.values():
+                if b is not None and len(b.found):
+                    question, found_ids, score = b.rows()
+                    for part in pa.table({"question_id": question, id_col: pa.array(found_ids, kinds),
+                                          "score": pa.array(score)}).to_batches():
+                        yield part
+
+        part = vectors.select("project_id", id_col, vec_col).mapInArrow(best, schema)
+        found = part if found is None else found.unionAll(part)
+    return found
 
 
 def search(questions: DataFrame, vectors: DataFrame, qvec_col: str = "qvec",
            vec_col: str = "embedding", id_col: str = "id", unit_vectors: bool = True,
-           extra_cols: list[str] | None = None) -> DataFrame:
+           extra_cols: list[str] | None = None, most: int = QUESTIONS) -> DataFrame:
     """K7 core: top-k vectors of the question's project for every question.
 
     questions: (question_id, project_id, top_k, qvec); vectors: (project_id,
     id, embedding, ...).  Returns question_id, rank, id, score (+ extra, fetched
     for the winners only).  The questions are read twice: store them first if
-    a model makes their vectors."""
-    scored = _score_blocks(questions, vectors, qvec_col, vec_col, id_col, unit_vectors)
+    a model makes their vectors.  Vectors that are null or of another length than a
+    project's questions match nothing."""
+    scored = _score_in_place(questions, vectors, qvec_col, vec_col, id_col, unit_vectors, most)
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.col(id_col))
     ranked = (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP_K_MAX)
-              .join(questions.select("question_id", F.col("top_k").alias("_k")), "question_id")
-              .where(F.col("rank") <= F.col("_k")).drop("top_k", "_k"))
+              .join(questions.select("question_id", "project_id", F.col("top_k").alias("_k")), "question_id")
+              .where(F.col("rank") <= F.col("_k")).drop("_k"))
     if extra_cols:
         ranked = ranked.join(vectors.select("project_id", id_col, *extra_cols), ["project_id", id_col])
     return ranked.select("question_id", id_col, *(extra_cols or []), "score", "rank")
@@ -224,24 +291,89 @@ def search_results(hits: DataFrame) -> DataFrame:
         F.nullif(F.col("end_line"), F.lit(0)).alias("end_line"), "score")
 
 
-def lsh_candidates(questions: DataFrame, vectors: DataFrame, max_distance: float,
-                   bucket_length: float = 1.0, num_tables: int = 4, seed: int = 7) -> DataFrame:
-    """K6: approximate neighbours with BucketedRandomProjectionLSH on unit
-    vectors (||a-b||^2 = 2 - 2 cos), followed by an exact re-rank by the
-    caller.  Pairs are only produced inside shared hash buckets and the
-    same project."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    qa = questions.select("question_id", F.col("project_id").alias("q_project"),
-                          array_to_vector("qvec").alias("features"))
-    va = vectors.select("id", "project_id", array_to_vector("embedding").alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(va)
-    j = model.approxSimilarityJoin(qa, va, max_distance, distCol="dist")
-    return (j.where(F.col("datasetA.q_project") == F.col("datasetB.project_id"))
-            .select(F.col("datasetA.question_id").alias("question_id"), F.col("datasetB.id").alias("id"),
-                    score(1 - F.col("dist") * F.col("dist") / 2).alias("score")))
+class LshIndex:
+    """K6: a stored index of unit vectors, random projections cut into buckets.
+
+    A table of the index has ``hashes`` projections; the code of a vector is the list of
+    its cells ``floor((v . a + b) / width)``, and the project is part of the key.  The
+    width is ``wide`` times a low quantile of the distances to the nearest other vector in
+    a bounded sample (``sample`` vectors), so that cells stay small and a question with
+    near neighbours finds them; questions without are searched exactly.  ``postings``:
+    (project_id, part, code, id), stored."""
+
+    def __init__(self, vectors: DataFrame, tables: int = 16, hashes: int = 4, wide: float = 5.0, quantile: float = 0.1,
+                 sample: int = 2000, seed: int = 7, vec_col: str = "embedding", id_col: str = "id"):
+        self.vectors = vectors.select("project_id", F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+        some = self.vectors.where("v IS NOT NULL AND size(v) > 0").orderBy(F.xxhash64("project_id", "id")).limit(sample).toArrow()
+        dim = len(some.column("v")[0]) if len(some) else 1
+        x = _unit(_matrix(some.column("v"), dim)[1]) if len(some) else np.zeros((0, 1))
+        near = np.sqrt(np.maximum(2 - 2 * (x @ x.T - 3 * np.eye(len(x))).max(axis=1), 0)) if len(x) > 1 else np.ones(1)
+        near = near[near > 1e-3] if (near > 1e-3).any() else np.ones(1)
+        rng = np.random.default_rng(seed)
+        self.dim, self.tables, self.hashes, self.width = dim, tables, hashes, wide * float(np.quantile(near, quantile))
+        self.axes = rng.normal(size=(dim, tables * hashes))
+        self.shift = rng.random(tables * hashes) * self.width
+        self.postings = materialize(self.codes(self.vectors, probes=False), "lsh")
+
+    def codes(self, rows: DataFrame, probes: bool) -> DataFrame:
+        """(project_id, part, code, id) of ``rows (project_id, id, v)``; with ``probes`` also
+        the neighbouring cells, one step along each projection."""
+        schema = T.StructType([rows.schema["project_id"], T.StructField("part", T.IntegerType()),
+                               T.StructField("code", T.LongType()), rows.schema["id"]])
+        dim, tables, hashes, width, axes, shift = self.dim, self.tables, self.hashes, self.width, self.axes, self.shift
+        steps = np.concatenate([np.zeros((1, hashes)), np.eye(hashes), -np.eye(hashes)]) if probes else np.zeros((1, hashes))
+
+        def run(batches):
+            for batch in batches:
+                good, x = _matrix(batch.column(2), dim)
+                cells = np.floor((_unit(x) @ axes + shift) / width).reshape(len(x), tables, 1, hashes) + steps
+                code = np.zeros(cells.shape[:3], dtype=np.uint64)
+                for h in range(hashes):
+                    code = (code ^ cells[..., h].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    code ^= code >> np.uint64(29)
+                n, each = len(x), tables * len(steps)
+                at = pa.array(np.repeat(good, each))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), len(steps)), n)),
+                     pa.array(code.reshape(-1).view(np.int64)), batch.column(1).take(at)],
+                    names=["project_id", "part", "code", "id"])
+
+        return rows.mapInArrow(run, schema)
+
+    def miss(self, distance: float) -> float:
+        """Chance that no table holds a vector at this distance in the question's own cell."""
+        r = self.width / max(distance, 1e-9)
+        same = math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+        return (1 - max(same, 0.0) ** self.hashes) ** self.tables
+
+    def sure_distance(self, recall: float) -> float:
+        """Up to this distance a vector is missed with a chance of 1 - ``recall`` at most."""
+        low, high = 0.0, 2.0
+        for _ in range(40):
+            mid = (low + high) / 2
+            low, high = (mid, high) if self.miss(mid) <= 1 - recall else (low, mid)
+        return low
+
+    def search(self, questions: DataFrame, recall: float = 0.95, qvec_col: str = "qvec") -> DataFrame:
+        """(question_id, id, score, rank, way): rank <= top_k.  A question whose k-th candidate
+        is so far that a nearer vector may be missed with a chance above 1 - ``recall``, or that
+        has fewer than top_k candidates, is searched exactly (``way``)."""
+        q = questions.select("question_id", "project_id", "top_k", F.col(qvec_col).cast("array<double>").alias("qvec"))
+        asked = self.codes(q.select("project_id", F.col("question_id").alias("id"), "qvec"), probes=True)
+        pairs = (asked.withColumnRenamed("id", "question_id").join(self.postings, ["project_id", "part", "code"])
+                 .select("project_id", "question_id", "id").distinct())
+        scored = (pairs.join(self.vectors, ["project_id", "id"]).join(q, ["project_id", "question_id"])
+                  .select("question_id", "top_k", "id", cosine(F.col("qvec"), F.col("v")).alias("cos")))
+        w = Window.partitionBy("question_id").orderBy(F.desc(score(F.col("cos"))), "id")
+        ranked = materialize(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("top_k")), "lsh-found")
+        kth = ranked.groupBy("question_id").agg(F.min("cos").alias("cos"), F.count(F.lit(1)).alias("n"))
+        far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cos")))
+        sure = kth.join(q.select("question_id", "top_k"), "question_id").where(
+            (F.col("n") == F.col("top_k")) & (far <= self.sure_distance(recall))).select("question_id")
+        rest = materialize(q.join(sure, "question_id", "left_anti"), "lsh-rest")
+        exact = search(rest, self.vectors, vec_col="v", unit_vectors=False)
+        near = ranked.join(sure, "question_id", "left_semi").select("question_id", "id", score(F.col("cos")).alias("score"), "rank")
+        return near.withColumn("way", F.lit("index")).unionByName(exact.withColumn("way", F.lit("exact")))
 
 
 def embedding_mismatches(chunks: DataFrame, vectors: DataFrame, id_col: str = "chunk_id") -> DataFrame:

@@ -478,12 +478,46 @@ def a5_store_keys(spark, sf_dir):
 
 @register("k6_lsh_search", None)
 def k6_lsh_search(spark, sf_dir):
-    from ..operators.vectors import lsh_candidates
-    q = _question_vectors(spark, sf_dir, 64)
+    from ..operators.vectors import LshIndex
+    return LshIndex(_embedding_store_rows(spark, sf_dir)).search(_question_vectors(spark, sf_dir, 64)).drop("way")
+
+
+def _vector_questions(spark, sf_dir):
+    """Every hundredth stored vector asks for its ten nearest."""
+    rows = _embedding_store_rows(spark, sf_dir).withColumn("n", F.expr("CAST(substring(id, 3) AS BIGINT)"))
+    return materialize(rows.where("n % 100 = 0").select(
+        F.col("n").alias("question_id"), "project_id", F.lit(10).alias("top_k"),
+        F.col("embedding").cast("array<double>").alias("qvec")), "vector_questions")
+
+
+def _recall(found, exact):
+    """found and exact: (question_id, id, score, rank); a found row as good as the k-th exact one counts."""
+    last = exact.groupBy("question_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    hits = found.join(last, "question_id").where("score >= least").groupBy("question_id").agg(F.count(F.lit(1)).alias("hit"))
+    return last.join(hits, "question_id", "left").select("question_id", F.col("n").alias("wanted"),
+                                                         F.least("n", F.coalesce("hit", F.lit(0))).alias("hit"))
+
+
+@register("k6_recall", with_fixture("""
+SELECT 'texts' AS questions, count(*) AS n_questions, sum(least(top_k, n)) AS wanted, TRUE AS recall_reached, TRUE AS within_top_k
+FROM fx_q JOIN (SELECT project_id, count(*) AS n FROM fx_ev GROUP BY project_id) USING (project_id)
+UNION ALL
+SELECT 'vectors', count(*), sum(least(10, n)), TRUE, TRUE FROM embeddings
+JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label) WHERE vec_id % 100 = 0"""))
+def k6_recall(spark, sf_dir):
+    """Recall of the index against exact search, at least 0.9 over all questions."""
+    from ..operators.vectors import LshIndex, search
     v = _embedding_store_rows(spark, sf_dir)
-    cand = lsh_candidates(q, v, max_distance=1.2)
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
+    index, out = LshIndex(v), None
+    for name, q in (("texts", _question_vectors(spark, sf_dir, 64)), ("vectors", _vector_questions(spark, sf_dir))):
+        found = index.search(q)
+        r = _recall(found, search(q, v, unit_vectors=False))
+        over = found.join(q.select("question_id", "top_k"), "question_id").where("rank > top_k").count() == 0
+        row = r.agg(F.count(F.lit(1)).alias("n_questions"), F.sum("wanted").alias("wanted"),
+                    (F.sum("hit") >= 0.9 * F.sum("wanted")).alias("recall_reached")).select(
+            F.lit(name).alias("questions"), "n_questions", "wanted", "recall_reached", F.lit(over).alias("within_top_k"))
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 # ------------------------------------------------------------------ roll-up

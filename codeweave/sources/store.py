@@ -39,6 +39,42 @@ def materialize_all(tables: dict[str, DataFrame]) -> list[DataFrame]:
         return list(pool.map(lambda t: materialize(t[1], t[0]), tables.items()))
 
 
+class SharedTables:
+    """Small Arrow tables as files in the shared folder, which tasks write under names
+    of their own and other tasks map into memory (or read, where the folder is no path)."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    def _fs(self):
+        from pyarrow import fs
+        if self.uri.startswith("file:") or self.uri.startswith("/"):
+            return fs.LocalFileSystem(), "/" + self.uri.removeprefix("file:").lstrip("/")
+        return fs.FileSystem.from_uri(self.uri)
+
+    def put(self, name: str, table) -> None:
+        """Written beside its place and moved there: a task that runs twice gives the same file."""
+        import pyarrow as pa
+        files, folder = self._fs()
+        files.create_dir(folder, recursive=True)
+        own = f"{folder}/{uuid.uuid4().hex}.part"
+        with files.open_output_stream(own) as out, pa.ipc.new_file(out, table.schema) as writer:
+            writer.write_table(table)
+        files.move(own, f"{folder}/{name}")
+
+    def get(self, name: str):
+        """The table, or None where none was written."""
+        import pyarrow as pa
+        files, folder = self._fs()
+        path = f"{folder}/{name}"
+        if not files.get_file_info(path).is_file:
+            return None
+        if files.type_name == "local":
+            return pa.ipc.open_file(pa.memory_map(path)).read_all()
+        with files.open_input_file(path) as f:
+            return pa.ipc.open_file(f).read_all()
+
+
 # ---------------------------------------------------------------- A5-A8
 class VectorStore:
     """Chunk vectors as a parquet table partitioned by ``project_id``.

@@ -71,10 +71,13 @@ def test_scan_prunes_columns(spark):
     assert "PushedFilters" in p
 
 
-def test_search_collects_nothing_and_joins_no_pairs(spark, c):
-    """Blocks of vectors and questions meet by cogroup; the pairs are no rows."""
+def test_search_leaves_vectors_where_they_are(spark, c):
+    """Vectors go from their scan straight into the scoring task; no exchange, no pairs as rows."""
     from codeweave.operators.vectors import search
     from codeweave.plans.queries import _embedding_store_rows, _question_vectors
     q = _question_vectors(spark, SF_SMALL, 64)
     p = plan_of(search(q, _embedding_store_rows(spark, SF_SMALL), unit_vectors=False))
-    assert "FlatMapCoGroupsInPandas" in p and "CartesianProduct" not in p and "NestedLoop" not in p
+    assert "MapInArrow" in p and "CartesianProduct" not in p and "NestedLoop" not in p and "CoGroup" not in p
+    below = p[p.index("MapInArrow"):].splitlines()
+    scan = next(i for i, line in enumerate(below) if "FileScan" in line or "Scan parquet" in line)
+    assert "embeddings.parquet" in below[scan] and not any("Exchange" in line for line in below[:scan])
