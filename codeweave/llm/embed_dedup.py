@@ -1,14 +1,14 @@
 """Operator 6: near-duplicate vectors by navigable small-world graphs per shard.
 
 Vectors are compared only within a label.  Equal vectors are one class; the
-classes of a label are dealt over shards of bounded size, each shard gets a
+classes of a label are dealt over shards, whose number grows as the root of the
+label's size (a shard is bounded by ``LARGEST`` classes), each shard gets a
 graph, stored once as a file in the shared folder, and every class queries every
-shard of its label, in blocks.  A beam that holds only links is widened until it
-ends below the threshold, so the number of partners has no cap; a beam that would
-look at as many neighbours as the shard has places (1,152 at the first beam) reads
-the whole shard.  Before a block is searched, a sample of it and queries that have
-links are compared with brute force on the shard, and beams are widened until
-their recall passes.  Links are verified by cosine in double
+shard of its label, in blocks.  When a graph is built, a fixed number of its own
+classes, with those of them that have links, is compared with brute force, and the
+beam is widened until their recall passes; the width is stored with the shard.  A
+beam that holds only links is widened until it ends below the threshold, so the
+number of partners has no cap.  Links are verified by cosine in double
 precision.  A block hands out the number of links of each vector and edges that
 connect what it linked, not the pairs; components come from these edges.
 
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, SharedFiles, components
 from .hnsw import Graph
 
-SHARD, BLOCK, BEAM, AUDIT = 4096, 512, 48, 48
+SHARD, LARGEST, BLOCK, BEAM, AUDIT = 8192, 1 << 18, 512, 48, 48
+ASKED = 256  # classes of a shard that its audit compares with all of it
 NEAREST = 0.95  # share of the ten nearest that an audited beam finds
 SAME = 1 - 1e-9  # from here on it is the queried vector itself, which every beam finds
 
@@ -68,14 +69,15 @@ def unit_rows(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def build_shards(reps: DataFrame, files: SharedFiles) -> DataFrame:
-    """``grp, shard, size``: one stored graph per group."""
+def build_shards(reps: DataFrame, files: SharedFiles, limit: float, recall: float) -> DataFrame:
+    """``grp, shard, size``: one stored graph per group, with its audited width."""
     def build(table: pa.Table) -> pa.Table:
         rid = table.column("rid").to_numpy()
         order = np.argsort(rid, kind="stable")
         unit = unit_rows([table.column("raw")[int(i)].as_py() for i in order])
-        blob = Graph.build(unit, seed=int(table.column("shard")[0].as_py())).dump()
-        head = np.array([len(unit), unit.shape[1], len(blob)], dtype=np.int64)
+        graph = Graph.build(unit, seed=int(table.column("shard")[0].as_py()))
+        blob, width = graph.dump(), audited_width(graph, unit, unit, limit, recall)
+        head = np.array([len(unit), unit.shape[1], len(blob), width], dtype=np.int64)
         files.put(shard_name(table.column("grp")[0].as_py(), table.column("shard")[0].as_py()),
                   [head.tobytes(), rid[order].tobytes(), table.column("n").to_numpy()[order].astype(np.int64).tobytes(),
                    unit.tobytes(), blob])
@@ -89,15 +91,15 @@ def shard_name(grp: str, shard: int) -> str:
     return f"{grp.replace('/', 'd')}-{shard}.graph"
 
 
-def open_shard(files: SharedFiles, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
-    """rids, class sizes, unit vectors and graph of a stored shard."""
+def open_shard(files: SharedFiles, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph, int]:
+    """rids, class sizes, unit vectors, graph and audited width of a stored shard."""
     raw = files.array(name, np.uint8)
-    n, d, size = (int(x) for x in raw[:24].view(np.int64))
-    rid, count = (raw[24 + 8 * n * i:24 + 8 * n * (i + 1)].view(np.int64) for i in (0, 1))
-    at = 24 + 16 * n
+    n, d, size, width = (int(x) for x in raw[:32].view(np.int64))
+    rid, count = (raw[32 + 8 * n * i:32 + 8 * n * (i + 1)].view(np.int64) for i in (0, 1))
+    at = 32 + 16 * n
     unit = raw[at:at + 8 * n * d].view(np.float64).reshape(n, d)
     at += 8 * n * d
-    return rid, count, unit, Graph.load(unit, raw[at:at + size].tobytes())
+    return rid, count, unit, Graph.load(unit, raw[at:at + size].tobytes()), width
 
 
 def links_of(graph: Graph, unit: np.ndarray, queries: np.ndarray, width: int, limit: float, first=None):
@@ -118,33 +120,18 @@ def links_of(graph: Graph, unit: np.ndarray, queries: np.ndarray, width: int, li
     return a[exact >= limit], b[exact >= limit]
 
 
-def linked_queries(unit: np.ndarray, queries: np.ndarray, limit: float) -> np.ndarray:
-    """Places of queries that brute force links with another vector: all of the
-    block, or the first ``AUDIT`` of a fixed shuffle of it."""
-    order = np.random.default_rng(0).permutation(len(queries))
-    found: list[int] = []
-    for at in range(0, len(order), 256):
-        part = order[at:at + 256]
-        sim = queries[part] @ unit.T
-        found += part[((sim >= limit) & (sim < SAME)).any(axis=1)].tolist()
-        if len(found) >= AUDIT:
-            break
-    return np.array(sorted(found[:AUDIT]), dtype=np.int64)
-
-
 def audited_width(graph: Graph, unit: np.ndarray, queries: np.ndarray, limit: float, recall: float) -> int:
-    """The beam at which audited queries find at least ``recall`` of the links
-    to other vectors, and of the ten nearest, that brute force finds: a spread
-    sample of the block, and queries that have links."""
-    width = BEAM
-    if graph.reads_all(width):
-        return width
-    spread = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
-    some = queries[np.union1d(spread, linked_queries(unit, queries, limit))]
-    sim = some @ unit.T
+    """The beam at which audited classes find at least ``recall`` of the links to other
+    vectors, and of the ten nearest, that brute force finds: of ``ASKED`` queries in a fixed
+    shuffle, the first ``AUDIT`` and those that have links."""
+    order = np.random.default_rng(0).permutation(len(queries))[:ASKED]
+    sim = queries[order] @ unit.T
+    linked = np.flatnonzero(((sim >= limit) & (sim < SAME)).any(axis=1))[:AUDIT]
+    chosen = np.union1d(np.arange(min(AUDIT, len(order))), linked)
+    some, sim = queries[order[chosen]], sim[chosen]
     near = np.argsort(-sim, axis=1, kind="stable")[:, :min(10, len(unit))]
-    links = int(((sim >= limit) & (sim < SAME)).sum())
-    while not graph.reads_all(width):
+    links, width = int(((sim >= limit) & (sim < SAME)).sum()), BEAM
+    while width < len(unit):
         ids, best = graph.search(some.astype(np.float32), width)
         got = np.zeros(sim.shape, dtype=bool)
         a, b = np.nonzero(ids >= 0)
@@ -157,7 +144,7 @@ def audited_width(graph: Graph, unit: np.ndarray, queries: np.ndarray, limit: fl
     return width
 
 
-def search_blocks(reps: DataFrame, files: SharedFiles, limit: float, recall: float) -> DataFrame:
+def search_blocks(reps: DataFrame, files: SharedFiles, limit: float) -> DataFrame:
     """``rid, n, a, b``: rows (rid, links in one shard) and edges (a, b)."""
     def find(table: pa.Table) -> pa.Table:
         qid = table.column("rid").to_numpy()
@@ -170,8 +157,7 @@ def search_blocks(reps: DataFrame, files: SharedFiles, limit: float, recall: flo
             name = shard_name(grp, shard)
             if not files.exists(name):  # no class fell into this shard
                 continue
-            rid, count, unit, graph = open_shard(files, name)
-            width = audited_width(graph, unit, queries, limit, recall)
+            rid, count, unit, graph, width = open_shard(files, name)
             for at in range(0, len(queries), BLOCK):
                 part = queries[at:at + BLOCK]
                 a, b = links_of(graph, unit, part, width, limit)
@@ -206,15 +192,18 @@ def embedding_dedup(vectors: DataFrame, limit: float = 0.93, recall: float = 0.9
     rows = scratch.store(checked(vectors), "rows")
     live = rows.where("grp is not null")
     classes = live.groupBy("grp", "cls").agg(F.min(F.struct("rid", "raw")).alias("x"), F.count("*").alias("n"))
-    sizes = classes.groupBy("grp").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
+    n = F.count("*")
+    sizes = classes.groupBy("grp").agg(
+        F.greatest(F.ceil(F.sqrt(n / SHARD)), F.ceil(n / LARGEST)).cast("int").alias("parts"),
+        F.ceil(n / (2 * BLOCK)).cast("int").alias("blocks"))
     reps = scratch.store(
-        classes.join(sizes, "grp").select("grp", "cls", "x.*", "n", "parts")
+        classes.join(sizes, "grp").select("grp", "cls", "x.*", "n", "parts", "blocks")
         .withColumn("shard", F.pmod(F.xxhash64("rid"), "parts").cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts") * (SHARD // (2 * BLOCK))).cast("int")),
+        .withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), "blocks").cast("int")),
         "reps")
     files = scratch.files("graphs")
-    scratch.store(build_shards(reps.select("grp", "shard", "rid", "n", "raw"), files), "shards")
-    found = scratch.store(search_blocks(reps.select("grp", "block", "parts", "rid", "raw"), files, limit, recall), "found")
+    scratch.store(build_shards(reps.select("grp", "shard", "rid", "n", "raw"), files, limit, recall), "shards")
+    found = scratch.store(search_blocks(reps.select("grp", "block", "parts", "rid", "raw"), files, limit), "found")
     comp = components(scratch, found.where("a is not null").select("a", "b"), "links")
     linked = found.where("rid is not null").groupBy("rid").agg(F.sum("n").alias("links"))
     told = (reps.select("grp", "cls", "rid", "n").join(linked, "rid")

@@ -122,18 +122,9 @@ class Graph:
             entry = nodes[np.concatenate(out)]
         return entry
 
-    def reads_all(self, width: int) -> bool:
-        return width * M0 >= len(self.vectors)
-
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` best places found per query and their similarities,
-        best first.  A beam that would look at as many neighbours as the shard
-        has places reads the shard instead, in one product."""
-        n = len(self.vectors)
-        if self.reads_all(width):
-            sim = queries @ self.vectors.T
-            order = np.argsort(-sim, axis=1, kind="stable")[:, :width]
-            return order, np.take_along_axis(sim, order, 1)
+        best first."""
         upper = Graph(self.vectors)
         upper.layers = self.layers[:-1]
         return beam(self.vectors, self.layers[-1][1], queries, upper._descend(queries), width)

@@ -255,7 +255,7 @@ def test_walked_graph_finds_the_links_of_a_large_shard():
     unit = shard_with_links()
     graph, queries = Graph.build(unit), unit[::3]
     width = embed_dedup.audited_width(graph, unit, queries, 0.93, 0.99)
-    assert not graph.reads_all(embed_dedup.BEAM) and embed_dedup.linked_queries(unit, queries, 0.93).size >= 48
+    assert width < len(unit) / 8, "a beam, not the shard"
     x, y = embed_dedup.links_of(graph, unit, queries, width, 0.93)
     want = {(i, j) for i, j in zip(*np.nonzero(queries @ unit.T >= 0.93)) if i * 3 != j}
     got = {(i, j) for i, j in zip(x, y) if i * 3 != j}
