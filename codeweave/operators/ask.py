@@ -122,49 +122,68 @@ class AskTables:
     search_hits: DataFrame | None = None   # K7 results per question (question_id, rank, ...)
 
 
-def function_matches(classified: DataFrame, t: AskTables, with_code: bool = True) -> DataFrame:
+def context_key() -> F.Column:
+    """What a question's context depends on: its type and project, the target, or
+    (semantic search) the question itself; null without a type."""
+    kind, target = F.col("question_type"), F.coalesce("target_name", F.lit("\0"))
+    return (F.when(kind.isin("PROJECT_OVERVIEW", "ARCHITECTURE"), F.concat_ws("|", kind, "project_id"))
+            .when(kind.isin("FUNCTION", "FILE"), F.concat_ws("|", kind, "project_id", target))
+            .when(kind == "SEMANTIC_SEARCH", F.concat_ws("|", kind, F.col("question_id").cast("string"))))
+
+
+def asked_contexts(classified: DataFrame) -> DataFrame:
+    """One row per context key: (context_key, project_id, question_type, target_name)."""
+    return (classified.withColumn("context_key", context_key()).where("context_key IS NOT NULL")
+            .groupBy("context_key").agg(*(F.min(x).alias(x) for x in ("project_id", "question_type", "target_name"))))
+
+
+def _keyed_hits(t: AskTables) -> DataFrame:
+    return t.search_hits.withColumn("context_key", F.concat_ws("|", F.lit("SEMANTIC_SEARCH"), F.col("question_id").cast("string")))
+
+
+def function_matches(classified: DataFrame, t: AskTables, with_code: bool = True, by: str = "question_id") -> DataFrame:
     """B10 + L5: every function whose lower(name) equals lower(strip(target)).
     Only the matched files are read for the code slices."""
     q = (classified.where(F.col("question_type") == "FUNCTION")
-         .select("question_id", "project_id", F.lower(py_strip(F.col("target_name"))).alias("_key")))
+         .select(by, "project_id", F.lower(py_strip(F.col("target_name"))).alias("_key")))
     f = t.functions.select("project_id", F.lower("name").alias("_key"), "file_path", "ord", "name", "language",
                            "line", "end_line", "parameters")
     m = q.join(f, ["project_id", "_key"])
     paths = t.files.select("project_id", "file_path", "rel_path")
     if not with_code:
         return m.join(paths, ["project_id", "file_path"]).select(
-            "question_id", "project_id", "file_path", "ord", "name", "language", "line", "end_line",
+            by, "project_id", "file_path", "ord", "name", "language", "line", "end_line",
             "parameters", "rel_path")
     hit = m.select("project_id", "file_path").distinct()
     lines = (t.files.join(hit, ["project_id", "file_path"], "left_semi")
              .select("project_id", "file_path", "rel_path", split_lines(F.col("content")).alias("_lines")))
     m = m.join(lines, ["project_id", "file_path"])
-    return m.select("question_id", "project_id", "file_path", "ord", "name", "language", "line", "end_line",
+    return m.select(by, "project_id", "file_path", "ord", "name", "language", "line", "end_line",
                     "parameters", F.col("rel_path"),
                     slice_lines(F.col("_lines"), F.col("line"), F.col("end_line")).alias("code"))
 
 
-def file_match(classified: DataFrame, t: AskTables) -> DataFrame:
+def file_match(classified: DataFrame, t: AskTables, by: str = "question_id") -> DataFrame:
     """B11 + L6: the FIRST analyzed file (in order) whose relative path equals
     the target or whose base name equals the target's base name.  Two
     equi-joins (never an OR join condition) folded with min_by."""
     q = (classified.where(F.col("question_type") == "FILE")
-         .select("question_id", "project_id",
+         .select(by, "project_id",
                  F.lower(py_strip(F.regexp_replace(F.col("target_name"), r"\\", "/"))).alias("_full"))
          .withColumn("_base", P.basename(F.col("_full"))))
     fl = t.files.select("project_id", "file_path", "rel_path",
                         F.lower("rel_path").alias("_full"), F.lower(P.basename(F.col("rel_path"))).alias("_base"))
-    by_full = q.join(fl.drop("_base"), ["project_id", "_full"]).select("question_id", "file_path", "rel_path")
-    by_base = q.join(fl.drop("_full"), ["project_id", "_base"]).select("question_id", "file_path", "rel_path")
+    by_full = q.join(fl.drop("_base"), ["project_id", "_full"]).select(by, "file_path", "rel_path")
+    by_base = q.join(fl.drop("_full"), ["project_id", "_base"]).select(by, "file_path", "rel_path")
     both = by_full.unionByName(by_base)
-    return (both.groupBy("question_id")
+    return (both.groupBy(by)
             .agg(F.min_by(F.struct("file_path", "rel_path"), "file_path").alias("m"))
-            .select("question_id", "m.file_path", "m.rel_path"))
+            .select(by, "m.file_path", "m.rel_path"))
 
 
-def file_listing(match: DataFrame, t: AskTables, classified: DataFrame) -> DataFrame:
+def file_listing(match: DataFrame, t: AskTables, classified: DataFrame, by: str = "question_id") -> DataFrame:
     """Functions, classes, imports and code of each matched file."""
-    fq = match.join(classified.select("question_id", "project_id"), "question_id")
+    fq = match.join(classified.select(by, "project_id"), by)
     hit = fq.select("project_id", "file_path").distinct()
 
     def names(df, col, alias):
@@ -176,7 +195,7 @@ def file_listing(match: DataFrame, t: AskTables, classified: DataFrame) -> DataF
            .join(names(t.classes, "name", "classes"), ["project_id", "file_path"], "left")
            .join(names(t.imports, "module", "imports"), ["project_id", "file_path"], "left"))
     empty = F.array().cast("array<string>")
-    return out.select("question_id", "project_id", "file_path", "rel_path", "language",
+    return out.select(by, "project_id", "file_path", "rel_path", "language",
                       F.coalesce("functions", empty).alias("functions"),
                       F.coalesce("classes", empty).alias("classes"),
                       F.coalesce("imports", empty).alias("imports"),
@@ -197,10 +216,11 @@ def module_lists(t: AskTables, projects: DataFrame | None = None) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("pos", "name", "path", "file_count"))).alias("modules")))
 
 
-def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
-    """One row per question with strategy, found flag, the structured
-    context and its text (L8-L10)."""
-    c = classified.select("question_id", "project_id", "question", "question_type", "target_name", "error")
+def context_table(classified: DataFrame, t: AskTables) -> DataFrame:
+    """(context_key, strategy, found, context), each text once, however many
+    questions ask for it."""
+    by = "context_key"
+    c = asked_contexts(classified)
     asked = c.select("project_id").distinct()
     mods = module_lists(t, asked)
     mod_text = F.array_join(F.transform(F.coalesce("modules", F.array()), lambda m: F.concat(
@@ -212,7 +232,7 @@ def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
           .join(t.project_info.select("project_id", "language", "framework", "package_manager"), "project_id", "left")
           .join(t.totals.select("project_id", "total_source_files"), "project_id", "left")
           .join(mods, "project_id", "left"))
-    ov = ov.select("question_id", F.lit("project_overview").alias("strategy"), F.lit(True).alias("found"),
+    ov = ov.select(by, F.lit("project_overview").alias("strategy"), F.lit(True).alias("found"),
                    F.concat_ws("\n", F.lit("Project overview"),
                                F.concat(F.lit("Language: "), F.coalesce("language", F.lit("Unknown"))),
                                F.concat(F.lit("Framework: "), F.coalesce("framework", F.lit("Unknown"))),
@@ -232,7 +252,7 @@ def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
           .join(kd_list, "project_id", "left").join(n_dep, "project_id", "left").join(n_call, "project_id", "left"))
     kd_text = F.array_join(F.transform(F.coalesce("kd", F.array()), lambda e: F.concat(
         F.lit("- "), e["source"], F.lit(" -> "), e["target"])), "\n")
-    ar = ar.select("question_id", F.lit("architecture").alias("strategy"), F.lit(True).alias("found"),
+    ar = ar.select(by, F.lit("architecture").alias("strategy"), F.lit(True).alias("found"),
                    F.concat_ws("\n", F.lit("Architecture"), F.lit("Modules:"), mod_text,
                                F.concat(F.lit("Import relationships: "),
                                         F.coalesce("total_dependencies", F.lit(0)).cast("string")),
@@ -241,16 +261,16 @@ def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
                                F.lit("Key dependencies:"), kd_text).alias("context"))
 
     # L5 function
-    fm = function_matches(classified, t)
-    fm_agg = (fm.groupBy("question_id")
+    fm = function_matches(c, t, by=by)
+    fm_agg = (fm.groupBy(by)
               .agg(F.array_sort(F.collect_list(F.struct("file_path", "ord", "name", "rel_path", "language", "line",
                                                         "end_line", "parameters", "code"))).alias("fns")))
-    fq = c.where(F.col("question_type") == "FUNCTION").join(fm_agg, "question_id", "left")
+    fq = c.where(F.col("question_type") == "FUNCTION").join(fm_agg, by, "left")
     fn_text = F.array_join(F.transform(F.coalesce("fns", F.array()), lambda f: F.concat(
         F.lit("Function "), f["name"], F.lit(" in "), f["rel_path"], F.lit(" (lines "), f["line"].cast("string"),
         F.lit("-"), f["end_line"].cast("string"), F.lit(", "), f["language"], F.lit(")\nParameters: "),
         F.array_join(f["parameters"], ", "), F.lit("\n"), F.coalesce(f["code"], F.lit("")))), "\n\n")
-    fq = fq.select("question_id", F.lit("function").alias("strategy"),
+    fq = fq.select(by, F.lit("function").alias("strategy"),
                    (F.size(F.coalesce("fns", F.array())) > 0).alias("found"),
                    F.when(F.col("target_name").isNull(), F.lit(None))
                    .otherwise(F.concat(F.lit("Target function: "), F.col("target_name"), F.lit("\nMatches: "),
@@ -258,10 +278,10 @@ def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
                    .alias("context"))
 
     # L6 file
-    fmatch = file_match(classified, t)
-    fl = file_listing(fmatch, t, classified)
-    flq = c.where(F.col("question_type") == "FILE").join(fl.drop("project_id"), "question_id", "left")
-    flq = flq.select("question_id", F.lit("file").alias("strategy"), F.col("rel_path").isNotNull().alias("found"),
+    fmatch = file_match(c, t, by)
+    fl = file_listing(fmatch, t, c, by)
+    flq = c.where(F.col("question_type") == "FILE").join(fl.drop("project_id"), by, "left")
+    flq = flq.select(by, F.lit("file").alias("strategy"), F.col("rel_path").isNotNull().alias("found"),
                      F.when(F.col("rel_path").isNotNull(), F.concat_ws(
                          "\n", F.concat(F.lit("File: "), F.col("rel_path")),
                          F.concat(F.lit("Language: "), F.col("language")),
@@ -273,10 +293,10 @@ def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
     # L7 semantic
     sq = c.where(F.col("question_type") == "SEMANTIC_SEARCH")
     if t.search_hits is not None:
-        hits = (t.search_hits.groupBy("question_id")
+        hits = (_keyed_hits(t).groupBy(by)
                 .agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "file_path", "name", "chunk_type",
                                                           "code", "score"))).alias("hits")))
-        sq = sq.join(hits, "question_id", "left")
+        sq = sq.join(hits, by, "left")
     else:
         sq = sq.withColumn("hits", F.lit(None).cast(
             "array<struct<rank:int,chunk_id:string,file_path:string,name:string,chunk_type:string,code:string,score:double>>"))
@@ -286,14 +306,24 @@ def retrieve(classified: DataFrame, t: AskTables) -> DataFrame:
         F.lit(" ("), h["chunk_type"], F.lit(", "), h["file_path"], F.lit(", score "),
         F.format_string("%.4f", h["score"]),
         F.lit(")\n"), h["code"])), "\n\n")
-    sq = sq.select("question_id", F.lit("semantic_search").alias("strategy"), (n > 0).alias("found"),
+    sq = sq.select(by, F.lit("semantic_search").alias("strategy"), (n > 0).alias("found"),
                    F.concat(F.lit("Search results: "), n.cast("string"), F.lit("\n\n"), hit_text).alias("context"))
 
-    err = c.where(F.col("question_type").isNull()).select(
-        "question_id", F.lit("none").alias("strategy"), F.lit(False).alias("found"), F.lit(None).cast("string").alias("context"))
-    routed = ov.unionByName(ar).unionByName(fq).unionByName(flq).unionByName(sq).unionByName(err)
-    return classified.select("question_id", "project_id", "question", "question_type", "target_name", "error") \
-        .join(routed, "question_id", "left")
+    return ov.unionByName(ar).unionByName(fq).unionByName(flq).unionByName(sq)
+
+
+def retrieve(classified: DataFrame, t: AskTables, contexts: DataFrame | None = None) -> DataFrame:
+    """One row per question with strategy, found flag and the text of its
+    context.  Texts are made once per key (``contexts``, or ``context_table`` of the
+    questions) and meet the questions here, by key; a question is a narrow row until then."""
+    contexts = context_table(classified, t) if contexts is None else contexts
+    q = classified.select("question_id", "project_id", "question", "question_type", "target_name", "error").withColumn(
+        "context_key", context_key())
+    out = q.join(contexts, "context_key", "left")
+    typed = F.col("question_type").isNotNull()
+    return out.select("question_id", "project_id", "question", "question_type", "target_name", "error",
+                      F.when(typed, F.col("strategy")).otherwise("none").alias("strategy"),
+                      F.when(typed, F.col("found")).otherwise(False).alias("found"), "context")
 
 
 # ------------------------------------------------------------- L11
@@ -316,22 +346,23 @@ def insufficiency(ctx: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- L12
-def answer_sources(classified: DataFrame, t: AskTables) -> DataFrame:
-    """Citations per question (question_id, pos, file_path, name,
-    chunk_type, line, end_line)."""
-    ok = classified.where(F.col("error").isNull())
-    fn = (function_matches(ok, t, with_code=False)
-          .select("question_id", F.struct("file_path", "ord").alias("_o"), F.col("rel_path").alias("file_path"),
+def source_table(classified: DataFrame, t: AskTables) -> DataFrame:
+    """Citations per context key (context_key, pos, file_path, name, chunk_type,
+    line, end_line), each list once."""
+    by = "context_key"
+    ok = asked_contexts(classified.where(F.col("error").isNull()))
+    fn = (function_matches(ok, t, with_code=False, by=by)
+          .select(by, F.struct("file_path", "ord").alias("_o"), F.col("rel_path").alias("file_path"),
                   "name", F.lit("function").alias("chunk_type"), "line", "end_line"))
-    fl = file_match(ok, t).select("question_id", F.struct("file_path", F.lit(0).alias("ord")).alias("_o"),
+    fl = file_match(ok, t, by).select(by, F.struct("file_path", F.lit(0).alias("ord")).alias("_o"),
                                   F.col("rel_path").alias("file_path"), P.basename(F.col("rel_path")).alias("name"),
                                   F.lit("file").alias("chunk_type"), F.lit(1).alias("line"),
                                   F.lit(None).cast("int").alias("end_line"))
     parts = [fn, fl]
     if t.search_hits is not None:
-        sem = (ok.where(F.col("question_type") == "SEMANTIC_SEARCH").select("question_id")
-               .join(t.search_hits, "question_id")
-               .select("question_id", F.struct(F.lit("").alias("file_path"), F.col("rank").alias("ord")).alias("_o"),
+        sem = (ok.where(F.col("question_type") == "SEMANTIC_SEARCH").select(by)
+               .join(_keyed_hits(t), by)
+               .select(by, F.struct(F.lit("").alias("file_path"), F.col("rank").alias("ord")).alias("_o"),
                        "file_path", "name", "chunk_type", "line", "end_line"))
         parts.append(sem)
     # H2: distinct endpoints of the key dependencies, first appearance order
@@ -342,26 +373,34 @@ def answer_sources(classified: DataFrame, t: AskTables) -> DataFrame:
                      .alias("_i", "e"))
     ends = (ends.groupBy("project_id", F.col("e.p").alias("p"))
             .agg(F.min(F.struct("e.rn", "e.side")).alias("first")))
-    arch = (ok.where(F.col("question_type") == "ARCHITECTURE").select("question_id", "project_id")
+    arch = (ok.where(F.col("question_type") == "ARCHITECTURE").select(by, "project_id")
             .join(ends, "project_id")
-            .select("question_id", F.struct(F.lit("").alias("file_path"),
+            .select(by, F.struct(F.lit("").alias("file_path"),
                                             (F.col("first.rn") * 2 + F.col("first.side")).alias("ord")).alias("_o"),
                     F.col("p").alias("file_path"), P.basename(F.col("p")).alias("name"),
                     F.lit("file").alias("chunk_type"), F.lit(None).cast("int").alias("line"),
                     F.lit(None).cast("int").alias("end_line")))
-    ov = (ok.where(F.col("question_type") == "PROJECT_OVERVIEW").select("question_id", "project_id")
+    ov = (ok.where(F.col("question_type") == "PROJECT_OVERVIEW").select(by, "project_id")
           .join(t.modules, "project_id")
-          .select("question_id", F.struct(F.lit("").alias("file_path"), F.col("pos").alias("ord")).alias("_o"),
+          .select(by, F.struct(F.lit("").alias("file_path"), F.col("pos").alias("ord")).alias("_o"),
                   F.col("path").alias("file_path"), "name", F.lit("module").alias("chunk_type"),
                   F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("end_line")))
     parts += [arch, ov]
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
-    w = Window.partitionBy("question_id").orderBy("_o")
+    w = Window.partitionBy(by).orderBy("_o")
     return allp.withColumn("pos", F.row_number().over(w)).drop("_o")
 
 
+def answer_sources(classified: DataFrame, t: AskTables, sources: DataFrame | None = None) -> DataFrame:
+    """Citations per question (question_id, pos, file_path, name,
+    chunk_type, line, end_line), from those of its context key."""
+    sources = source_table(classified, t) if sources is None else sources
+    q = classified.where(F.col("error").isNull()).select("question_id", context_key().alias("context_key"))
+    return q.join(sources, "context_key").drop("context_key")
+
+
 # ------------------------------------------------------------ L13, L14
 # Per-type answer instructions
 TYPE_INSTRUCTIONS = {

@@ -255,15 +255,23 @@ class Corpus:
                          modules=self.modules, project_info=self.project_info, totals=self.totals,
                          dep_edges=dep, call_edges=self.call_edges, search_hits=self.search_hits)
 
+    @cached_property
+    def context_table(self) -> DataFrame:
+        """Each context text once, by key."""
+        from ..operators.ask import context_table
+        return store_table(context_table(self.classified, self.ask_tables), "context_table")
+
     @cached_property
     def contexts(self) -> DataFrame:
+        """The questions with their context texts, joined by key (not stored: the texts are)."""
         from ..operators.ask import retrieve
-        return store_table(retrieve(self.classified, self.ask_tables), "contexts")
+        return retrieve(self.classified, self.ask_tables, self.context_table)
 
     @cached_property
     def answer_sources(self) -> DataFrame:
-        from ..operators.ask import answer_sources
-        return answer_sources(self.classified, self.ask_tables)
+        from ..operators.ask import answer_sources, source_table
+        return answer_sources(self.classified, self.ask_tables,
+                              store_table(source_table(self.classified, self.ask_tables), "source_table"))
 
     @cached_property
     def answers(self) -> DataFrame:

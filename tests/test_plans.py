@@ -81,3 +81,16 @@ def test_search_leaves_vectors_where_they_are(spark, c):
     below = p[p.index("MapInArrow"):].splitlines()
     scan = next(i for i, line in enumerate(below) if "FileScan" in line or "Scan parquet" in line)
     assert "embeddings.parquet" in below[scan] and not any("Exchange" in line for line in below[:scan])
+
+
+def test_context_texts_move_by_context_key_only(spark, c):
+    """No exchange keyed by question_id carries a text, and a text is stored once per key."""
+    import re
+    t = c.ask_tables
+    from codeweave.operators.ask import context_table, retrieve
+    made = context_table(c.classified, t)
+    for df in (made, retrieve(c.classified, t, c.context_table)):
+        for exchange in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan_of(df)):
+            assert not exchange.startswith("question_id")
+    keys = made.select("context_key").collect()
+    assert len({k.context_key for k in keys}) == len(keys) < c.classified.count()
