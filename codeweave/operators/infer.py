@@ -6,6 +6,11 @@ and resolved by name from a registry (argument > environment > default).
 Filter rows BEFORE calling: Catalyst does not push filters through
 ``mapInPandas``, and every row that reaches it costs a model call.
 
+Answers are put into a ledger in the shared folder after each call, by a digest of
+the prompt.  A task that is run again (it failed half-way, or its executor was lost)
+reads the ledger of its partition first and asks only for what is missing; so does a
+second action on the same DataFrame.
+
 ``EchoModel`` is the deterministic offline model used by the tests: it
 answers every ``### <n>. <label>`` item of a batch prompt with
 ``[<n>] summary of <label>``, and deviates by batch number so that the
@@ -16,16 +21,20 @@ text and a prose line).  For project prompts it echoes metadata.
 
 from __future__ import annotations
 
+import hashlib
 import inspect
 import os
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..sources.store import spread
+from ..sources.store import SharedTables, scratch_path, spread
 
 _ITEM = re.compile(r"^### (\d+)\. (\S+)", re.MULTILINE)
 _BATCH = re.compile(r"^Batch (\d+)/(\d+)", re.MULTILINE)
@@ -106,15 +115,33 @@ def infer(df: DataFrame, fn: Callable[..., list[str]] | str | None, prompt_col:
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
     names = df.columns
 
+    ledger = SharedTables(scratch_path(df, "ledger"))
+    settings = repr((given.get("model"), None if callable(fn) else fn))
+
+    def digest(prompt: str | None, tokens) -> str:
+        return hashlib.sha256(repr((prompt, tokens, settings)).encode()).hexdigest()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = f"p{TaskContext.get().partitionId()}"
+        told: dict[str, str] = {}
+        for part in ledger.names(mine):
+            table = ledger.get(part)
+            told.update(zip(table.column("digest").to_pylist(), table.column("answer").to_pylist(), strict=True))
         for pdf in batches:
             prompts = pdf[prompt_col].tolist()
-            out = []
-            for i in range(0, len(prompts), batch_size):
-                more = {"max_tokens": pdf[budget].tolist()[i:i + batch_size]} if budget else {}
-                out.extend(call(prompts[i:i + batch_size], **more, **given))
+            tokens = pdf[budget].tolist() if budget else [None] * len(prompts)
+            keys = [digest(p, t) for p, t in zip(prompts, tokens, strict=True)]
+            todo = {k: i for i, k in reversed(list(enumerate(keys))) if k not in told}
+            asked = sorted(todo.values())
+            for at in range(0, len(asked), batch_size):
+                some = asked[at:at + batch_size]
+                more = {"max_tokens": [tokens[i] for i in some]} if budget else {}
+                answers = dict(zip((keys[i] for i in some), call([prompts[i] for i in some], **more, **given), strict=True))
+                ledger.put(f"{mine}/{uuid.uuid4().hex}", pa.table(
+                    {"digest": pa.array(list(answers), pa.string()), "answer": pa.array(list(answers.values()), pa.string())}))
+                told.update(answers)
             pdf = pdf[names].copy()
-            pdf[out_col] = out
+            pdf[out_col] = [told[k] for k in keys]
             yield pdf
 
     return spread(df).mapInPandas(run, schema)

@@ -56,12 +56,19 @@ class SharedTables:
         """Written beside its place and moved there: a task that runs twice gives the same file."""
         import pyarrow as pa
         files, folder = self._fs()
-        files.create_dir(folder, recursive=True)
+        files.create_dir(f"{folder}/{name}".rpartition("/")[0], recursive=True)
         own = f"{folder}/{uuid.uuid4().hex}.part"
         with files.open_output_stream(own) as out, pa.ipc.new_file(out, table.schema) as writer:
             writer.write_table(table)
         files.move(own, f"{folder}/{name}")
 
+    def names(self, part: str) -> list[str]:
+        """Names of the tables below ``part/``."""
+        from pyarrow import fs
+        files, folder = self._fs()
+        found = files.get_file_info(fs.FileSelector(f"{folder}/{part}", allow_not_found=True))
+        return sorted(f"{part}/{i.base_name}" for i in found if i.is_file)
+
     def get(self, name: str):
         """The table, or None where none was written."""
         import pyarrow as pa
