@@ -19,7 +19,8 @@ Cases: null and empty texts pool to zeros and get the score of that vector;
 labels that are null or whose document is missing are not learned from; of
 several labels of one document the smallest counts; without any label, or with
 one class only, every score is the share of label 1 (0.5 without labels);
-repeated rows are scored one by one; a null doc_id is scored and is never held
+repeated rows are scored one by one, and of several texts of one id the
+smallest is learned from; a null doc_id is scored and is never held
 out; an empty table gives an empty result; further columns are not read.
 """
 
@@ -178,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, min_count:
              .groupBy("id").agg(F.min("quality").alias("quality"))
              .orderBy(F.xxhash64("id"), "id").limit(max_train))
     sample = scratch.store(
-        docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(known), "id").dropDuplicates(["id"]), "sample")  # max_train rows at most
+        docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        .join(F.broadcast(known), "id")  # max_train ids at most; of the texts of one id the smallest is learned
+        .groupBy("id", "quality").agg(F.min("text").alias("text")), "sample")
 
     def learn(batches):
         for _, texts in text_batches(batches, 0, BATCH):

@@ -47,6 +47,16 @@ def test_scores_do_not_depend_on_other_columns(spark):
     assert max(abs(a[k] - b[k]) for k in a) < 1e-9
 
 
+def test_scores_do_not_depend_on_the_order_of_repeated_ids(spark):
+    docs, labels = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet").select(*c) for t, c in (
+        ("documents", ("doc_id", "text")), ("labels", ("doc_id", "quality"))))
+    twice = docs.unionAll(docs.selectExpr("doc_id", "concat(reverse(text), ' again')")).unionAll(docs.selectExpr("doc_id", "NULL"))
+    a, b = (sorted((r.doc_id, r.text or "", r.score) for r in quality.score(d, labels).collect())
+            for d in (twice, twice.repartition(5).sortWithinPartitions("text")))
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert max(abs(x[2] - y[2]) for x, y in zip(a, b)) < 1e-9
+
+
 # ------------------------------------------------------------- ngram
 def brute_ngram(rows):
     tok = [(t or "").encode().translate(LOWER_TABLE).split() + [None] for _, t in rows]
