@@ -4,8 +4,10 @@ table.
 Every first-level directory under ``root`` is one project (``project_id`` =
 directory name).  Spark's file sources leave out names that begin with ``_`` or
 ``.``, among them every ``__init__.py`` and ``.gitignore``, so the trees are
-listed here: one row per project on the driver, its files on the executors, and
-the files, dealt anew so that a large project is many tasks, are read there.
+listed here, level by level: the directories of a level are rows that are dealt over
+all tasks, what they hold is stored in pages, and its directories are the next level.
+A project of many directories is many tasks, and no task holds more than the names
+of one directory.  The files, dealt anew, are read on the executors.
 Contents are decoded with the strict (NULL on invalid UTF-8) or lenient rule.
 """
 
@@ -19,9 +21,10 @@ from ..functions import paths as P
 from ..functions.constants import SUPPORTED_EXTENSIONS
 from ..operators.files import decode_lenient, decode_strict, files_from_paths
 from ..session import ship_code
-from .store import spread
+from .store import materialize, spread
 
 READ_ROWS = 64  # files of one Arrow batch
+LIST_ROWS = 4096  # names of one page of a listing
 
 
 def qualified(spark: SparkSession, root: str) -> str:
@@ -43,26 +46,37 @@ def list_corpus(spark: SparkSession, root: str, names: list[str] | None = None,
     one of these names / (case-sensitive) suffixes."""
     ship_code(spark)
     uri = qualified(spark, root)
-    from pyarrow import fs
-    files, top = _open(uri)
-    projects = sorted(i.base_name for i in files.get_file_info(fs.FileSelector(top))
-                      if i.type == fs.FileType.Directory)
+    schema = "project_id string, file_path string, rel_path string, is_dir boolean"
 
-    def walk(batches):
+    def expand(batches):
+        from pyarrow import fs
         files, top = _open(uri)
         for batch in batches:
-            for project in batch.column(0).to_pylist():
-                found = [i for i in files.get_file_info(fs.FileSelector(f"{top}/{project}", recursive=True))
-                         if i.type == fs.FileType.File
-                         and (names is None or i.base_name in names)
-                         and (suffixes is None or any(i.base_name.endswith(x) for x in suffixes))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([project] * len(found), pa.string()), pa.array([i.path for i in found], pa.string()),
-                     pa.array([i.path[len(top) + len(project) + 2:] for i in found], pa.string())],
-                    names=["project_id", "file_path", "rel_path"])
-
-    rows = spark.createDataFrame([(p,) for p in projects], "project_id string")
-    return spread(rows).mapInArrow(walk, "project_id string, file_path string, rel_path string")
+            for project, path, rel in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = files.get_file_info(fs.FileSelector(path or top))
+                keep = [i for i in found if i.type == fs.FileType.Directory or (
+                    i.type == fs.FileType.File and project is not None and (names is None or i.base_name in names)
+                    and (suffixes is None or any(i.base_name.endswith(x) for x in suffixes)))]
+                for at in range(0, len(keep), LIST_ROWS):
+                    page = keep[at:at + LIST_ROWS]
+                    below = [i.base_name if not rel else f"{rel}/{i.base_name}" for i in page]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i.base_name if project is None else project for i in page], pa.string()),
+                         pa.array([i.path for i in page], pa.string()),
+                         pa.array(["" if project is None else r for r in below], pa.string()),
+                         pa.array([i.type == fs.FileType.Directory for i in page])],
+                        names=["project_id", "file_path", "rel_path", "is_dir"])
+
+    places = ["project_id", "file_path", "rel_path"]
+    level = spark.createDataFrame([(None, None, "")], "project_id string, file_path string, rel_path string")
+    listed = None
+    while True:  # one round per level of the trees
+        found = materialize(spread(level).mapInArrow(expand, schema), "listing")
+        files = found.where("NOT is_dir").select(places)
+        listed = files if listed is None else listed.unionAll(files)
+        level = found.where("is_dir").select(places)
+        if level.isEmpty():
+            return listed
 
 
 def _read(listed: DataFrame, uri: str) -> DataFrame:

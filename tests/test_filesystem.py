@@ -53,3 +53,30 @@ def test_decode_lenient_keeps_a_genuine_replacement_character(spark):
     df = spark.createDataFrame([(bytearray(b"a\xffb"),), (bytearray("a\ufffdb".encode()),),
                                 (bytearray("\ufffd".encode() + b"\xfe"),)], "b binary")
     assert [r[0] for r in df.select(decode_lenient(F.col("b"))).collect()] == ["ab", "a\ufffdb", "\ufffd"]
+
+
+def test_listing_level_by_level(spark, tmp_path):
+    import os
+
+    from codeweave.sources import filesystem as FS
+    for p in ("one", "two", ".hidden"):
+        for d in range(30):
+            folder = tmp_path / p / f"d{d % 7}" / "_x" / f"e{d}"
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / f"f{d}.py").write_text("x = 1")
+            (folder / ".env").write_text("y")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "stray.py").write_text("in no project")
+    (tmp_path / "one" / "top.py").write_text("")
+    want = sorted((os.path.relpath(folder, tmp_path).split(os.sep)[0], os.path.join(folder, f),
+                   os.path.relpath(os.path.join(folder, f), tmp_path).split(os.sep, 1)[1])
+                  for folder, _, names in os.walk(tmp_path) for f in names if folder != str(tmp_path))
+    got = FS.list_corpus(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    page, FS.LIST_ROWS = FS.LIST_ROWS, 2
+    try:
+        again = FS.list_corpus(spark, str(tmp_path), suffixes=[".py"])
+        assert sorted(tuple(r) for r in again.collect()) == [w for w in want if w[1].endswith(".py")]
+    finally:
+        FS.LIST_ROWS = page
+    assert FS.list_corpus(spark, str(tmp_path / "empty")).count() == 0
