@@ -37,4 +37,28 @@ def test_stages(spark):
 
 def test_registered_queries_and_sql():
     from codeweave.llm.queries import QUERIES
-    assert set(QUERIES) > {"pipeline"} and sum(re.match(r"op\d+_", q) is not None for q in QUERIES) == 10
+    assert set(QUERIES) > {"pipeline"} and sum(re.match(r"op\d+_", q) is not None for q in QUERIES) == 13
+
+
+def test_stages_on_odd_rows(spark, make, corpus):
+    """Null ids, null and empty texts, repeated rows, further columns with names of inner ones."""
+    docs = make(corpus)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF_SMALL)
+        rows = out.collect()
+        if name == "packing":
+            assert {r.doc_id for r in rows} == {d for d, _ in corpus}
+            assert sum(r.piece == 0 for r in rows) == len(corpus)
+        else:
+            assert out.columns == docs.columns
+            every = docs.collect()
+            assert all(r in every for r in rows)
+        if name == "exact":
+            norm = {re.sub("[\x20\x09-\x0D]+", " ", t or "") for _, t in corpus}
+            assert len(rows) == len(norm)
+        empty = stage(spark, docs.where("false"), SF_SMALL)
+        assert empty.count() == 0 and (name == "packing" or empty.columns == docs.columns)
+    nulls = docs.selectExpr("CAST(NULL AS long) AS doc_id", "CAST(NULL AS string) AS text", "CAST(NULL AS string) AS lang",
+                            "CAST(NULL AS string) AS source").limit(5)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nulls, SF_SMALL).count() <= 5
