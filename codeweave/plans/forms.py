@@ -152,3 +152,77 @@ def c4_forms_imports(spark, sf_dir):
 @register("c5_forms_calls", CALLS, ["caller", "callee", "line"])
 def c5_forms_calls(spark, sf_dir):
     return entities(spark, sf_dir).calls
+
+
+# ------------------------------------------------- import paths and config files
+#: files of a document's folder, and (file, module, file it resolves to or None)
+PATHS = ["pkg/__init__.py", "pkg/a.py", "pkg/sub/__init__.py", "pkg/sub/b.py", "top.py", "ui/app.js", "ui/lib/index.js",
+         "ui/lib/util.js", "shared.js"]
+RELATIVE = [
+    ("pkg/sub/b.py", "..a", "pkg/a.py"), ("pkg/sub/b.py", ".", "pkg/sub/__init__.py"), ("pkg/sub/b.py", "..", "pkg/__init__.py"),
+    ("pkg/sub/b.py", "...top", "top.py"), ("pkg/sub/b.py", "..sub", "pkg/sub/__init__.py"), ("pkg/sub/b.py", ".absent.name", None),
+    ("pkg/__init__.py", ".a", "pkg/a.py"), ("pkg/__init__.py", ".", None), ("ui/app.js", "./lib", "ui/lib/index.js"),
+    ("ui/app.js", "./lib/util.js", "ui/lib/util.js"), ("ui/app.js", "./lib/util", "ui/lib/util.js"),
+    ("ui/app.js", "../shared", "shared.js"), ("ui/app.js", "./lib/../../shared.js", "shared.js"), ("ui/lib/util.js", "..", None),
+    ("ui/lib/util.js", "../app", "ui/app.js"), ("ui/lib/util.js", ".", "ui/lib/index.js"),
+]
+
+_RELATIVE_SQL = ("WITH d AS (SELECT source AS project_id, 'd' || doc_id || '/' AS f FROM documents)\n" + "\nUNION ALL ".join(
+    f"SELECT project_id, f || '{source}' AS source, f || '{target}' AS target, '{module}' AS module, "
+    f"CAST({i + 1} AS BIGINT) AS line FROM d" for i, (source, module, target) in enumerate(RELATIVE) if target))
+
+
+def d4_forms_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent and current packages, index files, paths that climb."""
+    from ..operators.resolve import resolve_imports
+    docs = read_table(spark, sf_dir, "documents").select(F.col("source").alias("project_id"),
+                                                         F.concat(F.lit("d"), F.col("doc_id"), F.lit("/")).alias("f"))
+    files = docs.select("project_id", F.explode(F.array(*(F.concat("f", F.lit(p)) for p in PATHS))).alias("file_path"))
+    rows = F.array(*(F.struct(F.concat("f", F.lit(source)).alias("file_path"), F.lit(module).alias("module"),
+                              F.lit(i + 1).alias("line")) for i, (source, module, _) in enumerate(RELATIVE)))
+    imports = docs.select("project_id", F.explode(rows).alias("r")).select(
+        "project_id", "r.file_path", F.col("r.line").alias("ord"), F.lit("x").alias("language"), "r.module", "r.line")
+    return resolve_imports(imports, files).drop("ord")
+
+
+QUERIES["d4_forms_relative"] = (lambda spark, sf_dir: as_bigint(d4_forms_relative(spark, sf_dir)), _RELATIVE_SQL)
+
+#: files of a project, and its language, package manager and build tool
+CONFIGS = [
+    (["pyproject.toml", "poetry.lock"], "Python", "Poetry", "Unknown"), (["app/pyproject.toml"], "Python", "pip", "Unknown"),
+    (["package.json", "pnpm-lock.yaml"], "JavaScript", "pnpm", "Unknown"), (["web/package.json", "web/bun.lockb"], "JavaScript", "Bun", "Unknown"),
+    (["package.json", "bun.lock", "tsconfig.json"], "TypeScript", "Bun", "Unknown"), (["Cargo.toml"], "Rust", "cargo", "Unknown"),
+    (["go.mod"], "Go", "go modules", "Unknown"), (["build.gradle"], "Java", "Unknown", "Gradle"),
+    (["pom.xml", "core/build.gradle"], "Java", "Unknown", "Maven"), (["CMakeLists.txt", "Makefile"], "Unknown", "Unknown", "CMake"),
+    (["Makefile", "a.csproj"], "Unknown", "Unknown", "Make"), (["a.csproj"], "Unknown", "Unknown", ".NET"),
+    (["package.json", "package-lock.json", "yarn.lock"], "JavaScript", "npm", "Unknown"),
+    (["requirements.txt", "go.mod", "Cargo.toml"], "Python", "cargo", "Unknown"),
+]
+#: dependency of a package.json, by number, and the framework it shows
+PACKAGES = [("next", "Next.js"), ("@angular/core", "Angular"), ("vue", "Vue"), ("@nestjs/core", "NestJS"), ("left-pad", "Unknown")]
+
+_CONFIG_SQL = ("WITH d AS (SELECT 'c' || doc_id AS project_id, doc_id AS n FROM documents)\n" + "\nUNION ALL ".join(
+    f"SELECT project_id, '{language}' AS language, " + (
+        "CASE n % 5 " + " ".join(f"WHEN {j} THEN '{fw}'" for j, (_, fw) in enumerate(PACKAGES)) + " END"
+        if any(x.endswith("package.json") for x in files) else "'Unknown'") +
+    f" AS framework, '{manager}' AS package_manager, '{build}' AS build_tool, n % 4 = 1 AS has_readme, n % 3 = 0 AS has_docker "
+    f"FROM d WHERE n % {len(CONFIGS)} = {k}" for k, (files, language, manager, build) in enumerate(CONFIGS)))
+
+
+def e8_forms_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lock file, build file and language rule, one project per document."""
+    from ..operators.project import project_info
+    docs = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id")).alias("project_id"),
+                                                         F.col("doc_id").alias("n"))
+    names = F.element_at(F.array(*(F.array(*map(F.lit, files)) for files, *_ in CONFIGS)), (F.col("n") % len(CONFIGS) + 1).cast("int"))
+    extra = F.concat(F.when(F.col("n") % 4 == 1, F.array(F.lit("readme.md"))).otherwise(F.array().cast("array<string>")),
+                     F.when(F.col("n") % 3 == 0, F.array(F.lit("docker-compose.yml"))).otherwise(F.array().cast("array<string>")))
+    package = F.element_at(F.array(*(F.lit('{"devDependencies":{"%s":"1"}}' % p) for p, _ in PACKAGES)), (F.col("n") % 5 + 1).cast("int"))
+    tree = docs.select("project_id", "n", F.explode(F.concat(names, extra)).alias("rel_path"), package.alias("package"))
+    tree = tree.select("project_id", "rel_path", F.col("rel_path").alias("file_path"), F.when(
+        F.col("rel_path").endswith("package.json"), F.col("package")).otherwise("x").alias("content"))
+    return project_info(files_from_paths(tree)).select(
+        "project_id", "language", "framework", "package_manager", "build_tool", "has_readme", "has_docker")
+
+
+QUERIES["e8_forms_config"] = (lambda spark, sf_dir: as_bigint(e8_forms_config(spark, sf_dir)), _CONFIG_SQL)
