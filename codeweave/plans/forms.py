@@ -226,3 +226,54 @@ def e8_forms_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["e8_forms_config"] = (lambda spark, sf_dir: as_bigint(e8_forms_config(spark, sf_dir)), _CONFIG_SQL)
+
+
+# --------------------------------------------------- classification by a model
+_DEFAULT = "Classified by question rules."
+#: what a model says, and type, target, reasoning and error that are read from it
+SAID = [
+    ('{"question_type":"FUNCTION","target_name":"`load_user()`","reasoning":"r0"}', "FUNCTION", "load_user", "r0", None),
+    ('```json\n{"question_type": "file", "target_name": "./src\\\\app.py", "reasoning": "r1"}\n```', "FILE", "src/app.py", "r1", None),
+    ('Sure: {"question_type":"ARCHITECTURE","target_name":null,"reasoning":"r2"} as asked', "ARCHITECTURE", None, "r2", None),
+    ("no json here", None, None, _DEFAULT, "Model answer holds no JSON object."),
+    ('{"question_type":"OTHER","target_name":"x"}', None, "x", _DEFAULT, "Unknown question type: OTHER"),
+    ('{"question_type":" semantic_search ","target_name":"none"}', "SEMANTIC_SEARCH", None, _DEFAULT, None),
+    ('{"question_type":"FUNCTION","target_name":"def pkg.mod.run_all( )"}', "FUNCTION", "run_all", _DEFAULT, None),
+    ('{"question_type":"PROJECT_OVERVIEW","target_name":"","reasoning":"r7"}', "PROJECT_OVERVIEW", None, "r7", None),
+    ('```\n{"question_type":"FILE","target_name":"\'/lib/x.js\'"}\n```', "FILE", "lib/x.js", _DEFAULT, None),
+    ('{"question_type":"FUNCTION","target_name":"N/A"}', "FUNCTION", None, _DEFAULT, None),
+    ('{broken {"question_type"', None, None, _DEFAULT, "Model answer holds no JSON object."),
+    (None, None, None, None, "Question must not be empty."),
+]
+
+
+def said_by_model(prompts: list[str]) -> list[str]:
+    """Stands for a model: the answer whose number begins the question."""
+    return [SAID[int(re.match(r"Classify: #(\d+) ", p)[1])][0] for p in prompts]
+
+
+def _sql_text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _said_sql() -> str:
+    k = f"(conv_id + turn) % {len(SAID)}"
+    cells = ", ".join(f"CASE {k} " + " ".join(f"WHEN {i} THEN {_sql_text(row[c])}" for i, row in enumerate(SAID)) + f" END AS {name}"
+                      for c, name in ((1, "question_type"), (2, "target_name"), (3, "reasoning"), (4, "error")))
+    return f"SELECT conv_id * 100 + turn AS question_id, {cells} FROM conversations WHERE role = 'user'"
+
+
+def i14_model_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 through a model with I14 (JSON in fences or prose), I15 (types) and I16 (targets),
+    over the whole text of every user turn."""
+    from ..operators.ask import classify_with_model
+    k = F.expr(f"(conv_id + turn) % {len(SAID)}")
+    turns = read_table(spark, sf_dir, "conversations").where("role = 'user'").select(
+        F.expr("conv_id * 100 + turn").alias("question_id"),
+        F.when(k == len(SAID) - 1, F.lit(" \n ")).otherwise(
+            F.concat(F.lit("#"), k.cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))).alias("question"))
+    return classify_with_model(turns, said_by_model, lambda q: F.concat(F.lit("Classify: "), q)).select(
+        "question_id", "question_type", "target_name", "reasoning", "error")
+
+
+QUERIES["i14_model_classification"] = (lambda spark, sf_dir: as_bigint(i14_model_classification(spark, sf_dir)), _said_sql())
