@@ -1023,3 +1023,22 @@ def e24_understanding_counts(spark, sf_dir):
            .join(count(errs, "incomplete_batches"), "project_id", "left"))
     return out.select("project_id", *[F.coalesce(c_, F.lit(0)).alias(c_) for c_ in
                                       ["functions", "files", "modules", "projects", "incomplete_batches"]])
+
+
+def _prompt_sql() -> str:
+    from ..operators.ask import TYPE_INSTRUCTIONS
+    contexts = "\nUNION ALL ".join(f"SELECT question_id, context FROM ({QUERIES[name][1]})" for name in (
+        "l8_overview_context", "l8_architecture_context", "l9_function_context", "l9_file_context", "l10_semantic_context"))
+    kinds = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_INSTRUCTIONS.items())
+    asked = with_fixture("SELECT question_id, question_type, question FROM fx_cls WHERE error IS NULL")
+    return f"""SELECT q.question_id, md5('Answer the question about the repository using only the context below. If the context is not '
+  || 'enough, say so.' || chr(10) || 'Instruction: ' || CASE question_type {kinds} END || chr(10) || chr(10) || 'Context:' || chr(10)
+  || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || trim(question)) AS prompt_md5
+FROM ({asked}) q LEFT JOIN ({contexts}) c USING (question_id)"""
+
+
+@register("l13_answer_prompts", _prompt_sql())
+def l13_answer_prompts(spark, sf_dir):
+    from ..operators.ask import answer_prompt
+    ctx = corpus(spark, sf_dir).contexts.where("error IS NULL")
+    return ctx.select("question_id", F.md5(answer_prompt().cast("binary")).alias("prompt_md5"))
