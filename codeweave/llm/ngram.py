@@ -313,6 +313,8 @@ def train(scratch: Scratch, texts: DataFrame, n_bytes: int, hot_limit: int = HOT
     model.size, model.total = int(model.base[-1]), int(words.column("total").to_numpy().sum())
     if not model.size:
         return model
+    if model.size >= 1 << 31:  # a pair is one number of twice 32 bits
+        raise ValueError(f"{model.size} distinct words: word numbers are 32 bits wide")
     hot = [model.base[b] + i for b, h in zip(words.column("bucket").to_pylist(), words.column("hot").to_pylist())
            for i in h]
     n_texts = texts.count()
