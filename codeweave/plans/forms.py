@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,13 +117,15 @@ def form_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    text.alias("content"))))
 
 
-@cache
-def _entities(application: str, sf_dir: str) -> Entities:
-    return extract_entities(form_files(SparkSession.getActiveSession(), sf_dir))
+_STORED: dict[tuple[str, str], tuple[SparkSession, Entities]] = {}
 
 
 def entities(spark: SparkSession, sf_dir: str) -> Entities:
-    return _entities(spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    """Extracted once per session and dataset."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _STORED or _STORED[key][0] is not spark:
+        _STORED[key] = spark, extract_entities(form_files(spark, sf_dir))
+    return _STORED[key][1]
 
 
 def register(name: str, layouts: list[list[tuple]], columns: list[str]):
