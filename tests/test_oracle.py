@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-TABLES = ["documents", "embeddings", "conversations", "labels", "pages"]
+TABLES = ["documents", "embeddings", "conversations", "labels", "pages", "benchmark"]
 
 
 def norm(v):
