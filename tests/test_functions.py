@@ -92,9 +92,9 @@ def test_hashing_tf_embedding(spark):
     assert sum(out[2]) == 0.0
 
 
-def test_search_blocks(spark, monkeypatch):
-    """Small blocks give what one block gives; ties go by id and exactly top_k
-    rows per question and block leave the scoring."""
+def test_search_passes(spark):
+    """Many small passes over many partitions give what one pass gives; ties go by id and
+    at most top_k rows per question and task leave the scoring."""
     import codeweave.operators.vectors as V
     vec = spark.createDataFrame([(f"p{i % 2}", f"c{i:02}", [float(i % 7), 1.0, float(i % 3)]) for i in range(60)],
                                 "project_id string, id string, embedding array<double>")
@@ -110,12 +110,10 @@ def test_search_blocks(spark, monkeypatch):
             scored.append((-round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 4), f"c{i:02}"))
         want += [(j, c, -s, r + 1) for r, (s, c) in enumerate(sorted(scored)[:1 + j % 6])]
     assert one == sorted(want)
-    monkeypatch.setattr(V, "VECTOR_BLOCK", 7)
-    monkeypatch.setattr(V, "QUESTION_BLOCK", 4)
-    assert sorted(map(tuple, V.search(qs, vec, unit_vectors=False).collect())) == one
+    assert sorted(map(tuple, V.search(qs, vec.repartition(9), unit_vectors=False, most=4).collect())) == one
     zero = vec.withColumn("embedding", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    assert V._score_blocks(qs, zero, "qvec", "embedding", "id", False).groupBy("question_id").count().where(
-        "count > 6 * 6").count() == 0
+    scored = V._score_in_place(qs, zero.repartition(6), "qvec", "embedding", "id", False, 100).groupBy("question_id").count()
+    assert scored.join(qs, "question_id").where("count > top_k * 6").count() == 0 and scored.count() == 25
 
 
 def test_dedupe_records(spark):
