@@ -37,7 +37,9 @@ from ..sources.store import SharedTables, materialize, scratch_path, spread
 _TOKEN = re.compile(r"[a-z0-9_]+")
 
 # questions in one pass over the vectors
-QUESTIONS = 16_384
+QUESTIONS = 65_536
+# values of a project's vectors that are scored together
+BLOCK = 1 << 21
 
 
 class HashedTokenEmbedder:
@@ -175,42 +177,132 @@ class _Best:
 
     def __init__(self, table: pa.Table, unit: bool):
         self.question = table.column("question_id")
-        self.top_k = table.column("top_k").to_numpy()
         self.dim = len(table.column("qvec")[0])
         good, q = _matrix(table.column("qvec"), self.dim)
         self.at = good  # questions of another length match nothing
         self.q = q if unit else _unit(q)
-        self.found = pd.DataFrame({"q": np.zeros(0, np.int64), "score": np.zeros(0), "id": np.zeros(0, object)})
-        self.least = np.full(len(good), -1.0)
-
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.q32 = self.q.astype(np.float32)
+        self.length = np.linalg.norm(self.q, axis=1)
+        self.top_k = table.column("top_k").to_numpy()[good]
+        self.k = max(1, int(self.top_k.max())) if len(good) else 1
+        self.score = np.full((len(good), self.k), -1.0)  # best first; no vector has a negative score
+        self.id = np.full((len(good), self.k), None, dtype=object)
+        self.waiting: list[tuple] = []
+
+    def add(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray | None = None) -> None:
+        """Vectors wait until a block is full: small batches of many projects cost as little as large ones."""
+        self.waiting.append((ids, x, codes))
+        if sum(w[1].size for w in self.waiting) >= BLOCK:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.waiting or not len(self.at):
+            self.waiting = []
+            return
+        ids, x, codes = (None if w[0] is None else np.concatenate(w) for w in zip(*self.waiting, strict=True))
+        self.waiting = []
+        order = np.argsort(ids, kind="stable")
+        self.block(ids[order], x[order], None if codes is None else codes[order])
+
+    def block(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray | None) -> None:
         """Rows in the order of their ids."""
-        step = max(64, (1 << 22) // max(1, len(self.q)))
-        for a in range(0, len(x), step):
-            part = x[a:a + step]
-            n, k = len(part), min(int(self.top_k.max()), len(part))
-            # one number orders by score, then by id: equal scores keep the smaller ids
-            score = np.floor(np.maximum(part @ self.q.T, 0.0) * 10_000 + 0.5).astype(np.int64)
-            key = score * n + (n - 1 - np.arange(n))[:, None]
-            key = np.partition(key, n - k, axis=0)[n - k:]
-            row, score = n - 1 - key % n, key // n / 10_000
-            good, col = np.nonzero(score >= self.least[None, :])
-            new = pd.DataFrame({"q": col, "score": score[good, col], "id": ids[a + row[good, col]]})
-            both = pd.concat([self.found, new]).sort_values(["q", "score", "id"], ascending=[True, False, True])
-            place = both.groupby("q").cumcount()
-            take = self.top_k[self.at[both["q"].to_numpy()]]
-            self.found = both[place.to_numpy() < take]
-            last = self.found[(place[place.to_numpy() < take] + 1).to_numpy() == take[place.to_numpy() < take]]
-            self.least[last["q"].to_numpy()] = last["score"].to_numpy()
+        x32, longest = x.astype(np.float32), np.nan_to_num(np.linalg.norm(x, axis=1)).max(initial=0.0)
+        rows, step = max(64, min(len(x), 4096)), max(1, (1 << 22) // max(64, min(len(x), 4096)))
+        for a in range(0, len(x), rows):
+            part, part32 = x[a:a + rows], x32[a:a + rows]
+            for c in range(0, len(self.q), step):
+                some = np.arange(c, min(c + step, len(self.q)))
+                # a pass in single precision leaves what may be among the best, which is scored in double
+                last = self.score[some, self.top_k[some] - 1]
+                slack = 1e-4 + 2e-7 * self.dim * longest * self.length[some]  # rounding of scores and of single precision
+                near = ~((part32 @ self.q32[some].T) < (last - slack).astype(np.float32))
+                much = np.count_nonzero(near, axis=0) > 4 * self.k
+                if much.any():
+                    self.whole(ids[a:a + rows], part, some[much])
+                    near[:, much] = False
+                row, col = np.nonzero(near)
+                self.pairs(ids[a:a + rows], part, some[col], row)
+
+    def whole(self, ids: np.ndarray, x: np.ndarray, some: np.ndarray) -> None:
+        """All rows for the questions ``some``."""
+        n, k = len(x), min(self.k, len(x))
+        # one number orders by score, then by id: equal scores keep the smaller ids
+        score = np.floor(np.maximum(x @ self.q[some].T, 0.0) * 10_000 + 0.5)
+        score = np.where(np.isfinite(score), score, -1).astype(np.int64)
+        key = score * n + (n - 1 - np.arange(n))[:, None]
+        key = np.partition(key, n - k, axis=0)[n - k:]
+        col = np.broadcast_to(some, key.shape)
+        self.merge(ids, col.ravel(), (n - 1 - key % n).ravel(), (key // n / 10_000).ravel())
+
+    def pairs(self, ids: np.ndarray, x: np.ndarray, col: np.ndarray, row: np.ndarray) -> None:
+        """Questions ``col`` with rows ``row``."""
+        step = max(1024, (1 << 22) // self.dim)
+        score = np.zeros(len(col))
+        for a in range(0, len(col), step):
+            some = slice(a, a + step)
+            score[some] = np.einsum("ij,ij->i", x[row[some]], self.q[col[some]])
+        score = np.floor(np.maximum(score, 0.0) * 10_000 + 0.5) / 10_000
+        self.merge(ids, col, row, np.where(np.isfinite(score), score, -1.0))
+
+    def merge(self, ids: np.ndarray, col: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        place = self.top_k[col] - 1
+        last = self.score[col, place]
+        keep = score > last
+        tie = np.flatnonzero(score == last)
+        keep[tie] = ids[row[tie]] < self.id[col[tie], place[tie]]
+        col, row, score = col[keep], row[keep], score[keep]
+        if not len(col):
+            return
+        hit = np.unique(col)
+        old = self.score[hit] >= 0
+        q = np.concatenate([np.repeat(hit, self.k)[old.ravel()], col])
+        s = np.concatenate([self.score[hit][old], score])
+        i = np.concatenate([self.id[hit][old], ids[row]])
+        order = np.lexsort((pd.factorize(i, sort=True)[0], -s, q))
+        q, s, i = q[order], s[order], i[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        keep = place < self.top_k[q]
+        self.score[hit], self.id[hit] = -1.0, None
+        self.score[q[keep], place[keep]], self.id[q[keep], place[keep]] = s[keep], i[keep]
 
     def rows(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        at = self.at[self.found["q"].to_numpy()]
-        return self.question.take(pa.array(at)), self.found["id"].to_numpy(), self.found["score"].to_numpy()
+        self.flush()
+        q, place = np.nonzero(self.score >= 0)
+        return self.question.take(pa.array(self.at[q])), self.id[q, place], self.score[q, place]
+
+
+class _BestInCells(_Best):
+    """The best of the vectors that share a cell with a question."""
+
+    def __init__(self, table: pa.Table, unit: bool, cells: Callable[[np.ndarray, bool], np.ndarray]):
+        super().__init__(table, unit)
+        probes = cells(self.q, True)  # question, table of the index, probe
+        self.probes = []
+        for part in range(probes.shape[1]):
+            code = probes[:, part].ravel()
+            order = np.argsort(code, kind="stable")
+            self.probes.append((code[order], order // probes.shape[2]))
+
+    def block(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray) -> None:
+        for a in range(0, len(x), 1024):
+            found = []
+            for part, (code, question) in enumerate(self.probes):
+                mine = codes[a:a + 1024, part]
+                low, high = np.searchsorted(code, mine, "left"), np.searchsorted(code, mine, "right")
+                n = high - low
+                row = np.repeat(np.arange(len(mine)), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                found.append(np.unique(question[at] * 1024 + row))
+            both = np.unique(np.concatenate(found))
+            self.pairs(ids[a:a + 1024], x[a:a + 1024], both // 1024, both % 1024)
 
 
 def _score_in_place(questions: DataFrame, vectors: DataFrame, qvec_col: str, vec_col: str, id_col: str,
-                    unit_vectors: bool, most: int) -> DataFrame:
-    """(question_id, id, score): each question's best ``top_k`` of every task's vectors.
+                    unit_vectors: bool, most: int, code_col: str | None = None,
+                    cells: Callable[[np.ndarray, bool], np.ndarray] | None = None) -> DataFrame:
+    """(question_id, id, score): each question's best ``top_k`` of every task's vectors,
+    with ``cells`` of those that share a cell (``code_col``) with it.
 
     The vectors stay where they are stored.  Questions are one Arrow file per project in the
     shared folder, ``most`` questions in a pass over the vectors; a task maps the files of
@@ -243,21 +335,25 @@ def _score_in_place(questions: DataFrame, vectors: DataFrame, qvec_col: str, vec
                 for project in pd.unique(projects):
                     if project not in asked:
                         table = folder.get(name(project, turn))
-                        asked[project] = None if table is None else _Best(table, unit_vectors)
+                        asked[project] = (None if table is None else _Best(table, unit_vectors) if cells is None
+                                          else _BestInCells(table, unit_vectors, cells))
                     if asked[project] is None:
                         continue
                     mine = np.flatnonzero(projects == project)
                     good, x = _matrix(batch.column(2).take(pa.array(mine)), asked[project].dim)
-                    order = np.argsort(ids[mine[good]], kind="stable")
-                    asked[project].add(ids[mine[good]][order], (x if unit_vectors else _unit(x))[order])
+                    codes = None
+                    if cells is not None:
+                        codes = batch.column(3).take(pa.array(mine[good]))
+                        codes = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(good), -1)
+                    asked[project].add(ids[mine[good]], x if unit_vectors else _unit(x), codes)
             for b in asked.values():
-                if b is not None and len(b.found):
+                if b is not None:
                     question, found_ids, score = b.rows()
                     for part in pa.table({"question_id": question, id_col: pa.array(found_ids, kinds),
                                           "score": pa.array(score)}).to_batches():
                         yield part
 
-        part = vectors.select("project_id", id_col, vec_col).mapInArrow(best, schema)
+        part = vectors.select("project_id", id_col, vec_col, *([code_col] if code_col else [])).mapInArrow(best, schema)
         found = part if found is None else found.unionAll(part)
     return found
 
@@ -298,44 +394,97 @@ class LshIndex:
     its cells ``floor((v . a + b) / width)``, and the project is part of the key.  The
     width is ``wide`` times a low quantile of the distances to the nearest other vector in
     a bounded sample (``sample`` vectors), so that cells stay small and a question with
-    near neighbours finds them; questions without are searched exactly.  ``postings``:
-    (project_id, part, code, id), stored."""
+    near neighbours finds them; questions without are searched exactly.  Where the cells of
+    so few projections would hand a question more than ``candidates`` vectors (judged on the
+    sample), a table has more projections, up to 16.  ``cells``: (project_id, id, v, codes),
+    stored; ``postings``: the same by cell, (project_id, part, code, id)."""
 
     def __init__(self, vectors: DataFrame, tables: int = 16, hashes: int = 4, wide: float = 5.0, quantile: float = 0.1,
-                 sample: int = 2000, seed: int = 7, vec_col: str = "embedding", id_col: str = "id"):
+                 sample: int = 2000, seed: int = 7, vec_col: str = "embedding", id_col: str = "id", candidates: int = 1000):
         self.vectors = vectors.select("project_id", F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-        some = self.vectors.where("v IS NOT NULL AND size(v) > 0").orderBy(F.xxhash64("project_id", "id")).limit(sample).toArrow()
+        given = self.vectors.where("v IS NOT NULL AND size(v) > 0")
+        some = given.orderBy(F.xxhash64("project_id", "id")).limit(sample).toArrow()
         dim = len(some.column("v")[0]) if len(some) else 1
         x = _unit(_matrix(some.column("v"), dim)[1]) if len(some) else np.zeros((0, 1))
         near = np.sqrt(np.maximum(2 - 2 * (x @ x.T - 3 * np.eye(len(x))).max(axis=1), 0)) if len(x) > 1 else np.ones(1)
         near = near[near > 1e-3] if (near > 1e-3).any() else np.ones(1)
-        rng = np.random.default_rng(seed)
         self.dim, self.tables, self.hashes, self.width = dim, tables, hashes, wide * float(np.quantile(near, quantile))
-        self.axes = rng.normal(size=(dim, tables * hashes))
-        self.shift = rng.random(tables * hashes) * self.width
-        self.postings = materialize(self.codes(self.vectors, probes=False), "lsh")
+        largest = given.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
+        while True:
+            rng = np.random.default_rng(seed)
+            self.axes = rng.normal(size=(dim, tables * self.hashes))
+            self.shift = rng.random(tables * self.hashes) * self.width
+            if self.hashes >= 16 or len(x) < 2 or self._met(x[:400]) * largest <= candidates:
+                break
+            self.hashes += 1
+        kind = self.vectors.schema
+        self.cells = materialize(self._coded(T.StructType([kind["project_id"], kind["id"], kind["v"], T.StructField(
+            "codes", T.ArrayType(T.LongType()))])), "lsh")
+        self.postings = self.cells.select("project_id", F.posexplode("codes").alias("part", "code"), "id")
+
+    def _met(self, x: np.ndarray) -> float:
+        """Share of the other vectors of a sample that a vector's probes meet."""
+        own, probes = self.code(x, False)[:, :, 0], self.code(x, True)
+        met = np.zeros((len(x), len(x)), dtype=bool)
+        for part in range(self.tables):
+            for probe in range(probes.shape[2]):
+                met |= probes[:, part, probe, None] == own[None, :, part]
+        np.fill_diagonal(met, False)
+        return met.sum() / (len(x) * (len(x) - 1))
+
+    def code(self, x: np.ndarray, probes: bool) -> np.ndarray:
+        """Codes of unit vectors by table; with ``probes`` also of the neighbouring cells,
+        one step along each projection."""
+        hashes = self.hashes
+        steps = np.concatenate([np.zeros((1, hashes)), np.eye(hashes), -np.eye(hashes)]) if probes else np.zeros((1, hashes))
+        if x.shape[1] != self.dim:  # no vector of the index has this length
+            return np.zeros((len(x), self.tables, len(steps)), dtype=np.int64)
+        out = []
+        for a in range(0, len(x), 1024):
+            cells = np.floor((x[a:a + 1024] @ self.axes + self.shift) / self.width).reshape(-1, self.tables, 1, hashes) + steps
+            code = np.zeros(cells.shape[:3], dtype=np.uint64)
+            for h in range(hashes):
+                code = (code ^ cells[..., h].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                code ^= code >> np.uint64(29)
+            out.append(code.view(np.int64))
+        return np.concatenate(out) if out else np.zeros((0, self.tables, len(steps)), dtype=np.int64)
+
+    def _cutter(self) -> Callable[[np.ndarray, bool], np.ndarray]:
+        """``code`` for tasks, without the tables of this session."""
+        alone = object.__new__(LshIndex)
+        for name in ("dim", "tables", "hashes", "width", "axes", "shift"):
+            setattr(alone, name, getattr(self, name))
+        return alone.code
+
+    def _coded(self, schema: T.StructType) -> DataFrame:
+        dim, tables, cut = self.dim, self.tables, self._cutter()
+
+        def run(batches):
+            for batch in batches:
+                good, x = _matrix(batch.column(2), dim)
+                code, at = cut(_unit(x), False).reshape(-1), pa.array(good)
+                ends = pa.array(np.arange(len(good) + 1, dtype=np.int32) * tables)
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(3)] + [
+                    pa.ListArray.from_arrays(ends, pa.array(code))], names=schema.names)
+
+        return self.vectors.mapInArrow(run, schema)
 
     def codes(self, rows: DataFrame, probes: bool) -> DataFrame:
         """(project_id, part, code, id) of ``rows (project_id, id, v)``; with ``probes`` also
         the neighbouring cells, one step along each projection."""
         schema = T.StructType([rows.schema["project_id"], T.StructField("part", T.IntegerType()),
                                T.StructField("code", T.LongType()), rows.schema["id"]])
-        dim, tables, hashes, width, axes, shift = self.dim, self.tables, self.hashes, self.width, self.axes, self.shift
-        steps = np.concatenate([np.zeros((1, hashes)), np.eye(hashes), -np.eye(hashes)]) if probes else np.zeros((1, hashes))
+        dim, tables, cut = self.dim, self.tables, self._cutter()
 
         def run(batches):
             for batch in batches:
                 good, x = _matrix(batch.column(2), dim)
-                cells = np.floor((_unit(x) @ axes + shift) / width).reshape(len(x), tables, 1, hashes) + steps
-                code = np.zeros(cells.shape[:3], dtype=np.uint64)
-                for h in range(hashes):
-                    code = (code ^ cells[..., h].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    code ^= code >> np.uint64(29)
-                n, each = len(x), tables * len(steps)
-                at = pa.array(np.repeat(good, each))
+                code = cut(_unit(x), probes)
+                n, steps = len(x), code.shape[2]
+                at = pa.array(np.repeat(good, tables * steps))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), len(steps)), n)),
-                     pa.array(code.reshape(-1).view(np.int64)), batch.column(1).take(at)],
+                    [batch.column(0).take(at), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), steps), n)),
+                     pa.array(code.reshape(-1)), batch.column(1).take(at)],
                     names=["project_id", "part", "code", "id"])
 
         return rows.mapInArrow(run, schema)
@@ -359,20 +508,18 @@ class LshIndex:
         is so far that a nearer vector may be missed with a chance above 1 - ``recall``, or that
         has fewer than top_k candidates, is searched exactly (``way``)."""
         q = questions.select("question_id", "project_id", "top_k", F.col(qvec_col).cast("array<double>").alias("qvec"))
-        asked = self.codes(q.select("project_id", F.col("question_id").alias("id"), "qvec"), probes=True)
-        pairs = (asked.withColumnRenamed("id", "question_id").join(self.postings, ["project_id", "part", "code"])
-                 .select("project_id", "question_id", "id").distinct())
-        scored = (pairs.join(self.vectors, ["project_id", "id"]).join(q, ["project_id", "question_id"])
-                  .select("question_id", "top_k", "id", cosine(F.col("qvec"), F.col("v")).alias("cos")))
-        w = Window.partitionBy("question_id").orderBy(F.desc(score(F.col("cos"))), "id")
+        scored = _score_in_place(q, self.cells, "qvec", "v", "id", False, QUESTIONS, "codes", self._cutter()).join(
+            q.select("question_id", "top_k"), "question_id")
+        w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
         ranked = materialize(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("top_k")), "lsh-found")
-        kth = ranked.groupBy("question_id").agg(F.min("cos").alias("cos"), F.count(F.lit(1)).alias("n"))
+        # scores have four digits: the farthest that a score stands for
+        kth = ranked.groupBy("question_id").agg((F.min("score") - 0.00005).alias("cos"), F.count(F.lit(1)).alias("n"))
         far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cos")))
         sure = kth.join(q.select("question_id", "top_k"), "question_id").where(
             (F.col("n") == F.col("top_k")) & (far <= self.sure_distance(recall))).select("question_id")
         rest = materialize(q.join(sure, "question_id", "left_anti"), "lsh-rest")
         exact = search(rest, self.vectors, vec_col="v", unit_vectors=False)
-        near = ranked.join(sure, "question_id", "left_semi").select("question_id", "id", score(F.col("cos")).alias("score"), "rank")
+        near = ranked.join(sure, "question_id", "left_semi").select("question_id", "id", "score", "rank")
         return near.withColumn("way", F.lit("index")).unionByName(exact.withColumn("way", F.lit("exact")))
 
 

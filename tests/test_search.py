@@ -82,3 +82,41 @@ def test_questions_without_near_vectors_are_searched_exactly(spark, clustered):
     got = LshIndex(v).search(q)
     assert {r.way for r in got.collect()} == {"exact"}
     assert found(got) == brute(far, vectors)
+
+
+def test_best_over_many_blocks():
+    """Vectors that come in small batches, with many equal scores, give the same as all at once."""
+    import pyarrow as pa
+
+    from codeweave.operators import vectors as V
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(3000, 8)), 1) * (rng.random((3000, 8)) < 0.4)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    ids = np.array([f"v{i}" for i in rng.permutation(3000)], dtype=object)
+    q = x[:40]
+    table = pa.table({"question_id": np.arange(40), "top_k": 1 + np.arange(40) % 20, "qvec": pa.array(q.tolist())})
+    best, before = V._Best(table, True), V.BLOCK
+    V.BLOCK = 2048
+    try:
+        for a in range(0, 3000, 70):
+            best.add(ids[a:a + 70], x[a:a + 70])
+        question, found_ids, scores = best.rows()
+    finally:
+        V.BLOCK = before
+    want = brute([(i, "p", int(1 + i % 20), v) for i, v in enumerate(q)], [("p", i, v) for i, v in zip(ids, x)])
+    assert sorted(zip(question.to_pylist(), found_ids, scores.tolist())) == [w[:3] for w in want]
+
+
+def test_index_hands_a_question_few_vectors(spark):
+    """A few near copies among far vectors make cells wide; they still hold a bounded number."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 16))
+    x[3200:] = x[:800] + 0.3 * rng.normal(size=(800, 16))
+    q, v = tables(spark, [(i, "p", 1, x[3200 + i].tolist()) for i in range(100)],
+                  [("p", f"v{i}", r.tolist()) for i, r in enumerate(x)])
+    index = LshIndex(v)
+    asked = index.codes(q.selectExpr("project_id", "question_id AS id", "qvec"), probes=True).withColumnRenamed("id", "question_id")
+    pairs = asked.join(index.postings, ["project_id", "part", "code"]).select("question_id", "id").distinct().count()
+    assert pairs < 0.4 * 100 * 4000
+    got = {r.question_id: r.id for r in index.search(q).collect()}
+    assert got == {i: f"v{3200 + i}" for i in range(100)}
