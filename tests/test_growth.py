@@ -62,15 +62,16 @@ def test_matches_meet_questions_after_their_code(spark):
 
 
 def test_citations_meet_questions_as_lists(spark):
-    ctx = spark.createDataFrame([(i, "p", "q", "ARCHITECTURE", None, "architecture") for i in range(3)],
+    ctx = spark.createDataFrame([(i, "p", "q", "ARCHITECTURE", None, None, "architecture") for i in (0, 1, 2, 5, 5)],
                                 "question_id long, project_id string, question string, question_type string, "
-                                "target_name string, strategy string")
-    answers = spark.createDataFrame([(i, "a", i == 2, None) for i in range(3)],
+                                "target_name string, error string, strategy string")
+    answers = spark.createDataFrame([(i, "a", i == 2, None) for i in (0, 1, 2, 5)],
                                     "question_id long, answer string, insufficient boolean, error string")
     sources = spark.createDataFrame([("ARCHITECTURE|p", k, f"f{k}", "n", "file", None, None) for k in (2, 1)],
                                     "context_key string, pos int, file_path string, name string, chunk_type string, line int, end_line int")
     got = ask.answer_records(ctx, answers, sources)
-    assert {r.question_id: [s.file_path for s in r.sources] for r in got.collect()} == {0: ["f1", "f2"], 1: ["f1", "f2"], 2: []}
+    assert {r.question_id: [s.file_path for s in r.sources] for r in got.collect()} == {
+        0: ["f1", "f2"], 1: ["f1", "f2"], 2: [], 5: ["f1", "f1", "f2", "f2"]}
 
 
 def test_partitions_of_the_extraction_follow_the_text(spark, monkeypatch):
