@@ -1,5 +1,7 @@
 """Goldens for project roots (E3) and module-key precedence."""
 
+from collections import Counter
+
 from codeweave.operators.resolve import module_key_index, project_roots
 
 
@@ -50,3 +52,39 @@ def test_resolve_imports(spark):
         ("web/index.js", "./user.controller"): "web/user.controller.js",
         ("web/index.js", "./db"): "web/db/index.js",
     }
+
+
+def test_import_paths_of_a_hot_module_go_to_all_partitions(spark, monkeypatch):
+    """Partitions follow files and imports, and the rows of one module and one
+    project are dealt evenly; twice given rows and nulls count as ever."""
+    from pyspark.sql import functions as F
+    from codeweave.operators import resolve as R
+    monkeypatch.setattr(R, "TASK_ROWS", 100)
+    names = ["a.py", "sub/__init__.py", "sub/b.py"]
+    paths = [f"d{i}/{name}" for i in range(300) for name in names]
+    files = spark.createDataFrame([("p", f) for f in paths + paths[:3]] + [("p", None), (None, "d0/a.py")],
+                                  "project_id string, file_path string")
+    rows = [(f"d{i}/sub/b.py", 1, "..a", f"d{i}/a.py") for i in range(300)]
+    rows += [(f"d{i}/sub/b.py", 2, "b", "d0/sub/b.py") for i in range(300)]
+    rows += [(f"d{i}/sub/b.py", 3, "os", None) for i in range(300)]
+    given = [("p", f, o, m, o) for f, o, m, _ in rows]
+    # a row that shares file and number gets the better target, a null key gets none
+    given += [given[0], ("p", "d7/sub/b.py", 1, None, 9), ("p", None, 1, ".a", 1), (None, "d0/sub/b.py", 1, "..a", 1),
+              ("p", "d0/sub/b.py", None, "..a", 1)]
+    imports = spark.createDataFrame(given, "project_id string, file_path string, ord int, module string, line int")
+    out = R.resolve_imports(imports, files).withColumn("at", F.spark_partition_id()).collect()
+    want = sorted([(f, t, m, o) for f, o, m, t in rows if t and t != f] + [("d0/sub/b.py", "d0/a.py", "..a", 1),
+                                                                          ("d7/sub/b.py", "d7/a.py", "", 9)])
+    assert sorted((r.source, r.target, r.module or "", r.line) for r in out) == want
+    n = -(-(len(given) + 905) // 100)
+    sizes = Counter(r["at"] for r in out).values()
+    assert len(sizes) > n // 2 and max(sizes) < 5 * len(want) / n
+
+
+def test_keys_have_the_partitions_they_are_given(spark):
+    from codeweave.operators.resolve import known_file_keys, module_key_index
+    files = spark.createDataFrame([("p", f"d{i}/a.py") for i in range(500)], "project_id string, file_path string")
+    index, known = module_key_index(files, partitions=5), known_file_keys(files, 5)
+    assert index.rdd.getNumPartitions() == known.rdd.getNumPartitions() == 5
+    assert index.where("key = 'a'").first().target == "d0/a.py"
+    assert index.count() == 500 * 3 + 1 and known.count() == 500 * 2
