@@ -510,8 +510,8 @@ def k6_recall(spark, sf_dir):
     v = _embedding_store_rows(spark, sf_dir)
     index, out = LshIndex(v), None
     for name, q in (("texts", _question_vectors(spark, sf_dir, 64)), ("vectors", _vector_questions(spark, sf_dir))):
-        found = index.search(q)
-        r = _recall(found, search(q, v, unit_vectors=False))
+        found = materialize(index.search(q), "recall-found")  # both are read twice
+        r = _recall(found, materialize(search(q, v, unit_vectors=False), "recall-exact"))
         over = found.join(q.select("question_id", "top_k"), "question_id").where("rank > top_k").count() == 0
         row = r.agg(F.count(F.lit(1)).alias("n_questions"), F.sum("wanted").alias("wanted"),
                     (F.sum("hit") >= 0.9 * F.sum("wanted")).alias("recall_reached")).select(

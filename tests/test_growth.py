@@ -90,3 +90,11 @@ def test_items_of_prompts_are_made_once(spark):
     run = rollup.run_batches(items, "file", "Each {kind}.", text, None, 10)
     assert {r.summary for r in run.summaries.collect()} == {f"summary of n{i}" for i in range(12)}
     assert "items-file" in "".join(run.summaries.inputFiles())
+
+
+def test_recall_searches_once(spark):
+    """What is found is read twice, from where it is stored."""
+    from codeweave.plans.queries import k6_recall
+    made = k6_recall(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in plan_of(made)
+    assert all(r.recall_reached and r.within_top_k for r in made.collect())
