@@ -88,6 +88,21 @@ def test_text_moves_once_to_its_chunks(spark):
     assert exchanges_with(made, "content") == 1 and exchanges_with(made, "text") == 0
 
 
+def test_code_meets_its_summary_once(spark):
+    rows = [("p", "i1", "function", "g", "a/f.py", "Python", 1, 2, "x", "x"), ("p", "i2", "function", "h", "b/f.py", "Python", 1, 2, "y", "y"),
+            ("p", "i3", "file", "f.py", "a/f.py", "Python", 1, 9, "z", "z"), ("p", "i4", "class", "g", "a/f.py", "Python", 1, 9, "w", "w"),
+            (None, "i5", "function", "g", "a/f.py", "Python", 1, 2, "v", "v"), ("p", "i1", "function", "g", "a/f.py", "Python", 1, 2, "x2", "x2")]
+    c = spark.createDataFrame(rows, "project_id string, chunk_id string, chunk_type string, name string, file_path string, "
+                                    "language string, line int, end_line int, code string, content string")
+    fs = spark.createDataFrame([("p", "a/f.py", 1, "g", "old"), ("p", "a/f.py", 2, "g", "new"), ("p", "q/f.py", 1, "h", "by base")],
+                               "project_id string, file_path string, ord int, name string, summary string")
+    fl = spark.createDataFrame([("p", "z/f.py", "of z"), ("p", "a/f.py", "of a")], "project_id string, file_path string, summary string")
+    made = chunks.enrich_chunks(c, fs, fl)
+    assert sorted((r.chunk_id, r.code, r.summary) for r in made.collect()) == [
+        ("i1", "x", "new"), ("i1", "x2", "new"), ("i2", "y", "by base"), ("i3", "z", "of a"), ("i4", "w", None), ("i5", "v", None)]
+    assert exchanges_with(made, "code") <= 1
+
+
 def test_extraction_stores_only_lines_that_are_read(spark, monkeypatch):
     kept = {}
     store = entities.materialize_all
