@@ -3,11 +3,12 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeweave.operators import chunks, entities
-from codeweave.sources.store import materialize
+from codeweave.operators import chunks, entities, vectors
+from codeweave.sources.store import SharedTables, materialize
 
 FILES = "project_id string, file_path string, rel_path string, language string, content string"
 FUNCTIONS = "project_id string, file_path string, ord int, name string, line int, end_line int"
@@ -124,3 +125,19 @@ def test_extraction_stores_only_lines_that_are_read(spark, monkeypatch):
     assert {r.line for r in kept["lines"].collect()} == {1, 54, 55}
     assert kept["python"].where("text LIKE 'words%'").count() == 0
     assert e.lines.count() == 57 + 55
+
+
+def test_embedded_text_is_made_after_rows_are_dealt(spark):
+    df = spark.createDataFrame([("p", i, f"a b_{i}") for i in range(30)], "project_id string, n long, code string")
+    made = vectors.embed(df, "content", dim=4, by=("project_id", "n"), text=F.concat(F.lit("x "), F.col("code")))
+    assert exchanges_with(made, "code") == 1 and exchanges_with(made, "content") == 0 and "content" not in made.columns
+    want = vectors.HashedTokenEmbedder(4)
+    assert {r.n: r.embedding for r in made.collect()} == {i: want([f"x a b_{i}"])[0].tolist() for i in range(30)}
+
+
+def test_questions_are_stored_compressed(spark, tmp_path):
+    table = pa.table({"question_id": [1, 2], "qvec": pa.array([[0.0] * 700 + [1.0], [0.5] * 701])})
+    for compression in (None, "zstd"):
+        SharedTables(str(tmp_path)).put(f"q-{compression}", table, compression)
+        assert SharedTables(str(tmp_path)).get(f"q-{compression}").equals(table)
+    assert (tmp_path / "q-zstd").stat().st_size < 0.3 * (tmp_path / "q-None").stat().st_size
