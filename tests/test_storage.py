@@ -1,6 +1,7 @@
 """What is stored and shuffled on the way to chunks: texts once, and only what is read again."""
 
 import random
+import re
 import time
 
 import pyarrow as pa
@@ -8,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweave.operators import chunks, entities, vectors
+from codeweave.plans.corpus import corpus
 from codeweave.sources.store import SharedTables, materialize
+from conftest import SF_SMALL
 
 FILES = "project_id string, file_path string, rel_path string, language string, content string"
 FUNCTIONS = "project_id string, file_path string, ord int, name string, line int, end_line int"
@@ -141,3 +144,22 @@ def test_questions_are_stored_compressed(spark, tmp_path):
         SharedTables(str(tmp_path)).put(f"q-{compression}", table, compression)
         assert SharedTables(str(tmp_path)).get(f"q-{compression}").equals(table)
     assert (tmp_path / "q-zstd").stat().st_size < 0.3 * (tmp_path / "q-None").stat().st_size
+
+
+def test_search_and_contexts_store_a_text_once(spark):
+    c = corpus(spark, SF_SMALL)
+
+    def stored(df):
+        return {f.rpartition("/")[0] for f in df.inputFiles()}
+    (at,) = stored(c.chunk_vectors)
+    assert not {"content", "document"} & set(spark.read.parquet(at).columns)
+    columns = {re.search(r"([\w-]+)-\w{12}$", x)[1]: spark.read.parquet(x).columns for x in stored(c.search_hits)}
+    assert "code" not in columns["search_hits"] and columns["found_code"] == ["project_id", "id", "code"]
+    code = c.search_hits.select("chunk_id", "code").distinct()
+    assert code.count() == code.select("chunk_id").distinct().count() <= spark.read.parquet(
+        *(x for x in stored(c.search_hits) if "found_code" in x)).count()
+    for x in stored(c.contexts):
+        if "/context" in x:
+            assert spark.read.parquet(x).where("strategy = 'semantic_search'").isEmpty()
+    hits = c.search_hits.groupBy("question_id").count().count()
+    assert c.contexts.where("strategy = 'semantic_search' AND found").count() == hits > 0
