@@ -139,3 +139,18 @@ def test_cells_are_narrower_where_projections_are_not_enough(spark):
 def test_copies_of_a_vector_do_not_narrow_the_cells_for_ever(spark):
     q, v = tables(spark, [(1, "p", 2, [1.0, 2.0])], [("p", f"v{i:02d}", [1.0, 2.0]) for i in range(50)])
     assert found(LshIndex(v, candidates=10).search(q)) == [(1, "v00", 1.0, 1), (1, "v01", 1.0, 2)]
+
+
+def test_embedder_remembers_tokens_from_batch_to_batch():
+    import hashlib
+    import pickle
+
+    from codeweave.operators.vectors import HashedTokenEmbedder
+    e, texts = HashedTokenEmbedder(8, most=3), ["Ab a_b ab", "", None, "x y z w", "ab x"]
+    for made in (e(texts), pickle.loads(pickle.dumps(e))(texts), [v for t in texts for v in e([t])]):
+        for t, v in zip(texts, made, strict=True):
+            want = np.zeros(8)
+            for token in (t or "").lower().split():
+                want[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 8] += 1
+            assert np.allclose(v, want / max(np.linalg.norm(want), 1e-9))
+    assert "ab" in e.buckets and len(e.buckets) <= 3 + 4

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeweave.operators import chunks, entities, vectors
+from codeweave.operators import ask, chunks, entities, vectors
 from codeweave.plans.corpus import corpus
 from codeweave.sources.store import SharedTables, materialize
 from conftest import SF_SMALL
@@ -163,3 +163,21 @@ def test_search_and_contexts_store_a_text_once(spark):
             assert spark.read.parquet(x).where("strategy = 'semantic_search'").isEmpty()
     hits = c.search_hits.groupBy("question_id").count().count()
     assert c.contexts.where("strategy = 'semantic_search' AND found").count() == hits > 0
+
+
+def test_contexts_that_many_ask_for_are_dealt_over_tasks(spark, monkeypatch):
+    """A hot context has a copy per so many questions, and the partitions follow the text that is handed on."""
+    monkeypatch.setattr(ask, "COPY_QUESTIONS", 10, raising=False)
+    monkeypatch.setattr(ask, "TASK_CONTEXTS", 500, raising=False)
+    rows = [(i, "p", "q?", "ARCHITECTURE" if i < 400 else "PROJECT_OVERVIEW", None, None) for i in range(405)]
+    rows += [(900, None, "q?", "ARCHITECTURE", None, None), (901, "p", " ", None, None, "empty"), (902, "p", "q?", "FILE", "f", None),
+             (1, "p", "q?", "ARCHITECTURE", None, None)]
+    q = spark.createDataFrame(rows, "question_id long, project_id string, question string, question_type string, target_name string, error string")
+    contexts = spark.createDataFrame([("ARCHITECTURE|p", "architecture", True, "x" * 100), ("PROJECT_OVERVIEW|p", "project_overview", True, "y"),
+                                      ("ARCHITECTURE", "architecture", True, "none")],
+                                     "context_key string, strategy string, found boolean, context string")
+    key = lambda r: (r.question_id, r.question_type or "", r.strategy or "", r.found, r.context or "")
+    got, want = (ask.retrieve(q, None, contexts, **x) for x in ({"shared": True}, {}))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() == len(rows)
+    sizes = got.select(F.spark_partition_id().alias("p"), "context").where("context LIKE 'x%'").groupBy("p").count().collect()
+    assert len(sizes) > 10 and max(r["count"] for r in sizes) < 100
